@@ -1,0 +1 @@
+"""Empty on purpose: the feature set this library covers has no streaming operators."""

@@ -381,10 +381,7 @@ def _features(spark, d):
 
 
 def _scores(features):
-    probability = churn.linear_probability(COEFFICIENTS, INTERCEPT)
-    return features.select("customer_id", probability.alias("churn_probability")).withColumn(
-        "churned_predicted", F.col("churn_probability") >= 0.5
-    )
+    return churn.score_customers(features, COEFFICIENTS, INTERCEPT)
 
 
 @query

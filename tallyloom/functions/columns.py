@@ -65,6 +65,15 @@ def money_sum(value: Column) -> Column:
     return F.coalesce(total, F.lit(0)).cast("double")
 
 
+def settled(value: Column | str, digits: int) -> Column:
+    """Round half up, after dropping the last bits that depend on the order of summation.
+
+    Without the inner rounding a mean of exactly x.xx5 would fall to either side from one
+    run to the next.
+    """
+    return F.round(F.round(value, digits + 4), digits)
+
+
 def contains_any(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
 

@@ -6,157 +6,177 @@ brackets each quantile; one more aggregate counts the rows below the bracket and
 the few values inside it. The sketch's rank error bounds how many those can be, and the
 bracket is narrowed again while that bound is above ``gather_limit``. The result is exact:
 the rank wanted is checked against the counts, and a bracket that misses it is widened.
+
+All columns share each scan as (column number, value) pairs that are aggregated map-side,
+so a pass shuffles one small buffer per column and task.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Row, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .columns import as_double, col
+from .columns import as_double, col, to_rows
 
 ACCURACY = 10_000
 GATHER_LIMIT = 200_000
 SMALL_TABLE = 20_000
+_GRID = [k / 1000.0 for k in range(1001)]
+
+
+@dataclass
+class ColumnSummary:
+    """What the passes found for one column; all None where it has no values."""
+
+    count: int = 0
+    min: float | None = None
+    max: float | None = None
+    quantiles: list[float | None] = field(default_factory=list)
+    extras: dict[str, float | None] = field(default_factory=dict)
 
 
 @dataclass
 class _Bracket:
     """Where the order statistics of one (column, probability) lie: lo <= value <= hi."""
 
-    column: str
     probability: float
+    count: int
+    ends: tuple[float, float]
     lo: float
     hi: float
     inside_bound: float
     result: float | None = None
-    done: bool = False
-
 
-def _around(probability: float) -> tuple[float, float]:
-    slack = 2.0 / ACCURACY
-    return max(0.0, probability - slack), min(1.0, probability + slack)
 
-
-def _interpolate(count: int, probability: float, value_at) -> float:
-    position = (count - 1) * probability
-    low = math.floor(position)
-    first = value_at(low)
-    if position == low:
-        return first
-    return first + (value_at(low + 1) - first) * (position - low)
+def column_values(df: DataFrame, columns: list[str], extra: Callable[[int], list[Column]] = lambda i: []) -> DataFrame:
+    """(ordinal, v, extra literals): the non-null values of all columns in long form."""
+    structs = [
+        F.struct(F.lit(i).alias("ordinal"), as_double(df, c).alias("v"), *extra(i)) for i, c in enumerate(columns)
+    ]
+    return df.select(to_rows(structs)).where("v is not null")
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: list[str],
     probabilities: list[float],
-    also: list[Column] | None = None,
+    also: dict[str, Callable[[Column], Column]] | None = None,
     gather_limit: int = GATHER_LIMIT,
     small_table: int = SMALL_TABLE,
-) -> tuple[dict[str, list[float | None]], Row]:
-    """Quantiles per column, plus the one-row result of the aggregates in ``also``.
-
-    ``also`` rides along with the first pass, so statistics that need no quantile cost
-    no further scan. All jobs are one-row aggregates; nothing is shuffled but partial
-    buffers. A column with no values yields ``None`` for every probability.
+) -> dict[str, ColumnSummary]:
+    """Count, extremes and quantiles per column; ``also`` names aggregates of the value
+    that ride along with the first pass. What reaches the driver is one row per column.
     """
-    points = [p for q in probabilities for p in _around(q)]
-    first = list(also or [])
-    for i, c in enumerate(columns):
-        value = as_double(df, c)
-        first += [
-            F.count(value).alias(f"_n{i}"),
-            F.min(value).alias(f"_min{i}"),
-            F.max(value).alias(f"_max{i}"),
-            F.percentile_approx(value, points, ACCURACY).alias(f"_sketch{i}"),
+    also = also or {}
+    found = {c: ColumnSummary(quantiles=[None] * len(probabilities), extras=dict.fromkeys(also)) for c in columns}
+    if not columns:
+        return found
+    slack = 2.0 / ACCURACY
+    points = [p for q in probabilities for p in (max(0.0, q - slack), min(1.0, q + slack))]
+    value = F.col("v")
+    first = column_values(df, columns).groupBy("ordinal").agg(
+        F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+        *([F.percentile_approx(value, points, ACCURACY).alias("sketch")] if points else []),
+        *[make(value).alias(f"also_{name}") for name, make in also.items()],
+    )
+    sketches = {}
+    for row in first.collect():
+        summary = found[columns[row["ordinal"]]]
+        summary.count, summary.min, summary.max = row["n"], row["lo"], row["hi"]
+        summary.extras = {name: row[f"also_{name}"] for name in also}
+        sketches[columns[row["ordinal"]]] = row["sketch"] if points else []
+    if not points or not sketches:
+        return found
+
+    filled = [c for c in columns if c in sketches]
+    if max(found[c].count for c in filled) <= small_table:
+        wanted = F.array(*[F.lit(p) for p in probabilities])
+        exact = column_values(df, filled).groupBy("ordinal").agg(F.percentile(value, wanted).alias("q"))
+        for row in exact.collect():
+            found[filled[row["ordinal"]]].quantiles = list(row["q"])
+        return found
+
+    brackets = {
+        c: [
+            _Bracket(
+                p, found[c].count, (found[c].min, found[c].max), *sketches[c][2 * k: 2 * k + 2],
+                inside_bound=6.0 * found[c].count / ACCURACY,
+            )
+            for k, p in enumerate(probabilities)
         ]
-    head = df.agg(*first).head() if first else Row()
-    counts = {c: head[f"_n{i}"] for i, c in enumerate(columns)}
-    filled = [c for c in columns if counts[c] > 0]
-    answers: dict[str, list[float | None]] = {c: [None] * len(probabilities) for c in columns}
-    if not filled:
-        return answers, head
-
-    if max(counts[c] for c in filled) <= small_table:
-        row = df.agg(*[
-            F.percentile(as_double(df, c), F.array(*[F.lit(p) for p in probabilities])).alias(f"_p{i}")
-            for i, c in enumerate(filled)
-        ]).head()
-        for i, c in enumerate(filled):
-            answers[c] = list(row[f"_p{i}"])
-        return answers, head
-
-    brackets = []
-    for i, c in enumerate(columns):
-        if not counts[c]:
-            continue
-        for k, p in enumerate(probabilities):
-            lo, hi = head[f"_sketch{i}"][2 * k: 2 * k + 2]
-            brackets.append(_Bracket(c, p, lo, hi, 6.0 * counts[c] / ACCURACY))
-    ends = {c: (head[f"_min{i}"], head[f"_max{i}"]) for i, c in enumerate(columns)}
-    while any(not b.done for b in brackets):
-        _narrow([b for b in brackets if not b.done], df, counts, ends, gather_limit)
-    for c in filled:
-        answers[c] = [b.result for b in brackets if b.column == c]
-    return answers, head
-
-
-def _narrow(open_brackets, df, counts, ends, gather_limit) -> None:
+        for c in filled
+    }
+    while any(b.result is None for bs in brackets.values() for b in bs):
+        _narrow(df, brackets, gather_limit)
+    for c, bs in brackets.items():
+        found[c].quantiles = [b.result for b in bs]
+    return found
+
+
+def _narrow(df: DataFrame, brackets: dict[str, list[_Bracket]], gather_limit: int) -> None:
     """One pass: settle every bracket small enough to gather, re-sketch the others."""
-    budget = gather_limit / len(open_brackets)
-    aggregates = []
-    for i, b in enumerate(open_brackets):
-        value = as_double(df, b.column)
-        inside = (value > b.lo) & (value < b.hi)
+    open_columns = [c for c, bs in brackets.items() if any(b.result is None for b in bs)]
+    width = len(next(iter(brackets.values())))
+    budget = gather_limit / sum(b.result is None for bs in brackets.values() for b in bs)
+    small = lambda b: b.inside_bound <= budget
+
+    def limits(i: int) -> list[Column]:
+        columns = []
+        for k, b in enumerate(brackets[open_columns[i]]):
+            is_open = b.result is None
+            lo, hi = (b.lo, b.hi) if is_open else (None, None)
+            columns += [
+                F.lit(lo).cast("double").alias(f"lo{k}"), F.lit(hi).cast("double").alias(f"hi{k}"),
+                F.lit(is_open and small(b)).alias(f"gather{k}"),
+            ]
+        return columns
+
+    resketch = any(b.result is None and not small(b) for bs in brackets.values() for b in bs)
+    v, aggregates = F.col("v"), []
+    for k in range(width):
+        lo, hi, gather = F.col(f"lo{k}"), F.col(f"hi{k}"), F.col(f"gather{k}")
+        inside = (v > lo) & (v < hi)
         aggregates += [
-            F.count_if(value < b.lo).alias(f"_below{i}"),
-            F.count_if(value == b.lo).alias(f"_lo{i}"),
-            F.count_if(inside).alias(f"_in{i}"),
-            F.count_if(value == b.hi).alias(f"_hi{i}"),
+            F.count_if(v < lo).alias(f"below{k}"), F.count_if(v == lo).alias(f"at_lo{k}"),
+            F.count_if(inside).alias(f"in{k}"), F.count_if((v == hi) & (hi > lo)).alias(f"at_hi{k}"),
+            F.collect_list(F.when(inside & gather, v)).alias(f"values{k}"),
         ]
-        if b.inside_bound <= budget:
-            aggregates.append(F.collect_list(F.when(inside, value)).alias(f"_values{i}"))
-        else:
-            grid = [k / 1000.0 for k in range(1001)]
-            aggregates.append(F.percentile_approx(F.when(inside, value), grid, ACCURACY).alias(f"_grid{i}"))
-    row = df.agg(*aggregates).head()
-
-    for i, b in enumerate(open_brackets):
-        below, at_lo, inside = row[f"_below{i}"], row[f"_lo{i}"], row[f"_in{i}"]
-        at_hi = row[f"_hi{i}"] if b.hi > b.lo else 0
-        position = (counts[b.column] - 1) * b.probability
-        low, high = math.floor(position), math.ceil(position)
-        if low < below or high >= below + at_lo + inside + at_hi:
-            b.lo, b.hi = ends[b.column]
-            b.inside_bound = float(counts[b.column])
-            continue
-        starts_inside = below + at_lo
-        if b.inside_bound <= budget or high < starts_inside or low >= starts_inside + inside:
-            values = sorted(row[f"_values{i}"]) if b.inside_bound <= budget else []
-
-            def value_at(rank, b=b, values=values, start=starts_inside, inside=inside):
-                if rank < start:
-                    return b.lo
-                return values[rank - start] if rank < start + inside else b.hi
-
-            if values or inside == 0 or high < starts_inside or low >= starts_inside + inside:
-                b.result = _interpolate(counts[b.column], b.probability, value_at)
-                b.done = True
-                continue
-        grid = row[f"_grid{i}"]
-        cell = max(inside, 1) / 1000.0
-        error = 2.0 * inside / ACCURACY + 2
-        left = math.floor((low - starts_inside - error) / cell)
-        right = math.ceil((high - starts_inside + error) / cell)
-        if left > 0:
-            b.lo = grid[min(left, 1000)]
-        if right < 1000:
-            b.hi = grid[max(right, 0)]
-        width = (min(right, 1000) - max(left, 0)) * cell
-        b.inside_bound = min(float(inside), width + 2 * error)
+        if resketch:
+            aggregates.append(F.percentile_approx(F.when(inside & ~gather, v), _GRID, ACCURACY).alias(f"grid{k}"))
+    for row in column_values(df, open_columns, limits).groupBy("ordinal").agg(*aggregates).collect():
+        for k, b in enumerate(brackets[open_columns[row["ordinal"]]]):
+            if b.result is None:
+                _settle(
+                    b, row[f"below{k}"], row[f"at_lo{k}"], row[f"in{k}"], row[f"at_hi{k}"],
+                    sorted(row[f"values{k}"]) if small(b) else None, row[f"grid{k}"] if resketch else None,
+                )
+
+
+def _settle(b: _Bracket, below: int, at_lo: int, inside: int, at_hi: int, values, grid) -> None:
+    """Read the result off the counts and gathered values, or tighten (or widen) the bracket."""
+    position = (b.count - 1) * b.probability
+    low, high = math.floor(position), math.ceil(position)
+    start, end = below + at_lo, below + at_lo + inside
+    if low < below or high >= end + at_hi:
+        b.lo, b.hi = b.ends
+        b.inside_bound = float(b.count)
+        return
+    if values is None and (high < start or low >= end or inside == 0):
+        values = []
+    if values is not None:
+        at = lambda rank: b.lo if rank < start else values[rank - start] if rank < end else b.hi
+        b.result = at(low) + (at(high) - at(low)) * (position - low)
+        return
+    cell = inside / 1000.0
+    error = 2.0 * inside / ACCURACY + 2
+    left = max(0, math.floor((low - start - error) / cell))
+    right = min(1000, math.ceil((high - start + error) / cell))
+    b.lo = grid[left] if left > 0 else b.lo
+    b.hi = grid[right] if right < 1000 else b.hi
+    b.inside_bound = min(float(inside), (right - left) * cell + 2 * error)
 
 
 def grouped_quantile(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import col, to_rows
+from ..functions.columns import col, settled, to_rows
 
 
 def _means(table: DataFrame, features: list[str]) -> Column:
@@ -25,9 +25,9 @@ def _contributions(table: DataFrame, coefficients: dict[str, float]) -> DataFram
 def _entries(features: list[str]) -> list[Column]:
     return [
         F.struct(
-            F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), F.round(f"_c{i}", 4).alias("contribution"),
+            F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), settled(f"_c{i}", 4).alias("contribution"),
             F.when(F.col(f"_c{i}") > 0, "increases churn").otherwise("decreases churn").alias("direction"),
-            F.round(col(f).cast("double"), 2).alias("feature_value"),
+            settled(col(f).cast("double"), 2).alias("feature_value"),
         )
         for i, f in enumerate(features)
     ]
@@ -44,7 +44,7 @@ def base_value(table: DataFrame, coefficients: dict[str, float], intercept: floa
     value = F.lit(intercept)
     for f, w in coefficients.items():
         value = value + F.lit(w) * F.avg(col(f).cast("double"))
-    return table.agg(F.round(value, 4).alias("base_value"))
+    return table.agg(settled(value, 4).alias("base_value"))
 
 
 def global_importance(table: DataFrame, coefficients: dict[str, float]) -> DataFrame:
@@ -56,7 +56,7 @@ def global_importance(table: DataFrame, coefficients: dict[str, float]) -> DataF
         F.avg(F.abs(f"_c{i}")).alias(f"m{i}") for i in range(len(coefficients))
     ])
     rows = to_rows([
-        F.struct(F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), F.round(f"m{i}", 4).alias("importance"))
+        F.struct(F.lit(i).alias("ordinal"), F.lit(f).alias("feature"), settled(f"m{i}", 4).alias("importance"))
         for i, f in enumerate(coefficients)
     ])
     return measured.select(rows).orderBy(F.desc("importance"), "ordinal").drop("ordinal")
@@ -97,7 +97,7 @@ def explain_customers(
         .select(key, F.slice("factors", 1, k).alias("top_factors"))
         .join(scores, key)
     )
-    percent = F.format_string("%.1f%%", F.col("churn_probability") * 100)
+    percent = F.format_string("%.1f%%", settled(F.col("churn_probability") * 100, 1))
     return explained.select(
         key, "churn_probability", "churned_predicted", "top_factors",
         F.concat(

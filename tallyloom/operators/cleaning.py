@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from ..functions.columns import as_double, col, numeric_columns, present, to_rows
+from ..functions.columns import as_double, col, numeric_columns, present, settled, to_rows
 from ..functions.frequencies import modes
 from ..functions.quantiles import exact_quantiles
 from ..functions.scratch import materialize
@@ -28,15 +28,12 @@ class Fill:
 
 @dataclass(frozen=True)
 class Bounds:
+    """Fences of a column and whether any value lies beyond them."""
+
     column: str
     lower: float
     upper: float
-    below: int
-    above: int
-
-    @property
-    def hit(self) -> bool:
-        return self.below + self.above > 0
+    hit: bool
 
 
 def missing_values(df: DataFrame) -> DataFrame:
@@ -48,7 +45,7 @@ def missing_values(df: DataFrame) -> DataFrame:
     structs = [
         F.struct(
             F.lit(c).alias("column"), F.col(f"_m{i}").alias("missing_count"),
-            F.round(F.try_divide(F.col(f"_m{i}") * 100.0, F.col("_rows")), 2).alias("missing_percentage"),
+            settled(F.try_divide(F.col(f"_m{i}") * 100.0, F.col("_rows")), 2).alias("missing_percentage"),
         )
         for i, c in enumerate(df.columns)
     ]
@@ -61,13 +58,13 @@ def fit_fills(df: DataFrame) -> list[Fill]:
     missing = {c: head[f"_m{i}"] for i, c in enumerate(df.columns) if head[f"_m{i}"]}
     numeric = [c for c in numeric_columns(df) if c in missing]
     other = [c for c in df.columns if c in missing and c not in numeric]
-    medians, _ = exact_quantiles(df, numeric, [0.5]) if numeric else ({}, None)
+    medians = exact_quantiles(df, numeric, [0.5])
     common = modes(df, other)
     fills = []
     for c in df.columns:
         if c in numeric:
-            if medians[c][0] is not None:
-                fills.append(Fill(c, missing[c], "median", medians[c][0]))
+            if medians[c].quantiles[0] is not None:
+                fills.append(Fill(c, missing[c], "median", medians[c].quantiles[0]))
         elif c in missing:
             fills.append(Fill(c, missing[c], "mode", UNKNOWN if common[c] is None else common[c]))
     return fills
@@ -116,38 +113,43 @@ def deduplicate(df: DataFrame) -> DataFrame:
 
 
 def fit_bounds(df: DataFrame, columns: list[str] | None = None) -> list[Bounds]:
-    """Outlier fences (quartile -/+ 1.5 IQR) and strict counts beyond them, per column."""
+    """Outlier fences, quartile -/+ 1.5 IQR, per column that has values.
+
+    The extremes from the first quantile pass tell whether anything lies beyond a fence.
+    """
     columns = columns or numeric_columns(df)
-    quartiles, _ = exact_quantiles(df, columns, [0.25, 0.75])
-    fences = {}
-    for c in columns:
-        q1, q3 = quartiles[c]
+    bounds = []
+    for c, summary in exact_quantiles(df, columns, [0.25, 0.75]).items():
+        q1, q3 = summary.quantiles
         if q1 is not None:
-            fences[c] = (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
-    if not fences:
-        return []
-    counted = df.agg(*[
-        m for i, (c, (lo, hi)) in enumerate(fences.items()) for m in (
-            F.count_if(as_double(df, c) < lo).alias(f"_b{i}"),
-            F.count_if(as_double(df, c) > hi).alias(f"_a{i}"),
-        )
-    ]).head()
-    return [
-        Bounds(c, lo, hi, counted[f"_b{i}"], counted[f"_a{i}"])
-        for i, (c, (lo, hi)) in enumerate(fences.items())
-    ]
+            lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            bounds.append(Bounds(c, lo, hi, summary.min < lo or summary.max > hi))
+    return bounds
 
 
-def outlier_report(spark: SparkSession, bounds: list[Bounds]) -> DataFrame:
-    """Columns with outliers: count in total, below and above, and the fences."""
-    return spark.createDataFrame(
-        [(b.column, b.below + b.above, b.below, b.above, b.lower, b.upper) for b in bounds if b.hit],
+def outlier_report(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
+    """Columns with outliers: count in total, strictly below and above, and the fences."""
+    hit = [b for b in bounds if b.hit]
+    schema = (
         "column string, outlier_count bigint, capped_lower bigint, capped_upper bigint, "
-        "lower_bound double, upper_bound double",
-    ).select(
-        "column", "outlier_count", "capped_lower", "capped_upper",
-        F.round("lower_bound", 2).alias("lower_bound"), F.round("upper_bound", 2).alias("upper_bound"),
+        "lower_bound double, upper_bound double"
     )
+    if not hit:
+        return df.sparkSession.createDataFrame([], schema)
+    counted = df.agg(*[
+        m for i, b in enumerate(hit) for m in (
+            F.count_if(as_double(df, b.column) < b.lower).alias(f"_b{i}"),
+            F.count_if(as_double(df, b.column) > b.upper).alias(f"_a{i}"),
+        )
+    ])
+    return counted.select(to_rows([
+        F.struct(
+            F.lit(b.column).alias("column"), (F.col(f"_b{i}") + F.col(f"_a{i}")).alias("outlier_count"),
+            F.col(f"_b{i}").alias("capped_lower"), F.col(f"_a{i}").alias("capped_upper"),
+            settled(F.lit(b.lower), 2).alias("lower_bound"), settled(F.lit(b.upper), 2).alias("upper_bound"),
+        )
+        for i, b in enumerate(hit)
+    ]))
 
 
 def cap_outliers(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
@@ -170,36 +172,34 @@ def cap_outliers(df: DataFrame, bounds: list[Bounds]) -> DataFrame:
 
 @dataclass(frozen=True)
 class Cleaned:
+    """The cleaned table and what was done to it. ``unique`` is the table before capping."""
+
     data: DataFrame
+    unique: DataFrame
     initial_rows: int
     initial_columns: int
     fills: list[Fill]
-    duplicates: int
     bounds: list[Bounds]
-    final_rows: int
 
     def report(self) -> DataFrame:
         """(section, column, metric, value) of the whole run."""
+        final = self.unique.count()
         rows = [
             ("summary", None, "initial_rows", float(self.initial_rows)),
             ("summary", None, "initial_columns", float(self.initial_columns)),
             ("summary", None, "total_missing", float(sum(f.filled for f in self.fills))),
-            ("summary", None, "duplicates_removed", float(self.duplicates)),
-            ("summary", None, "final_rows", float(self.final_rows)),
+            ("summary", None, "duplicates_removed", float(self.initial_rows - final)),
+            ("summary", None, "final_rows", float(final)),
             ("summary", None, "final_columns", float(len(self.data.columns))),
         ]
         rows += [("missing", f.column, "filled", float(f.filled)) for f in self.fills]
-        for b in self.bounds:
-            if b.hit:
-                rows += [
-                    ("outliers", b.column, "capped_lower", float(b.below)),
-                    ("outliers", b.column, "capped_upper", float(b.above)),
-                    ("outliers", b.column, "lower_bound", b.lower),
-                    ("outliers", b.column, "upper_bound", b.upper),
-                ]
-        return self.data.sparkSession.createDataFrame(
-            rows, "section string, column string, metric string, value double"
-        ).withColumn("value", F.round("value", 2))
+        table = self.data.sparkSession.createDataFrame(rows, "section string, column string, metric string, value double")
+        capped = outlier_report(self.unique, self.bounds)
+        names = ["capped_lower", "capped_upper", "lower_bound", "upper_bound"]
+        long = capped.select("column", *[F.col(n).cast("double").alias(n) for n in names]).unpivot(
+            "column", names, "metric", "value"
+        )
+        return table.unionByName(long.select(F.lit("outliers").alias("section"), "column", "metric", "value"))
 
 
 def clean_data(df: DataFrame) -> Cleaned:
@@ -208,11 +208,9 @@ def clean_data(df: DataFrame) -> Cleaned:
     The deduplicated table is written once to the shared scratch folder. Without it every
     fence pass would shuffle the whole table again.
     """
+    seen = Observation()
     fills = fit_fills(df)
-    unique = materialize(deduplicate(fill_missing(df, fills)))
-    initial = df.count()
-    final = unique.count()
+    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
+    unique = materialize(deduplicate(fill_missing(counted, fills)))
     bounds = fit_bounds(unique)
-    return Cleaned(
-        cap_outliers(unique, bounds), initial, len(df.columns), fills, initial - final, bounds, final
-    )
+    return Cleaned(cap_outliers(unique, bounds), unique, seen.get["rows"], len(df.columns), fills, bounds)

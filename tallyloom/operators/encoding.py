@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import as_double, col, numeric_columns, string_columns, to_rows
+from ..functions.columns import as_double, col, numeric_columns, settled, string_columns, to_rows
 from ..functions.frequencies import frequencies
 from ..functions.ranking import dense_index
 from ..functions.scratch import materialize
@@ -97,8 +97,8 @@ def scaler_info(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     ])
     return measured.select(to_rows([
         F.struct(
-            F.lit(c).alias("column"), F.round(f"mean{i}", 4).alias("mean"),
-            F.round(_divisor(F.col(f"std{i}")), 4).alias("std"),
+            F.lit(c).alias("column"), settled(f"mean{i}", 4).alias("mean"),
+            settled(_divisor(F.col(f"std{i}")), 4).alias("std"),
         )
         for i, c in enumerate(columns)
     ]))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import as_double, col
+from ..functions.columns import as_double, col, settled
 
 
 def ttest(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
@@ -24,9 +24,9 @@ def ttest(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
         (e1 + e2) * (e1 + e2), F.try_divide(e1 * e1, F.col("n1") - 1) + F.try_divide(e2 * e2, F.col("n2") - 1)
     )
     return m.select(
-        F.round("m1", 4).alias("mean_first"), F.round("m2", 4).alias("mean_second"),
-        F.round(F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(e1 + e2)), 4).alias("t_statistic"),
-        F.round(freedom, 2).alias("degrees_of_freedom"),
+        settled("m1", 4).alias("mean_first"), settled("m2", 4).alias("mean_second"),
+        settled(F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(e1 + e2)), 4).alias("t_statistic"),
+        settled(freedom, 2).alias("degrees_of_freedom"),
     )
 
 
@@ -43,7 +43,7 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     between = F.col("squares") - F.col("sums") * F.col("sums") / F.col("n")
     df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
     return total.select(
-        F.round(F.try_divide(F.try_divide(between, df1), F.try_divide("within", df2)), 4).alias("f_statistic"),
+        settled(F.try_divide(F.try_divide(between, df1), F.try_divide("within", df2)), 4).alias("f_statistic"),
         df1.alias("df_between"), df2.alias("df_within"),
     )
 
@@ -65,7 +65,7 @@ def chi_square(df: DataFrame, left: str, right: str) -> DataFrame:
         F.count_distinct("_l").alias("r"), F.count_distinct("_r").alias("c"),
     )
     return joined.select(
-        F.round(F.col("n") * (F.col("share") - 1), 4).alias("chi_square"),
+        settled(F.col("n") * (F.col("share") - 1), 4).alias("chi_square"),
         ((F.col("r") - 1) * (F.col("c") - 1)).alias("degrees_of_freedom"),
     )
 
@@ -80,7 +80,7 @@ def regression_univariate(df: DataFrame, x: str, y: str) -> DataFrame:
     explained = F.try_divide(F.col("sxy") * F.col("sxy"), "sxx")
     rest = F.greatest(F.lit(0.0), F.col("syy") - explained)
     return m.select(
-        "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"),
-        F.round(F.try_divide(explained, "syy"), 6).alias("r_squared"),
-        F.round(F.sqrt(F.try_divide(rest, "n")), 4).alias("rmse"),
+        "n", settled("slope", 4).alias("slope"), settled("intercept", 4).alias("intercept"),
+        settled(F.try_divide(explained, "syy"), 6).alias("r_squared"),
+        settled(F.sqrt(F.try_divide(rest, "n")), 4).alias("rmse"),
     )

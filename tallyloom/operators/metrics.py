@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import as_day, as_double, col, money_sum, present
+from ..functions.columns import as_day, as_double, col, money_sum, present, settled
 from ..functions.quantiles import grouped_quantile
 from ..functions.ranking import dense_index
 
@@ -19,9 +19,9 @@ def kpi_totals(df: DataFrame, revenue="revenue", order="order_id", customer="cus
     """Total revenue, revenue per row and per order, distinct orders and customers."""
     total, orders = money_sum(present(df, revenue)), F.count_distinct(col(order))
     return df.agg(
-        F.round(total, 2).alias("total_revenue"),
-        F.round(F.try_divide(total, F.count(present(df, revenue))), 2).alias("average_order_value"),
-        F.round(F.try_divide(total, orders), 2).alias("revenue_per_order"),
+        settled(total, 2).alias("total_revenue"),
+        settled(F.try_divide(total, F.count(present(df, revenue))), 2).alias("average_order_value"),
+        settled(F.try_divide(total, orders), 2).alias("revenue_per_order"),
         orders.alias("total_orders"),
         F.count_distinct(col(customer)).alias("total_customers"),
     )
@@ -30,7 +30,7 @@ def kpi_totals(df: DataFrame, revenue="revenue", order="order_id", customer="cus
 def revenue_by(df: DataFrame, key: str, revenue: str = "revenue") -> DataFrame:
     """(key, revenue), largest first."""
     summed = df.where(col(key).isNotNull()).groupBy(col(key).alias(key)).agg(
-        F.round(money_sum(present(df, revenue)), 2).alias("revenue")
+        settled(money_sum(present(df, revenue)), 2).alias("revenue")
     )
     return summed.orderBy(F.desc("revenue"), F.asc(key))
 
@@ -41,7 +41,7 @@ def monthly_revenue(df: DataFrame, date: str = "order_date", revenue: str = "rev
     return (
         df.select(month.alias("month"), present(df, revenue).alias("_v"))
         .where("month is not null")
-        .groupBy("month").agg(F.round(money_sum(F.col("_v")), 2).alias("revenue"))
+        .groupBy("month").agg(settled(money_sum(F.col("_v")), 2).alias("revenue"))
         .orderBy("month")
     )
 
@@ -74,8 +74,8 @@ def segment_breakdown(df: DataFrame, key: str, value: str) -> DataFrame:
         total.select(F.lit(None).cast("string").alias("segment"), "_sum", "count", F.lit(True).alias("is_total"))
     )
     return both.select(
-        "segment", F.round("_sum", 2).alias("sum"),
-        F.round(F.try_divide("_sum", "count"), 2).alias("mean"), "count", "is_total",
+        "segment", settled("_sum", 2).alias("sum"),
+        settled(F.try_divide("_sum", "count"), 2).alias("mean"), "count", "is_total",
     )
 
 
@@ -87,13 +87,13 @@ def segment_share_rank(df: DataFrame, key: str, value: str) -> DataFrame:
     """
     number = as_double(df, value)
     sums = df.where(col(key).isNotNull()).groupBy(col(key).cast("string").alias("segment")).agg(
-        F.round(F.coalesce(F.sum(number), F.lit(0.0)), 2).alias("sum")
+        settled(F.coalesce(F.sum(number), F.lit(0.0)), 2).alias("sum")
     )
     placed = dense_index(sums, [F.desc("sum"), F.asc("segment")], "_position")
     ranks = placed.groupBy(F.col("sum").alias("_sum")).agg((F.min("_position") + 1).alias("rank"))
     total = placed.agg(F.sum("sum")).scalar()
     return placed.join(ranks, F.col("sum") == F.col("_sum")).select(
-        "segment", "sum", F.round(F.try_divide(F.col("sum") * 100.0, total), 2).alias("share"), "rank"
+        "segment", "sum", settled(F.try_divide(F.col("sum") * 100.0, total), 2).alias("share"), "rank"
     )
 
 
@@ -126,8 +126,8 @@ def aggregate_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, sum, mean, median, count) per key; the median is exact for any group size."""
     keyed = df.where(col(key).isNotNull()).select(col(key).alias(key), as_double(df, value).alias("_x"))
     sums = keyed.groupBy(key).agg(
-        F.round(F.coalesce(F.sum("_x"), F.lit(0.0)), 2).alias("sum"), F.round(F.avg("_x"), 2).alias("mean"),
+        settled(F.coalesce(F.sum("_x"), F.lit(0.0)), 2).alias("sum"), settled(F.avg("_x"), 2).alias("mean"),
         F.count("_x").alias("count"),
     )
     medians = grouped_quantile(keyed, [key], "_x", 0.5, "median")
-    return sums.join(medians, key, "left").select(key, "sum", "mean", F.round("median", 2).alias("median"), "count")
+    return sums.join(medians, key, "left").select(key, "sum", "mean", settled("median", 2).alias("median"), "count")

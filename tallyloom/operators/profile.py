@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import as_timestamp, contains_any, is_temporal, numeric_columns, to_rows
+from ..functions.columns import as_timestamp, contains_any, is_temporal, numeric_columns, settled, to_rows
 from ..functions.frequencies import column_facts, top_frequencies
 from .statistics import strong_correlations, summary_statistics
 
@@ -23,7 +23,7 @@ def profile_columns(df: DataFrame) -> DataFrame:
     """Type, null count and share, distinct count and uniqueness of every column."""
     return column_facts(df).select(
         "ordinal", "column", "dtype", "row_count", "null_count",
-        F.coalesce(F.round(F.try_divide(F.col("null_count") * 100.0, F.col("row_count")), 2), F.lit(0.0))
+        F.coalesce(settled(F.try_divide(F.col("null_count") * 100.0, F.col("row_count")), 2), F.lit(0.0))
         .alias("null_percentage"),
         "unique_count", (F.col("unique_count") == F.col("row_count")).alias("is_unique"),
     )
@@ -56,11 +56,11 @@ def columns_of_type(df: DataFrame, semantic_type: str) -> list[str]:
 
 def profile_stats(df: DataFrame) -> DataFrame:
     """Statistics of the numeric columns with values, 2 decimals; deviation 0 for one value."""
-    two = {n: F.round(n, 2).alias(n) for n in ("min", "max", "mean", "median", "q25", "q75")}
+    two = {n: settled(n, 2).alias(n) for n in ("min", "max", "mean", "median", "q25", "q75")}
     return summary_statistics(df).where("count > 0").select(
         "column", two["min"], two["max"], two["mean"], two["median"],
-        F.round(F.coalesce("std", F.lit(0.0)), 2).alias("std"), two["q25"], two["q75"],
-        F.round(F.col("q75") - F.col("q25"), 2).alias("iqr"),
+        settled(F.coalesce("std", F.lit(0.0)), 2).alias("std"), two["q25"], two["q75"],
+        settled(F.col("q75") - F.col("q25"), 2).alias("iqr"),
     )
 
 

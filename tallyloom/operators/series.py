@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import as_day, col, money_sum, present
+from ..functions.columns import as_day, col, money_sum, present, settled
 
 HORIZON = 90
 MIN_DAYS = 30
@@ -41,7 +41,7 @@ def history_tail(daily: DataFrame, days: int = 90, by: list[str] = ()) -> DataFr
     lo = F.greatest(F.col("_first"), F.date_sub("_hi", days - 1))
     calendar = spans.select(*by, F.explode(F.sequence(lo, F.col("_hi"))).alias("ds"))
     recent = calendar.join(daily, [*by, "ds"], "left")
-    return recent.withColumn("value", F.round(F.coalesce("value", F.lit(0.0)), 2))
+    return recent.withColumn("value", settled(F.coalesce("value", F.lit(0.0)), 2))
 
 
 def _trends(daily: DataFrame, by: list[str], min_days: int) -> DataFrame:
@@ -84,9 +84,9 @@ def forecast_linear(daily: DataFrame, periods: int = HORIZON, by: list[str] = ()
     steps = _trends(daily, list(by), min_days).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(periods))))
     point = _predicted(F.col("step"))
     margin = F.col("residual_std") * Z95
-    floor = lambda c: F.round(F.greatest(F.lit(0.0), c), 2)
+    floor = lambda c: settled(F.greatest(F.lit(0.0), c), 2)
     return steps.select(
-        *by, F.date_add("last_day", F.col("step")).alias("ds"), F.round(point, 2).alias("value"),
+        *by, F.date_add("last_day", F.col("step")).alias("ds"), settled(point, 2).alias("value"),
         floor(point - margin).alias("lower"), floor(point + margin).alias("upper"),
     )
 
@@ -109,7 +109,7 @@ def forecast_summary(daily: DataFrame, periods: int = HORIZON, by: list[str] = (
     joined = daily.join(ends, by) if by else daily.withColumn("_end", daily.agg(F.max("ds")).scalar())
     recent = joined.where(F.col("ds") > F.date_sub("_end", 30)).groupBy(*by).agg((F.sum("value") / 30.0).alias("_last"))
     values = F.transform(
-        F.sequence(F.lit(1), F.lit(periods)), lambda s: F.round(_predicted(s), 2)
+        F.sequence(F.lit(1), F.lit(periods)), lambda s: settled(_predicted(s), 2)
     )
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / periods
     if by:
@@ -117,13 +117,13 @@ def forecast_summary(daily: DataFrame, periods: int = HORIZON, by: list[str] = (
     else:
         both = trends.withColumn("_last", recent.select("_last").scalar())
     both = both.withColumn("_forecast", mean)
-    last, ahead = F.round("_last", 2), F.round("_forecast", 2)
+    last, ahead = settled("_last", 2), settled("_forecast", 2)
     return both.select(
         *by, last.alias("last_30_days_avg"), ahead.alias("forecast_avg"),
         F.when(F.col("_forecast") > F.col("_last"), "increasing")
         .when(F.col("_forecast") < F.col("_last"), "decreasing").otherwise("stable").alias("trend"),
         F.lit(periods).alias("forecast_periods"),
-        F.round(F.when(last > 0, (ahead - last) / last * 100).otherwise(0.0), 2).alias("percentage_change"),
+        settled(F.when(last > 0, (ahead - last) / last * 100).otherwise(0.0), 2).alias("percentage_change"),
     )
 
 

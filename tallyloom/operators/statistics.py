@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import as_double, numeric_columns, to_rows
+from ..functions.columns import as_double, numeric_columns, settled, to_rows
 from ..functions.frequencies import column_facts, top_frequencies
 from ..functions.quantiles import exact_quantiles
 
-PAIRS_PER_PASS = 60
 _QUARTILES = [0.25, 0.5, 0.75]
-_STATISTICS = "column string, count bigint, mean double, std double, min double, q25 double, median double, q75 double, max double"
+_STATISTICS = (
+    "column string, count bigint, mean double, std double, min double, q25 double, median double, "
+    "q75 double, max double"
+)
 
 
 def summary_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -21,25 +23,15 @@ def summary_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
     Moments ride along with the first quantile pass: two scans for any number of columns.
     """
     columns = columns or numeric_columns(df)
-    moments = []
-    for i, c in enumerate(columns):
-        value = as_double(df, c)
-        moments += [
-            F.count(value).alias(f"count{i}"), F.avg(value).alias(f"mean{i}"),
-            F.stddev_samp(value).alias(f"std{i}"), F.min(value).alias(f"min{i}"), F.max(value).alias(f"max{i}"),
-        ]
-    quartiles, row = exact_quantiles(df, columns, _QUARTILES, also=moments)
-    rows = []
-    for i, c in enumerate(columns):
-        q25, median, q75 = quartiles[c]
-        rows.append((
-            c, row[f"count{i}"], row[f"mean{i}"], row[f"std{i}"], row[f"min{i}"], q25, median, q75, row[f"max{i}"]
-        ))
+    found = exact_quantiles(df, columns, _QUARTILES, also={"mean": F.avg, "std": F.stddev_samp})
+    rows = [
+        (c, s.count, s.extras["mean"], s.extras["std"], s.min, *s.quantiles, s.max) for c, s in found.items()
+    ]
     return df.sparkSession.createDataFrame(rows, _STATISTICS)
 
 
 def _rounded(names: list[str], digits: int) -> list[Column]:
-    return [F.round(n, digits).alias(n) for n in names]
+    return [settled(n, digits).alias(n) for n in names]
 
 
 def column_statistics(df: DataFrame, columns: list[str] | None = None, digits: int = 2) -> DataFrame:
@@ -52,36 +44,31 @@ def describe_table(df: DataFrame, columns: list[str] | None = None, digits: int
     return summary_statistics(df, columns).select("column", "count", *_rounded(names, digits))
 
 
-def _pearson(x: Column, y: Column) -> Column:
-    """Correlation over the rows where both are present; null if either does not vary."""
-    spread = F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x))
-    return F.try_divide(F.regr_sxy(y, x), F.nullif(spread, F.lit(0.0)))
-
-
 def pair_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(left_ordinal, right_ordinal, source, target, r) for each unordered pair, diagonal included.
+    """(left_ordinal, right_ordinal, source, target, r) per unordered pair, diagonal included.
 
-    All pairs are aggregates of one scan; very wide tables take one scan per 60 pairs.
+    Pearson over the rows where both are present, null if either does not vary. Each row
+    yields its pairs of values, which fold map-side to one buffer per pair: one scan and a
+    plan of the same size however wide the table is.
     """
     columns = columns or numeric_columns(df)
-    pairs = list(combinations(range(len(columns)), 2)) + [(i, i) for i in range(len(columns))]
-    whole = None
-    for start in range(0, len(pairs), PAIRS_PER_PASS):
-        chunk = pairs[start: start + PAIRS_PER_PASS]
-        measured = df.agg(*[
-            _pearson(as_double(df, columns[i]), as_double(df, columns[j])).alias(f"r{n}")
-            for n, (i, j) in enumerate(chunk)
-        ])
-        rows = measured.select(to_rows([
-            F.struct(
-                F.lit(i).alias("left_ordinal"), F.lit(j).alias("right_ordinal"),
-                F.lit(columns[i]).alias("source"), F.lit(columns[j]).alias("target"),
-                F.col(f"r{n}").alias("r"),
-            )
-            for n, (i, j) in enumerate(chunk)
-        ]))
-        whole = rows if whole is None else whole.unionByName(rows)
-    return whole
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+    if not pairs:
+        return df.sparkSession.createDataFrame(
+            [], "left_ordinal int, right_ordinal int, source string, target string, r double"
+        )
+    values = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    long = values.select(to_rows([
+        F.struct(F.lit(n).alias("pair"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
+        for n, (i, j) in enumerate(pairs)
+    ])).where("x is not null and y is not null")
+    spread = F.stddev_pop("x") * F.stddev_pop("y")
+    r = F.try_divide(F.covar_pop("x", "y"), F.nullif(spread, F.lit(0.0)))
+    names = df.sparkSession.createDataFrame(
+        [(n, i, j, columns[i], columns[j]) for n, (i, j) in enumerate(pairs)],
+        "pair int, left_ordinal int, right_ordinal int, source string, target string",
+    )
+    return names.join(long.groupBy("pair").agg(r.alias("r")), "pair", "left").drop("pair")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:
@@ -93,14 +80,14 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits:
         F.struct(F.col("source").alias("column"), F.col("target").alias("other"), F.col("r")),
         F.struct(F.col("target").alias("column"), F.col("source").alias("other"), F.col("r")),
     )))
-    return pair_correlations(df, columns).select(both).withColumn("r", F.round("r", digits))
+    return pair_correlations(df, columns).select(both).withColumn("r", settled("r", digits))
 
 
 def strong_correlations(df: DataFrame, columns: list[str], threshold: float = 0.4) -> DataFrame:
     """Edge table of the pairs with |r| at or above the threshold."""
     pairs = pair_correlations(df, columns).where(F.col("left_ordinal") < F.col("right_ordinal"))
     return pairs.where(F.abs("r") >= threshold).select(
-        F.lit("correlation").alias("type"), "source", "target", F.round("r", 3).alias("strength"),
+        F.lit("correlation").alias("type"), "source", "target", settled("r", 3).alias("strength"),
         F.format_string("Strong correlation (%.2f) between %s and %s", "r", "source", "target").alias("description"),
     )
 

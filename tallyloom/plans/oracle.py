@@ -28,6 +28,11 @@ def _dirty(body: str, more: str = "") -> str:
     return f"WITH {DIRTY_SQL}{more} {body}"
 
 
+def _r(value: str, digits: int) -> str:
+    """Round half up in decimal, as the library does once summation noise is gone."""
+    return f"CAST(round(CAST({value} AS DECIMAL(30, {digits + 4})), {digits}) AS DOUBLE)"
+
+
 def _union(parts: list[str]) -> str:
     return " UNION ALL ".join(parts)
 
@@ -122,8 +127,8 @@ def _profile(mode: str, samples: str) -> str:
     return _dirty(
         f"""SELECT f.ordinal, f."column", f.dtype, {_SEMANTIC.replace('"column"', 'f."column"')} AS semantic_type,
         f.null_count, f.null_percentage, f.unique_count, {samples} AS sample_summary,
-        round(min, 2) AS min, round(max, 2) AS max, round(mean, 2) AS mean, round(median, 2) AS median,
-        round(std, 2) AS std, round(q25, 2) AS q25, round(q75, 2) AS q75, round(q75 - q25, 2) AS iqr,
+        CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max, CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median,
+        CAST(round(CAST(std AS DECIMAL(30, 6)), 2) AS DOUBLE) AS std, CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75, CAST(round(CAST(q75 - q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS iqr,
         '{mode}' AS privacy_mode
         FROM facts f LEFT JOIN stats s ON f."column" = s."column" LEFT JOIN {_SAMPLES} p ON f."column" = p."column" """,
         f"{_STAT_TABLE}, facts AS ({_each(COLUMNS, _FACTS)})",
@@ -156,9 +161,9 @@ scores AS (SELECT customer_id, round(p, 4) AS churn_probability, p >= 0.5 AS chu
 _MEANS = ", means AS (SELECT " + ", ".join(f"avg(CAST({f} AS DOUBLE)) AS m_{f}" for f in COEFFICIENTS) + " FROM features)"
 _LONG = _MEANS + ", long AS (" + _union([
     f"""SELECT customer_id, {i} AS ordinal, '{f}' AS feature, ({w!r}::DOUBLE) * ({f} - m_{f}) AS raw,
-    round(CAST({f} AS DOUBLE), 2) AS feature_value FROM features, means"""
+    {_r(f, 2)} AS feature_value FROM features, means"""
     for i, (f, w) in enumerate(COEFFICIENTS.items())
-]) + """), parts AS (SELECT customer_id, ordinal, feature, round(raw, 4) AS contribution, raw,
+]) + """), parts AS (SELECT customer_id, ordinal, feature, """ + _r("raw", 4) + """ AS contribution, raw,
   CASE WHEN raw > 0 THEN 'increases churn' ELSE 'decreases churn' END AS direction, feature_value FROM long),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY customer_id ORDER BY abs(contribution) DESC, ordinal) AS rank FROM parts)"""
 
@@ -206,8 +211,8 @@ def _linear(*by: str) -> str:
       stddev_pop(value - (slope * x + intercept)) AS sd FROM filled f JOIN line l ON {join} GROUP BY {lkeys}last_day, n, slope, intercept),
     steps AS (SELECT {keys}CAST(last_day + CAST(s AS INTEGER) AS DATE) AS ds, greatest(0, slope * (n + s - 1) + intercept) AS p, sd
       FROM fit, generate_series(1, 90) g(s) WHERE n >= 30),
-    forecast AS (SELECT {keys}ds, round(p, 2) AS value, round(greatest(0, p - 1.96 * sd), 2) AS lower,
-      round(greatest(0, p + 1.96 * sd), 2) AS upper FROM steps)"""
+    forecast AS (SELECT {keys}ds, {_r("p", 2)} AS value, {_r("greatest(0, p - 1.96 * sd)", 2)} AS lower,
+      {_r("greatest(0, p + 1.96 * sd)", 2)} AS upper FROM steps)"""
 
 
 def _summary(*by: str) -> str:
@@ -221,10 +226,10 @@ def _summary(*by: str) -> str:
     return _linear(*by) + f""", recent AS (SELECT {fkeys}sum(value) / 30.0::DOUBLE AS last FROM filled f JOIN line l ON {fjoin}
       WHERE ds > last_day - 30 {fgroup}),
     ahead AS (SELECT {keys}avg(value) AS mean FROM forecast {group}),
-    summary AS (SELECT {rkeys}round(last, 2) AS last_30_days_avg, round(mean, 2) AS forecast_avg,
+    summary AS (SELECT {rkeys}{_r("last", 2)} AS last_30_days_avg, {_r("mean", 2)} AS forecast_avg,
       CASE WHEN mean > last THEN 'increasing' WHEN mean < last THEN 'decreasing' ELSE 'stable' END AS trend,
       90 AS forecast_periods,
-      round(CASE WHEN round(last, 2) > 0 THEN (round(mean, 2) - round(last, 2)) / round(last, 2) * 100 ELSE 0 END, 2) AS percentage_change
+      round(CASE WHEN {_r("last", 2)} > 0 THEN ({_r("mean", 2)} - {_r("last", 2)}) / {_r("last", 2)} * 100 ELSE 0 END, 2) AS percentage_change
       FROM recent r JOIN ahead a ON {join})"""
 
 
@@ -384,10 +389,10 @@ ORACLE: dict[str, str] = {
         f"""SELECT '{c}' AS "column", round(avg({c}), 4) AS mean, round(coalesce(nullif(stddev_pop({c}), 0), 1), 4) AS std FROM coded"""
         for c in _MEASURES + _ENCODED])),
     # statistics and profile
-    "column_statistics": _dirty("""SELECT "column", round(mean, 2) AS mean, round(median, 2) AS median, round(std, 2) AS std,
-        round(min, 2) AS min, round(max, 2) AS max, round(q25, 2) AS q25, round(q75, 2) AS q75 FROM stats""", _STAT_TABLE),
-    "describe_table": _dirty("""SELECT "column", count, round(mean, 2) AS mean, round(std, 2) AS std, round(min, 2) AS min,
-        round(q25, 2) AS q25, round(median, 2) AS median, round(q75, 2) AS q75, round(max, 2) AS max FROM stats""", _STAT_TABLE),
+    "column_statistics": _dirty("""SELECT "column", CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median, CAST(round(CAST(std AS DECIMAL(30, 6)), 2) AS DOUBLE) AS std,
+        CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max, CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75 FROM stats""", _STAT_TABLE),
+    "describe_table": _dirty("""SELECT "column", count, CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(std AS DECIMAL(30, 6)), 2) AS DOUBLE) AS std, CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min,
+        CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max FROM stats""", _STAT_TABLE),
     "correlation_matrix": _dirty(_correlations("dirty", 3)),
     "correlation_matrix_4dp": _t(_correlations("transactions", 4)),
     "column_summaries": _dirty(_union([
@@ -396,8 +401,8 @@ ORACLE: dict[str, str] = {
     "top_values": _dirty(f"SELECT * FROM {_top(['order_date'] + _ENCODED, 10)}"),
     "profile_columns": _dirty(_each(COLUMNS, _FACTS)),
     "semantic_types": _union([f"""SELECT '{c}' AS "column", '{k}' AS semantic_type""" for c, k in _KIND.items()]),
-    "profile_stats": _dirty("""SELECT "column", round(min, 2) AS min, round(max, 2) AS max, round(mean, 2) AS mean, round(median, 2) AS median,
-        round(coalesce(std, 0), 2) AS std, round(q25, 2) AS q25, round(q75, 2) AS q75, round(q75 - q25, 2) AS iqr FROM stats""", _STAT_TABLE),
+    "profile_stats": _dirty("""SELECT "column", CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max, CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median,
+        round(coalesce(std, 0), 2) AS std, CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75, CAST(round(CAST(q75 - q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS iqr FROM stats""", _STAT_TABLE),
     "profile_top5": _dirty(f"SELECT * FROM {_SAMPLES}"),
     "strong_correlations": _dirty("""SELECT 'correlation' AS type, a AS source, b AS target, round(r, 3) AS strength,
         'Strong correlation (' || printf('%.2f', r) || ') between ' || a || ' and ' || b AS description FROM (""" + _union([
@@ -463,9 +468,9 @@ ORACLE: dict[str, str] = {
     "triage_runs": f"WITH {RUNS_SQL}, {_TRIAGE} SELECT * FROM named",
     "triage_summary": f"WITH {RUNS_SQL}, {_TRIAGE} SELECT outcome, error_type, suggested_action, count(*) AS runs FROM named GROUP BY ALL",
     "evidence_rows": _t(_EVIDENCE + """ SELECT run_id, step_id, claim, metric_name,
-        coalesce(word, CASE WHEN abs(number) >= 1e7 THEN NULL ELSE CAST(number AS VARCHAR) END) AS metric_value,
+        coalesce(word, printf('%.2f', number)) AS metric_value,
         test_name, statistic_value, sample_size, confidence_score, code_reference FROM evidence"""),
-    "evidence_table": _t(_EVIDENCE + """ SELECT run_id, metric_name AS metric, coalesce(word, CASE WHEN abs(number) >= 1e7 THEN NULL ELSE CAST(number AS VARCHAR) END) AS value,
+    "evidence_table": _t(_EVIDENCE + """ SELECT run_id, metric_name AS metric, coalesce(word, printf('%.2f', number)) AS value,
         CASE WHEN confidence_score > 0.92 THEN '95%' ELSE '90%' END AS confidence, step_id, code_reference AS code_ref FROM evidence"""),
     "audit_claims": f"WITH {CLAIMS_SQL} SELECT claim_id, run_id, claim, CASE WHEN issue IS NULL THEN 'supported' ELSE 'unsupported' END AS verdict, issue FROM audited",
     "uncovered_metrics": f"WITH {CLAIMS_SQL} SELECT run_id, metric FROM uncovered",
@@ -506,7 +511,7 @@ ORACLE: dict[str, str] = {
         round(sqrt(regr_syy(cost, quantity) * (1 - regr_r2(cost, quantity)) / regr_count(cost, quantity)), 4) AS rmse FROM transactions"""),
 }
 _PRINTED = """SELECT customer_id, churn_probability, churned_predicted, 'Customer ' || customer_id || ' has a churn probability of '
-    || printf('%.1f%%', churn_probability * 100) || '.' || chr(10) || chr(10) || 'Main contributing factors:' || chr(10)
+    || printf('%.1f%%', CAST(round(CAST(churn_probability * 100 AS DECIMAL(30, 5)), 1) AS DOUBLE)) || '.' || chr(10) || chr(10) || 'Main contributing factors:' || chr(10)
     || string_agg('- ' || feature || ': ' || {value} || ' (' || direction || ', contribution: ' || printf('%+.4f', contribution) || ')', chr(10) ORDER BY rank) AS summary
     FROM ranked JOIN scores USING (customer_id) WHERE rank <= 5 GROUP BY customer_id, churn_probability, churned_predicted"""
 ORACLE["explain_customers"] = _features(_PRINTED.format(value="CAST(feature_value AS VARCHAR)"), _SCORES + _LONG)

@@ -179,7 +179,8 @@ def deduplicate(spark, d):
 
 @query
 def outliers_iqr(spark, d):
-    return cleaning.outlier_report(spark, cleaning.fit_bounds(transactions_dirty(spark, d, *MEASURES)))
+    dirty = transactions_dirty(spark, d, *MEASURES)
+    return cleaning.outlier_report(dirty, cleaning.fit_bounds(dirty))
 
 
 @query

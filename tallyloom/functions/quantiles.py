@@ -1,14 +1,14 @@
 """Exact interpolated quantiles in bounded memory.
 
 Spark's ``percentile`` keeps every distinct value of a column in one aggregation buffer,
-which no executor can hold for a large continuous column. Here a fixed-size sketch first
-brackets each quantile; one more aggregate counts the rows below the bracket and gathers
-the few values inside it. The sketch's rank error bounds how many those can be, and the
-bracket is narrowed again while that bound is above ``gather_limit``. The result is exact:
-the rank wanted is checked against the counts, and a bracket that misses it is widened.
+which no executor can hold for a large continuous column. Here fixed-size sketches first
+bracket each quantile. A second pass counts the rows in the zones between the brackets'
+ends and lists the few distinct values inside them; while a bracket may hold more than can
+be listed, it is sketched again from the inside. The result is exact: the rank wanted is
+checked against the counts, and a bracket that misses it is widened.
 
 All columns share each scan as (column number, value) pairs that are aggregated map-side,
-so a pass shuffles one small buffer per column and task.
+so a pass shuffles a few small buffers per column and task.
 """
 
 from __future__ import annotations
@@ -17,14 +17,17 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .columns import as_double, col, to_rows
 
 ACCURACY = 10_000
 GATHER_LIMIT = 200_000
 SMALL_TABLE = 20_000
-_GRID = [k / 1000.0 for k in range(1001)]
+# Sketches above this number of groups would make Spark sort the rows instead of hashing.
+_SKETCH_GROUPS = 100
+_SALTS = 8
+_SALTED_FROM = 1_000_000_000
 
 
 @dataclass
@@ -49,14 +52,36 @@ class _Bracket:
     hi: float
     inside_bound: float
     result: float | None = None
+    # Set while the inside is to be sketched: (rows before it, rows in it).
+    resketch: tuple[int, int] | None = None
 
 
-def column_values(df: DataFrame, columns: list[str], extra: Callable[[int], list[Column]] = lambda i: []) -> DataFrame:
-    """(ordinal, v, extra literals): the non-null values of all columns in long form."""
-    structs = [
-        F.struct(F.lit(i).alias("ordinal"), as_double(df, c).alias("v"), *extra(i)) for i, c in enumerate(columns)
-    ]
-    return df.select(to_rows(structs)).where("v is not null")
+def column_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(ordinal, v): the non-null values of all columns in long form."""
+    numbers = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    pairs = [F.struct(F.lit(i).alias("ordinal"), F.col(f"v{i}").alias("v")) for i in range(len(columns))]
+    return numbers.select(to_rows(pairs)).where("v is not null")
+
+
+def _sketch(long: DataFrame, rows: int, columns: int, points: Column) -> DataFrame:
+    """(ordinal, q): the estimates of the requested points, one list per salt.
+
+    For a large table random salts split the merging of a column's many partial sketches
+    over several reducers. The quantile of all rows lies between the smallest and the
+    largest of the salted ones.
+    """
+    salts = max(1, min(_SALTS, _SKETCH_GROUPS // columns)) if rows > _SALTED_FROM else 1
+    salt = F.floor(F.rand(7) * salts) if salts > 1 else F.lit(0)
+    each = long.groupBy("ordinal", salt.alias("_salt")).agg(F.percentile_approx("v", points, ACCURACY).alias("q"))
+    return each.groupBy("ordinal").agg(F.collect_list("q").alias("q"))
+
+
+def _around(probability: float, slack: float) -> tuple[float, float]:
+    return max(0.0, probability - slack), min(1.0, probability + slack)
+
+
+def _spanned(estimates: list[list[float]], k: int) -> tuple[float, float]:
+    return min(e[2 * k] for e in estimates), max(e[2 * k + 1] for e in estimates)
 
 
 def exact_quantiles(
@@ -67,31 +92,29 @@ def exact_quantiles(
     gather_limit: int = GATHER_LIMIT,
     small_table: int = SMALL_TABLE,
 ) -> dict[str, ColumnSummary]:
-    """Count, extremes and quantiles per column; ``also`` names aggregates of the value
-    that ride along with the first pass. What reaches the driver is one row per column.
+    """Count, extremes and quantiles per column, and the aggregates of the value named in
+    ``also``. What reaches the driver is a bounded number of rows per column.
     """
-    also = also or {}
+    found: dict[str, ColumnSummary] = {}
+    for start in range(0, len(columns), _SKETCH_GROUPS):
+        part = columns[start: start + _SKETCH_GROUPS]
+        found |= _exact_quantiles(df, part, probabilities, also or {}, gather_limit, small_table)
+    return found
+
+
+def _exact_quantiles(df, columns, probabilities, also, gather_limit, small_table) -> dict[str, ColumnSummary]:
     found = {c: ColumnSummary(quantiles=[None] * len(probabilities), extras=dict.fromkeys(also)) for c in columns}
-    if not columns:
-        return found
-    slack = 2.0 / ACCURACY
-    points = [p for q in probabilities for p in (max(0.0, q - slack), min(1.0, q + slack))]
     value = F.col("v")
-    first = column_values(df, columns).groupBy("ordinal").agg(
-        F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-        *([F.percentile_approx(value, points, ACCURACY).alias("sketch")] if points else []),
-        *[make(value).alias(f"also_{name}") for name, make in also.items()],
-    )
-    sketches = {}
-    for row in first.collect():
+    moments = [F.count(value).alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi")]
+    moments += [make(value).alias(f"also_{name}") for name, make in also.items()]
+    for row in column_values(df, columns).groupBy("ordinal").agg(*moments).collect():
         summary = found[columns[row["ordinal"]]]
         summary.count, summary.min, summary.max = row["n"], row["lo"], row["hi"]
         summary.extras = {name: row[f"also_{name}"] for name in also}
-        sketches[columns[row["ordinal"]]] = row["sketch"] if points else []
-    if not points or not sketches:
+    filled = [c for c in columns if found[c].count]
+    if not filled or not probabilities:
         return found
 
-    filled = [c for c in columns if c in sketches]
     if max(found[c].count for c in filled) <= small_table:
         wanted = F.array(*[F.lit(p) for p in probabilities])
         exact = column_values(df, filled).groupBy("ordinal").agg(F.percentile(value, wanted).alias("q"))
@@ -99,84 +122,118 @@ def exact_quantiles(
             found[filled[row["ordinal"]]].quantiles = list(row["q"])
         return found
 
-    brackets = {
-        c: [
-            _Bracket(
-                p, found[c].count, (found[c].min, found[c].max), *sketches[c][2 * k: 2 * k + 2],
-                inside_bound=6.0 * found[c].count / ACCURACY,
-            )
+    points = F.array(*[F.lit(x) for p in probabilities for x in _around(p, 2.0 / ACCURACY)])
+    brackets = {}
+    for row in _sketch(column_values(df, filled), max(found[c].count for c in filled), len(filled), points).collect():
+        summary = found[filled[row["ordinal"]]]
+        brackets[filled[row["ordinal"]]] = [
+            _Bracket(p, summary.count, (summary.min, summary.max), *_spanned(row["q"], k), 6.0 * summary.count / ACCURACY)
             for k, p in enumerate(probabilities)
         ]
-        for c in filled
-    }
     while any(b.result is None for bs in brackets.values() for b in bs):
-        _narrow(df, brackets, gather_limit)
+        _count_zones(df, brackets, gather_limit)
+        _sketch_inside(df, brackets)
     for c, bs in brackets.items():
         found[c].quantiles = [b.result for b in bs]
     return found
 
 
-def _narrow(df: DataFrame, brackets: dict[str, list[_Bracket]], gather_limit: int) -> None:
-    """One pass: settle every bracket small enough to gather, re-sketch the others."""
-    open_columns = [c for c, bs in brackets.items() if any(b.result is None for b in bs)]
-    width = len(next(iter(brackets.values())))
-    budget = gather_limit / sum(b.result is None for bs in brackets.values() for b in bs)
-    small = lambda b: b.inside_bound <= budget
-
-    def limits(i: int) -> list[Column]:
-        columns = []
-        for k, b in enumerate(brackets[open_columns[i]]):
-            is_open = b.result is None
-            lo, hi = (b.lo, b.hi) if is_open else (None, None)
-            columns += [
-                F.lit(lo).cast("double").alias(f"lo{k}"), F.lit(hi).cast("double").alias(f"hi{k}"),
-                F.lit(is_open and small(b)).alias(f"gather{k}"),
-            ]
-        return columns
-
-    resketch = any(b.result is None and not small(b) for bs in brackets.values() for b in bs)
-    v, aggregates = F.col("v"), []
-    for k in range(width):
-        lo, hi, gather = F.col(f"lo{k}"), F.col(f"hi{k}"), F.col(f"gather{k}")
-        inside = (v > lo) & (v < hi)
-        aggregates += [
-            F.count_if(v < lo).alias(f"below{k}"), F.count_if(v == lo).alias(f"at_lo{k}"),
-            F.count_if(inside).alias(f"in{k}"), F.count_if((v == hi) & (hi > lo)).alias(f"at_hi{k}"),
-            F.collect_list(F.when(inside & gather, v)).alias(f"values{k}"),
-        ]
-        if resketch:
-            aggregates.append(F.percentile_approx(F.when(inside & ~gather, v), _GRID, ACCURACY).alias(f"grid{k}"))
-    for row in column_values(df, open_columns, limits).groupBy("ordinal").agg(*aggregates).collect():
-        for k, b in enumerate(brackets[open_columns[row["ordinal"]]]):
-            if b.result is None:
-                _settle(
-                    b, row[f"below{k}"], row[f"at_lo{k}"], row[f"in{k}"], row[f"at_hi{k}"],
-                    sorted(row[f"values{k}"]) if small(b) else None, row[f"grid{k}"] if resketch else None,
-                )
-
-
-def _settle(b: _Bracket, below: int, at_lo: int, inside: int, at_hi: int, values, grid) -> None:
-    """Read the result off the counts and gathered values, or tighten (or widen) the bracket."""
+def _count_zones(df: DataFrame, brackets: dict[str, list[_Bracket]], gather_limit: int) -> None:
+    """One hash aggregate: rows per zone, and each distinct value inside a small bracket.
+
+    Zone 2i lies below the i-th bracket end (and above the one before), zone 2i + 1 is the
+    end itself. Brackets that may hold more than their share of the limit are only counted.
+    """
+    unsettled = {c: [b for b in bs if b.result is None] for c, bs in brackets.items()}
+    unsettled = {c: bs for c, bs in unsettled.items() if bs}
+    budget = gather_limit / sum(len(bs) for bs in unsettled.values())
+    ends = {c: sorted({e for b in bs for e in (b.lo, b.hi)}) for c, bs in unsettled.items()}
+    names = list(unsettled)
+    width = max(len(e) for e in ends.values())
+
+    # One row per column: its bracket ends, and for each zone whether its values are listed.
+    rows = []
+    for i, c in enumerate(names):
+        small = [(2 * ends[c].index(b.lo) + 1, 2 * ends[c].index(b.hi) + 1) for b in unsettled[c] if b.inside_bound <= budget]
+        listed = [any(lo < z < hi for lo, hi in small) for z in range(2 * width + 1)]
+        rows.append((i, *ends[c], *[math.inf] * (width - len(ends[c])), listed))
+    # Declared not null, which keeps the generated code small enough to be compiled.
+    limits = df.sparkSession.createDataFrame(rows, T.StructType(
+        [T.StructField("ordinal", T.IntegerType(), False)]
+        + [T.StructField(f"e{n}", T.DoubleType(), False) for n in range(width)]
+        + [T.StructField("lists", T.ArrayType(T.BooleanType(), False), False)]
+    ))
+    zone = F.lit(0)
+    for n in range(width):
+        zone = zone + (F.col("v") >= F.col(f"e{n}")).cast("int") + (F.col("v") > F.col(f"e{n}")).cast("int")
+    # At most one row per column of this pass, so the broadcast is bounded by _SKETCH_GROUPS rows.
+    placed = column_values(df, names).join(F.broadcast(limits), "ordinal")
+    placed = placed.select("ordinal", "v", "lists", zone.alias("zone"))
+    counts = placed.groupBy(
+        "ordinal", "zone", F.when(F.get("lists", F.col("zone")), F.col("v")).alias("listed")
+    ).agg(F.count("*").alias("n"))
+    by_column: dict[str, list] = {c: [] for c in names}
+    for row in counts.collect():
+        by_column[names[row["ordinal"]]].append(row)
+    for c, bs in unsettled.items():
+        for b in bs:
+            lo, hi = 2 * ends[c].index(b.lo) + 1, 2 * ends[c].index(b.hi) + 1
+            rows = by_column[c]
+            tally = lambda test: sum(r["n"] for r in rows if test(r["zone"]))
+            inside = sorted((r["listed"], r["n"]) for r in rows if lo < r["zone"] < hi) if b.inside_bound <= budget else None
+            _settle(
+                b, tally(lambda z: z < lo), tally(lambda z: z == lo), tally(lambda z: lo < z < hi),
+                tally(lambda z: z == hi) if hi > lo else 0, inside,
+            )
+
+
+def _settle(b: _Bracket, below: int, at_lo: int, inside: int, at_hi: int, listed) -> None:
+    """Read the result off the counts and listed values, or mark the bracket for more work."""
     position = (b.count - 1) * b.probability
     low, high = math.floor(position), math.ceil(position)
     start, end = below + at_lo, below + at_lo + inside
+    b.resketch = None
     if low < below or high >= end + at_hi:
         b.lo, b.hi = b.ends
         b.inside_bound = float(b.count)
-        return
-    if values is None and (high < start or low >= end or inside == 0):
-        values = []
-    if values is not None:
-        at = lambda rank: b.lo if rank < start else values[rank - start] if rank < end else b.hi
+    elif listed is None and low < end and high >= start and inside:
+        b.resketch = (start, inside)
+    else:
+        def at(rank: int) -> float:
+            if rank < start:
+                return b.lo
+            for value, n in listed or ():
+                if rank < start + n:
+                    return value
+                rank -= n
+            return b.hi
+
         b.result = at(low) + (at(high) - at(low)) * (position - low)
-        return
-    cell = inside / 1000.0
-    error = 2.0 * inside / ACCURACY + 2
-    left = max(0, math.floor((low - start - error) / cell))
-    right = min(1000, math.ceil((high - start + error) / cell))
-    b.lo = grid[left] if left > 0 else b.lo
-    b.hi = grid[right] if right < 1000 else b.hi
-    b.inside_bound = min(float(inside), (right - left) * cell + 2 * error)
+
+
+def _sketch_inside(df: DataFrame, brackets: dict[str, list[_Bracket]]) -> None:
+    """Tighten the marked brackets by a sketch of only the values strictly inside them."""
+    marked = [(c, k, b) for c, bs in brackets.items() for k, b in enumerate(bs) if b.resketch]
+    for start in range(0, len(marked), _SKETCH_GROUPS):
+        part = marked[start: start + _SKETCH_GROUPS]
+        numbers = df.select(*[as_double(df, c).alias(f"v{i}") for i, (c, _, _) in enumerate(part)])
+        structs = []
+        for i, (_, _, b) in enumerate(part):
+            v = F.col(f"v{i}")
+            structs.append(F.struct(F.lit(i).alias("ordinal"), F.when((v > b.lo) & (v < b.hi), v).alias("v")))
+        long = numbers.select(to_rows(structs)).where("v is not null")
+        grid = F.array(*[F.lit(x / 1000.0) for x in range(1001)])
+        for row in _sketch(long, max(b.resketch[1] for _, _, b in part), len(part), grid).collect():
+            _, _, b = part[row["ordinal"]]
+            before, size = b.resketch
+            position = (b.count - 1) * b.probability - before
+            left = math.floor((position / size - 3.0 / ACCURACY) * 1000) - 1
+            right = math.ceil(((position + 1) / size + 3.0 / ACCURACY) * 1000) + 1
+            if left > 0:
+                b.lo = min(q[left] for q in row["q"])
+            if right < 1000:
+                b.hi = max(q[right] for q in row["q"])
+            b.inside_bound = min(float(size), size * (min(right, 1000) - max(left, 0) + 20) / 1000.0)
 
 
 def grouped_quantile(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import col
-from ..functions.masking import mask_pii, pii_hits
+from ..functions.masking import REPLACEMENTS, add_pii_hits, mask_pii
 
 
 def mask_text(df: DataFrame, text: str = "text") -> DataFrame:
@@ -14,14 +14,15 @@ def mask_text(df: DataFrame, text: str = "text") -> DataFrame:
 
 def pii_counts(df: DataFrame, by: str, text: str = "text") -> DataFrame:
     """(by, kind, hits, texts): masked items and affected texts per kind and source."""
-    hits = pii_hits(col(text))
-    sums = df.groupBy(col(by).alias(by)).agg(*[
-        m for kind, n in hits.items() for m in (
-            F.sum(n.cast("bigint")).alias(f"{kind}_hits"), F.count_if(n > 0).alias(f"{kind}_texts"),
+    marked = add_pii_hits(df.select(col(by).alias(by), col(text).alias("_source_text")), "_source_text")
+    sums = marked.groupBy(by).agg(*[
+        m for kind in REPLACEMENTS for m in (
+            F.sum(F.col(f"_{kind}").cast("bigint")).alias(f"{kind}_hits"),
+            F.count_if(F.col(f"_{kind}") > 0).alias(f"{kind}_texts"),
         )
     ])
     rows = [
         F.struct(F.lit(k).alias("kind"), F.col(f"{k}_hits").alias("hits"), F.col(f"{k}_texts").alias("texts"))
-        for k in hits
+        for k in REPLACEMENTS
     ]
     return sums.select(by, F.inline(F.array(*rows)))

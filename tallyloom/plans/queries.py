@@ -13,7 +13,7 @@ from ..operators import (
 )
 from ..sources import readers, sql, tables as stored
 from . import tables as t
-from .tables import read, transactions, transactions_dirty
+from .tables import read, read_spread, stored_dirty, transactions, transactions_dirty
 
 # A linear churn model given from outside, so that scores can be checked in SQL.
 COEFFICIENTS = {
@@ -84,7 +84,7 @@ def table_catalog(spark, d):
 
 @query
 def detect_schema(spark, d):
-    return inspection.detect_schema(transactions_dirty(spark, d)).withColumn("sample_values", _text("sample_values"))
+    return inspection.detect_schema(stored_dirty(spark, d)).withColumn("sample_values", _text("sample_values"))
 
 
 @query
@@ -152,19 +152,19 @@ def missing_values(spark, d):
 
 @query
 def impute_median(spark, d):
-    dirty = transactions_dirty(spark, d, "order_id", "line_no", *MEASURES)
+    dirty = stored_dirty(spark, d, "order_id", "line_no", *MEASURES)
     return cleaning.fill_missing(dirty, cleaning.fit_fills(dirty))
 
 
 @query
 def impute_mode(spark, d):
-    dirty = transactions_dirty(spark, d, "order_id", "line_no", "payment_method", "region")
+    dirty = stored_dirty(spark, d, "order_id", "line_no", "payment_method", "region")
     return cleaning.fill_missing(dirty, cleaning.fit_fills(dirty))
 
 
 @query
 def impute_report(spark, d):
-    return cleaning.impute_report(spark, cleaning.fit_fills(transactions_dirty(spark, d)))
+    return cleaning.impute_report(spark, cleaning.fit_fills(stored_dirty(spark, d)))
 
 
 @query
@@ -179,24 +179,24 @@ def deduplicate(spark, d):
 
 @query
 def outliers_iqr(spark, d):
-    dirty = transactions_dirty(spark, d, *MEASURES)
+    dirty = stored_dirty(spark, d, *MEASURES)
     return cleaning.outlier_report(dirty, cleaning.fit_bounds(dirty))
 
 
 @query
 def cap_outliers(spark, d):
-    dirty = transactions_dirty(spark, d, "order_id", "line_no", *MEASURES)
+    dirty = stored_dirty(spark, d, "order_id", "line_no", *MEASURES)
     return _rounded(cleaning.cap_outliers(dirty, cleaning.fit_bounds(dirty, MEASURES)), MEASURES, 4)
 
 
 @query
 def clean_transactions(spark, d):
-    return _rounded(cleaning.clean_data(transactions_dirty(spark, d)).data, MEASURES, 4)
+    return _rounded(cleaning.clean_data(stored_dirty(spark, d)).data, MEASURES, 4)
 
 
 @query
 def clean_report(spark, d):
-    return cleaning.clean_data(transactions_dirty(spark, d)).report()
+    return cleaning.clean_data(stored_dirty(spark, d)).report()
 
 
 # --- encoding and scaling ---------------------------------------------------------------------
@@ -206,7 +206,7 @@ ENCODED = ["product_category", "payment_method", "region"]
 
 @query
 def encode_labels(spark, d):
-    return encoding.encode_labels(transactions_dirty(spark, d, "order_id", "line_no", "revenue", *ENCODED))
+    return encoding.encode_labels(stored_dirty(spark, d, "order_id", "line_no", "revenue", *ENCODED))
 
 
 @query
@@ -222,34 +222,34 @@ def scale_zscore(spark, d):
 
 @query
 def scaler_info(spark, d):
-    return encoding.preprocess(transactions(spark, d, "order_id", *MEASURES, *ENCODED))[2]
+    return encoding.preprocess(materialize(transactions(spark, d, "order_id", *MEASURES, *ENCODED, spread=True)))[2]
 
 
 # --- statistics and profile -------------------------------------------------------------------
 
 @query
 def column_statistics(spark, d):
-    return statistics.column_statistics(transactions_dirty(spark, d))
+    return statistics.column_statistics(stored_dirty(spark, d))
 
 
 @query
 def describe_table(spark, d):
-    return statistics.describe_table(transactions_dirty(spark, d))
+    return statistics.describe_table(stored_dirty(spark, d))
 
 
 @query
 def correlation_matrix(spark, d):
-    return statistics.correlation_matrix(transactions_dirty(spark, d))
+    return statistics.correlation_matrix(stored_dirty(spark, d))
 
 
 @query
 def correlation_matrix_4dp(spark, d):
-    return statistics.correlation_matrix(transactions(spark, d), digits=4)
+    return statistics.correlation_matrix(transactions(spark, d, spread=True), digits=4)
 
 
 @query
 def column_summaries(spark, d):
-    return statistics.column_summaries(transactions_dirty(spark, d))
+    return statistics.column_summaries(transactions_dirty(spark, d, spread=True))
 
 
 @query
@@ -259,17 +259,17 @@ def top_values(spark, d):
 
 @query
 def profile_columns(spark, d):
-    return profile.profile_columns(transactions_dirty(spark, d))
+    return profile.profile_columns(transactions_dirty(spark, d, spread=True))
 
 
 @query
 def semantic_types(spark, d):
-    return profile.semantic_types(transactions_dirty(spark, d)).select("column", "semantic_type")
+    return profile.semantic_types(transactions_dirty(spark, d, spread=True)).select("column", "semantic_type")
 
 
 @query
 def profile_stats(spark, d):
-    return profile.profile_stats(transactions_dirty(spark, d))
+    return profile.profile_stats(stored_dirty(spark, d))
 
 
 @query
@@ -279,7 +279,7 @@ def profile_top5(spark, d):
 
 @query
 def strong_correlations(spark, d):
-    return profile.relationships(transactions_dirty(spark, d))
+    return profile.relationships(stored_dirty(spark, d))
 
 
 @query
@@ -288,7 +288,7 @@ def date_ranges(spark, d):
 
 
 def _profile(spark, d, mode):
-    whole = profile.sanitize_profile(profile.profile_table(transactions_dirty(spark, d)), mode)
+    whole = profile.sanitize_profile(profile.profile_table(stored_dirty(spark, d)), mode)
     return whole.select("*", "stats.*").drop("stats").withColumn("sample_summary", _text("sample_summary"))
 
 
@@ -306,12 +306,12 @@ def profile_standard(spark, d):
 
 @query
 def mask_pii(spark, d):
-    return privacy.mask_text(read(spark, d, "documents").select("doc_id", "text"))
+    return privacy.mask_text(read_spread(spark, d, "documents", "doc_id").select("doc_id", "text"))
 
 
 @query
 def pii_counts(spark, d):
-    return privacy.pii_counts(read(spark, d, "documents"), "source")
+    return privacy.pii_counts(read_spread(spark, d, "documents", "doc_id"), "source")
 
 
 # --- business metrics -----------------------------------------------------------------------------
@@ -381,6 +381,11 @@ def _features(spark, d):
     return churn.churn_features(transactions(spark, d, *_CHURN_COLUMNS))
 
 
+def _stored_features(spark, d):
+    """Written once: the attributions read the features twice, for their means and themselves."""
+    return materialize(_features(spark, d))
+
+
 def _scores(features):
     return churn.score_customers(features, COEFFICIENTS, INTERCEPT)
 
@@ -431,7 +436,7 @@ def churn_top_risk(spark, d):
 
 @query
 def linear_attribution(spark, d):
-    return attribution.linear_attribution(_features(spark, d), "customer_id", COEFFICIENTS)
+    return attribution.linear_attribution(_stored_features(spark, d), "customer_id", COEFFICIENTS)
 
 
 @query
@@ -441,17 +446,17 @@ def attribution_base_value(spark, d):
 
 @query
 def global_importance(spark, d):
-    return attribution.global_importance(_features(spark, d), COEFFICIENTS)
+    return attribution.global_importance(_stored_features(spark, d), COEFFICIENTS)
 
 
 @query
 def top_factors(spark, d):
-    return attribution.top_factors(_features(spark, d), "customer_id", COEFFICIENTS)
+    return attribution.top_factors(_stored_features(spark, d), "customer_id", COEFFICIENTS)
 
 
 @query
 def explain_customers(spark, d):
-    features = materialize(_features(spark, d))
+    features = _stored_features(spark, d)
     explained = attribution.explain_customers(features, _scores(features), "customer_id", COEFFICIENTS)
     return explained.drop("top_factors")
 

@@ -12,18 +12,20 @@ def detect_schema(df: DataFrame) -> DataFrame:
     """Per column: type, non-null, null and distinct counts, three sample values.
 
     Samples are the three smallest distinct values; "the first rows" has no meaning in a
-    distributed table. They come from the same frequency table as the counts.
+    distributed table. Sorting missing values last (instead of filtering them early) and
+    keeping ``n`` leaves their frequency table the same as that of the counts, so Spark
+    scans and shuffles once for both.
     """
-    order = Window.partitionBy("ordinal").orderBy("as_long", "as_double", "as_text")
+    order = Window.partitionBy("ordinal").orderBy(F.col("value").isNull(), "as_long", "as_double", "as_text")
     samples = (
         frequencies(df, df.columns)
         .withColumn("value", value_text())
-        .where("value is not null")
         .withColumn("position", F.row_number().over(order))
         .where("position <= 3")
+        .where("value is not null")
         .groupBy("ordinal")
         .agg(F.transform(
-            F.array_sort(F.collect_list(F.struct("position", "value"))), lambda s: s["value"]
+            F.array_sort(F.collect_list(F.struct("position", "value", "n"))), lambda s: s["value"]
         ).alias("sample_values"))
     )
     return (

@@ -125,9 +125,9 @@ def filter_rows(df: DataFrame, conditions: list[Column] = (), date: str | None =
 def aggregate_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """(key, sum, mean, median, count) per key; the median is exact for any group size."""
     keyed = df.where(col(key).isNotNull()).select(col(key).alias(key), as_double(df, value).alias("_x"))
-    sums = keyed.groupBy(key).agg(
-        settled(F.coalesce(F.sum("_x"), F.lit(0.0)), 2).alias("sum"), settled(F.avg("_x"), 2).alias("mean"),
-        F.count("_x").alias("count"),
+    moments = [F.sum("_x").alias("_sum"), F.avg("_x").alias("_mean"), F.count("_x").alias("count")]
+    found = grouped_quantile(keyed, [key], "_x", 0.5, "_median", also=moments)
+    return found.select(
+        key, settled(F.coalesce("_sum", F.lit(0.0)), 2).alias("sum"), settled("_mean", 2).alias("mean"),
+        settled("_median", 2).alias("median"), "count",
     )
-    medians = grouped_quantile(keyed, [key], "_x", 0.5, "median")
-    return sums.join(medians, key, "left").select(key, "sum", "mean", settled("median", 2).alias("median"), "count")

@@ -46,11 +46,15 @@ def tag_questions(df: DataFrame, text: str = "question") -> DataFrame:
 
     Everything is a projection over the whole text; a blank question is ambiguous chat.
     """
-    question, lower = col(text), F.lower(col(text))
-    blank = F.coalesce(word_count(question), F.lit(0)) == 0
+    # Projected once: the rules below refer to them dozens of times.
+    prepared = df.withColumns({
+        "_lower": F.lower(col(text)), "_words": F.coalesce(word_count(col(text)), F.lit(0)),
+    })
+    question, lower, words = col(text), F.col("_lower"), F.col("_words")
+    blank = words == 0
     task, categories = F.when(blank, "general_chat"), F.when(blank, _words([]))
-    for name, words, needs in TASK_RULES:
-        hit = contains_any(lower, words)
+    for name, keywords, needs in TASK_RULES:
+        hit = contains_any(lower, keywords)
         task, categories = task.when(hit, name), categories.when(hit, _words(needs))
     year = F.nullif(F.regexp_extract(question, r"\b(20\d\d)\b", 1), F.lit(""))
     top = F.nullif(F.regexp_extract(lower, r"\btop\s*(\d+)\b", 1), F.lit(""))
@@ -61,7 +65,7 @@ def tag_questions(df: DataFrame, text: str = "question") -> DataFrame:
     # Entities match as written; only metric names may also be spelled with a space.
     entities = F.filter(_words(ENTITIES), lambda w: F.contains(lower, w))
     entities = F.when(F.size(entities) > 0, entities).otherwise(_words(["dataset"]))
-    tagged = df.withColumn("task_type", task.otherwise(DEFAULT_TASK[0])).withColumn(
+    tagged = prepared.withColumn("task_type", task.otherwise(DEFAULT_TASK[0])).withColumn(
         "categories", categories.otherwise(_words(DEFAULT_TASK[1]))
     )
     return tagged.select(
@@ -69,8 +73,8 @@ def tag_questions(df: DataFrame, text: str = "question") -> DataFrame:
         F.when(blank, none).otherwise(entities).alias("entities"),
         F.when(blank, none).otherwise(_found(METRICS, lower, "records")).alias("metrics"),
         F.when(blank, none).otherwise(constraints).alias("constraints"),
-        (blank | ((word_count(question) < 2) & (F.col("task_type") != "general_chat"))).alias("is_ambiguous"),
-    )
+        (blank | ((words < 2) & (F.col("task_type") != "general_chat"))).alias("is_ambiguous"),
+    ).drop("_lower", "_words")
 
 
 def extract_customer_id(df: DataFrame, text: str = "question") -> DataFrame:

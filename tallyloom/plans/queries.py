@@ -216,7 +216,7 @@ def encoding_map(spark, d):
 
 @query
 def scale_zscore(spark, d):
-    rows = transactions(spark, d, "order_id", "line_no", *MEASURES)
+    rows = materialize(transactions(spark, d, "order_id", "line_no", *MEASURES, spread=True))
     return _rounded(encoding.scale_zscore(rows, MEASURES), MEASURES, 6)
 
 
@@ -369,7 +369,7 @@ def filter_date_range(spark, d):
 
 @query
 def aggregate_by(spark, d):
-    return metrics.aggregate_by(transactions_dirty(spark, d, "product_category", "revenue"), "product_category", "revenue")
+    return metrics.aggregate_by(stored_dirty(spark, d, "product_category", "revenue"), "product_category", "revenue")
 
 
 # --- churn and attribution -------------------------------------------------------------------------
@@ -378,7 +378,7 @@ _CHURN_COLUMNS = ("customer_id", "order_id", "order_date", "revenue", "quantity"
 
 
 def _features(spark, d):
-    return churn.churn_features(transactions(spark, d, *_CHURN_COLUMNS))
+    return churn.churn_features(transactions(spark, d, *_CHURN_COLUMNS, spread=True))
 
 
 def _stored_features(spark, d):
@@ -398,13 +398,13 @@ def churn_features(spark, d):
 
 @query
 def churn_labels(spark, d):
-    rows = transactions(spark, d, *_CHURN_COLUMNS)
-    return churn.churn_labels(churn.churn_features(rows)).select("customer_id", "recency", "churned")
+    return churn.churn_labels(_features(spark, d)).select("customer_id", "recency", "churned")
 
 
 @query
 def stratified_split(spark, d):
-    return churn.stratified_split(churn.churn_labels(_features(spark, d)).select("customer_id", "churned"))
+    labeled = churn.churn_labels(_features(spark, d)).select("customer_id", "churned")
+    return churn.stratified_split(materialize(labeled))
 
 
 @query
@@ -464,7 +464,8 @@ def explain_customers(spark, d):
 # --- time series --------------------------------------------------------------------------------------
 
 def _daily(spark, d, *by):
-    return series.daily_values(transactions(spark, d, "order_date", "revenue", *by), by=list(by))
+    rows = transactions(spark, d, "order_date", "revenue", *by, spread=bool(by))
+    return series.daily_values(rows, by=list(by))
 
 
 @query
@@ -504,7 +505,7 @@ def forecast_summary(spark, d):
 
 @query
 def forecast_summary_by_customer(spark, d):
-    return series.forecast_summary(_daily(spark, d, "customer_id"), by=["customer_id"])
+    return series.forecast_summary(materialize(_daily(spark, d, "customer_id")), by=["customer_id"])
 
 
 @query
@@ -571,9 +572,9 @@ def _results(spark, d):
         ).alias("return_value"),
         none.alias("extracted_metrics"), F.lit(None).cast(breakdown.schema["breakdown"].dataType).alias("breakdown"),
     )
-    return breakdown.unionByName(forecast).withColumn(
+    return materialize(breakdown.unionByName(forecast).withColumn(
         "importance", F.lit(None).cast("array<struct<feature:string,importance:double>>")
-    )
+    ))
 
 
 @query

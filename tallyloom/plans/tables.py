@@ -131,7 +131,7 @@ def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_spread(spark, sf_dir, "events", "event_id").select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("question_id"), asked.alias("question")
     )
-    turns = read(spark, sf_dir, "conversations").select(
+    turns = read_spread(spark, sf_dir, "conversations", "conv_id").select(
         F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
         F.col("text").alias("question"),
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions.columns import as_double, col, numeric_columns, present, settled, to_rows
 from ..functions.frequencies import modes
@@ -54,7 +54,15 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def fit_fills(df: DataFrame) -> list[Fill]:
     """Fill value per column with nulls: the median, or the commonest value if not numeric."""
-    head = df.agg(*[F.count_if(present(df, c).isNull()).alias(f"_m{i}") for i, c in enumerate(df.columns)]).head()
+    return _fit(df)[2]
+
+
+def _fit(df: DataFrame) -> tuple[int, int, list[Fill]]:
+    """Rows, missing cells and fills. An all-null numeric column has no median and stays null."""
+    head = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        *[F.count_if(present(df, c).isNull()).alias(f"_m{i}") for i, c in enumerate(df.columns)],
+    ).head()
     missing = {c: head[f"_m{i}"] for i, c in enumerate(df.columns) if head[f"_m{i}"]}
     numeric = [c for c in numeric_columns(df) if c in missing]
     other = [c for c in df.columns if c in missing and c not in numeric]
@@ -67,7 +75,7 @@ def fit_fills(df: DataFrame) -> list[Fill]:
                 fills.append(Fill(c, missing[c], "median", medians[c].quantiles[0]))
         elif c in missing:
             fills.append(Fill(c, missing[c], "mode", UNKNOWN if common[c] is None else common[c]))
-    return fills
+    return head["_rows"], sum(missing.values()), fills
 
 
 def fill_missing(df: DataFrame, fills: list[Fill]) -> DataFrame:
@@ -178,6 +186,7 @@ class Cleaned:
     unique: DataFrame
     initial_rows: int
     initial_columns: int
+    total_missing: int
     fills: list[Fill]
     bounds: list[Bounds]
 
@@ -187,7 +196,7 @@ class Cleaned:
         rows = [
             ("summary", None, "initial_rows", float(self.initial_rows)),
             ("summary", None, "initial_columns", float(self.initial_columns)),
-            ("summary", None, "total_missing", float(sum(f.filled for f in self.fills))),
+            ("summary", None, "total_missing", float(self.total_missing)),
             ("summary", None, "duplicates_removed", float(self.initial_rows - final)),
             ("summary", None, "final_rows", float(final)),
             ("summary", None, "final_columns", float(len(self.data.columns))),
@@ -208,9 +217,7 @@ def clean_data(df: DataFrame) -> Cleaned:
     The deduplicated table is written once to the shared scratch folder. Without it every
     fence pass would shuffle the whole table again.
     """
-    seen = Observation()
-    fills = fit_fills(df)
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    unique = materialize(deduplicate(fill_missing(counted, fills)))
+    rows, missing, fills = _fit(df)
+    unique = materialize(deduplicate(fill_missing(df, fills)))
     bounds = fit_bounds(unique)
-    return Cleaned(cap_outliers(unique, bounds), unique, seen.get["rows"], len(df.columns), fills, bounds)
+    return Cleaned(cap_outliers(unique, bounds), unique, rows, len(df.columns), missing, fills, bounds)

@@ -71,7 +71,7 @@ def settled(value: Column | str, digits: int) -> Column:
     Without the inner rounding a mean of exactly x.xx5 would fall to either side from one
     run to the next.
     """
-    return F.round(F.round(value, digits + 4), digits)
+    return F.round(F.round(value, digits + 7), digits)
 
 
 def contains_any(text: Column, needles: list[str]) -> Column:

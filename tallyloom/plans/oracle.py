@@ -30,7 +30,7 @@ def _dirty(body: str, more: str = "") -> str:
 
 def _r(value: str, digits: int) -> str:
     """Round half up in decimal, as the library does once summation noise is gone."""
-    return f"CAST(round(CAST({value} AS DECIMAL(30, {digits + 4})), {digits}) AS DOUBLE)"
+    return f"CAST(round(CAST({value} AS DECIMAL(30, {digits + 7})), {digits}) AS DOUBLE)"
 
 
 def _union(parts: list[str]) -> str:
@@ -127,8 +127,8 @@ def _profile(mode: str, samples: str) -> str:
     return _dirty(
         f"""SELECT f.ordinal, f."column", f.dtype, {_SEMANTIC.replace('"column"', 'f."column"')} AS semantic_type,
         f.null_count, f.null_percentage, f.unique_count, {samples} AS sample_summary,
-        CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max, CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median,
-        CAST(round(CAST(std AS DECIMAL(30, 6)), 2) AS DOUBLE) AS std, CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75, CAST(round(CAST(q75 - q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS iqr,
+        CAST(round(CAST(min AS DECIMAL(30, 9)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 9)), 2) AS DOUBLE) AS max, CAST(round(CAST(mean AS DECIMAL(30, 9)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 9)), 2) AS DOUBLE) AS median,
+        CAST(round(CAST(std AS DECIMAL(30, 9)), 2) AS DOUBLE) AS std, CAST(round(CAST(q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q75, CAST(round(CAST(q75 - q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS iqr,
         '{mode}' AS privacy_mode
         FROM facts f LEFT JOIN stats s ON f."column" = s."column" LEFT JOIN {_SAMPLES} p ON f."column" = p."column" """,
         f"{_STAT_TABLE}, facts AS ({_each(COLUMNS, _FACTS)})",
@@ -389,10 +389,10 @@ ORACLE: dict[str, str] = {
         f"""SELECT '{c}' AS "column", round(avg({c}), 4) AS mean, round(coalesce(nullif(stddev_pop({c}), 0), 1), 4) AS std FROM coded"""
         for c in _MEASURES + _ENCODED])),
     # statistics and profile
-    "column_statistics": _dirty("""SELECT "column", CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median, CAST(round(CAST(std AS DECIMAL(30, 6)), 2) AS DOUBLE) AS std,
-        CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max, CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75 FROM stats""", _STAT_TABLE),
-    "describe_table": _dirty("""SELECT "column", count, CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(std AS DECIMAL(30, 6)), 2) AS DOUBLE) AS std, CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min,
-        CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max FROM stats""", _STAT_TABLE),
+    "column_statistics": _dirty("""SELECT "column", CAST(round(CAST(mean AS DECIMAL(30, 9)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 9)), 2) AS DOUBLE) AS median, CAST(round(CAST(std AS DECIMAL(30, 9)), 2) AS DOUBLE) AS std,
+        CAST(round(CAST(min AS DECIMAL(30, 9)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 9)), 2) AS DOUBLE) AS max, CAST(round(CAST(q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q75 FROM stats""", _STAT_TABLE),
+    "describe_table": _dirty("""SELECT "column", count, CAST(round(CAST(mean AS DECIMAL(30, 9)), 2) AS DOUBLE) AS mean, CAST(round(CAST(std AS DECIMAL(30, 9)), 2) AS DOUBLE) AS std, CAST(round(CAST(min AS DECIMAL(30, 9)), 2) AS DOUBLE) AS min,
+        CAST(round(CAST(q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q25, CAST(round(CAST(median AS DECIMAL(30, 9)), 2) AS DOUBLE) AS median, CAST(round(CAST(q75 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q75, CAST(round(CAST(max AS DECIMAL(30, 9)), 2) AS DOUBLE) AS max FROM stats""", _STAT_TABLE),
     "correlation_matrix": _dirty(_correlations("dirty", 3)),
     "correlation_matrix_4dp": _t(_correlations("transactions", 4)),
     "column_summaries": _dirty(_union([
@@ -401,8 +401,8 @@ ORACLE: dict[str, str] = {
     "top_values": _dirty(f"SELECT * FROM {_top(['order_date'] + _ENCODED, 10)}"),
     "profile_columns": _dirty(_each(COLUMNS, _FACTS)),
     "semantic_types": _union([f"""SELECT '{c}' AS "column", '{k}' AS semantic_type""" for c, k in _KIND.items()]),
-    "profile_stats": _dirty("""SELECT "column", CAST(round(CAST(min AS DECIMAL(30, 6)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 6)), 2) AS DOUBLE) AS max, CAST(round(CAST(mean AS DECIMAL(30, 6)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 6)), 2) AS DOUBLE) AS median,
-        round(coalesce(std, 0), 2) AS std, CAST(round(CAST(q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS q75, CAST(round(CAST(q75 - q25 AS DECIMAL(30, 6)), 2) AS DOUBLE) AS iqr FROM stats""", _STAT_TABLE),
+    "profile_stats": _dirty("""SELECT "column", CAST(round(CAST(min AS DECIMAL(30, 9)), 2) AS DOUBLE) AS min, CAST(round(CAST(max AS DECIMAL(30, 9)), 2) AS DOUBLE) AS max, CAST(round(CAST(mean AS DECIMAL(30, 9)), 2) AS DOUBLE) AS mean, CAST(round(CAST(median AS DECIMAL(30, 9)), 2) AS DOUBLE) AS median,
+        round(coalesce(std, 0), 2) AS std, CAST(round(CAST(q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q75, CAST(round(CAST(q75 - q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS iqr FROM stats""", _STAT_TABLE),
     "profile_top5": _dirty(f"SELECT * FROM {_SAMPLES}"),
     "strong_correlations": _dirty("""SELECT 'correlation' AS type, a AS source, b AS target, round(r, 3) AS strength,
         'Strong correlation (' || printf('%.2f', r) || ') between ' || a || ' and ' || b AS description FROM (""" + _union([
@@ -511,7 +511,7 @@ ORACLE: dict[str, str] = {
         round(sqrt(regr_syy(cost, quantity) * (1 - regr_r2(cost, quantity)) / regr_count(cost, quantity)), 4) AS rmse FROM transactions"""),
 }
 _PRINTED = """SELECT customer_id, churn_probability, churned_predicted, 'Customer ' || customer_id || ' has a churn probability of '
-    || printf('%.1f%%', CAST(round(CAST(churn_probability * 100 AS DECIMAL(30, 5)), 1) AS DOUBLE)) || '.' || chr(10) || chr(10) || 'Main contributing factors:' || chr(10)
+    || printf('%.1f%%', CAST(round(CAST(churn_probability * 100 AS DECIMAL(30, 8)), 1) AS DOUBLE)) || '.' || chr(10) || chr(10) || 'Main contributing factors:' || chr(10)
     || string_agg('- ' || feature || ': ' || {value} || ' (' || direction || ', contribution: ' || printf('%+.4f', contribution) || ')', chr(10) ORDER BY rank) AS summary
     FROM ranked JOIN scores USING (customer_id) WHERE rank <= 5 GROUP BY customer_id, churn_probability, churned_predicted"""
 ORACLE["explain_customers"] = _features(_PRINTED.format(value="CAST(feature_value AS VARCHAR)"), _SCORES + _LONG)

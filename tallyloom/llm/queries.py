@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, simhash
 from .common import read
 
 QUERIES = {}
@@ -31,3 +31,9 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
   doc_id = max(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM t
 """
+
+
+@query
+def op1_simhash_dedup(spark, folder):
+    found = simhash.near_duplicates(read(spark, folder, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")

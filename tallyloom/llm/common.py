@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.scratch import materialize
+
 SALTS = 16
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -13,13 +16,23 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` itself if it reads a stored table, else a copy written to the shared folder."""
+    try:
+        df.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:
+        return materialize(df)
+    return df
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
-    """Rows numbered by their place in the scan. Repeated rows and null ids become distinct.
+    """Rows of a stored table with their place: file (a hash of its path) and row in the file.
 
-    Two reads of one stored table give the same numbers, so ``df`` must be such a read (possibly
-    with columns added or removed), not the result of a shuffle.
+    Every read gives a row the same place, however Spark splits the files, so repeated rows and null
+    ids can be told apart over several passes.
     """
-    return df.withColumn(name, F.monotonically_increasing_id())
+    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    return df.withColumn(name, place)
 
 
 def ascii_lower(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash
+from . import exact_dedup, simhash, substring_dedup
 from .common import read
 
 QUERIES = {}
@@ -37,3 +37,8 @@ FROM t
 def op1_simhash_dedup(spark, folder):
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("_print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_substring_dedup(spark, folder):
+    return substring_dedup.repeated_words(read(spark, folder, "documents"))

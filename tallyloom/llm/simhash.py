@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scratch import materialize
-from .common import numbered, salted_join
+from .common import numbered, salted_join, stored
 from .components import components
 
 BLOCK = 1 << 16
@@ -55,9 +55,9 @@ def _fingerprints(words: int, seed: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seed: int = 42) -> DataFrame:
     """_row, _id, _print: the SimHash of every row as a signed long."""
-    rows = numbered(docs).select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    rows = numbered(stored(docs)).select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(words, seed), f"_row long, _id {kind}, _print long")
+    return rows.mapInArrow(_fingerprints(words, seed), f"_row struct<file:long,at:long>, _id {kind}, _print long")
 
 
 def _balls(bits: int) -> F.Column:
@@ -158,7 +158,8 @@ def _class_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class: that with the smallest id, of equal ids the first read."""
+    """``docs`` with one row of each class: that with the smallest id, of equal ids the first stored."""
+    docs = stored(docs)
     found = materialize(near_duplicates(docs, id_col, text_col, **options))
     place = F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), "_row")
     # Rows without id have no class id of their own to group by; their fingerprint stands in.

@@ -40,12 +40,17 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), *LOWER)
 
 
-def salted_join(rows: DataFrame, groups: DataFrame, key: str | list[str], how: str, spread: str = "_row") -> DataFrame:
+def salted_join(
+    rows: DataFrame, groups: DataFrame, key: str | list[str], how: str, spread: str = "_row", most: int = 0,
+) -> DataFrame:
     """Join many rows a key with one row a key, so that no key's rows meet in one task.
 
-    Each row takes one of ``SALTS`` salts from ``spread``; each group is repeated once a salt.
+    ``groups`` of at most ``most`` rows (counted; for stored tables only) are broadcast. Else each row
+    takes one of ``SALTS`` salts from ``spread``, each group is repeated once a salt, and both are sorted.
     """
     keys = [key] if isinstance(key, str) else key
+    if most and groups.count() <= most:
+        return rows.join(F.broadcast(groups), keys, how)
     salt = F.pmod(F.xxhash64(F.lit(7), spread), F.lit(SALTS)).cast("int")
     copies = groups.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    return rows.withColumn("_salt", salt).join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")

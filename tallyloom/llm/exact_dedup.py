@@ -10,6 +10,10 @@ from ..functions.scratch import materialize
 from .common import ascii_lower, numbered, salted_join, stored
 
 
+#: Repeated hashes, of 16 bytes each, that may be broadcast to spare the texts a shuffle.
+BROADCAST = 200_000
+
+
 def hash128(text: Column) -> Column:
     return F.unhex(F.md5(text.cast("binary")))
 
@@ -32,7 +36,7 @@ def exact_duplicates(
     rows = rows.withColumn("_hash", content_hash(F.col("_norm")))
     digests = materialize(rows.select("_row", "_id", "_hash", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha")))
     repeated = materialize(digests.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"))
-    texts = salted_join(rows, repeated, "_hash", "left_semi").groupBy("_hash", "_norm").agg(F.count("*").alias("_n"))
+    texts = salted_join(rows, repeated, "_hash", "left_semi", most=BROADCAST).groupBy("_hash", "_norm").agg(F.count("*").alias("_n"))
     mixed = texts.groupBy("_hash").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_hash")
     mixed = materialize(mixed)
     if mixed.head(1):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, simhash, substring_dedup
+from . import exact_dedup, quality_rules, simhash, substring_dedup
 from .common import read
 
 QUERIES = {}
@@ -42,3 +42,9 @@ def op1_simhash_dedup(spark, folder):
 @query
 def op9_substring_dedup(spark, folder):
     return substring_dedup.repeated_words(read(spark, folder, "documents"))
+
+
+@query
+def op5_quality_rules(spark, folder):
+    found = quality_rules.cascade(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_rules, simhash, substring_dedup
+from . import exact_dedup, quality_classifier, quality_rules, simhash, substring_dedup
 from .common import read
 
 QUERIES = {}
@@ -48,3 +48,9 @@ def op9_substring_dedup(spark, folder):
 def op5_quality_rules(spark, folder):
     found = quality_rules.cascade(read(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+
+
+@query
+def op6_quality_classifier(spark, folder):
+    found = quality_classifier.classified(read(spark, folder, "documents"), read(spark, folder, "labels"))
+    return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("host_mean", "path_mean", "score")], "kept")

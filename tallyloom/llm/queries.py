@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, quality_classifier, quality_rules, simhash, substring_dedup
+from . import exact_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup
 from .common import read
 
 QUERIES = {}
@@ -54,3 +55,14 @@ def op5_quality_rules(spark, folder):
 def op6_quality_classifier(spark, folder):
     found = quality_classifier.classified(read(spark, folder, "documents"), read(spark, folder, "labels"))
     return found.select("doc_id", *[F.round(c, 6).alias(c) for c in ("host_mean", "path_mean", "score")], "kept")
+
+
+def packed_pieces(docs):
+    """Pieces of ``docs`` in windows of 2048, with a checksum in place of the ids."""
+    found = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op4_packing(spark, folder):
+    return packed_pieces(read(spark, folder, "documents"))

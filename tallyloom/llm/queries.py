@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup
+from . import exact_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
 from .common import read
 
 QUERIES = {}
@@ -66,3 +66,9 @@ def packed_pieces(docs):
 @query
 def op4_packing(spark, folder):
     return packed_pieces(read(spark, folder, "documents"))
+
+
+@query
+def op8_warc(spark, folder):
+    found = warc.round_trip(spark, read(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
+from . import exact_dedup, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
 from .common import read
 
 QUERIES = {}
@@ -72,3 +72,8 @@ def op4_packing(spark, folder):
 def op8_warc(spark, folder):
     found = warc.round_trip(spark, read(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query
+def op10_html_text(spark, folder):
+    return html_text.main_texts(read(spark, folder, "pages"))

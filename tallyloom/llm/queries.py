@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, warc
+from . import exact_dedup, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
 from .common import read
 
 QUERIES = {}
@@ -77,3 +77,8 @@ def op8_warc(spark, folder):
 @query
 def op10_html_text(spark, folder):
     return html_text.main_texts(read(spark, folder, "pages"))
+
+
+@query
+def op3_suffix_dedup(spark, folder):
+    return suffix_dedup.repeated_bytes(read(spark, folder, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
+from . import byte_bpe, exact_dedup, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
 from .common import read
 
 QUERIES = {}
@@ -82,3 +82,9 @@ def op10_html_text(spark, folder):
 @query
 def op3_suffix_dedup(spark, folder):
     return suffix_dedup.repeated_bytes(read(spark, folder, "documents"))
+
+
+@query
+def op2_byte_bpe(spark, folder):
+    file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.round_trip(read(spark, folder, "documents"), file, public_tokenizers.PATTERN)

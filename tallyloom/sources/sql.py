@@ -12,14 +12,35 @@ WRITE_WORDS = (
 )
 _WRITES = re.compile(r"\b(?:" + "|".join(WRITE_WORDS) + r")\b", re.IGNORECASE)
 
+_SKIPPED = re.compile(r"--[^\n]*|/\*.*?\*/", re.DOTALL)
+_LITERAL = re.compile(r"[rR]?'(?:[^'\\]|\\.)*'|[rR]?\"(?:[^\"\\]|\\.)*\"", re.DOTALL)
+#: How a statement that only reads begins; commands of every kind begin otherwise.
+_READS = re.compile(r"[\s(]*(?:SELECT|WITH|VALUES|FROM|TABLE)\b", re.IGNORECASE)
+#: What reaches beyond the registered tables from inside a query: Java calls, scripts, files named by path, names made from text.
+_BEYOND = re.compile(
+    r"\b(?:reflect|try_reflect|java_method|identifier)\s*\(|\bUSING\s+''|"
+    r"`?\b(?:parquet|csv|json|orc|text|avro|xml|binaryfile|delta|iceberg|hudi|jdbc)\b`?\s*\.\s*`",
+    re.IGNORECASE,
+)
 
-def sql_query(spark: SparkSession, text: str) -> DataFrame:
-    """Run a SELECT; statements that could write raise ``PermissionError``.
 
-    Any whole write word is refused, also inside a literal or as the function
-    ``replace(...)``: the guard prefers refusing too much. Errors in the SQL itself
-    surface as Spark's ``AnalysisException``.
+def check_read_only(text: str) -> None:
+    """Raise ``PermissionError`` unless the statement is a query that stays within the registered tables.
+
+    Any whole write word is refused, also inside a literal or as the function ``replace(...)``: the
+    guard prefers refusing too much. A statement must begin as a query does, which leaves out SET, USE, CACHE,
+    ADD JAR, scripts and all other commands.
     """
     if _WRITES.search(text):
-        raise PermissionError("Write operations are not allowed. Only SELECT queries are permitted.")
+        raise PermissionError("this statement may write; only queries are run here")
+    plain = _LITERAL.sub("''", _SKIPPED.sub(" ", _LITERAL.sub(lambda m: "''" if "--" in m[0] or "/*" in m[0] else m[0], text)))
+    if not _READS.match(plain):
+        raise PermissionError("this is a command; only queries are run here")
+    if found := _BEYOND.search(plain):
+        raise PermissionError(f"queries may not use {found[0].strip()!r} here")
+
+
+def sql_query(spark: SparkSession, text: str) -> DataFrame:
+    """Run a query (see ``check_read_only``). Errors in the SQL itself surface as Spark's ``AnalysisException``."""
+    check_read_only(text)
     return spark.sql(text.strip().rstrip(";"))

@@ -4,14 +4,45 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.types import StructType
 
+from ..functions.columns import col
+
+# Texts of a CSV cell that stand for no value.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "None", "n/a", "nan", "null",
+)
+#: Types tried for a CSV column without a schema, the narrowest first.
+_TYPES = ("bigint", "double", "boolean")
+
+
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType | str | None = None, multi_line: bool = True, missing: tuple[str, ...] = MISSING,
+) -> DataFrame:
+    """A CSV with header and doubled quotes inside quoted cells; cells in ``missing`` are null.
+
+    ``multi_line`` lets quoted cells hold line feeds, at the price that a file is read by one task: many files
+    still spread. Pass False for large files without such cells. A value that does not fit its type in
+    ``schema`` is null; without a schema one aggregate over all columns finds the narrowest that fits all values.
+    """
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, nullValue="", emptyValue="")
+    value = {c: F.when(~col(c).isin(*missing), col(c)) for c in raw.columns} if missing else {c: col(c) for c in raw.columns}
+    if schema is not None:
+        declared = schema if isinstance(schema, StructType) else T.StructType.fromDDL(schema)
+        return raw.select(*[value[c].try_cast(f.dataType).alias(f.name) for c, f in zip(raw.columns, declared.fields)])
+    fits = raw.agg(*[
+        F.bool_and(value[c].isNull() | value[c].try_cast(t).isNotNull()).alias(f"c{i}_{t}") for i, c in enumerate(raw.columns) for t in _TYPES
+    ] + [F.count(value[c]).alias(f"c{i}") for i, c in enumerate(raw.columns)]).head()
+    kinds = [next((t for t in _TYPES if fits[f"c{i}"] and fits[f"c{i}_{t}"]), "string") for i in range(len(raw.columns))]
+    return raw.select(*[value[c].try_cast(k).alias(c) for c, k in zip(raw.columns, kinds)])
+
 
 def load_dataset(
-    spark: SparkSession, path: str, schema: StructType | str | None = None, json_document: bool = False
+    spark: SparkSession, path: str, schema: StructType | str | None = None, json_document: bool = False, **csv_options,
 ) -> DataFrame:
-    """Read a CSV (with header), JSON or Parquet file or folder.
+    """Read a CSV (see ``read_csv``), JSON or Parquet file or folder.
 
     Pass ``schema`` for large text inputs: without it Spark reads them once more to infer
     one. JSON is read as one record per line, which splits across tasks; a file holding a
@@ -19,13 +50,13 @@ def load_dataset(
     """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension not in (".csv", ".json", ".parquet"):
-        raise ValueError(f"Unsupported file format: {extension or path}. Use CSV, JSON or Parquet.")
+        raise ValueError(f"{extension or path} is no format that can be read: .csv, .json or .parquet")
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"there is nothing at {path}")
+    if extension == ".csv":
+        return read_csv(spark, path, schema, **csv_options)
     reader = spark.read if schema is None else spark.read.schema(schema)
     if extension == ".parquet":
         return reader.parquet(path)
-    if extension == ".json":
-        return reader.json(path, multiLine=json_document)
-    return reader.csv(path, header=True, inferSchema=schema is None)
+    return reader.json(path, multiLine=json_document)

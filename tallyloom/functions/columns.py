@@ -39,30 +39,65 @@ def as_double(df: DataFrame, name: str) -> Column:
     return present(df, name).cast("double")
 
 
-def as_timestamp(df: DataFrame, name: str) -> Column:
+#: Formats tried for dates stored as text, in this order; "" is ISO, with or without a time.
+DATE_FORMATS = ("", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "dd-MM-yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy")
+
+
+def parsed_date(text: Column, date_format: str = "") -> Column:
+    return F.try_to_timestamp(text, F.lit(date_format)) if date_format else F.try_to_timestamp(text)
+
+
+def settle_formats(df: DataFrame, names: list[str], formats: tuple[str, ...] = DATE_FORMATS) -> dict[str, tuple[str, int]]:
+    """Per column the one format that reads most of its values, the first of equals, and how many it leaves unread.
+
+    One aggregate for all text columns. A column of another type, or without values, has the ISO format.
+    """
+    found = {n: ("", 0) for n in names}
+    texts = [n for n in names if isinstance(df.schema[n].dataType, T.StringType)]
+    if texts:
+        counted = df.agg(*[
+            c for i, n in enumerate(texts) for c in (
+                F.count(col(n)).alias(f"n{i}"), *[F.count(parsed_date(col(n), f)).alias(f"n{i}_{k}") for k, f in enumerate(formats)])
+        ]).head()
+        for i, n in enumerate(texts):
+            best = max(range(len(formats)), key=lambda k: (counted[f"n{i}_{k}"], -k))
+            found[n] = formats[best], counted[f"n{i}"] - counted[f"n{i}_{best}"]
+    return found
+
+
+def settle_format(df: DataFrame, name: str, formats: tuple[str, ...] = DATE_FORMATS) -> tuple[str, int]:
+    return settle_formats(df, [name], formats)[name]
+
+
+def as_timestamp(df: DataFrame, name: str, date_format: str = "") -> Column:
     """Parse leniently: text that is no date becomes null instead of an error.
 
-    Without a time zone, so that day spans do not depend on the session's.
+    Without a time zone, so that day spans do not depend on the session's. Text in other than ISO form
+    needs its ``date_format``, for instance from ``settle_format``.
     """
     if isinstance(df.schema[name].dataType, T.StringType):
-        return F.try_to_timestamp(col(name)).cast("timestamp_ntz")
+        return parsed_date(col(name), date_format).cast("timestamp_ntz")
     return col(name).cast("timestamp_ntz")
 
 
-def as_day(df: DataFrame, name: str) -> Column:
+def as_day(df: DataFrame, name: str, date_format: str = "") -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, T.StringType):
-        return F.try_to_timestamp(col(name)).cast("date")
+        return parsed_date(col(name), date_format).cast("date")
     return col(name).cast("date")
 
 
 def money_sum(value: Column) -> Column:
-    """Sum to the cent in decimal: the same total in whatever order the tasks finish.
+    """The sum of all values; nothing to sum gives 0.
 
-    Nothing to sum gives 0.
+    Values that a decimal with 12 places holds exactly are summed as such, so that their total is the
+    same in whatever order the tasks finish. The others, and totals beyond the decimal, are summed as doubles.
     """
-    total = F.sum(value.cast("decimal(18,2)"))
-    return F.coalesce(total, F.lit(0)).cast("double")
+    number = value.cast("double")
+    exact = number.try_cast("decimal(28,12)")
+    fits = F.coalesce(exact.cast("double") == number, F.lit(False))
+    held = F.coalesce(F.try_sum(F.when(fits, exact)).cast("double"), F.sum(F.when(fits, number)), F.lit(0.0))
+    return held + F.coalesce(F.sum(F.when(~fits, number)), F.lit(0.0))
 
 
 def settled(value: Column | str, digits: int) -> Column:

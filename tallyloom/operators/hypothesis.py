@@ -36,11 +36,15 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
     groups = df.where(col(group).isNotNull() & number.isNotNull()).groupBy(col(group)).agg(
         F.count("*").alias("n"), F.avg(number).alias("m"), F.var_pop(number).alias("v")
     )
-    total = groups.agg(
+    # The groups' means around one of them first: their grand mean then keeps its digits at any offset.
+    origin = groups.agg(F.min("m")).scalar()
+    shifted = groups.withColumn("d", F.col("m") - origin)
+    grand = shifted.agg(F.sum(F.col("n") * F.col("d")) / F.sum("n")).scalar()
+    total = shifted.agg(
         F.count("*").alias("k"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("v")).alias("within"),
-        F.sum(F.col("n") * F.col("m") * F.col("m")).alias("squares"), F.sum(F.col("n") * F.col("m")).alias("sums"),
+        F.sum(F.col("n") * F.pow(F.col("d") - grand, 2)).alias("between"),
     )
-    between = F.col("squares") - F.col("sums") * F.col("sums") / F.col("n")
+    between = F.col("between")
     df1, df2 = F.col("k") - 1, F.col("n") - F.col("k")
     return total.select(
         settled(F.try_divide(F.try_divide(between, df1), F.try_divide("within", df2)), 4).alias("f_statistic"),
@@ -51,21 +55,23 @@ def anova(df: DataFrame, group: str, value: str) -> DataFrame:
 def chi_square(df: DataFrame, left: str, right: str) -> DataFrame:
     """Chi-squared of independence of two categorical columns.
 
-    n * (sum of observed^2 / (row total * column total) - 1) equals the usual sum over all
-    cells, and needs only the cells that occur.
+    Only the cells that occur are read: each that does not adds what was expected of it, so together
+    they add the rows that the others were not expected to have.
     """
     cells = df.where(col(left).isNotNull() & col(right).isNotNull()).groupBy(
         col(left).alias("_l"), col(right).alias("_r")
     ).agg(F.count("*").alias("_o"))
     rows = cells.groupBy("_l").agg(F.sum("_o").alias("_rows"))
     columns = cells.groupBy("_r").agg(F.sum("_o").alias("_cols"))
-    o = F.col("_o").cast("double")
-    joined = cells.join(rows, "_l").join(columns, "_r").agg(
-        F.sum(o * o / F.col("_rows") / F.col("_cols")).alias("share"), F.sum("_o").alias("n"),
-        F.count_distinct("_l").alias("r"), F.count_distinct("_r").alias("c"),
+    n = cells.agg(F.sum("_o").cast("double")).scalar()
+    expected = F.col("_rows") / n * F.col("_cols")
+    joined = cells.join(rows, "_l").join(columns, "_r").withColumn("_e", expected).agg(
+        F.sum(F.pow(F.col("_o") - F.col("_e"), 2) / F.col("_e")).alias("there"), F.sum("_e").alias("e"), F.sum("_o").alias("n"),
+        F.count_distinct("_l").alias("r"), F.count_distinct("_r").alias("c"), F.count("*").alias("cells"),
     )
+    absent = F.when(F.col("cells") < F.col("r") * F.col("c"), F.greatest(F.col("n") - F.col("e"), F.lit(0.0))).otherwise(0.0)
     return joined.select(
-        settled(F.col("n") * (F.col("share") - 1), 4).alias("chi_square"),
+        settled(F.col("there") + absent, 4).alias("chi_square"),
         ((F.col("r") - 1) * (F.col("c") - 1)).alias("degrees_of_freedom"),
     )
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import as_timestamp, is_temporal
+from ..functions.columns import as_timestamp, is_temporal, settle_formats
 from ..functions.frequencies import column_facts, frequencies, value_text
 
 
@@ -42,15 +42,16 @@ def dataset_info(df: DataFrame, share: float = 0.8) -> DataFrame:
     """Row and column counts and the first date column with its range.
 
     A column counts as dates if its type says so, or if it is text of which more than
-    ``share`` of all rows parse. All candidates are tested in one pass.
+    ``share`` of all rows parse in the one format that fits it best. All candidates are tested together.
     """
     candidates = [
         f for f in df.schema.fields if is_temporal(f.dataType) or isinstance(f.dataType, T.StringType)
     ]
+    formats = settle_formats(df, [f.name for f in candidates])
     rows = F.count(F.lit(1))
     measures = [rows.alias("num_rows")]
     for i, f in enumerate(candidates):
-        moment = as_timestamp(df, f.name)
+        moment = as_timestamp(df, f.name, formats[f.name][0])
         is_date = F.lit(True) if is_temporal(f.dataType) else F.count(moment) > rows * share
         measures.append(F.struct(
             is_date.alias("is_date"), F.lit(f.name).alias("column"),

@@ -35,9 +35,9 @@ def revenue_by(df: DataFrame, key: str, revenue: str = "revenue") -> DataFrame:
     return summed.orderBy(F.desc("revenue"), F.asc(key))
 
 
-def monthly_revenue(df: DataFrame, date: str = "order_date", revenue: str = "revenue") -> DataFrame:
-    """(month, revenue) in time order. Dates that do not parse are left out."""
-    month = F.date_format(as_day(df, date), "yyyy-MM")
+def monthly_revenue(df: DataFrame, date: str = "order_date", revenue: str = "revenue", date_format: str = "") -> DataFrame:
+    """(month, revenue) in time order. Dates that do not parse are left out; ``settle_format`` counts them."""
+    month = F.date_format(as_day(df, date, date_format), "yyyy-MM")
     return (
         df.select(month.alias("month"), present(df, revenue).alias("_v"))
         .where("month is not null")
@@ -65,7 +65,7 @@ def segment_breakdown(df: DataFrame, key: str, value: str) -> DataFrame:
     """
     number = as_double(df, value)
     sums = df.groupBy(col(key).cast("string").alias("segment")).agg(
-        F.coalesce(F.sum(number), F.lit(0.0)).alias("_sum"), F.count(number).alias("count")
+        money_sum(number).alias("_sum"), F.count(number).alias("count")
     )
     total = sums.agg(
         F.coalesce(F.sum("_sum"), F.lit(0.0)).alias("_sum"), F.coalesce(F.sum("count"), F.lit(0)).alias("count")
@@ -87,7 +87,7 @@ def segment_share_rank(df: DataFrame, key: str, value: str) -> DataFrame:
     """
     number = as_double(df, value)
     sums = df.where(col(key).isNotNull()).groupBy(col(key).cast("string").alias("segment")).agg(
-        settled(F.coalesce(F.sum(number), F.lit(0.0)), 2).alias("sum")
+        settled(money_sum(number), 2).alias("sum")
     )
     placed = dense_index(sums, [F.desc("sum"), F.asc("segment")], "_position")
     ranks = placed.groupBy(F.col("sum").alias("_sum")).agg((F.min("_position") + 1).alias("rank"))
@@ -97,13 +97,13 @@ def segment_share_rank(df: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def monthly_trend(df: DataFrame, date: str = "order_date", revenue: str = "revenue") -> DataFrame:
+def monthly_trend(df: DataFrame, date: str = "order_date", revenue: str = "revenue", date_format: str = "") -> DataFrame:
     """(month, revenue, previous, direction): growing or declining against the month before.
 
     The window runs over the monthly table, which the calendar bounds.
     """
     before = F.lag("revenue").over(Window.orderBy("month"))
-    return monthly_revenue(df, date, revenue).withColumn("previous", before).select(
+    return monthly_revenue(df, date, revenue, date_format).withColumn("previous", before).select(
         "month", "revenue", "previous",
         F.when(F.col("previous").isNotNull(), F.when(F.col("revenue") > F.col("previous"), "growing").otherwise("declining"))
         .alias("direction"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import as_timestamp, contains_any, is_temporal, numeric_columns, settled, to_rows
+from ..functions.columns import as_timestamp, contains_any, is_temporal, numeric_columns, settle_formats, settled, to_rows
 from ..functions.frequencies import column_facts, top_frequencies
 from .statistics import strong_correlations, summary_statistics
 
@@ -120,16 +120,17 @@ def relationships(df: DataFrame, threshold: float = 0.4) -> DataFrame:
 
 
 def date_ranges(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, min, max, span_days) of the datetime columns; unparseable text is ignored."""
+    """(column, min, max, span_days) of the datetime columns; text is read in the one format that fits it best.
+
+    Text that this format does not read is ignored; ``settle_formats`` counts it.
+    """
     columns = columns or [
         f.name for f in df.schema.fields
         if is_temporal(f.dataType) or any(w in f.name.lower() for w in DATETIME_WORDS)
     ]
-    measured = df.agg(*[
-        m for i, c in enumerate(columns) for m in (
-            F.min(as_timestamp(df, c)).alias(f"lo{i}"), F.max(as_timestamp(df, c)).alias(f"hi{i}"),
-        )
-    ])
+    formats = settle_formats(df, columns)
+    moments = [as_timestamp(df, c, formats[c][0]) for c in columns]
+    measured = df.agg(*[m for i, t in enumerate(moments) for m in (F.min(t).alias(f"lo{i}"), F.max(t).alias(f"hi{i}"))])
     text = "yyyy-MM-dd HH:mm:ss"
     return measured.select(to_rows([
         F.struct(

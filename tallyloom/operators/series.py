@@ -17,10 +17,10 @@ MIN_DAYS = 30
 Z95 = 1.96
 
 
-def daily_values(df: DataFrame, date="order_date", value="revenue", by: list[str] = ()) -> DataFrame:
+def daily_values(df: DataFrame, date="order_date", value="revenue", by: list[str] = (), date_format: str = "") -> DataFrame:
     """(by..., ds, value): sums per day with data. Unparseable dates and null keys drop out."""
     rows = df.select(
-        *[col(b).alias(b) for b in by], as_day(df, date).alias("ds"), present(df, value).alias("_v")
+        *[col(b).alias(b) for b in by], as_day(df, date, date_format).alias("ds"), present(df, value).alias("_v")
     ).where(" and ".join(f"`{c}` is not null" for c in [*by, "ds"]))
     return rows.groupBy(*by, "ds").agg(money_sum(F.col("_v")).alias("value"))
 
@@ -47,25 +47,29 @@ def history_tail(daily: DataFrame, days: int = 90, by: list[str] = ()) -> DataFr
 def _trends(daily: DataFrame, by: list[str], min_days: int) -> DataFrame:
     """Least-squares line of each gap-filled series against its day index.
 
-    Days without data add nothing to the sums over y, so the closed form needs only the
-    days that exist: no calendar is generated for millions of sparse series. Days are
-    counted from the series' own start, which a first aggregate provides.
+    Only the days that exist are read: no calendar is generated for millions of sparse series.
+    Their central moments come from Spark's own stable aggregates; the days without data are a second
+    part with value 0 whose moments are known, and the two parts are merged as parallel variances are.
     """
     day = F.unix_date("ds").cast("double")
-    sums = daily.groupBy(*by).agg(
-        F.min("ds").alias("first_day"), F.max("ds").alias("last_day"),
-        F.sum("value").alias("_y"), F.sum(F.col("value") * F.col("value")).alias("_yy"),
-        F.sum(day * F.col("value")).alias("_ty"),
-    ).where("first_day is not null")
-    n = F.col("n").cast("double")
-    start = F.unix_date("first_day").cast("double")
+    moments = daily.groupBy(*by).agg(
+        F.min("ds").alias("first_day"), F.max("ds").alias("last_day"), F.count("value").alias("_k"),
+        F.avg("value").alias("_m"), F.var_pop("value").alias("_v"), F.avg(day).alias("_t"),
+        F.covar_pop(day, F.col("value")).alias("_c"),
+    ).where("first_day is not null and _k > 0")
+    n, k = F.col("n").cast("double"), F.col("_k").cast("double")
+    middle = F.unix_date("first_day").cast("double") + (n - 1) / 2
+    share = (n - k) / n
+    # The days without data lie, on average, as far on the other side of the middle as their number tells.
+    apart = F.when(n > k, (F.col("_t") - middle) / share).otherwise(0.0)
     fitted = (
-        sums.withColumn("n", F.date_diff("last_day", "first_day") + 1)
+        moments.withColumn("n", F.date_diff("last_day", "first_day") + 1)
         .where(F.col("n") >= min_days)
-        .withColumn("_sxy", F.col("_ty") - start * F.col("_y") - (n - 1) / 2 * F.col("_y"))
+        .withColumn("_syy", k * (F.col("_v") + F.col("_m") * F.col("_m") * share))
+        .withColumn("_sxy", k * (F.col("_c") + apart * F.col("_m") * share))
         .withColumn("slope", F.try_divide(F.col("_sxy"), n * (n * n - 1) / 12))
-        .withColumn("intercept", F.col("_y") / n - F.col("slope") * (n - 1) / 2)
-        .withColumn("_sse", F.col("_yy") - F.col("_y") * F.col("_y") / n - F.col("slope") * F.col("_sxy"))
+        .withColumn("intercept", F.col("_m") * k / n - F.col("slope") * (n - 1) / 2)
+        .withColumn("_sse", F.col("_syy") - F.col("slope") * F.col("_sxy"))
         .withColumn("residual_std", F.sqrt(F.greatest(F.col("_sse"), F.lit(0.0)) / n))
     )
     return fitted.select(*by, "first_day", "last_day", "n", "slope", "intercept", "residual_std")

@@ -6,7 +6,8 @@ autoregressive forecast.
 
 from __future__ import annotations
 
-from .queries import COEFFICIENTS, INTERCEPT, RISK_DAYS, SQL_TEXTS
+from ..sources.readers import MISSING
+from .queries import COEFFICIENTS, GIVEN, INTERCEPT, RISK_DAYS, SQL_TEXTS
 from .tables import CLAIMS_SQL, COLUMNS, DIRTY_SQL, QUESTIONS_SQL, RUNS_SQL, TRANSACTIONS_SQL
 
 # Spark type and pandas-style kind of each transactions column, in order.
@@ -142,6 +143,11 @@ _MONTHLY = f"""monthly AS (SELECT strftime(order_date, '%Y-%m') AS month, {_REV}
 _TREND = """trend AS (SELECT month, revenue, lag(revenue) OVER (ORDER BY month) AS previous FROM monthly)"""
 _DIRECTION = "CASE WHEN previous IS NOT NULL THEN CASE WHEN revenue > previous THEN 'growing' ELSE 'declining' END END"
 
+# Dates go through text with the month first and are read back.
+_TEXT_DATES = f"""WITH {TRANSACTIONS_SQL.replace("transactions AS (", "typed AS (", 1)},
+texts AS (SELECT * REPLACE (strftime(order_date, '%m/%d/%Y') AS order_date) FROM typed),
+transactions AS (SELECT * REPLACE (CAST(strptime(order_date, '%m/%d/%Y') AS DATE) AS order_date) FROM texts)"""
+
 _FEATURES = """features AS (
   SELECT customer_id, CAST(date_diff('day', max(order_date), (SELECT max(order_date) FROM transactions)) AS INTEGER) AS recency,
     count(DISTINCT order_id) AS frequency, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS monetary,
@@ -324,20 +330,28 @@ _EVIDENCE = _summary("region") + f""", sums AS (SELECT region, product_category,
     UNION ALL SELECT region, step, 'Calculated ''' || k || ''' evaluated to ' || v || '.', k, NULL, v, NULL, NULL, NULL, 0.95::DOUBLE,
       CASE step WHEN 1 THEN 'revenue_by_category(df) show()' ELSE 'forecast_linear(daily)' END FROM scalars)"""
 
+_ANOVA = """, g AS (SELECT product_category, avg(revenue) AS m, count(*) AS n FROM transactions GROUP BY 1),
+        s AS (SELECT sum((t.revenue - g.m) * (t.revenue - g.m)) AS w FROM transactions t JOIN g USING (product_category)),
+        b AS (SELECT sum(n * (m - (SELECT avg(revenue) FROM transactions)) ** 2) AS b, count(*) AS k, sum(n) AS n FROM g)
+        SELECT round((b / (k - 1)) / (w / (n - k)), {digits}) AS f_statistic, k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within FROM b, s"""
+_MISSING = ", ".join("'" + m + "'" for m in MISSING)
+
 ORACLE: dict[str, str] = {
     # sources, catalog, SQL
     "scan_transactions": _t("SELECT * FROM transactions"),
-    "scan_csv": "SELECT * FROM customer",
+    "scan_csv": f"SELECT * REPLACE (CASE WHEN text NOT IN ({_MISSING}) THEN text END AS text) FROM documents",
     "scan_json": "SELECT * FROM customer",
     "write_table_summary": _t(f"""SELECT 'stored_transactions' AS table_name, count(*) AS rows_loaded, 13 AS column_count,
         '{','.join(COLUMNS)}' AS columns, 'success' AS status FROM transactions"""),
     "table_catalog": _union([
         f"""SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name AS "column",
         CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-          WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, (SELECT count(*) FROM {t}) AS row_count
+          WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp_ntz' END AS type,
+        is_nullable = 'YES' AS nullable, (SELECT count(*) FROM {t}) AS row_count
         FROM information_schema.columns WHERE table_name = '{t}'"""
-        for t in ("customer", "lineitem", "nation", "orders", "part", "region")
+        for t in GIVEN
     ]),
+    "table_names": _union([f"SELECT DISTINCT table_name FROM information_schema.columns WHERE table_name = '{t}'" for t in GIVEN]),
     "detect_schema": _dirty(_each(COLUMNS, """SELECT {i} AS ordinal, '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null,
         count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
         (SELECT string_agg(CAST(v AS VARCHAR), '; ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM dirty WHERE {c} IS NOT NULL
@@ -345,8 +359,9 @@ ORACLE: dict[str, str] = {
     "dataset_info": _t(f"""SELECT count(*) AS num_rows, 13 AS num_columns, '{','.join(COLUMNS)}' AS column_names,
         'order_date' AS date_column, strftime(min(order_date), '%Y-%m-%d %H:%M:%S') AS date_min,
         strftime(max(order_date), '%Y-%m-%d %H:%M:%S') AS date_max FROM transactions"""),
-    "schema_fingerprint": f"""SELECT 13 AS column_count,
-        substr(md5(array_to_string(list_sort({COLUMNS!r}), '_')), 1, 12) AS fingerprint""",
+    "schema_fingerprint": f"""SELECT table_name, CAST(count(*) AS INTEGER) AS column_count,
+        substr(md5(string_agg(column_name, '_' ORDER BY column_name)), 1, 12) AS fingerprint
+        FROM information_schema.columns WHERE table_name IN {GIVEN} GROUP BY table_name""",
     # cleaning
     "missing_values": _dirty(f"""SELECT * FROM ({_each(COLUMNS, '''SELECT '{c}' AS "column", count(*) - count({c}) AS missing_count,
         round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_percentage FROM dirty''')}) WHERE missing_count > 0"""),
@@ -421,6 +436,15 @@ ORACLE: dict[str, str] = {
         count(DISTINCT order_id) AS total_orders, count(DISTINCT customer_id) AS total_customers FROM transactions"""),
     "revenue_by_category": _t(f"SELECT product_category, {_REV} AS revenue FROM transactions GROUP BY 1"),
     "revenue_by_region": _t(f"SELECT region, {_REV} AS revenue FROM transactions GROUP BY 1"),
+    "monthly_revenue_from_text": f"{_TEXT_DATES}, {_MONTHLY} SELECT * FROM monthly",
+    "daily_revenue_from_text": f"""{_TEXT_DATES} SELECT region, order_date AS ds, CAST(sum(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS value
+        FROM transactions GROUP BY region, order_date""",
+    "date_ranges_from_text": f"""{_TEXT_DATES} SELECT 'order_date' AS "column", strftime(min(order_date), '%Y-%m-%d %H:%M:%S') AS min,
+        strftime(max(order_date), '%Y-%m-%d %H:%M:%S') AS max, date_diff('day', min(order_date), max(order_date)) AS span_days FROM transactions""",
+    "dataset_info_from_text": f"""{_TEXT_DATES} SELECT count(*) AS num_rows, 3 AS num_columns, 'order_date,revenue,region' AS column_names,
+        'order_date' AS date_column, strftime(min(order_date), '%Y-%m-%d %H:%M:%S') AS date_min,
+        strftime(max(order_date), '%Y-%m-%d %H:%M:%S') AS date_max FROM transactions""",
+    "discount_given_by_category": _t(f"SELECT product_category, {_r('sum(quantity * unit_price * discount / 7)', 2)} AS revenue FROM transactions GROUP BY 1"),
     "monthly_revenue": _t(f", {_MONTHLY} SELECT * FROM monthly"),
     "top_customers": _t(f"SELECT customer_id, {_REV} AS revenue FROM transactions GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
     "orders_by_payment": _t("SELECT payment_method, count(*) AS orders FROM transactions GROUP BY 1"),
@@ -455,6 +479,7 @@ ORACLE: dict[str, str] = {
     "daily_gapfilled_by_category": _t(_series("product_category") + "done AS (SELECT 1) SELECT product_category, ds, value FROM filled"),
     "history_tail": _t(_series() + "done AS (SELECT 1) SELECT ds, round(value, 2) AS value FROM filled ORDER BY ds DESC LIMIT 90"),
     "forecast_linear": _t(_linear() + " SELECT * FROM forecast"),
+    "forecast_width_offset": _t(_linear() + " SELECT ds, round(2 * 1.96 * sd, 0) AS width FROM steps"),
     "forecast_linear_by_region": _t(_linear("region") + " SELECT * FROM forecast"),
     "forecast_summary": _t(_summary() + " SELECT * FROM summary"),
     "forecast_summary_by_customer": _t(_summary("customer_id") + " SELECT * FROM summary"),
@@ -499,10 +524,8 @@ ORACLE: dict[str, str] = {
         var_samp(revenue) FILTER (WHERE region = 'EUROPE') / count(*) FILTER (WHERE region = 'EUROPE') AS e2, count(*) FILTER (WHERE region = 'EUROPE') AS n2
         FROM transactions) SELECT round(m1, 4) AS mean_first, round(m2, 4) AS mean_second, round((m1 - m2) / sqrt(e1 + e2), 4) AS t_statistic,
         round((e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)), 2) AS degrees_of_freedom FROM m"""),
-    "anova": _t(""", g AS (SELECT product_category, avg(revenue) AS m, count(*) AS n FROM transactions GROUP BY 1),
-        s AS (SELECT sum((t.revenue - g.m) * (t.revenue - g.m)) AS w FROM transactions t JOIN g USING (product_category)),
-        b AS (SELECT sum(n * (m - (SELECT avg(revenue) FROM transactions)) ** 2) AS b, count(*) AS k, sum(n) AS n FROM g)
-        SELECT round((b / (k - 1)) / (w / (n - k)), 4) AS f_statistic, k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within FROM b, s"""),
+    "anova": _t(_ANOVA.format(digits=4)),
+    "anova_offset": _t(_ANOVA.format(digits=3)),
     "chi_square": _t(""", o AS (SELECT product_category AS l, payment_method AS r, count(*) AS o FROM transactions GROUP BY ALL),
         e AS (SELECT l, r, CAST(o AS DOUBLE) AS o, CAST(sum(o) OVER (PARTITION BY l) AS DOUBLE) * CAST(sum(o) OVER (PARTITION BY r) AS DOUBLE) / CAST(sum(o) OVER () AS DOUBLE) AS e FROM o)
         SELECT round(sum((o - e) * (o - e) / e), 4) AS chi_square, (count(DISTINCT l) - 1) * (count(DISTINCT r) - 1) AS degrees_of_freedom FROM e"""),

@@ -37,27 +37,11 @@ SCHEMAS = {
 }
 
 
-_ONE_SPLIT = 128 * 1024 * 1024
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def read_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table for heavy work per row, spread over the cores by ``key`` if it is small.
-
-    A file below one scan split often is one row group, which a single task would work
-    through alone. Only such a table (at most 128 MB, by its listed size) is shuffled; a
-    larger one has splits of its own.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
-    size = path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    df = read(spark, sf_dir, name)
-    return df.repartition(spark.sparkContext.defaultParallelism, key) if size <= _ONE_SPLIT else df
-
-
-def transactions(spark: SparkSession, sf_dir: str, *columns: str, spread: bool = False) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """The named columns of the transactions table (all by default)."""
     columns = columns or tuple(COLUMNS)
     cents = lambda c: F.col(c).cast("decimal(12,2)")
@@ -71,7 +55,7 @@ def transactions(spark: SparkSession, sf_dir: str, *columns: str, spread: bool =
         "cost": F.round(F.col("l_quantity").cast("decimal(6,2)") * cents("p_retailprice"), 2).cast("double"),
         "payment_method": F.col("o_orderpriority"), "region": F.col("r_name"),
     }
-    rows = read_spread(spark, sf_dir, "lineitem", "l_orderkey") if spread else read(spark, sf_dir, "lineitem")
+    rows = read(spark, sf_dir, "lineitem")
     if _FROM_PART & set(columns):
         rows = rows.join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     if _FROM_ORDERS & set(columns):
@@ -86,7 +70,7 @@ def transactions(spark: SparkSession, sf_dir: str, *columns: str, spread: bool =
     return rows.select(*[expressions[c].alias(c) for c in columns])
 
 
-def transactions_dirty(spark: SparkSession, sf_dir: str, *columns: str, spread: bool = False) -> DataFrame:
+def transactions_dirty(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """All transactions with planted nulls, outliers and exact duplicate rows.
 
     The remainders below only decide which rows get a defect. Duplicates come from a
@@ -94,7 +78,7 @@ def transactions_dirty(spark: SparkSession, sf_dir: str, *columns: str, spread:
     """
     columns = columns or tuple(COLUMNS)
     needed = [c for c in COLUMNS if c in columns or c in ("order_id", "line_no")]
-    base = transactions(spark, sf_dir, *needed, spread=spread)
+    base = transactions(spark, sf_dir, *needed)
     hole = (F.col("order_id") * 31 + F.col("line_no") * 7) % 20
     planted = {"quantity": 1, "unit_price": 2, "discount": 3, "region": 4}
     changed = {c: F.when(hole != r, F.col(c)).alias(c) for c, r in planted.items()}
@@ -108,7 +92,7 @@ def transactions_dirty(spark: SparkSession, sf_dir: str, *columns: str, spread:
 
 def stored_dirty(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """``transactions_dirty`` written once, for operators that scan their input several times."""
-    return materialize(transactions_dirty(spark, sf_dir, *columns, spread=True))
+    return materialize(transactions_dirty(spark, sf_dir, *columns))
 
 
 def _k() -> F.Column:
@@ -128,10 +112,10 @@ def question_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", F.concat(F.lit("Why is customer cust_"), F.col("user_id").cast("string"), F.lit(" at risk?")))
         .otherwise("Analyze")
     )
-    events = read_spread(spark, sf_dir, "events", "event_id").select(
+    events = read(spark, sf_dir, "events").select(
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("question_id"), asked.alias("question")
     )
-    turns = read_spread(spark, sf_dir, "conversations", "conv_id").select(
+    turns = read(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.lit("c"), F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
         F.col("text").alias("question"),
     )

@@ -56,11 +56,11 @@ def sample_rows(spark: SparkSession, name: str, allow_samples: bool = False, k:
     return spark.table(name).limit(k)
 
 
-def schema_fingerprint(df: DataFrame) -> DataFrame:
-    """First 12 hex digits of the md5 of the sorted column names joined by ``_``."""
-    names = df.sparkSession.createDataFrame([(df.columns,)], "names array<string>")
+def schema_fingerprint(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """Per registered table the first 12 hex digits of the md5 of its sorted column names joined by ``_``."""
+    names = names or table_names(spark)
+    columns = spark.createDataFrame([(n, spark.table(n).columns) for n in names], "table_name string, names array<string>")
     joined = F.concat_ws("_", F.array_sort("names"))
-    return names.select(
-        F.size("names").alias("column_count"),
-        F.substring(F.md5(joined), 1, 12).alias("fingerprint"),
+    return columns.select(
+        "table_name", F.size("names").alias("column_count"), F.substring(F.md5(joined), 1, 12).alias("fingerprint"),
     )

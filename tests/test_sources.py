@@ -3,8 +3,10 @@ import json
 import pytest
 from pyspark.errors import AnalysisException
 
+from tallyloom.functions.columns import settle_format
 from tallyloom.functions.ranking import dense_index
 from tallyloom.functions.scratch import scratch_folder
+from tallyloom.operators.metrics import monthly_revenue
 from tallyloom.sources import readers, sql, tables
 
 
@@ -45,11 +47,49 @@ def test_read_only_sql(spark, five):
         sql.sql_query(spark, "SELECT nothing FROM nowhere")
 
 
-def test_schema_fingerprint(five):
+def test_schema_fingerprint(spark, five):
     import hashlib
 
+    five.createOrReplaceTempView("fingerprinted")
     expected = hashlib.md5("_".join(sorted(five.columns)).encode()).hexdigest()[:12]
-    assert tables.schema_fingerprint(five).head()["fingerprint"] == expected
+    assert tables.schema_fingerprint(spark, ["fingerprinted"]).head()["fingerprint"] == expected
+
+
+def test_csv_cells_with_quotes_line_feeds_and_missing_values(spark, tmp_path):
+    path = tmp_path / "odd.csv"
+    path.write_text('name,said,n,share\n"a","He said ""hi, you"" twice",1,0.5\nb,"two\nlines",NA,n/a\nc,,3,2\nd,NaN,x,1\n')
+    rows = {r["name"]: r for r in readers.load_dataset(spark, str(path), schema="name string, said string, n int, share double").collect()}
+    assert rows["a"]["said"] == 'He said "hi, you" twice' and rows["b"]["said"] == "two\nlines"
+    assert rows["b"]["n"] is None and rows["b"]["share"] is None and rows["c"]["said"] is None and rows["d"]["said"] is None
+    assert rows["d"]["n"] is None and rows["c"]["n"] == 3
+    found = readers.load_dataset(spark, str(path))
+    assert dict(found.dtypes) == {"name": "string", "said": "string", "n": "string", "share": "double"}
+
+
+def test_dates_in_one_other_format(spark):
+    df = spark.createDataFrame([("12/31/2024", 1.0), ("01/15/2025", 2.0), ("soon", 3.0), (None, 4.0)], "order_date string, revenue double")
+    assert settle_format(df, "order_date") == ("MM/dd/yyyy", 1)
+    rows = monthly_revenue(df, date_format="MM/dd/yyyy").collect()
+    assert [(r["month"], r["revenue"]) for r in rows] == [("2024-12", 1.0), ("2025-01", 2.0)]
+    assert settle_format(df.select("revenue"), "revenue") == ("", 0)
+
+
+@pytest.mark.parametrize("text", [
+    "SET spark.sql.ansi.enabled=false", "RESET", "USE default", "CACHE TABLE transactions", "UNCACHE TABLE transactions",
+    "LOAD DATA INPATH '/x' INTO TABLE t", "ADD JAR '/x.jar'", "MSCK REPAIR TABLE t", "REFRESH TABLE t", "ANALYZE TABLE t COMPUTE STATISTICS",
+    "MERGE INTO t USING s ON t.a = s.a WHEN MATCHED THEN UPDATE SET a = 1", "EXPLAIN SELECT 1", "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'",
+    "DECLARE x = 1", "-- SELECT\nSET a = 1", "/* SELECT */ USE x", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')",
+    "SELECT JAVA_METHOD ('java.util.UUID', 'randomUUID')", "SELECT * FROM parquet.`/x`", "SELECT * FROM `csv` . `/x`", "SELECT * FROM json /* */ . `/x`",
+    "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM transactions", "FROM transactions MAP a USING 'cat' AS b", "SELECT * FROM IDENTIFIER('parquet.`/x`')", "",
+])
+def test_commands_are_refused(spark, text):
+    with pytest.raises(PermissionError):
+        sql.sql_query(spark, text)
+
+
+def test_queries_with_odd_literals_are_run(spark):
+    assert sql.sql_query(spark, "(SELECT '-- set' AS a) UNION ALL VALUES ('/* x')").count() == 2
+    assert sql.sql_query(spark, "-- a note\nWITH t AS (SELECT 'it\\'s' AS a) SELECT a FROM t;").head()[0] == "it's"
 
 
 def test_dense_index(spark):

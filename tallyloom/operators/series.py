@@ -99,7 +99,7 @@ def check_history(daily: DataFrame, min_days: int = MIN_DAYS) -> None:
     """Raise if a single series spans fewer than ``min_days`` days."""
     span = daily.agg(F.date_diff(F.max("ds"), F.min("ds"))).head()[0]
     if span is None or span + 1 < min_days:
-        raise ValueError(f"Not enough data points for forecasting (need at least {min_days} days)")
+        raise ValueError(f"the series spans too few days to project it; {min_days} are the least")
 
 
 def forecast_summary(daily: DataFrame, periods: int = HORIZON, by: list[str] = (), min_days: int = MIN_DAYS) -> DataFrame:

@@ -20,12 +20,12 @@ _STATISTICS = (
 def summary_statistics(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Unrounded count, mean, sample deviation, minimum, quartiles and maximum per column.
 
-    Moments ride along with the first quantile pass: two scans for any number of columns.
+    Moments ride along with the first quantile pass.
     """
     columns = columns or numeric_columns(df)
-    found = exact_quantiles(df, columns, _QUARTILES, also={"mean": F.avg, "std": F.stddev_samp})
+    found = exact_quantiles(df, columns, _QUARTILES)
     rows = [
-        (c, s.count, s.extras["mean"], s.extras["std"], s.min, *s.quantiles, s.max) for c, s in found.items()
+        (c, s.count, s.mean, s.std, s.min, *s.quantiles, s.max) for c, s in found.items()
     ]
     return df.sparkSession.createDataFrame(rows, _STATISTICS)
 

@@ -16,17 +16,22 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scratch import scratch_folder
-from .common import numbered, stored
+from .common import free_name, numbered, stored
 
 BLOCK = 1 << 14
 
 
 def blocks(docs: DataFrame, columns: dict[str, F.Column]) -> DataFrame:
-    """``columns`` and the place of every row: _file, _block (within the file)."""
-    rows = numbered(stored(docs))
-    at = F.col("_row.at")
-    return rows.select(F.col("_row.file").alias("_file"), (at / BLOCK).cast("long").cast("int").alias("_block"),
-                       *[c.alias(n) for n, c in columns.items()])
+    """``columns`` and the place of every row: _file, _block (within the file), _at (the row in the file)."""
+    docs = stored(docs)
+    name = free_name(docs, "_row")
+    place = F.col(name)
+    return numbered(docs, name).select(
+        place["file"].alias("_file"), block_of(place), place["at"].alias("_at"), *[c.alias(n) for n, c in columns.items()])
+
+
+def block_of(place: F.Column) -> F.Column:
+    return (place["at"] / BLOCK).cast("long").cast("int").alias("_block")
 
 
 def runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[tuple[int, int], pa.RecordBatch]]:

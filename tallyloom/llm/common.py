@@ -19,20 +19,34 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def stored(df: DataFrame) -> DataFrame:
     """``df`` itself if it reads a stored table, else a copy written to the shared folder."""
     try:
-        df.select("_metadata.file_path", "_metadata.row_index")
+        df.select(df.metadataColumn("_metadata")["row_index"])
     except AnalysisException:
         return materialize(df)
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def without(df: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of a stored table whose place is not among ``gone`` (_row), with their own columns."""
+    name = free_name(df, "_row")
+    return numbered(df, name).join(gone.withColumnRenamed("_row", name), name, "left_anti").select(*[f"`{c}`" for c in df.columns])
+
+
 def numbered(df: DataFrame, name: str = "_row") -> DataFrame:
     """Rows of a stored table with their place: file (a hash of its path) and row in the file.
 
     Every read gives a row the same place, however Spark splits the files, so repeated rows and null
     ids can be told apart over several passes.
     """
-    place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    return df.withColumn(name, place)
+    source = df.metadataColumn("_metadata")
+    return df.withColumn(name, F.struct(F.xxhash64(source["file_path"]).alias("file"), source["row_index"].alias("at")))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scratch import materialize
-from .common import ascii_lower, numbered, salted_join, stored
+from .common import ascii_lower, numbered, salted_join, stored, without
 
 
 #: Repeated hashes, of 16 bytes each, that may be broadcast to spare the texts a shuffle.
@@ -68,4 +68,4 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each group of equal texts, all columns as they were."""
     docs = stored(docs)
     gone = materialize(exact_duplicates(docs, id_col, text_col, keep, **options).where("not kept").select("_row"))
-    return numbered(docs).join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return without(docs, gone)

@@ -15,6 +15,8 @@ from .blocks import beside, blocks, runs, store
 
 #: Share of a node's importance that passes on to its children, by their number; branches below ``LEAST`` go.
 GAMMA, LEAST = 0.9, 0.2
+#: Levels over which importance is passed up.
+DEEPEST = 256
 #: Hosts of fewer pages say nothing about what they repeat.
 LEAST_PAGES = 5
 _HELD = 1 << 17
@@ -44,7 +46,7 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "items", "path", "children", "holds")
+    __slots__ = ("tag", "parts", "parent", "items", "path", "children", "holds", "height")
 
     def __init__(self, tag: str, parts: frozenset, parent: Node | None):
         self.tag, self.parts, self.parent, self.items = tag, parts, parent, []
@@ -118,6 +120,8 @@ def text_blocks(root: Node, removed=frozenset()) -> list[str]:
     """Texts of the blocks in page order, without the branches that are other parts or in ``removed``."""
     out: list[str] = []
     held: list[str] = []
+    if removed:
+        heights(root)
 
     def flush():
         if line := " ".join(unescape("".join(held)).split()):
@@ -132,7 +136,7 @@ def text_blocks(root: Node, removed=frozenset()) -> list[str]:
                 held.append(item)
             elif item.tag == "br":
                 held.append(" ")
-            elif other(item, inside) or not inside and item.path in removed and not item.holds:
+            elif other(item, inside) or not inside and item.path in removed and not item.holds and item.height < DEEPEST:
                 if item.tag not in INLINE:
                     flush()
             else:
@@ -147,6 +151,19 @@ def text_blocks(root: Node, removed=frozenset()) -> list[str]:
     return out
 
 
+def heights(root: Node) -> None:
+    """How many levels lie below each element."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        node.height = 0
+        order.append(node)
+        stack += [x for x in node.items if isinstance(x, Node)]
+    for node in reversed(order):
+        if node.parent is not None:
+            node.parent.height = max(node.parent.height, node.height + 1)
+
+
 def host(url: str | None) -> str:
     """The host in lower case without port; pages without one form a site of their own."""
     found = re.match(r"\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", url or "")
@@ -187,7 +204,9 @@ def site_tree(root: Node) -> tuple[set[tuple[int, int]], Counter, Counter]:
             if up:
                 weight *= GAMMA ** count / count
             weights[at.path, below] += weight
-            while at.parent is not None:
+            for _ in range(DEEPEST):  # beyond, a weight is nothing, and no branch so deep is ever removed
+                if at.parent is None:
+                    break
                 at = at.parent
                 weight *= GAMMA ** at.children / at.children
                 weights[at.path, below] += weight

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scratch import materialize
-from .common import numbered, salted_join, stored
+from .common import numbered, salted_join, stored, without
 
 #: Labelled rows the document classifier is fitted on; those with the smallest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -171,4 +171,4 @@ def drop_rejected(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with their own columns."""
     docs = stored(docs)
     gone = materialize(classified(docs, labels, **options).where("not kept").select("_row"))
-    return numbered(docs).join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return without(docs, gone)

@@ -64,7 +64,7 @@ def _covered(hashes: str) -> Column:
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with _text, _words, _lines and the base counts of every whole text.
+    """The rows of ``docs``, each as a struct _doc, with _text, _words, _lines and the base counts of its whole text.
 
     n_words, word_chars (code points), n_symbols, n_dup_lines, n_repeat_words, base_failed. Null counts as
     empty. Repeated windows are told by their 64-bit hashes within a text; a text whose hashes all
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     lines = F.filter(F.split("_text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    rows = docs.withColumn("_text", text).withColumns({
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("_doc"), text.alias("_text")).withColumns({
         "_words": F.filter(F.split("_text", WORD_GAP), lambda w: w != ""), "_full": lines,
     })
     rows = rows.withColumn("_hashes", F.transform(_neighbours("_words", WINDOW), lambda w: F.xxhash64(w["e0"], w["e1"], w["e2"])))
@@ -127,4 +127,4 @@ def cascade(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "t
 
 def keep_good(docs: DataFrame, rules: list[Rule] | None = None, text_col: str = "text") -> DataFrame:
     """The rows that pass, with their own columns."""
-    return cascade(docs, rules, text_col).where("kept").select(*[f"`{c}`" for c in docs.columns])
+    return cascade(docs, rules, text_col).where("kept").select("_doc.*")

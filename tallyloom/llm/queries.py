@@ -48,7 +48,7 @@ def op9_substring_dedup(spark, folder):
 @query
 def op5_quality_rules(spark, folder):
     found = quality_rules.cascade(read(spark, folder, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
+    return found.select("_doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rule")
 
 
 @query

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scratch import materialize
-from .common import numbered, salted_join, stored
+from .common import numbered, salted_join, stored, without
 from .components import components
 
 BLOCK = 1 << 16
@@ -166,4 +166,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.struct(F.col("component_id").alias("_class"), F.when(F.col("component_id").isNull(), F.col("_print")).alias("_print"))
     kept = found.groupBy(key.alias("_key")).agg(F.min(place).alias("_first")).select(F.col("_first._row").alias("_row"))
     gone = materialize(found.select("_row").join(kept, "_row", "left_anti"))
-    return numbered(docs).join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return without(docs, gone)

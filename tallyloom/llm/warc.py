@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scratch import materialize, scratch_folder
-from .blocks import BLOCK, beside, blocks, filesystem, store
+from .blocks import beside, block_of, blocks, filesystem, store
 from .common import numbered, salted_join, stored
 
 #: Bytes of records after which a task begins another archive, and bytes it inflates or copies at once.
@@ -167,9 +167,9 @@ def write_archives(
     repeats = salted_join(large, groups.where("n > 1"), "_key", "inner").where("first._row <> _row")
     place = F.col("_row")
     folder_of = store(repeats.select(
-        place["file"].alias("_file"), (place["at"] / BLOCK).cast("long").cast("int").alias("_block"), place["at"].alias("at"),
+        place["file"].alias("_file"), block_of(place), place["at"].alias("at"),
         F.col("first._row.file").alias("first_file"), F.col("first._row.at").alias("first_at"), F.col("first._id").alias("refers_to")))
-    source = blocks(pages, {"_at": F.col("_row.at"), "_id": F.col(id_col).cast("long"), "_url": F.col(url_col).cast("string"), "_html": F.col(html_col).cast("string")})
+    source = blocks(pages, {"_id": F.col(id_col).cast("long"), "_url": F.col(url_col).cast("string"), "_html": F.col(html_col).cast("string")})
     return materialize(source.mapInArrow(_write(folder, folder_of, archive_bytes), "archive string, records long"))
 
 

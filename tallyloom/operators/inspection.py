@@ -4,10 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from ..functions.columns import as_timestamp, is_temporal, settle_formats
+from ..functions.columns import as_timestamp, is_temporal, present, settle_formats
 from ..functions.frequencies import column_facts, frequencies, value_text
 
 
+def detect_schema_approximately(df: DataFrame, relative_error: float = 0.02) -> DataFrame:
+    """``detect_schema`` without a table of distinct values: their number is estimated, within ``relative_error``.
+
+    One aggregate over all columns for the counts and the smallest value, and one each for the second and the
+    third: the smallest value above the one before. Nothing but a row a task and column is shuffled.
+    """
+    values = [present(df, c) for c in df.columns]
+    first = df.agg(F.count(F.lit(1)).alias("rows"), *[
+        m for i, v in enumerate(values) for m in (
+            F.count(v).alias(f"n{i}"), F.approx_count_distinct(v, relative_error).alias(f"d{i}"), F.min(v).alias(f"s{i}_0"))
+    ]).head()
+    samples = {i: [first[f"s{i}_0"]] for i in range(len(values)) if first[f"s{i}_0"] is not None}
+    for k in (1, 2):
+        open_ = [i for i in samples if len(samples[i]) == k]
+        if open_:
+            more = df.agg(*[F.min(F.when(values[i] > F.lit(samples[i][-1]), values[i])).alias(f"s{i}") for i in open_]).head()
+            for i in open_:
+                samples[i] += [] if more[f"s{i}"] is None else [more[f"s{i}"]]
+    rows = [(i, c, df.schema[c].dataType.simpleString(), first[f"n{i}"], first["rows"] - first[f"n{i}"], first[f"d{i}"]) for i, c in enumerate(df.columns)]
+    found = df.sparkSession.createDataFrame(rows, "ordinal int, column string, dtype string, non_null bigint, null_count bigint, unique_count bigint")
+    listed = F.lit(None).cast("array<string>")
+    for i, c in enumerate(df.columns):
+        values_of = [F.lit(v).cast(df.schema[c].dataType).cast("string") for v in samples.get(i, [])]
+        listed = F.when(F.col("ordinal") == i, F.array(*values_of).cast("array<string>")).otherwise(listed)
+    return found.withColumn("sample_values", listed)
+
+
 def detect_schema(df: DataFrame) -> DataFrame:
     """Per column: type, non-null, null and distinct counts, three sample values.
 

@@ -37,7 +37,10 @@ def _text(value: Column) -> Column:
 
 
 def triage_runs(runs: DataFrame) -> DataFrame:
-    """Adds outcome, error_type and suggested_action; the first rule that applies decides."""
+    """Adds outcome, error_type, suggested_action, details and target_step_id; the first rule that applies decides.
+
+    ``target_step_id`` is the record's ``step_id`` if it has one, else null.
+    """
     failed = ~F.coalesce(F.col("success"), F.lit(False))
     message = F.lower(F.coalesce(_text(F.col("error_message")), _text(F.col("stderr")), F.lit("Unknown error")))
     returned = F.col("return_value").isNotNull()
@@ -58,9 +61,22 @@ def triage_runs(runs: DataFrame) -> DataFrame:
             choice = F.when(F.col("_rule") == key, F.lit(values[position])).otherwise(choice)
         return choice
 
+    said = F.coalesce(_text(F.col("error_message")), _text(F.col("stderr")), F.lit("no message"))
+    number = lambda *names: F.round(_first_number(*names), 4).cast("string")
+    details = (
+        F.when(F.col("_rule") == "data", F.concat(F.lit("the data lacks what the run asked for: "), said))
+        .when(F.col("_rule") == "code", F.concat(F.lit("the run broke off: "), said))
+        .when(F.col("_rule") == "empty", F.lit("the run ended well but left neither a result nor a metric"))
+        .when(F.col("_rule") == "error", F.concat(F.lit("the result itself is an error: "), F.col("return_value")["error"]))
+        .when(F.col("_rule") == "sample", F.concat(F.lit("the result rests on few rows: "), number("total_customers", "points_count", "sample_size")))
+        .when(F.col("_rule") == "accuracy", F.concat(F.lit("the model is right too seldom: "), number("accuracy", "model_accuracy")))
+        .otherwise(F.lit("results and metrics are there"))
+    )
+    step = F.col("step_id") if "step_id" in runs.columns else F.lit(None).cast("int")
     ruled = runs.withColumn("_rule", rule)
     return ruled.select(
-        "*", named(0).alias("outcome"), named(1).alias("error_type"), named(2).alias("suggested_action")
+        "*", named(0).alias("outcome"), named(1).alias("error_type"), named(2).alias("suggested_action"),
+        details.alias("details"), step.alias("target_step_id"),
     ).drop("_rule")
 
 

@@ -10,6 +10,8 @@ from ..functions.columns import as_double, numeric_columns, settled, to_rows
 from ..functions.frequencies import column_facts, top_frequencies
 from ..functions.quantiles import exact_quantiles
 
+#: Pairs of columns that one generated row carries; more make Spark's generated code too large to compile well.
+_PAIRS = 15
 _QUARTILES = [0.25, 0.5, 0.75]
 _STATISTICS = (
     "column string, count bigint, mean double, std double, min double, q25 double, median double, "
@@ -47,9 +49,9 @@ def describe_table(df: DataFrame, columns: list[str] | None = None, digits: int
 def pair_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(left_ordinal, right_ordinal, source, target, r) per unordered pair, diagonal included.
 
-    Pearson over the rows where both are present, null if either does not vary. Each row
-    yields its pairs of values, which fold map-side to one buffer per pair: one scan and a
-    plan of the same size however wide the table is.
+    Pearson over the rows where both are present, null if either does not vary. Each row yields its
+    pairs of values, ``_PAIRS`` side by side, which fold map-side to one buffer per pair: one scan and a
+    plan of the same size however wide the table is, with few rows generated for each one read.
     """
     columns = columns or numeric_columns(df)
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
@@ -58,17 +60,23 @@ def pair_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFr
             [], "left_ordinal int, right_ordinal int, source string, target string, r double"
         )
     values = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    long = values.select(to_rows([
-        F.struct(F.lit(n).alias("pair"), F.col(f"v{i}").alias("x"), F.col(f"v{j}").alias("y"))
-        for n, (i, j) in enumerate(pairs)
-    ])).where("x is not null and y is not null")
-    spread = F.stddev_pop("x") * F.stddev_pop("y")
-    r = F.try_divide(F.covar_pop("x", "y"), F.nullif(spread, F.lit(0.0)))
+    none = F.lit(None).cast("double")
+    chunks = [pairs[n:n + _PAIRS] for n in range(0, len(pairs), _PAIRS)]
+    wide = values.select(to_rows([
+        F.struct(F.lit(n).alias("chunk"), *[
+            (F.col(f"v{chunk[k][side]}") if k < len(chunk) else none).alias(f"{name}{k}")
+            for k in range(min(_PAIRS, len(pairs))) for side, name in enumerate("xy")
+        ]) for n, chunk in enumerate(chunks)
+    ]))
+    width = range(min(_PAIRS, len(pairs)))
+    # A pair in which one side does not vary divides by zero.
+    each = wide.groupBy("chunk").agg(*[F.nanvl(F.corr(f"x{k}", f"y{k}"), none).alias(f"r{k}") for k in width])
+    found = each.select(to_rows([F.struct((F.col("chunk") * _PAIRS + k).alias("pair"), F.col(f"r{k}").alias("r")) for k in width]))
     names = df.sparkSession.createDataFrame(
         [(n, i, j, columns[i], columns[j]) for n, (i, j) in enumerate(pairs)],
         "pair int, left_ordinal int, right_ordinal int, source string, target string",
     )
-    return names.join(long.groupBy("pair").agg(r.alias("r")), "pair", "left").drop("pair")
+    return names.join(found, "pair", "left").drop("pair")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:

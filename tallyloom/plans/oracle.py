@@ -298,14 +298,20 @@ _TRIAGE = """triaged AS (SELECT run_id,
     WHEN event_type = 'purchase' AND k % 5 = 0 THEN 'error'
     WHEN event_type = 'purchase' THEN CASE WHEN k < 5 AND k <> 0 THEN 'sample' WHEN k / 50.0 < 0.5 THEN 'accuracy' ELSE 'fine' END
     WHEN event_type = 'signup' THEN CASE WHEN k % 7 BETWEEN 1 AND 4 THEN 'sample' WHEN k > 0 AND k / 100.0 < 0.5 THEN 'accuracy' ELSE 'fine' END
-    WHEN k % 10 < 5 THEN 'sample' ELSE 'fine' END AS rule FROM run_log),
+    WHEN k % 10 < 5 THEN 'sample' ELSE 'fine' END AS rule, event_type, k FROM run_log),
 named AS (SELECT run_id,
   CASE rule WHEN 'data' THEN 'DATA_ERROR' WHEN 'code' THEN 'CODE_ERROR' WHEN 'empty' THEN 'INSUFFICIENT_EVIDENCE'
     WHEN 'sample' THEN 'STATISTICAL_WARNING' WHEN 'fine' THEN 'SUCCESS' ELSE 'ANALYSIS_ERROR' END AS outcome,
   CASE rule WHEN 'data' THEN 'DataMismatch' WHEN 'code' THEN 'RuntimeSyntaxError' WHEN 'empty' THEN 'EmptyOutput'
     WHEN 'error' THEN 'AnalyticalFailure' WHEN 'sample' THEN 'LowSampleSize' WHEN 'accuracy' THEN 'SubstandardModelPerformance' END AS error_type,
   CASE rule WHEN 'code' THEN 'REPAIR_CODE' WHEN 'fine' THEN 'PROCEED' WHEN 'empty' THEN 'SUPPLEMENT_EVIDENCE'
-    WHEN 'sample' THEN 'SUPPLEMENT_EVIDENCE' ELSE 'REPLAN' END AS suggested_action
+    WHEN 'sample' THEN 'SUPPLEMENT_EVIDENCE' ELSE 'REPLAN' END AS suggested_action,
+  CASE rule WHEN 'data' THEN 'the data lacks what the run asked for: ' || CASE k % 4 WHEN 0 THEN 'KeyError: ''revenue_target''' ELSE 'Column revenue_target is missing' END
+    WHEN 'code' THEN 'the run broke off: ' || CASE k % 4 WHEN 1 THEN 'IndexError: list index out of range' ELSE 'no message' END
+    WHEN 'empty' THEN 'the run ended well but left neither a result nor a metric' WHEN 'error' THEN 'the result itself is an error: no convergence'
+    WHEN 'sample' THEN 'the result rests on few rows: ' || CAST(CAST(CASE event_type WHEN 'purchase' THEN k WHEN 'signup' THEN k % 7 ELSE k % 10 END AS DOUBLE) AS VARCHAR)
+    WHEN 'accuracy' THEN 'the model is right too seldom: ' || CAST(round(CASE event_type WHEN 'purchase' THEN k / 50.0::DOUBLE ELSE k / 100.0::DOUBLE END, 4) AS VARCHAR)
+    ELSE 'results and metrics are there' END AS details, 1 AS target_step_id
   FROM triaged)"""
 
 _PLAIN = "regexp_replace(format('{{:,.2f}}', {0}), '0$', '')"
@@ -356,6 +362,9 @@ ORACLE: dict[str, str] = {
         count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
         (SELECT string_agg(CAST(v AS VARCHAR), '; ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM dirty WHERE {c} IS NOT NULL
           ORDER BY v LIMIT 3)) AS sample_values FROM dirty""")),
+    "detect_schema_approximately": _dirty(_each(COLUMNS, """SELECT {i} AS ordinal, '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null,
+        count(*) - count({c}) AS null_count, (SELECT string_agg(CAST(v AS VARCHAR), '; ' ORDER BY v) FROM (SELECT DISTINCT {c} AS v FROM dirty WHERE {c} IS NOT NULL
+          ORDER BY v LIMIT 3)) AS sample_values FROM dirty""")),
     "dataset_info": _t(f"""SELECT count(*) AS num_rows, 13 AS num_columns, '{','.join(COLUMNS)}' AS column_names,
         'order_date' AS date_column, strftime(min(order_date), '%Y-%m-%d %H:%M:%S') AS date_min,
         strftime(max(order_date), '%Y-%m-%d %H:%M:%S') AS date_max FROM transactions"""),
@@ -468,6 +477,8 @@ ORACLE: dict[str, str] = {
     "churn_summary": _features("""SELECT count(*) AS total_customers, count(*) FILTER (WHERE churned_predicted) AS predicted_churned,
         count(*) FILTER (WHERE NOT churned_predicted) AS predicted_retained FROM scores""", _SCORES),
     "churn_top_risk": _features("SELECT * FROM scores ORDER BY churn_probability DESC, customer_id LIMIT 10", _SCORES),
+    "churn_fit_residuals": """SELECT unnest(['intercept', 'frequency', 'monetary', 'avg_order_value', 'avg_quantity', 'avg_discount', 'distinct_categories']) AS term,
+        0.0::DOUBLE AS residual""",
     "linear_attribution": _features("SELECT customer_id, feature, contribution, direction, feature_value FROM parts", _LONG),
     "attribution_base_value": _features("SELECT round(" + f"{INTERCEPT}::DOUBLE" + "".join(
         f" + ({w!r}::DOUBLE) * m_{f}" for f, w in COEFFICIENTS.items()) + ", 4) AS base_value FROM means", _MEANS),
@@ -487,6 +498,14 @@ ORACLE: dict[str, str] = {
         (SELECT {_DIRECTION} FROM trend ORDER BY month DESC LIMIT 1) AS recent_monthly_trend,
         'The 90-day revenue forecast projects a ' || trend || ' trend (' || CASE WHEN percentage_change >= 0 THEN '+' ELSE '' END
         || printf('%.1f', percentage_change) || '%).' AS forecast_summary FROM summary"""),
+    "forecast_ar_first_order": _t(_series("region") + f"""moves AS (SELECT region, ds, value, value - lag(value) OVER (PARTITION BY region ORDER BY ds) AS d FROM filled),
+        pairs AS (SELECT *, lag(d) OVER (PARTITION BY region ORDER BY ds) AS before FROM moves),
+        fitted AS (SELECT region, regr_slope(d, before) AS b, regr_intercept(d, before) AS a, max(ds) AS last_day, max_by(value, ds) AS v, max_by(d, ds) AS dl,
+          sqrt((regr_syy(d, before) - regr_slope(d, before) * regr_sxy(d, before)) / regr_count(d, before)) AS sd FROM pairs GROUP BY region),
+        steps AS (SELECT *, a * (1 - b ** s) / (1 - b) + b ** s * dl AS move, (1 - b ** s) / (1 - b) AS effect FROM fitted, generate_series(1, 90) g(s)),
+        ahead AS (SELECT region, CAST(last_day + CAST(s AS INTEGER) AS DATE) AS ds, v + sum(move) OVER (PARTITION BY region ORDER BY s) AS p,
+          1.96 * sd * sqrt(sum(effect * effect) OVER (PARTITION BY region ORDER BY s)) AS e FROM steps)
+        SELECT region, ds, {_r("greatest(0, p)", 2)} AS value, {_r("greatest(0, p - e)", 2)} AS lower, {_r("greatest(0, p + e)", 2)} AS upper FROM ahead"""),
     # questions, runs, evidence, experience
     "tag_questions": f"WITH {QUESTIONS_SQL}, {_TAGGED} SELECT * EXCLUDE (words), words = 0 OR (words < 2 AND task_type <> 'general_chat') AS is_ambiguous FROM tagged",
     "extract_customer_id": rf"WITH {QUESTIONS_SQL} SELECT question_id, nullif(upper(regexp_extract(question, '(?i)CUST_\d+', 0)), '') AS customer_id FROM question_log",
@@ -498,6 +517,8 @@ ORACLE: dict[str, str] = {
     "evidence_table": _t(_EVIDENCE + """ SELECT run_id, metric_name AS metric, coalesce(word, printf('%.2f', number)) AS value,
         CASE WHEN confidence_score > 0.92 THEN '95%' ELSE '90%' END AS confidence, step_id, code_reference AS code_ref FROM evidence"""),
     "audit_claims": f"WITH {CLAIMS_SQL} SELECT claim_id, run_id, claim, CASE WHEN issue IS NULL THEN 'supported' ELSE 'unsupported' END AS verdict, issue FROM audited",
+    "grounding_issues": f"""WITH {CLAIMS_SQL} SELECT run_id, issue AS kind, claim AS subject, CAST(NULL AS VARCHAR) AS remedy FROM audited WHERE issue IS NOT NULL
+        UNION ALL SELECT run_id, 'missing_metric', metric, 'compute ' || metric FROM uncovered""",
     "uncovered_metrics": f"WITH {CLAIMS_SQL} SELECT run_id, metric FROM uncovered",
     "grounding_status": f"""WITH {CLAIMS_SQL},
         counted AS (SELECT run_id, count(*) AS claims, count(*) FILTER (WHERE issue IS NULL) AS supported,
@@ -507,7 +528,8 @@ ORACLE: dict[str, str] = {
           coalesce(o, 0) AS o, coalesce(missing_metrics, 0) AS missing_metrics FROM customer c LEFT JOIN counted ON counted.run_id = c_custkey
           LEFT JOIN gaps ON gaps.run_id = c_custkey)
         SELECT run_id, claims, supported, unsupported, missing_metrics, CASE WHEN claims = 0 OR missing_metrics > 0 OR unsupported > supported THEN 'INSUFFICIENT'
-          WHEN o > 0 THEN 'OVERREACH' WHEN unsupported > 0 THEN 'CONTRADICTORY' ELSE 'VALID' END AS status FROM every""",
+          WHEN o > 0 THEN 'OVERREACH' WHEN unsupported > 0 THEN 'CONTRADICTORY' ELSE 'VALID' END AS status,
+          claims > 0 AND missing_metrics = 0 AND unsupported = 0 AS is_grounded FROM every""",
     "experience_topk": f"""WITH {QUESTIONS_SQL}, {_TAGGED},
         log AS (SELECT event_id AS seq, CASE event_type WHEN 'view' THEN 'descriptive' WHEN 'purchase' THEN 'forecasting' WHEN 'signup' THEN 'predictive'
           ELSE 'statistical' END AS task_type, event_type, regexp_extract(props, '([0-9]+)', 1) AS k FROM events),

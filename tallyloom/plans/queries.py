@@ -106,6 +106,12 @@ def detect_schema(spark, d):
     return inspection.detect_schema(stored_dirty(spark, d)).withColumn("sample_values", _text("sample_values"))
 
 
+@query
+def detect_schema_approximately(spark, d):
+    found = inspection.detect_schema_approximately(transactions_dirty(spark, d)).drop("unique_count")
+    return found.withColumn("sample_values", _text("sample_values"))
+
+
 @query
 def dataset_info(spark, d):
     return inspection.dataset_info(transactions(spark, d))
@@ -480,6 +486,16 @@ def churn_scores_without_recency(spark, d):
     return churn.predict_churn(rows, exclude=["recency"], standardize=True)[0]
 
 
+@query
+def churn_fit_residuals(spark, d):
+    """All zero: the fitted model is at its optimum."""
+    features = [f for f in churn.FEATURES if f != "recency"]
+    _, _, model, split = churn.predict_churn(transactions(spark, d, *_CHURN_COLUMNS), exclude=["recency"], standardize=True, tol=1e-9)
+    train = split.where("not is_test")
+    found = churn.fit_residuals(train, model, features, train.count())
+    return found.select("term", (F.round("residual", 3) + 0.0).alias("residual"))
+
+
 @query
 def churn_summary(spark, d):
     return churn.churn_summary(_scores(_features(spark, d)))
@@ -582,6 +598,11 @@ def forecast_ar(spark, d):
     return series.forecast_ar(_daily(spark, d, "region"), by=["region"])
 
 
+@query
+def forecast_ar_first_order(spark, d):
+    return series.forecast_ar(_daily(spark, d, "region"), by=["region"], order=1)
+
+
 # --- questions, runs, evidence, experience -------------------------------------------------------------
 
 @query
@@ -597,7 +618,8 @@ def extract_customer_id(spark, d):
 
 @query
 def triage_runs(spark, d):
-    return runs.triage_runs(t.run_log(spark, d)).select("run_id", "outcome", "error_type", "suggested_action")
+    log = t.run_log(spark, d).withColumn("step_id", F.lit(1))
+    return runs.triage_runs(log).select("run_id", "outcome", "error_type", "suggested_action", "details", "target_step_id")
 
 
 @query
@@ -667,6 +689,11 @@ def grounding_status(spark, d):
     return evidence.grounding_status(customers, t.claim_log(spark, d), t.requested_metrics(spark, d))
 
 
+@query
+def grounding_issues(spark, d):
+    return evidence.grounding_issues(t.claim_log(spark, d), t.requested_metrics(spark, d))
+
+
 @query
 def experience_topk(spark, d):
     asked = questions.tag_questions(t.question_log(spark, d)).select("task_type")

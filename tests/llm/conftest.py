@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import types as T
 
 PASSAGE = " ".join(f"pass{i}age" for i in range(120))
-LONG_WORD = "x" * 120_000
-LONG_TEXT = " ".join(hashlib.md5(str(i).encode()).hexdigest()[: 3 + i % 7] for i in range(30_000))
+LONG_WORD = "x" * 30_000
+LONG_TEXT = " ".join(hashlib.md5(str(i).encode()).hexdigest()[: 3 + i % 7] for i in range(12_000))
 PROSE = "The quick brown fox jumps over the lazy dog while seven wizards box with dozens of liquor jugs. " * 3
 
 #: id, text: nulls, empty and very long texts, ties, repeated rows, copies, shared passages, odd characters.

@@ -89,7 +89,7 @@ def explain_customers(
 ) -> DataFrame:
     """(key, churn_probability, churned_predicted, top_factors, summary) for all customers."""
     line = lambda f: F.format_string(
-        "- %s: %s (%s, contribution: %+.4f)", f["feature"], f["feature_value"].cast("string"),
+        "- %s = %s %s: %+.4f", f["feature"], f["feature_value"].cast("string"),
         f["direction"], f["contribution"],
     )
     explained = (
@@ -101,8 +101,8 @@ def explain_customers(
     return explained.select(
         key, "churn_probability", "churned_predicted", "top_factors",
         F.concat(
-            F.lit("Customer "), col(key).cast("string"), F.lit(" has a churn probability of "), percent,
-            F.lit(".\n\nMain contributing factors:\n"), F.array_join(F.transform("top_factors", line), "\n"),
+            F.lit("Customer "), col(key).cast("string"), F.lit(" leaves with probability "), percent,
+            F.lit(".\n\nWhat weighs most:\n"), F.array_join(F.transform("top_factors", line), "\n"),
         ).alias("summary"),
     )
 
@@ -111,5 +111,5 @@ def explain_customer(explained: DataFrame, key: str, value) -> DataFrame:
     """One customer's explanation; an unknown customer raises ``LookupError``."""
     found = explained.where(col(key) == F.lit(value))
     if found.isEmpty():
-        raise LookupError(f"Customer {value} not found in predictions")
+        raise LookupError(f"there is no prediction for {value}")
     return found

@@ -1,7 +1,8 @@
 """Look up past experiences for a task type.
 
 The log is a table with ``seq`` (insertion order), ``task_type`` and the string arrays
-``successful_steps`` and ``failures``; append to it with ``save_table(mode="append")``.
+``successful_steps`` and ``failures``; append to it with ``save_table(mode="append")``. ``experiences`` makes
+its rows from run logs.
 """
 
 from __future__ import annotations
@@ -11,6 +12,28 @@ from pyspark.sql import DataFrame, Window, functions as F
 MAX_HEURISTICS = 5
 
 
+def experiences(runs: DataFrame, signature: str) -> DataFrame:
+    """Rows for the log, one per run and task type, from steps that were taken.
+
+    ``runs`` has seq, task_type, step, success, message and insight, one row a step in ``step_id`` order.
+    dataset_signature, plan_summary (the steps in order), successful_steps, failures, recovery_strategies (steps that
+    followed a failure and went well) and insights. A run is one task's steps, which are few: its lists are too.
+    """
+    order = Window.partitionBy("seq", "task_type").orderBy("step_id")
+    steps = runs.withColumn("_after", F.coalesce(F.lag(~F.col("success")).over(order), F.lit(False)))
+    entry = F.struct("step_id", "step", "success", "_after", "message", "insight")
+    listed = steps.groupBy("seq", "task_type").agg(F.array_sort(F.collect_list(entry)).alias("_steps"))
+    of = lambda test, field: F.transform(F.filter("_steps", test), lambda s: s[field])
+    return listed.select(
+        "seq", "task_type", F.lit(signature).alias("dataset_signature"),
+        F.array_join(F.transform("_steps", lambda s: s["step"]), " > ").alias("plan_summary"),
+        of(lambda s: s["success"], "step").alias("successful_steps"),
+        of(lambda s: ~s["success"], "message").alias("failures"),
+        of(lambda s: s["success"] & s["_after"], "step").alias("recovery_strategies"),
+        of(lambda s: s["insight"].isNotNull(), "insight").alias("insights"),
+    )
+
+
 def experience_topk(tasks: DataFrame, log: DataFrame, k: int = 2) -> DataFrame:
     """(task_type, experiences, heuristics) for each task type asked for.
 

@@ -114,6 +114,35 @@ def sanitize_profile(profile: DataFrame, mode: str = "STRICT") -> DataFrame:
     )
 
 
+NOTICES = {
+    "STRICT": "only schema and aggregates are shown; sample values are withheld",
+    "STANDARD": "schema, aggregates and the commonest values are shown",
+    "FULL": "schema, aggregates and the commonest values are shown",
+}
+
+
+def dataset_profile(df: DataFrame, name: str, mode: str = "STRICT") -> DataFrame:
+    """One row on the whole table: counts, its columns by semantic type, a description, the privacy mode and its notice.
+
+    Column facts, relationships and date ranges are tables of their own.
+    """
+    kinds = {"numeric": "numeric_columns", "categorical": "categorical_columns", "datetime": "datetime_columns", "identifier": "id_columns"}
+    facts = semantic_types(df)
+    listed = [
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("semantic_type") == k, F.struct("ordinal", "column")))), lambda c: c["column"]).alias(n)
+        for k, n in kinds.items()
+    ]
+    whole = facts.agg(F.max("row_count").alias("row_count"), F.count("*").alias("column_count"), *listed)
+    said = lambda n: F.when(F.size(n) > 0, F.array_join(n, ", ")).otherwise("none")
+    described = F.concat(
+        F.lit(f"{name}: "), F.col("row_count").cast("string"), F.lit(" rows of "), F.col("column_count").cast("string"), F.lit(" columns; told apart by "),
+        said("id_columns"), F.lit("; measured in "), said("numeric_columns"), F.lit("; grouped by "), said("categorical_columns"), F.lit("."))
+    known = mode if mode in MODES else "STRICT"
+    return whole.select(
+        F.lit(name).alias("dataset_name"), "row_count", "column_count", *kinds.values(), described.alias("description"),
+        F.lit(mode).alias("privacy_mode"), F.lit(NOTICES[known]).alias("privacy_notice"))
+
+
 def relationships(df: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Strong correlations among the columns of numeric semantic type."""
     return strong_correlations(df, columns_of_type(df, "numeric"), threshold)

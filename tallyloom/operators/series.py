@@ -132,17 +132,31 @@ def forecast_summary(daily: DataFrame, periods: int = HORIZON, by: list[str] = (
 
 
 def forecast_change(summary: DataFrame, monthly: DataFrame) -> DataFrame:
-    """Evidence behind one forecast: averages, projected change and the last month's direction."""
+    """Evidence behind one forecast: averages, projected change, the last month's direction, and a sentence on each."""
     latest = monthly.orderBy(F.desc("month")).limit(1).select("direction").scalar()
     return summary.select(
         "trend", "percentage_change", "last_30_days_avg", "forecast_avg",
         latest.alias("recent_monthly_trend"),
         F.format_string(
-            "The %d-day revenue forecast projects a %s trend (%+.1f%%).", "forecast_periods", "trend", "percentage_change"
+            "Over the next %d days the daily mean is seen %s (%+.1f%%).", "forecast_periods", "trend", "percentage_change"
         ).alias("forecast_summary"),
+        F.format_string(
+            "From %,.2f a day in the last 30 days to %,.2f a day ahead.", "last_30_days_avg", "forecast_avg"
+        ).alias("trend_detail"),
     )
 
 
+def forecast_evidence(change: DataFrame) -> DataFrame:
+    """(position, metric, value): what ``forecast_change`` rests on, one row per figure that is known."""
+    money = lambda c: F.format_string("%,.2f", c)
+    rows = [
+        ("last_30_days_avg", money("last_30_days_avg")), ("forecast_avg", money("forecast_avg")),
+        ("percentage_change", F.format_string("%+.1f%%", "percentage_change")), ("recent_monthly_trend", F.col("recent_monthly_trend")),
+    ]
+    listed = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(m).alias("metric"), v.alias("value")) for i, (m, v) in enumerate(rows)])
+    return change.select(F.inline(listed)).where("value is not null")
+
+
 def _fit_ar(values: np.ndarray, order: int, periods: int) -> tuple[np.ndarray, np.ndarray]:
     """Least-squares AR on first differences: point forecasts and their standard errors."""
     steps = np.diff(values)

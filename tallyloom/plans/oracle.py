@@ -315,7 +315,12 @@ named AS (SELECT run_id,
   FROM triaged)"""
 
 _PLAIN = "regexp_replace(format('{{:,.2f}}', {0}), '0$', '')"
-_EVIDENCE = _summary("region") + f""", sums AS (SELECT region, product_category, round(sum(revenue), 2) AS s, round(avg(revenue), 2) AS m
+_EVIDENCE = _summary("region") + f""", {_FEATURES}{_SCORES}{_LONG},
+  judged AS (SELECT region, count(*) AS n, count(*) FILTER (WHERE churned_predicted) AS p, round(avg(CAST(CAST(churned_predicted AS INTEGER) = churned AS INTEGER)), 4) AS a
+    FROM labeled JOIN scores USING (customer_id) JOIN (SELECT DISTINCT customer_id, region FROM transactions) USING (customer_id) GROUP BY region),
+  weights AS (SELECT feature, round(avg(abs(raw)), 4) AS w FROM parts GROUP BY feature),
+  top AS (SELECT string_agg(feature, ', ' ORDER BY w DESC, feature) AS names FROM (SELECT * FROM weights ORDER BY w DESC, feature LIMIT 3)),
+  sums AS (SELECT region, product_category, round(sum(revenue), 2) AS s, round(avg(revenue), 2) AS m
     FROM transactions GROUP BY region, product_category),
   lead AS (SELECT region, product_category, s, m, count(*) OVER (PARTITION BY region) AS k, sum(s) OVER (PARTITION BY region) AS total
     FROM sums QUALIFY row_number() OVER (PARTITION BY region ORDER BY s DESC, product_category) = 1),
@@ -323,18 +328,24 @@ _EVIDENCE = _summary("region") + f""", sums AS (SELECT region, product_category,
   fc AS (SELECT region, trend, forecast_avg AS f, last_30_days_avg AS h FROM summary),
   scalars AS (SELECT region, 1 AS step, 'total_revenue' AS k, total AS v FROM texts
     UNION ALL SELECT region, 2, 'trend', trend FROM fc UNION ALL SELECT region, 2, 'forecast_avg', printf('%.2f', f) FROM fc
-    UNION ALL SELECT region, 2, 'historical_avg', printf('%.2f', h) FROM fc UNION ALL SELECT region, 2, 'points_count', '90' FROM fc),
+    UNION ALL SELECT region, 2, 'historical_avg', printf('%.2f', h) FROM fc UNION ALL SELECT region, 2, 'points_count', '90' FROM fc
+    UNION ALL SELECT region, 3, 'total_customers', CAST(n AS VARCHAR) FROM judged UNION ALL SELECT region, 3, 'predicted_churned', CAST(p AS VARCHAR) FROM judged
+    UNION ALL SELECT region, 3, 'accuracy', CAST(a AS VARCHAR) FROM judged),
   evidence AS (
-    SELECT region AS run_id, 1 AS step_id, 'Leading segment for product_category is ''' || product_category || ''' generating sum of '
-      || {_PLAIN.format('s')} || ' with average ' || {_PLAIN.format('m')} || '.' AS claim,
+    SELECT region AS run_id, 1 AS step_id, 'By product_category, ' || product_category || ' comes first with '
+      || {_PLAIN.format('s')} || ' in all and ' || {_PLAIN.format('m')} || ' a row.' AS claim,
       'product_category_top_segment_contribution' AS metric_name, s AS number, CAST(NULL AS VARCHAR) AS word,
       'Segment Aggregation' AS test_name, CAST(NULL AS DOUBLE) AS statistic_value, k AS sample_size,
-      0.95::DOUBLE AS confidence_score, 'revenue_by_category(df) show()' AS code_reference FROM lead
-    UNION ALL SELECT region, 2, 'Projected revenue trend is ' || trend || ' with forecasted daily average of Rs.'
-      || format('{{:,.2f}}', f) || ' compared to historical average of Rs.' || format('{{:,.2f}}', h) || '.',
-      'forecasted_daily_revenue_avg', f, NULL, 'ARIMA / Autoregressive Trend Projection', NULL, 90, 0.9::DOUBLE, 'forecast_linear(daily)' FROM fc
-    UNION ALL SELECT region, step, 'Calculated ''' || k || ''' evaluated to ' || v || '.', k, NULL, v, NULL, NULL, NULL, 0.95::DOUBLE,
-      CASE step WHEN 1 THEN 'revenue_by_category(df) show()' ELSE 'forecast_linear(daily)' END FROM scalars)"""
+      0.95::DOUBLE AS confidence_score, 'segment_breakdown' AS artifact_id, 'revenue_by_category(df) show()' AS code_reference FROM lead
+    UNION ALL SELECT region, 2, 'A day is expected to bring ' || format('{{:,.2f}}', f) || ', after ' || format('{{:,.2f}}', h) || ' a day so far: ' || trend || '.',
+      'forecasted_daily_revenue_avg', f, NULL, 'ARIMA / Autoregressive Trend Projection', NULL, 90, 0.9::DOUBLE, 'forecast_series', 'forecast_linear(daily)' FROM fc
+    UNION ALL SELECT region, 3, p || ' of ' || n || ' customers (' || printf('%.1f', round(p * 100.0::DOUBLE / n, 1)) || '%) look set to leave, says a model that is right about '
+      || printf('%.1f', a * 100) || '% of them.', 'predicted_churn_rate', NULL, printf('%.1f', round(p * 100.0::DOUBLE / n, 1)), 'Logistic Regression Classification', a, n,
+      CASE WHEN a <> 0 THEN round(a, 2) ELSE 0.85 END, 'churn_model_predictions', 'score_customers(features)' FROM judged
+    UNION ALL SELECT region, 4, 'What moves the prediction most: ' || names || '.', 'shap_feature_importance', NULL, names, 'SHAP LinearExplainer Attribution', NULL, NULL,
+      0.92::DOUBLE, 'feature_importance', 'global_importance(features)' FROM judged, top
+    UNION ALL SELECT region, step, 'The run returned ' || v || ' as ' || k || '.', k, NULL, v, NULL, NULL, NULL, 0.95::DOUBLE, NULL,
+      CASE step WHEN 1 THEN 'revenue_by_category(df) show()' WHEN 2 THEN 'forecast_linear(daily)' ELSE 'score_customers(features)' END FROM scalars)"""
 
 _ANOVA = """, g AS (SELECT product_category, avg(revenue) AS m, count(*) AS n FROM transactions GROUP BY 1),
         s AS (SELECT sum((t.revenue - g.m) * (t.revenue - g.m)) AS w FROM transactions t JOIN g USING (product_category)),
@@ -434,6 +445,10 @@ ORACLE: dict[str, str] = {
         for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1:]]) + ") WHERE abs(r) >= 0.4"),
     "date_ranges": _dirty("""SELECT 'order_date' AS "column", strftime(min(order_date), '%Y-%m-%d %H:%M:%S') AS min,
         strftime(max(order_date), '%Y-%m-%d %H:%M:%S') AS max, date_diff('day', min(order_date), max(order_date)) AS span_days FROM dirty"""),
+    "dataset_profile": _dirty(f"""SELECT 'transactions' AS dataset_name, count(*) AS row_count, {len(COLUMNS)}::BIGINT AS column_count,
+        '{"; ".join(_NUMERIC)}' AS numeric_columns, '{"; ".join(_ENCODED)}' AS categorical_columns, 'order_date' AS datetime_columns, '' AS id_columns,
+        'transactions: ' || count(*) || ' rows of {len(COLUMNS)} columns; told apart by none; measured in {", ".join(_NUMERIC)}; grouped by {", ".join(_ENCODED)}.' AS description,
+        'STRICT' AS privacy_mode, 'only schema and aggregates are shown; sample values are withheld' AS privacy_notice FROM dirty"""),
     "profile_strict": _profile("STRICT", "'[REDACTED_UNDER_STRICT_PRIVACY]'"),
     "profile_standard": _profile("STANDARD", "coalesce(p.sample_summary, '')"),
     # privacy
@@ -496,8 +511,13 @@ ORACLE: dict[str, str] = {
     "forecast_summary_by_customer": _t(_summary("customer_id") + " SELECT * FROM summary"),
     "forecast_change": _t(_summary() + f""", {_MONTHLY}, {_TREND} SELECT trend, percentage_change, last_30_days_avg, forecast_avg,
         (SELECT {_DIRECTION} FROM trend ORDER BY month DESC LIMIT 1) AS recent_monthly_trend,
-        'The 90-day revenue forecast projects a ' || trend || ' trend (' || CASE WHEN percentage_change >= 0 THEN '+' ELSE '' END
-        || printf('%.1f', percentage_change) || '%).' AS forecast_summary FROM summary"""),
+        'Over the next 90 days the daily mean is seen ' || trend || ' (' || CASE WHEN percentage_change >= 0 THEN '+' ELSE '' END
+        || printf('%.1f', percentage_change) || '%).' AS forecast_summary,
+        'From ' || format('{{:,.2f}}', last_30_days_avg) || ' a day in the last 30 days to ' || format('{{:,.2f}}', forecast_avg) || ' a day ahead.' AS trend_detail FROM summary"""),
+    "forecast_evidence": _t(_summary() + f""", {_MONTHLY}, {_TREND} SELECT unnest([0, 1, 2, 3]) AS position,
+        unnest(['last_30_days_avg', 'forecast_avg', 'percentage_change', 'recent_monthly_trend']) AS metric,
+        unnest([format('{{:,.2f}}', last_30_days_avg), format('{{:,.2f}}', forecast_avg), CASE WHEN percentage_change >= 0 THEN '+' ELSE '' END || printf('%.1f', percentage_change) || '%',
+          (SELECT {_DIRECTION} FROM trend ORDER BY month DESC LIMIT 1)]) AS value FROM summary"""),
     "forecast_ar_first_order": _t(_series("region") + f"""moves AS (SELECT region, ds, value, value - lag(value) OVER (PARTITION BY region ORDER BY ds) AS d FROM filled),
         pairs AS (SELECT *, lag(d) OVER (PARTITION BY region ORDER BY ds) AS before FROM moves),
         fitted AS (SELECT region, regr_slope(d, before) AS b, regr_intercept(d, before) AS a, max(ds) AS last_day, max_by(value, ds) AS v, max_by(d, ds) AS dl,
@@ -513,9 +533,9 @@ ORACLE: dict[str, str] = {
     "triage_summary": f"WITH {RUNS_SQL}, {_TRIAGE} SELECT outcome, error_type, suggested_action, count(*) AS runs FROM named GROUP BY ALL",
     "evidence_rows": _t(_EVIDENCE + """ SELECT run_id, step_id, claim, metric_name,
         coalesce(word, printf('%.2f', number)) AS metric_value,
-        test_name, statistic_value, sample_size, confidence_score, code_reference FROM evidence"""),
+        test_name, statistic_value, sample_size, confidence_score, artifact_id, code_reference FROM evidence"""),
     "evidence_table": _t(_EVIDENCE + """ SELECT run_id, metric_name AS metric, coalesce(word, printf('%.2f', number)) AS value,
-        CASE WHEN confidence_score > 0.92 THEN '95%' ELSE '90%' END AS confidence, step_id, code_reference AS code_ref FROM evidence"""),
+        printf('%.0f%%', confidence_score * 100) AS confidence, step_id, code_reference AS code_ref FROM evidence"""),
     "audit_claims": f"WITH {CLAIMS_SQL} SELECT claim_id, run_id, claim, CASE WHEN issue IS NULL THEN 'supported' ELSE 'unsupported' END AS verdict, issue FROM audited",
     "grounding_issues": f"""WITH {CLAIMS_SQL} SELECT run_id, issue AS kind, claim AS subject, CAST(NULL AS VARCHAR) AS remedy FROM audited WHERE issue IS NOT NULL
         UNION ALL SELECT run_id, 'missing_metric', metric, 'compute ' || metric FROM uncovered""",
@@ -540,6 +560,14 @@ ORACLE: dict[str, str] = {
         found AS (SELECT * FROM own UNION ALL SELECT a.task_type, seq, text FROM asked a, anyone WHERE a.task_type NOT IN (SELECT task_type FROM own))
         SELECT task_type, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS experiences,
           array_to_string(list_slice(string_split(string_agg(text, '; ' ORDER BY seq), '; '), 1, 5), '; ') AS heuristics FROM found GROUP BY task_type""",
+    "experiences": """WITH steps AS (SELECT user_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'forecasting' ELSE 'descriptive' END AS task_type, event_id, event_type, props FROM events),
+        marked AS (SELECT *, coalesce(lag(event_type = 'error') OVER (PARTITION BY seq, task_type ORDER BY event_id), false) AS after_ FROM steps)
+        SELECT seq, task_type, 'signature' AS dataset_signature, string_agg(event_type, ' > ' ORDER BY event_id) AS plan_summary,
+        coalesce(string_agg(event_type, '; ' ORDER BY event_id) FILTER (WHERE event_type <> 'error'), '') AS successful_steps,
+        coalesce(string_agg(props, '; ' ORDER BY event_id) FILTER (WHERE event_type = 'error'), '') AS failures,
+        coalesce(string_agg(event_type, '; ' ORDER BY event_id) FILTER (WHERE event_type <> 'error' AND after_), '') AS recovery_strategies,
+        coalesce(string_agg(props, '; ' ORDER BY event_id) FILTER (WHERE event_type = 'purchase'), '') AS insights
+        FROM marked GROUP BY seq, task_type""",
     # tests and regression
     "ttest": _t(""", m AS (SELECT avg(revenue) FILTER (WHERE region = 'ASIA') AS m1, avg(revenue) FILTER (WHERE region = 'EUROPE') AS m2,
         var_samp(revenue) FILTER (WHERE region = 'ASIA') / count(*) FILTER (WHERE region = 'ASIA') AS e1, count(*) FILTER (WHERE region = 'ASIA') AS n1,
@@ -555,9 +583,9 @@ ORACLE: dict[str, str] = {
         round(regr_r2(cost, quantity), 6) AS r_squared,
         round(sqrt(regr_syy(cost, quantity) * (1 - regr_r2(cost, quantity)) / regr_count(cost, quantity)), 4) AS rmse FROM transactions"""),
 }
-_PRINTED = """SELECT customer_id, churn_probability, churned_predicted, 'Customer ' || customer_id || ' has a churn probability of '
-    || printf('%.1f%%', CAST(round(CAST(churn_probability * 100 AS DECIMAL(30, 8)), 1) AS DOUBLE)) || '.' || chr(10) || chr(10) || 'Main contributing factors:' || chr(10)
-    || string_agg('- ' || feature || ': ' || {value} || ' (' || direction || ', contribution: ' || printf('%+.4f', contribution) || ')', chr(10) ORDER BY rank) AS summary
+_PRINTED = """SELECT customer_id, churn_probability, churned_predicted, 'Customer ' || customer_id || ' leaves with probability '
+    || printf('%.1f%%', CAST(round(CAST(churn_probability * 100 AS DECIMAL(30, 8)), 1) AS DOUBLE)) || '.' || chr(10) || chr(10) || 'What weighs most:' || chr(10)
+    || string_agg('- ' || feature || ' = ' || {value} || ' ' || direction || ': ' || printf('%+.4f', contribution), chr(10) ORDER BY rank) AS summary
     FROM ranked JOIN scores USING (customer_id) WHERE rank <= 5 GROUP BY customer_id, churn_probability, churned_predicted"""
 ORACLE["explain_customers"] = _features(_PRINTED.format(value="CAST(feature_value AS VARCHAR)"), _SCORES + _LONG)
 for _name, _statement in SQL_TEXTS.items():

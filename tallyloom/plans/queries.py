@@ -328,6 +328,12 @@ def profile_standard(spark, d):
     return _profile(spark, d, "STANDARD")
 
 
+@query
+def dataset_profile(spark, d):
+    found = profile.dataset_profile(transactions_dirty(spark, d), "transactions")
+    return found.withColumns({c: _text(c) for c in ("numeric_columns", "categorical_columns", "datetime_columns", "id_columns")})
+
+
 # --- privacy ------------------------------------------------------------------------------------
 
 @query
@@ -593,6 +599,13 @@ def forecast_change(spark, d):
     return series.forecast_change(series.forecast_summary(series.daily_values(rows)), metrics.monthly_trend(rows))
 
 
+@query
+def forecast_evidence(spark, d):
+    rows = transactions(spark, d, "order_date", "revenue")
+    change = series.forecast_change(series.forecast_summary(series.daily_values(rows)), metrics.monthly_trend(rows))
+    return series.forecast_evidence(change)
+
+
 @query
 def forecast_ar(spark, d):
     return series.forecast_ar(_daily(spark, d, "region"), by=["region"])
@@ -627,8 +640,30 @@ def triage_summary(spark, d):
     return runs.triage_summary(t.run_log(spark, d))
 
 
+def _churn_results(spark, d):
+    """Two steps per region: how many customers may leave, and what the scores rest on."""
+    features = _stored_features(spark, d)
+    buyers = transactions(spark, d, "customer_id", "region").distinct()
+    judged = churn.churn_labels(_scores(features).join(features, "customer_id")).join(buyers, "customer_id")
+    counted = judged.groupBy("region").agg(
+        F.count("*").alias("n"), F.count_if("churned_predicted").alias("p"),
+        F.round(F.avg((F.col("churned_predicted").cast("int") == F.col("churned")).cast("double")), 4).alias("a"))
+    text = lambda c: F.col(c).cast("string")
+    scored = counted.select(
+        F.col("region").alias("run_id"), F.lit(3).alias("step_id"), F.lit("score_customers(features)").alias("code"),
+        F.create_map(F.lit("total_customers"), text("n"), F.lit("predicted_churned"), text("p"), F.lit("accuracy"), text("a")).alias("return_value"),
+        F.lit(None).cast("array<struct<feature:string,importance:double>>").alias("importance"))
+    ranked = attribution.global_importance(features, COEFFICIENTS).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("importance")).alias("size"), "feature"))).alias("all"))
+    weights = F.transform("all", lambda x: F.struct(x["feature"].alias("feature"), (-x["size"]).alias("importance")))
+    explained = counted.select(
+        F.col("region").alias("run_id"), F.lit(4).alias("step_id"), F.lit("global_importance(features)").alias("code"),
+        F.create_map().cast("map<string,string>").alias("return_value"), ranked.select(weights).scalar().alias("importance"))
+    return scored.unionByName(explained)
+
+
 def _results(spark, d):
-    """Two steps per region: revenue by category, and the revenue forecast."""
+    """Four steps per region: revenue by category, its forecast, churn scores and what these rest on."""
     rows = transactions(spark, d, "region", "product_category", "order_date", "revenue")
     sums = rows.groupBy("region", "product_category").agg(
         F.round(F.sum("revenue"), 2).alias("sum"), F.round(F.avg("revenue"), 2).alias("mean"), F.count("*").alias("count")
@@ -657,9 +692,10 @@ def _results(spark, d):
         ).alias("return_value"),
         none.alias("extracted_metrics"), F.lit(None).cast(breakdown.schema["breakdown"].dataType).alias("breakdown"),
     )
-    return materialize(breakdown.unionByName(forecast).withColumn(
-        "importance", F.lit(None).cast("array<struct<feature:string,importance:double>>")
-    ))
+    both = breakdown.unionByName(forecast).withColumn("importance", F.lit(None).cast("array<struct<feature:string,importance:double>>"))
+    churned = _churn_results(spark, d).withColumns({
+        "success": F.lit(True), "extracted_metrics": none, "breakdown": F.lit(None).cast(breakdown.schema["breakdown"].dataType)})
+    return materialize(both.unionByName(churned))
 
 
 @query
@@ -701,6 +737,18 @@ def experience_topk(spark, d):
     return found.select("task_type", F.array_join(F.col("experiences").cast("array<string>"), ",").alias("experiences"), _text("heuristics"))
 
 
+@query
+def experiences(spark, d):
+    """One experience per user and kind of event, its events taken as steps."""
+    failed = F.col("event_type") == "error"
+    steps = read(spark, d, "events").select(
+        F.col("user_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "forecasting").otherwise("descriptive").alias("task_type"),
+        F.col("event_id").alias("step_id"), F.col("event_type").alias("step"), (~failed).alias("success"),
+        F.when(failed, F.col("props")).alias("message"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("insight"))
+    made = experience.experiences(steps, "signature")
+    return made.withColumns({c: _text(c) for c in ("successful_steps", "failures", "recovery_strategies", "insights")})
+
+
 # --- tests and regression -------------------------------------------------------------------------------
 
 @query

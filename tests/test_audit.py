@@ -97,11 +97,11 @@ def test_evidence_rows(spark):
     by_metric = {r["metric_name"]: r for r in rows}
     assert len(by_metric) == len(rows) and "lost" not in by_metric and "word" not in by_metric
     first = by_metric["forecasted_daily_revenue_avg"]
-    assert first["metric_value"] == "120000.00" and first["confidence_score"] >= 0.8 and "Rs.120,000.00" in first["claim"]
+    assert first["metric_value"] == "120000.00" and first["confidence_score"] >= 0.8 and "120,000.00" in first["claim"] and first["artifact_id"] == "forecast_series"
     assert by_metric["points_count"]["step_id"] == 1 and by_metric["points_count"]["metric_value"] == "90"
     assert "10 of 50 customers (20.0%)" in by_metric["predicted_churn_rate"]["claim"]
     assert by_metric["shap_feature_importance"]["metric_value"] == "recency, monetary, frequency"
-    assert by_metric["region_top_segment_contribution"]["claim"] == "Leading segment for region is 'B' generating sum of 1,234.5 with average 2.0."
+    assert by_metric["region_top_segment_contribution"]["claim"] == "By region, B comes first with 1,234.5 in all and 2.0 a row."
     assert by_metric["region_top_segment_contribution"]["code_reference"] == "by region"
     table = {r["metric"]: r for r in evidence.evidence_table(evidence.evidence_rows(results)).collect()}
     assert table["accuracy"]["confidence"] == "95%"

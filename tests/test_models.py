@@ -94,7 +94,7 @@ def test_explain_one_customer(spark):
     table = spark.createDataFrame([(1, 2.0), (2, 4.0)], "id int, a double")
     scores = churn.score_customers(table, {"a": 1.0}, 0.0, key="id")
     explained = attribution.explain_customers(table, scores, "id", {"a": 1.0})
-    assert "churn probability of 88.1%" in attribution.explain_customer(explained, "id", 1).head()["summary"]
+    assert "leaves with probability 88.1%" in attribution.explain_customer(explained, "id", 1).head()["summary"]
     with pytest.raises(LookupError):
         attribution.explain_customer(explained, "id", 99)
 

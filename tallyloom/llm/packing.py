@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 from bisect import bisect_left, bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +18,22 @@ from .blocks import beside, store
 #: Triples take their shortest length from this grid; pairs take any. Sweeps of the solver.
 GRID, SWEEPS = 64, 20
 #: Words that a task encodes at once and remembers; a mark that stands between them.
-_BATCH, _VOCABULARY, _MARK = 1 << 12, 1 << 20, b"\x01"
+_BATCH, _VOCABULARY, _MARK = 1 << 7, 1 << 19, b"\x01"
 _STEP = 256
+# The steps before the merges under which plain words may go straight to them.
+_NORMALISER = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
 
 class WordIds(dict):
     """White-space word -> its ids as bytes of ``kind``.
 
     For vocabularies that drop white space, so that the ids of a text are those of its words put
-    together. New words are encoded many at once, with a mark between them.
+    together. Plain words, which are letters with punctuation behind, go straight to the vocabulary's merges if its
+    normaliser and splitter are the known ones; all others are encoded many at once with a mark between them.
     """
 
     def __init__(self, file: str):
@@ -33,34 +43,70 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.mark = self._plain(_MARK)
-
-    def _plain(self, text: bytes) -> np.ndarray:
+        self.mark = self._encoded(_MARK)
+        with open(file, encoding="utf-8") as text:
+            steps = json.load(text)
+        known = (steps.get("normalizer"), (steps.get("pre_tokenizer") or {}).get("pretokenizers")) == (_NORMALISER, _SPLITTER)
+        self.plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([^A-Za-z0-9'\x00-\x20\x7f-\U0010ffff]*)").fullmatch if known else None
+        self.parts: dict[str, bytes] = {}
+
+    def _encoded(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind)
 
+    def _part(self, part: str) -> bytes:
+        """Ids of one run of letters in lower case, or of punctuation."""
+        ids = self.parts.get(part)
+        if ids is None:
+            spelled = part if part.isascii() else "".join(map(_SPELLING.__getitem__, part.encode()))
+            ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
+        return ids
+
     def learn(self, words: set[bytes]) -> None:
         if len(self) > _VOCABULARY:
             self.clear()
-        new = [w for w in words if w not in self]
-        plain = [w for w in new if _MARK not in w]
+            self.parts.clear()
+        odd = []
+        for word in words.difference(self):
+            found = self.plain(word.decode()) if self.plain else None
+            if found:
+                self[word] = self._part(found[1].lower()) + (self._part(found[2]) if found[2] else b"")
+            else:
+                odd.append(word)
+        plain = [w for w in odd if _MARK not in w]
         for at in range(0, len(plain), _BATCH):
             part = plain[at:at + _BATCH]
-            ids = self._plain((b" " + _MARK + b" ").join(part) + b" " + _MARK)
+            ids = self._encoded((b" " + _MARK + b" ").join(part) + b" " + _MARK)
             ends = np.flatnonzero(ids == self.mark[0]).tolist() if len(self.mark) == 1 else []
             if len(ends) != len(part):  # the mark is no id of its own in this vocabulary
                 continue
             start = 0
             for word, end in zip(part, ends):
                 self[word], start = ids[start:end].tobytes(), end + 1
-        for word in new:
+        for word in odd:
             if word not in self:
-                self[word] = self._plain(word).tobytes()
+                self[word] = self._encoded(word).tobytes()
+
+
+def _spelling() -> list[str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_SPELLING = _spelling()
+
+
+@lru_cache(maxsize=1)
+def word_ids(file: str) -> WordIds:
+    """One a worker process, so that a task knows the words of the tasks before it."""
+    return WordIds(file)
 
 
 def _encode(file: str, end_id: int, window: int):
     """Ids of every document, and its number among the task's documents of equal rest."""
     def run(batches):
-        known, part, seen, whole = WordIds(file), TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
+        known, part, seen, whole = word_ids(file), TaskContext.get().partitionId(), np.zeros(window, np.int64), 0
         width, end = np.dtype(known.kind).itemsize, np.array([end_id], known.kind).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, _STEP):
@@ -273,6 +319,6 @@ def packed(
     before = counts.select("_part", F.col("_rest").alias("rest"), F.coalesce(F.sum("n").over(by_rest), F.lit(0)).alias("before"))
     folder = store(before.join(parts, "_part").select(F.col("_part").alias("_file"), F.lit(0).alias("_block"), "rest", "before", "whole_before"))
     out = encoded.mapInArrow(
-        _place(plan, folder, WordIds(vocabulary).kind),
+        _place(plan, folder, word_ids(vocabulary).kind),
         f"_id {kind}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("_id", id_col)

@@ -39,7 +39,8 @@ OTHER_PARTS = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo "
     "promotion recommended related respond reviews search share sharing sidebar signup skip social sponsor sponsored subscribe toolbar topbar widget".split())
 OWN_PARTS = frozenset("article body content entry main post story text".split())
-ALWAYS_OTHER = frozenset("ad ads advert adverts advertisement comment comments disqus respond sponsored related share".split())
+OWN_HEADERS = frozenset("header masthead".split())
+ALWAYS_OTHER = frozenset("ad ads advert adverts advertisement comment comments cookie disqus newsletter related respond share sponsored".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>|<[!/a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -112,8 +113,8 @@ def other(node: Node, inside: bool) -> bool:
         return True
     if node.tag in CONTENT or node.tag in ("#", "html", "body"):
         return False
-    named = node.parts & OTHER_PARTS
-    return bool(named) and (bool(named & ALWAYS_OTHER) or not (inside or node.parts & OWN_PARTS))
+    named = node.parts & (OTHER_PARTS - OWN_HEADERS if inside else OTHER_PARTS)
+    return bool(named & ALWAYS_OTHER) or bool(named) and not node.parts & OWN_PARTS
 
 
 def text_blocks(root: Node, removed=frozenset()) -> list[str]:

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ODD, unchanged
+from odd_documents import ODD, unchanged
 from tallyloom.llm import common, exact_dedup
 
 

@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from conftest import ODD
+from odd_documents import ODD
 from tallyloom.llm import packing
 
 FILE = public_tokenizers.path("word_bpe_49k.json")

@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 
 import __spark_entry__ as entry_file
-from conftest import unchanged
+from odd_documents import unchanged
 
 GIVEN = "/root/testdata/sf0.001"
 

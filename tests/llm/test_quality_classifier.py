@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from conftest import ODD, stored_again, unchanged
+from odd_documents import ODD, stored_again, unchanged
 from tallyloom.llm import quality_classifier as qc
 
 GIVEN = "/root/testdata/sf0.01"

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ODD, PROSE, unchanged
+from odd_documents import ODD, PROSE, unchanged
 from tallyloom.llm import quality_rules as rules
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from conftest import ODD, unchanged
+from odd_documents import ODD, unchanged
 from tallyloom.llm import simhash
 from tallyloom.llm.components import components
 

@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ODD, stored_again, unchanged
+from odd_documents import ODD, stored_again, unchanged
 from tallyloom.llm import blocks, substring_dedup as sd
 
 

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from conftest import LONG_TEXT, ODD, stored_again
+from odd_documents import LONG_TEXT, ODD, stored_again
 from tallyloom.llm import blocks, suffix_dedup as sd
 
 

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .blocks import beside, blocks, runs, store
 
-#: Words of one row of the fold, and places of a word in one entry; words this long are merged one by one.
-ROW_WORDS, ROW_PLACES, LONG = 1 << 12, 1 << 12, 256
+#: Bytes above which a word is merged by itself instead of folded.
+LONG = 256
 #: Words that a task holds before it passes them on.
 _HELD, _STEP = 1 << 20, 256
 NONE = 1 << 16
@@ -139,64 +139,69 @@ def _distinct(pattern: str):
     return run
 
 
-_PLACE = pa.struct([("file", pa.int64()), ("block", pa.int32())])
-
-
 @lru_cache(maxsize=1)
-def _vocabulary(file: str) -> tuple[dict[bytes, int], np.ndarray]:
+def _vocabulary(file: str) -> tuple[dict[bytes, int], pa.Array, np.ndarray, np.ndarray]:
+    """Ranks; the tokens and their ranks as arrays; the rank of every byte."""
     ranks = read_ranks(file)
-    return ranks, np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+    return ranks, pa.array(list(ranks), pa.binary()), np.array(list(ranks.values()), np.int32), np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    """An array as the only list of a column."""
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def _rows_of_words(file: str):
-    """Sorted words in, rows of many distinct words out: the word, the ids to merge, the blocks that have it.
+    """Sorted words in, one row for the distinct words of each batch out: word, ids to merge, files and blocks that have it.
 
-    A word that is a token, or too long to fold, comes with its final ids, ``done``.
+    A word that is a token comes with its id, one too long to fold with all its ids; there is nothing to
+    merge then. A word that goes on in the next batch is folded there again.
     """
-    def row(words):
-        ranks, single = _vocabulary(file)
-        ids, done = [], []
-        for word, _ in words:
-            raw = word.encode()
-            token = ranks.get(raw)
-            known = token is not None or len(raw) > LONG
-            done.append(([token] if token is not None else merge_long(raw, ranks)) if known else None)
-            ids.append([] if known else single[np.frombuffer(raw, np.uint8)])
-        return pa.RecordBatch.from_arrays([
-            pa.array([[w for w, _ in words]], pa.list_(pa.string())),
-            pa.array([[list(x) for x in ids]], pa.list_(pa.list_(pa.int32()))),
-            pa.array([done], pa.list_(pa.list_(pa.int32()))),
-            pa.array([[[{"file": f, "block": b} for f, b in places] for _, places in words]], pa.list_(pa.list_(_PLACE))),
-        ], ["word", "parts", "done", "places"])
-
     def run(batches):
-        words, last = [], None
+        ranks, tokens, token_ranks, single = _vocabulary(file)
         for batch in batches:
-            for at_file, at_block, word in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if word != last or len(words[-1][1]) >= ROW_PLACES:
-                    if len(words) >= ROW_WORDS:
-                        yield row(words)
-                        words = []
-                    words.append((word, []))
-                    last = word
-                words[-1][1].append((at_file, at_block))
-        if words:
-            yield row(words)
+            words, files, blocks_ = batch.column("word"), batch.column("_file").to_numpy(), batch.column("_block").to_numpy()
+            runs_ = pc.run_end_encode(words)
+            ends = np.asarray(runs_.run_ends)
+            # A block read by two tasks has told of a word twice.
+            new = np.ones(len(files), bool)
+            new[1:] = (files[1:] != files[:-1]) | (blocks_[1:] != blocks_[:-1])
+            new[np.concatenate(([0], ends[:-1]))] = True
+            places = np.concatenate(([0], np.cumsum(new)[ends - 1])).astype(np.int32)
+            raw = runs_.values.cast(pa.binary())
+            offsets = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset:raw.offset + len(raw) + 1]
+            letters, size = np.frombuffer(raw.buffers()[2], np.uint8)[offsets[0]:offsets[-1]], np.diff(offsets)
+            token = pc.index_in(raw, tokens)
+            known = pc.is_valid(token).to_numpy(zero_copy_only=False)
+            long = ~known & (size > LONG)
+            folded = ~known & ~long
+            parts = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(folded, size, 0)))).astype(np.int32),
+                                             pa.array(single[letters[np.repeat(folded, size)]]))
+            done = pa.array([merge_long(raw[i].as_py(), ranks) if x else None for i, x in enumerate(long.tolist())] if long.any() else [None] * len(raw), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([
+                _one(runs_.values), _one(parts), _one(pa.array(np.where(known, token_ranks[token.fill_null(0).to_numpy()], -1).astype(np.int32))), _one(done),
+                _one(pa.ListArray.from_arrays(pa.array(places), pa.array(files[new]))), _one(pa.ListArray.from_arrays(pa.array(places), pa.array(blocks_[new]))),
+            ], ["word", "parts", "token", "done", "files", "blocks"])
     return run
 
 
 def _by_place(batches):
     """Rows of folded words in, one row per block and word out; ids as unsigned 16-bit integers."""
     for batch in batches:
-        for words, folded, done, places in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            ids = [np.array(f if d is None else d, "<u2").tobytes() for f, d in zip(folded, done)]
-            times = [len(p) for p in places]
-            flat = [x for p in places for x in p]
-            at = np.repeat(np.arange(len(words)), times)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([x["file"] for x in flat], pa.int64()), pa.array([x["block"] for x in flat], pa.int32()),
-                pc.take(pa.array(words, pa.string()), at), pc.take(pa.array(ids, pa.binary()), at),
-            ], ["_file", "_block", "word", "ids"])
+        words, folded, token, done, files, blocks_ = (batch.column(i).flatten() for i in range(6))
+        token, size = token.to_numpy(), pc.list_value_length(folded).to_numpy()
+        known = token >= 0
+        size = np.where(known, 1, size)
+        ids = np.empty(size.sum(), "<u2")
+        of_token = np.repeat(known, size)
+        ids[of_token], ids[~of_token] = token[known], folded.flatten().to_numpy()
+        offsets = np.concatenate(([0], np.cumsum(2 * size))).astype(np.int32)
+        packed = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())])
+        if done.null_count < len(done):
+            packed = pa.array([np.array(d, "<u2").tobytes() if d is not None else x for x, d in zip(packed.to_pylist(), done.to_pylist())], pa.binary())
+        at = np.repeat(np.arange(len(words)), pc.list_value_length(files).to_numpy())
+        yield pa.RecordBatch.from_arrays(
+            [files.flatten(), blocks_.flatten(), pc.take(words, at), pc.take(packed, at)], ["_file", "_block", "word", "ids"])
 
 
 _WORDS = pa.schema([("word", pa.string()), ("ids", pa.binary())])
@@ -234,17 +239,16 @@ def _words(docs: DataFrame, file: str, pattern: str, id_col: str, text_col: str)
     spark = docs.sparkSession
     rows = blocks(docs, {"_id": F.col(id_col), "_text": F.col(text_col).cast("string")})
     words = rows.mapInArrow(_distinct(pattern), "_file long, _block int, word string")
-    words = words.repartition("word").sortWithinPartitions("word")
-    places = "array<array<struct<file: long, block: int>>>"
-    many = words.mapInArrow(_rows_of_words(file), f"word array<string>, parts array<array<int>>, done array<array<int>>, places {places}")
+    words = words.repartition("word").sortWithinPartitions("word", "_file", "_block")
+    many = words.mapInArrow(_rows_of_words(file), "word array<string>, parts array<array<int>>, token array<int>, done array<array<int>>, "
+                            "files array<array<long>>, blocks array<array<int>>")
     ranks = rank_map(pair_ranks(read_ranks(file)))
     # One row of the vocabulary's own size; as a subquery it is a literal to each task.
     offsets = pa.array([0, len(ranks)], pa.int32())
     literal = spark.createDataFrame(pa.table({"ranks": pa.ListArray.from_arrays(offsets, pa.array(ranks))}))
     many = many.withColumn("ranks", literal.scalar())
-    folded = many.select("word", fold("parts", "ranks", len(ranks)).alias("folded"), "done", "places")
-    placed = folded.mapInArrow(_by_place, "_file long, _block int, word string, ids binary")
-    return rows, store(placed.dropDuplicates(["_file", "_block", "word"]))
+    folded = many.select("word", fold("parts", "ranks", len(ranks)).alias("folded"), "token", "done", "files", "blocks")
+    return rows, store(folded.mapInArrow(_by_place, "_file long, _block int, word string, ids binary"))
 
 
 def encoded(docs: DataFrame, file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

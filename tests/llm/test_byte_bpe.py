@@ -7,7 +7,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from conftest import ODD
+from odd_documents import ODD
 from tallyloom.llm import byte_bpe as bpe
 
 FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -19,8 +19,7 @@ def reference():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_odd_documents_round_trip(odd, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "ROW_PLACES", 1)
+def test_odd_documents_round_trip(odd, reference):
     rows = bpe.round_trip(odd, FILE, public_tokenizers.PATTERN).collect()
     want = []
     for i, t in ODD:

@@ -34,6 +34,17 @@ def test_encode_then_decode(odd):
     assert sorted(((r["doc_id"], bytes(r["bytes"])) for r in texts), key=str) == sorted(((i, (t or "").encode()) for i, t in ODD), key=str)
 
 
+def test_the_ascii_form_splits_alike():
+    import regex
+
+    plain, full = bpe.ascii_form(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    random.seed(5)
+    for _ in range(3000):
+        text = "".join(random.choices(" \t\n\r\x0b\x0c\x1c\x1f\x00aZ09'st_-.ll'", k=random.randint(0, 25)))
+        assert plain.findall(text) == full.findall(text)
+    assert bpe.ascii_form(r"\p{Lu}+") is None and bpe.ascii_form(r"[\p{L}\s]+|\p{N}").pattern == r"[A-Za-z\s]+|[0-9]"
+
+
 def test_long_words_merge_like_short_ones(reference):
     ranks = bpe.read_ranks(FILE)
     random.seed(2)

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scratch import materialize
-from .blocks import beside, store
+from .blocks import beside, store, tidy
 
 #: Triples take their shortest length from this grid; pairs take any. Sweeps of the solver.
 GRID, SWEEPS = 64, 20
@@ -61,10 +61,13 @@ class WordIds(dict):
             ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+
     def learn(self, words: set[bytes]) -> None:
         if len(self) > _VOCABULARY:
-            self.clear()
-            self.parts.clear()
+            self.forget()
         odd = []
         for word in words.difference(self):
             found = self.plain(word.decode()) if self.plain else None
@@ -99,7 +102,7 @@ _SPELLING = _spelling()
 
 @lru_cache(maxsize=1)
 def word_ids(file: str) -> WordIds:
-    """One a worker process, so that a task knows the words of the tasks before it."""
+    """One a worker process, as the vocabulary takes long to read."""
     return WordIds(file)
 
 
@@ -126,6 +129,8 @@ def _encode(file: str, end_id: int, window: int):
                     "_part": pa.repeat(pa.scalar(part, pa.int64()), len(ids)), "_rest": pa.array([n % window for n in tokens], pa.int32()),
                     "_local": pa.array(local, pa.int64()), "_whole": pa.array(first, pa.int64()),
                 })
+        known.forget()
+        tidy()
     return run
 
 

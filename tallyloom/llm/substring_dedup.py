@@ -14,7 +14,7 @@ from .common import stored
 
 #: Words that one step of a task hashes at once, and documents it takes for that.
 STEP_WORDS, STEP_ROWS = 1 << 18, 512
-VOCABULARY = 1 << 20
+VOCABULARY = 1 << 18
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NO_ID = np.iinfo(np.int64).max
 
@@ -94,11 +94,11 @@ def _record(columns: dict, block: tuple[int, int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict(full | {k: pa.array(v) for k, v in columns.items()})
 
 
-def _by_block(batches, collect, merge):
-    """Collect from every run of rows, merge and yield when the block changes or grows large."""
+def _by_block(batches, collect, merge, most):
+    """Collect from every run of rows, merge and yield when the block changes or has ``most`` windows."""
     held, size, current = [], 0, None
     for block, rows in runs(batches, STEP_ROWS):
-        if held and (block != current or size > 1 << 21):
+        if held and (block != current or size > most):
             yield _record(merge(held), current)
             held, size = [], 0
         current = block
@@ -128,7 +128,7 @@ def _first_level(length: int, window: int):
         hashes, times = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
         return {"hash": hashes.view(np.int64), "many": times > 1}
 
-    return lambda batches: _by_block(batches, collect, merge)
+    return lambda batches: _by_block(batches, collect, merge, 1 << 20)
 
 
 def _second_level(length: int, window: int, folder: str):
@@ -164,7 +164,7 @@ def _second_level(length: int, window: int, folder: str):
         return {"low": low[new].view(np.int64), "high": high[new].view(np.int64),
                 "least": np.minimum.reduceat(least, new), "most": np.maximum.reduceat(most, new)}
 
-    return lambda batches: _by_block(batches, collect, merge)
+    return lambda batches: _by_block(batches, collect, merge, 1 << 19)
 
 
 _OWNERS = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("least", pa.int64())])

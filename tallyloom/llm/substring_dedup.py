@@ -261,15 +261,14 @@ def drop_repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = docs.columns.index(text_col)
     rows = blocks(docs, {
         "_id": F.col(id_col).cast("long"), "_text": F.col(text_col).cast("string"),
-        **{n: F.col(f"`{c}`") for n, c in zip(names, docs.columns)},
+        **{n: F.col(f"`{c}`") for i, (n, c) in enumerate(zip(names, docs.columns)) if i != text},
     })
 
     def changed(batch, found):
         before = batch.column("_text").to_pylist()
         after = [t if not g.any() else b" ".join([w for w, x in zip(words, g.tolist()) if not x]).decode("utf-8", "surrogatepass")
                  for t, (words, g) in zip(before, found)]
-        columns = [batch.column(n) for n in names]
-        columns[text] = pa.array(after, pa.string())
+        columns = [pa.array(after, pa.string()) if i == text else batch.column(n) for i, n in enumerate(names)]
         return pa.RecordBatch.from_arrays(columns, names)
 
     kinds = [(n, f.dataType.simpleString()) for n, f in zip(names, docs.schema.fields)]

@@ -69,8 +69,13 @@ def pair_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFr
         ]) for n, chunk in enumerate(chunks)
     ]))
     width = range(min(_PAIRS, len(pairs)))
-    # A pair in which one side does not vary divides by zero.
-    each = wide.groupBy("chunk").agg(*[F.nanvl(F.corr(f"x{k}", f"y{k}"), none).alias(f"r{k}") for k in width])
+
+    def correlation(k: int) -> Column:
+        x, y = F.col(f"x{k}"), F.col(f"y{k}")
+        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
+        return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
+
+    each = wide.groupBy("chunk").agg(*[correlation(k).alias(f"r{k}") for k in width])
     found = each.select(to_rows([F.struct((F.col("chunk") * _PAIRS + k).alias("pair"), F.col(f"r{k}").alias("r")) for k in width]))
     names = df.sparkSession.createDataFrame(
         [(n, i, j, columns[i], columns[j]) for n, (i, j) in enumerate(pairs)],

@@ -1,4 +1,4 @@
-"""SimHash near-dedup with multi-index hashing."""
+"""SimHash near-dedup with multi-index hashing, and near-dedup by the Jaccard similarity of word shingles."""
 
 from __future__ import annotations
 
@@ -12,6 +12,11 @@ from .common import numbered, salted_join, stored, without
 from .components import components
 
 BLOCK = 1 << 16
+#: Bands of a signature and minima a band: of pairs with Jaccard 0.8, 3 in a million share no band.
+BANDS, MINIMA = 32, 5
+_FACTORS, _ADDENDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * MINIMA), np.uint64, endpoint=False) | np.uint64(1)
+_CHUNK = 1 << 10
+_TOGETHER = 256
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -160,10 +165,167 @@ def _class_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class: that with the smallest id, of equal ids the first stored."""
     docs = stored(docs)
-    found = materialize(near_duplicates(docs, id_col, text_col, **options))
+    return _first_of_each(docs, near_duplicates(docs, id_col, text_col, **options), id_col)
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each class of ``similar``, chosen as by ``drop_near_duplicates``."""
+    docs = stored(docs)
+    return _first_of_each(docs, similar(docs, id_col, text_col, **options), id_col)
+
+
+def _first_of_each(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFrame:
+    found = materialize(classes)
     place = F.struct(F.col(id_col).isNull().alias("_none"), F.col(id_col).alias("_id"), "_row")
     # Rows without id have no class id of their own to group by; their fingerprint stands in.
     key = F.struct(F.col("component_id").alias("_class"), F.when(F.col("component_id").isNull(), F.col("_print")).alias("_print"))
     kept = found.groupBy(key.alias("_key")).agg(F.min(place).alias("_first")).select(F.col("_first._row").alias("_row"))
     gone = materialize(found.select("_row").join(kept, "_row", "left_anti"))
     return without(docs, gone)
+
+
+def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of the whole text, which is read as ``fingerprint`` reads it."""
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    width, digest = min(words, len(tokens)), xxhash.xxh64_intdigest
+    shingles = (b" ".join(tokens[i:i + width]) for i in range(len(tokens) - width + 1))
+    return np.unique(np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(tokens) - width + 1))
+
+
+def bands(shingles: np.ndarray) -> np.ndarray:
+    """A key for each band of the MinHash signature; none without shingles."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), _CHUNK):
+        least = np.minimum(least, (shingles[at:at + _CHUNK, None] * _FACTORS + _ADDENDS).min(axis=0))
+    rows = least.reshape(BANDS, MINIMA)
+    return np.array([xxhash.xxh3_64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _signatures(words: int, seed: int):
+    def run(batches):
+        for batch in batches:
+            sets = (shingle_set(t, words, seed) for t in batch.column("text").to_pylist())
+            found = [(xxhash.xxh3_64_intdigest(x.tobytes()), bands(x)) for x in sets]
+            prints = pa.array(np.array([p for p, _ in found], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_row"), batch.column("_id"), prints, pa.array([b for _, b in found], pa.list_(pa.int64()))],
+                ["_row", "_id", "_print", "_bands"])
+    return run
+
+
+def _sets(words: int, seed: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [shingle_set(t, words, seed).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("_print"), pa.array(sets, pa.list_(pa.int64()))], ["_print", "_set"])
+    return run
+
+
+def _whole_buckets(batches):
+    """(prints, roots or None) of every bucket with several members; rows come sorted by bucket."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(n).to_numpy() for n in batch.schema.names]
+        held = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
+        keys = held[0]
+        if keys[0] == keys[-1]:
+            continue  # the bucket may go on in the next batch
+        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 1:
+                yield [x[a:b] for x in held]
+        held = [x[cuts[-1]:] for x in held]
+    if held is not None and len(held[0]) > 1:
+        yield held
+
+
+def _flat(parts, names):
+    """Record batches of the columns in ``parts``, put together to some size."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size >= BLOCK:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+
+
+def _shared(batches):
+    """Members of buckets with several: _bucket, _print, _lead (the smallest member)."""
+    return _flat(((k, p, np.full(len(p), p.min())) for k, p in _whole_buckets(batches)), ["_bucket", "_print", "_lead"])
+
+
+def _open_pairs(batches):
+    """Pairs of a bucket's members that are in different classes so far."""
+    def parts():
+        for _, prints, roots in _whole_buckets(batches):
+            order = np.argsort(roots, kind="stable")
+            prints, roots = prints[order], roots[order]
+            # Members of one root stand together: each meets those of the roots before its own.
+            for at, to in zip(range(len(prints)), np.searchsorted(roots, roots).tolist()):
+                if to:
+                    other = prints[:to]
+                    yield np.minimum(other, prints[at]), np.maximum(other, prints[at])
+    return _flat(parts(), ["a", "b"])
+
+
+def _with_set(pairs: DataFrame, sets: DataFrame, key: str, other: str, name: str) -> DataFrame:
+    """``pairs`` with the shingle set of ``key``; a set is repeated once for every ``_TOGETHER`` pairs that need it."""
+    shares = pairs.groupBy(key).agg(F.ceil(F.count("*") / _TOGETHER).alias("_shares"))
+    dealt = salted_join(pairs, shares, key, "inner", other).withColumn("_share", F.pmod(F.xxhash64(F.lit(11), other), F.col("_shares")))
+    copies = shares.join(sets.withColumnsRenamed({"_print": key, "_set": name}).hint("merge"), key)
+    copies = copies.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares")
+    return dealt.drop("_shares").join(copies.hint("merge"), [key, "_share"]).drop("_share")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets have a Jaccard similarity of ``least``, by counting them."""
+    left, right = _with_set(pairs, sets, "a", "b", "_left"), _with_set(pairs, sets, "b", "a", "_right")
+    both = left.join(right.hint("merge"), ["a", "b"])
+    common = F.size(F.array_intersect("_left", "_right"))
+    counted = both.select("a", "b", common.alias("_both"), (F.size("_left") + F.size("_right") - common).alias("_any"))
+    return counted.where(F.col("_both") * 1000 >= F.col("_any") * round(least * 1000)).select("a", "b")
+
+
+def similar(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, least: float = 0.8,
+) -> DataFrame:
+    """Every row's class of similar texts, with the columns of ``near_duplicates``; _print is a hash of the shingle set.
+
+    Texts link when the Jaccard similarity of their shingle sets is ``least`` or more. Texts with equal sets are
+    one node. Nodes meet in the bands of a MinHash signature, and a link is one that the sets themselves bear
+    out. First every node of a bucket is compared with the smallest, then those pairs are that no link joins
+    so far; what is joined already needs no comparison, so a family of n copies costs about n.
+
+    A 64-bit SimHash gives no such candidates: prints of texts of similarity 0.8 differ by 9.7 bits on average, one
+    pair in 37 by more than 15, and of any two texts one pair in 82,000 differs by 15 or less.
+    """
+    rows = numbered(stored(docs)).select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    signed = materialize(rows.mapInArrow(
+        _signatures(words, seed), f"_row struct<file:long,at:long>, _id {kind}, _print long, _bands array<long>"))
+    nodes = materialize(signed.groupBy("_print").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min("_row").alias("_row")))
+    members = signed.join(nodes.select("_row"), "_row", "left_semi").select(F.explode("_bands").alias("_bucket"), "_print")
+    met = members.repartition("_bucket").sortWithinPartitions("_bucket")
+    met = materialize(met.mapInArrow(_shared, "_bucket long, _print long, _lead long"))
+    wanted = nodes.join(met.select("_print").distinct(), "_print", "left_semi").select("_row", "_print")
+    sets = materialize(rows.join(wanted, "_row").select("_print", "text").mapInArrow(_sets(words, seed), "_print long, _set array<long>"))
+    first = materialize(met.where("_lead <> _print").select(F.col("_lead").alias("a"), F.col("_print").alias("b")).distinct())
+    links = materialize(_alike(first, sets, least))
+    roots = components(links).withColumnRenamed("node", "_print")
+    known = salted_join(met.select("_bucket", "_print"), roots, "_print", "left", "_bucket")
+    known = known.select("_bucket", "_print", F.coalesce("root", "_print").alias("_root"))
+    left = known.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_open_pairs, "a long, b long").distinct()
+    links = links.union(_alike(materialize(left.join(first, ["a", "b"], "left_anti")), sets, least))
+    found = salted_join(signed.drop("_bands"), _class_ids(nodes, components(links)), "_print", "left")
+    return found.select("_row", F.col("_id").alias(id_col), "_print", F.coalesce("_class", "_id").alias("component_id"))

@@ -113,3 +113,57 @@ def test_dropping_keeps_one_a_class(odd):
 
 def test_empty(empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.drop_near_duplicates(empty).columns == empty.columns
+
+
+def jaccard(a, b):
+    a, b = ({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+@pytest.fixture(scope="module")
+def planted(spark, tmp_path_factory):
+    """Texts with 0 to 5 words of 200 changed, chains of such changes, and a line that all of them share."""
+    random.seed(9)
+    texts = []
+    for family in range(12):
+        base = [f"w{random.randrange(5000)}" for _ in range(200)]
+        for copy in range(10):
+            words = list(base)
+            for at in random.sample(range(200), (copy + family % 3) // 2):
+                words[at] = f"x{random.randrange(5000)}"
+            texts.append(" ".join(["all", "of", "these", "share", "one", "line", "here", *words]))
+            if family % 4 == 0:
+                base = words
+    random.shuffle(texts)
+    path = str(tmp_path_factory.mktemp("planted") / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    return spark.read.parquet(path), texts
+
+
+def test_the_near_stage_finds_what_is_similar(spark, planted):
+    """Against all pairs: texts of Jaccard 0.8 and more are joined, others are not."""
+    import corpus_pipeline
+
+    docs, texts = planted
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    assert len(links) > 100
+    assert len(set(label)) > 20
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs).collect()} == dict(enumerate(label))
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == set(label)
+
+
+def test_pairs_that_no_link_joins_are_compared():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"_bucket": [1, 1], "_print": [5, -3], "_root": [5, -3]}), pa.RecordBatch.from_pydict({"_bucket": [1, 2, 2], "_print": [9, 7, 8], "_root": [5, 7, 7]})]
+    assert {(r["a"], r["b"]) for batch in simhash._open_pairs(iter(batches)) for r in batch.to_pylist()} == {(-3, 5), (-3, 9)}
+
+
+def test_similar_on_odd_texts(odd, empty):
+    rows = simhash.similar(odd).collect()
+    assert sorted((r["doc_id"] for r in rows), key=str) == sorted((i for i, _ in ODD), key=str)
+    assert unchanged(simhash.drop_similar(odd), odd) and simhash.drop_similar(empty).count() == 0

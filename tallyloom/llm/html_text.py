@@ -42,23 +42,36 @@ OWN_PARTS = frozenset("article body content entry main post story text".split())
 OWN_HEADERS = frozenset("header masthead".split())
 ALWAYS_OTHER = frozenset("ad ads advert adverts advertisement comment comments cookie disqus newsletter related respond share sponsored".split())
 
+# Words that say where a part stands or what it is made of. A class, id or role names another part if
+# it consists of such words, own parts and at least one other part; any other word in it says that it means something else.
+AROUND = frozenset(
+    "area bar block blocks bottom box button buttons col column container element fixed form global group holder icon icons inner item items left "
+    "level link links list local mobile outer page panel posts primary right row secondary section site slot sticky top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>|<[!/a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parts", "parent", "items", "path", "children", "holds", "height")
+    __slots__ = ("tag", "names", "ids", "parent", "items", "path", "children", "holds", "height")
 
-    def __init__(self, tag: str, parts: frozenset, parent: Node | None):
-        self.tag, self.parts, self.parent, self.items = tag, parts, parent, []
+    def __init__(self, tag: str, names: list[str], ids: list[str], parent: Node | None):
+        """``names``: the words of class and role as they stand; ``ids``: those of id."""
+        self.tag, self.names, self.ids, self.parent, self.items = tag, names, ids, parent, []
+        parts = frozenset(p for name in names + ids for p in _pieces(name))
         self.children, self.holds = 0, tag in CONTENT
         label = tag + "." + ".".join(sorted(re.sub(r"\d+", "0", p) for p in parts)) if parts else tag
         self.path = xxhash.xxh3_64_intdigest(f"{parent.path if parent else 0}/{label}".encode()) >> 1
 
 
+def _pieces(name: str) -> list[str]:
+    return [p for p in re.split(r"[_-]+", name) if p]
+
+
 def parse(html: str | None) -> Node:
     """The element tree of a page (``holds``: an article or main element is in it); unclosed and stray tags are borne as browsers do, in the main."""
-    root = here = Node("#", frozenset(), None)
+    root = here = Node("#", [], [], None)
     text, at, size = html or "", 0, len(html or "")
     while at < size:
         found = _TAG.search(text, at)
@@ -80,8 +93,10 @@ def parse(html: str | None) -> Node:
         elif tag in CLOSES_SAME:
             for same in ("dt", "dd") if tag in ("dt", "dd") else ("td", "th") if tag in ("td", "th") else (tag,):
                 here = _closed(here, same, stop=CLOSES_SAME[tag])
-        parts = frozenset(p for a in _ATTRIBUTE.finditer(found[3] or "") for p in re.split(r"[\s_-]+", (a[2] or a[3] or a[4] or "").lower()) if p)
-        node = Node(tag, parts, here)
+        names, ids = [], []
+        for a in _ATTRIBUTE.finditer(found[3] or ""):
+            (ids if a[1].lower() == "id" else names).extend((a[2] or a[3] or a[4] or "").lower().split())
+        node = Node(tag, names, ids, here)
         here.items.append(node)
         if node.holds:
             up = here
@@ -107,14 +122,26 @@ def _closed(here: Node, tag: str, stop: frozenset | tuple = ()) -> Node:
     return here
 
 
-def other(node: Node, inside: bool) -> bool:
-    """Whether the presentation alone tells that a branch is no main text."""
-    if node.tag in RAW or node.tag in NEVER or node.tag == "header" and not inside:
+def other(node: Node, inside: str) -> bool:
+    """Whether the presentation alone tells that a branch is no main text; ``inside`` is the innermost of article and main around it, or empty.
+
+    No name and no form takes away an article or main element, save articles within an article. Headings are not
+    judged by their ids, nor are sections within article or main: ids are made from what a heading says.
+    """
+    holds = node.holds and inside != "article"
+    if node.tag in RAW or node.tag in NEVER and not (node.tag == "form" and holds) or node.tag == "header" and not inside:
         return True
-    if node.tag in CONTENT or node.tag in ("#", "html", "body"):
+    if holds or node.tag in CONTENT or node.tag in ("#", "html", "body"):
         return False
-    named = node.parts & (OTHER_PARTS - OWN_HEADERS if inside else OTHER_PARTS)
-    return bool(named & ALWAYS_OTHER) or bool(named) and not node.parts & OWN_PARTS
+    judged = node.names if node.tag in HEADINGS or inside and node.tag == "section" else node.names + node.ids
+    others = OTHER_PARTS - OWN_HEADERS if inside else OTHER_PARTS
+    named, own = set(), False
+    for name in judged:
+        pieces = _pieces(name)
+        own = own or not OWN_PARTS.isdisjoint(pieces)
+        if all(p in OTHER_PARTS or p in AROUND or p in OWN_PARTS or p.isdigit() for p in pieces):
+            named.update(others.intersection(pieces))
+    return not named.isdisjoint(ALWAYS_OTHER) or bool(named) and not own
 
 
 def text_blocks(root: Node, removed=frozenset()) -> list[str]:
@@ -129,7 +156,7 @@ def text_blocks(root: Node, removed=frozenset()) -> list[str]:
             out.append(line)
         held.clear()
 
-    stack = [(root, False, iter(root.items))]
+    stack = [(root, "", iter(root.items))]
     while stack:
         node, inside, items = stack[-1]
         for item in items:
@@ -143,7 +170,7 @@ def text_blocks(root: Node, removed=frozenset()) -> list[str]:
             else:
                 if item.tag not in INLINE:
                     flush()
-                stack.append((item, inside or item.tag in CONTENT, iter(item.items)))
+                stack.append((item, _around(item.tag, inside), iter(item.items)))
                 break
         else:
             stack.pop()
@@ -152,6 +179,11 @@ def text_blocks(root: Node, removed=frozenset()) -> list[str]:
     return out
 
 
+def _around(tag: str, inside: str) -> str:
+    """Within an article a main element changes nothing."""
+    return tag if tag in CONTENT and inside != "article" else inside
+
+
 def heights(root: Node) -> None:
     """How many levels lie below each element."""
     order, stack = [], [root]

@@ -25,6 +25,24 @@ def test_parts_within_the_article():
     assert text(html) == "T\n\nstays\n\nown"
 
 
+@pytest.mark.parametrize("around", [
+    "<div class='layout with-sidebar'>{}</div>", "<div class='page no-sidebar'>{}</div>", "<div class='site-main comments-closed'>{}</div>", "<div class='content ad-free'>{}</div>",
+    "<div class='post related-posts-enabled'>{}</div>", "<form action=/><div>{}</div></form>", "<main><form>{}</form></main>", "<div class=widget>{}</div>",
+])
+def test_no_name_takes_an_article(around):
+    assert text(around.format(ARTICLE)) == WANT
+    assert text(around.format(ARTICLE.replace("article>", "main>"))) == WANT
+
+
+@pytest.mark.parametrize("name", ["related-work", "search-and-rescue", "share-price", "ad-hoc-networks", "social-impact", "comments"])
+def test_ids_of_headings_and_sections_in_an_article(name):
+    assert text(f"<article><h2 id='{name}'>Head</h2><section id='{name}'>stays</section></article>") == "Head\n\nstays"
+
+
+def test_names_of_what_is_not_another_part():
+    assert text("<article><div class='share-price'>up</div><div class='share-buttons'>no</div><ol class='comment-list'><li><article>no</article></ol></article>") == "up"
+
+
 @pytest.mark.parametrize("html, want", [
     (None, ""), ("", ""), ("plain", "plain"), ("a &lt;b&gt; &#233; &nbsp; c", "a <b> é c"), ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"), ("<p>cut &am", "cut &am"),
     ("<p>cut <a hre", "cut"), ("<p>x</b></i></p></div>y", "x\n\ny"), ("<p>a<b>b</b>c</p>", "abc"), ("<ul><li>one<li>two</ul>three", "one\n\ntwo\n\nthree"),

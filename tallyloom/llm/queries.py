@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
+from . import byte_bpe, exact_dedup, fill_in_middle, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
 from .common import read
 
 QUERIES = {}
@@ -88,3 +88,36 @@ def op3_suffix_dedup(spark, folder):
 def op2_byte_bpe(spark, folder):
     file = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.round_trip(read(spark, folder, "documents"), file, public_tokenizers.PATTERN)
+
+
+@query
+def op13_fill_in_middle(spark, folder):
+    found = fill_in_middle.fill_in_middle(read(spark, folder, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        digest(F.col("output")).alias("output_sha256"), digest(back).alias("restored_sha256"))
+
+
+ORACLE["op13_fill_in_middle"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || doc_id) AS h, length(coalesce(text, '')) AS n FROM documents
+), c AS (
+  SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS a, ('0x' || h[9:16])::BIGINT % (n + 1) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+      OR ('0x' || h[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), s AS (
+  SELECT *, substring(text, 1, least(a, b)) AS prefix, substring(text, least(a, b) + 1, greatest(a, b) - least(a, b)) AS middle,
+    substring(text, greatest(a, b) + 1) AS suffix
+  FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN least(a, b) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN greatest(a, b) - least(a, b) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM s
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fill_in_middle, html_text, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
+from . import byte_bpe, exact_dedup, fill_in_middle, html_text, lexical_search, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
 from .common import read
 
 QUERIES = {}
@@ -121,3 +121,29 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN least(a, b)
   sha256(text) AS restored_sha256
 FROM s
 """
+
+
+@query
+def op11_lexical_search(spark, folder):
+    return lexical_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"), k=10)
+
+
+ORACLE["op11_lexical_search"] = r"""
+WITH w AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents
+), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM p GROUP BY ALL),
+c AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM d),
+f AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM p, c GROUP BY term, docs),
+q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), s AS (
+  SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM q JOIN f USING (term) JOIN p USING (term) JOIN d USING (doc_id), c GROUP BY ALL
+), r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""

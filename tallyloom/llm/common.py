@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.scratch import materialize
 
-SALTS = 16
+#: Rows of one key that may meet in a task, and keys that may have more than one share (their shares are broadcast).
+LOAD, HOT_KEYS = 1 << 16, 100_000
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -55,16 +56,23 @@ def ascii_lower(text: Column) -> Column:
 
 
 def salted_join(
-    rows: DataFrame, groups: DataFrame, key: str | list[str], how: str, spread: str = "_row", most: int = 0,
+    rows: DataFrame, groups: DataFrame, key: str | list[str], how: str, spread: str = "_row", most: int = 0, sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """Join many rows a key with one row a key, so that no key's rows meet in one task.
+    """Join many rows a key with one row a key, so that no more than a load of a key's rows meet in one task.
 
-    ``groups`` of at most ``most`` rows (counted; for stored tables only) are broadcast. Else each row
-    takes one of ``SALTS`` salts from ``spread``, each group is repeated once a salt, and both are sorted.
+    ``groups`` of at most ``most`` rows (counted; for stored tables only) are broadcast. Else the rows of each key are counted
+    (``sizes``, key and _n, has these counts where they are known). A key with more than ``LOAD`` is dealt to as many shares as its
+    count asks, by ``spread``, and its group repeated once a share; any other key has one share. Keys are not null.
+    The shares are broadcast: they are those of the ``HOT_KEYS`` largest keys at most, and any key after these has less than
+    one row in ``HOT_KEYS`` of all.
     """
     keys = [key] if isinstance(key, str) else key
     if most and groups.count() <= most:
         return rows.join(F.broadcast(groups), keys, how)
-    salt = F.pmod(F.xxhash64(F.lit(7), spread), F.lit(SALTS)).cast("int")
-    copies = groups.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
-    return rows.withColumn("_salt", salt).join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias("_n")) if sizes is None else sizes.select(*keys, "_n")
+    hot = counted.where(F.col("_n") > LOAD).orderBy(F.desc("_n"), *keys).limit(HOT_KEYS)
+    shares = F.broadcast(hot.select(*keys, F.ceil(F.col("_n") / LOAD).cast("int").alias("_shares")))
+    share = F.coalesce("_shares", F.lit(1))
+    dealt = rows.join(shares, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(F.lit(7), spread), share).cast("int")).drop("_shares")
+    copies = groups.join(shares, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), share - 1))).drop("_shares")
+    return dealt.join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")

@@ -39,18 +39,18 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round joins every node's neighbours to the smallest one around: first those above the node,
     then those below it. Rounds grow with the logarithm of the longest path; each is written to
-    the shared folder. A node of any degree is spread over salts. No links: no rows.
+    the shared folder. The links of a node of high degree are dealt to several tasks. No links: no rows.
     """
     stars = materialize(links.where("a <> b").mapInArrow(_contract, "a long, b long").distinct())
     mark = _mark(stars)
     while True:
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = salted_join(both.where("b > a"), least, "a", "inner", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("_n"))
+        large = salted_join(both.where("b > a"), least.drop("_n"), "a", "inner", "b", sizes=least).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = materialize(large.where("a <> b").distinct())
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = salted_join(down, least, "a", "inner", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("_n"))
+        small = salted_join(down, least.drop("_n"), "a", "inner", "b", sizes=least).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         stars = materialize(small.union(least.select("a", F.col("m").alias("b"))).distinct())
         if (after := _mark(stars)) == mark:
             break

@@ -35,8 +35,8 @@ def exact_duplicates(
     rows = numbered(stored(docs)).select("_row", F.col(id_col).alias("_id"), normalise(F.col(text_col)).alias("_norm"))
     rows = rows.withColumn("_hash", content_hash(F.col("_norm")))
     digests = materialize(rows.select("_row", "_id", "_hash", F.sha2(F.col("_norm").cast("binary"), 256).alias("_sha")))
-    repeated = materialize(digests.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash"))
-    texts = salted_join(rows, repeated, "_hash", "left_semi", most=BROADCAST).groupBy("_hash", "_norm").agg(F.count("*").alias("_n"))
+    repeated = materialize(digests.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1"))
+    texts = salted_join(rows, repeated.select("_hash"), "_hash", "left_semi", most=BROADCAST, sizes=repeated).groupBy("_hash", "_norm").agg(F.count("*").alias("_n"))
     mixed = texts.groupBy("_hash").agg(F.count("*").alias("_texts")).where("_texts > 1").select("_hash")
     mixed = materialize(mixed)
     if mixed.head(1):
@@ -53,7 +53,7 @@ def exact_duplicates(
     first = F.struct(known.alias("_known"), "_id", "_row")
     groups = digests.groupBy("_key").agg(F.count("*").alias("group_size"), best(first).alias("_first"))
     many = groups.where("group_size > 1")
-    found = salted_join(digests, many, "_key", "left")
+    found = salted_join(digests, many, "_key", "left", sizes=many.withColumnRenamed("group_size", "_n"))
     alone = F.col("_first").isNull()
     return found.select(
         "_row", F.col("_id").alias(id_col),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, fill_in_middle, html_text, lexical_search, packing, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
+from . import byte_bpe, exact_dedup, fill_in_middle, html_text, lexical_search, packing, personal_data, quality_classifier, quality_rules, simhash, substring_dedup, suffix_dedup, warc
 from .common import read
 
 QUERIES = {}
@@ -147,3 +147,12 @@ q AS (
 ), r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
 SELECT * FROM r WHERE rank <= 10
 """
+
+
+@query
+def op12_personal_data(spark, folder):
+    found = personal_data.personal_data(read(spark, folder, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[count(kind) for kind in personal_data.KINDS],
+        F.sha2(personal_data.listed("base").cast("binary"), 256).alias("base_sha256"), personal_data.listed("spans").alias("spans"))

@@ -150,7 +150,7 @@ def near_duplicates(
     buckets = nodes.select("_print", _balls(bits).alias("_bucket"))
     met = buckets.repartition("_bucket").sortWithinPartitions("_bucket")
     links = met.mapInArrow(_link(bits), "a long, b long").distinct()
-    found = salted_join(rows, _class_ids(nodes, components(links)), "_print", "left")
+    found = salted_join(rows, _class_ids(nodes, components(links)), "_print", "left", sizes=nodes)
     return found.select("_row", F.col("_id").alias(id_col), "_print", F.coalesce("_class", "_id").alias("component_id"))
 
 

@@ -164,7 +164,7 @@ def write_archives(
         "_row", F.col(id_col).cast("long").alias("_id"), F.sha2(payload, 256).alias("_key"), F.octet_length(payload).alias("_bytes")))
     large = rows.where(F.col("_bytes") >= min_bytes)
     groups = large.groupBy("_key").agg(F.count("*").alias("n"), F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    repeats = salted_join(large, groups.where("n > 1"), "_key", "inner").where("first._row <> _row")
+    repeats = salted_join(large, groups.where("n > 1"), "_key", "inner", sizes=groups.withColumnRenamed("n", "_n")).where("first._row <> _row")
     place = F.col("_row")
     folder_of = store(repeats.select(
         place["file"].alias("_file"), block_of(place), place["at"].alias("at"),

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, ParseException
 
 from tallyloom.functions.columns import settle_format
 from tallyloom.functions.ranking import dense_index
@@ -80,16 +80,54 @@ def test_dates_in_one_other_format(spark):
     "MERGE INTO t USING s ON t.a = s.a WHEN MATCHED THEN UPDATE SET a = 1", "EXPLAIN SELECT 1", "BEGIN SELECT 1; END", "EXECUTE IMMEDIATE 'SELECT 1'",
     "DECLARE x = 1", "-- SELECT\nSET a = 1", "/* SELECT */ USE x", "SELECT reflect('java.lang.System', 'getProperty', 'user.dir')",
     "SELECT JAVA_METHOD ('java.util.UUID', 'randomUUID')", "SELECT * FROM parquet.`/x`", "SELECT * FROM `csv` . `/x`", "SELECT * FROM json /* */ . `/x`",
-    "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM transactions", "FROM transactions MAP a USING 'cat' AS b", "SELECT * FROM IDENTIFIER('parquet.`/x`')", "",
+    "SELECT TRANSFORM(a) USING 'cat' AS (b) FROM transactions", "FROM transactions MAP a USING 'cat' AS b", "SELECT * FROM IDENTIFIER('parquet.`/x`')",
+    "SELECT IDENTIFIER('reflect')('a', 'b')", "CALL x()", "SELECT * FROM STREAM transactions", "SELECT * FROM transactions TIMESTAMP AS OF '2020-01-01'",
+    "SELECT * FROM transactions WITH (path = '/x')", "SELECT unknown_function(1)", "SELECT * FROM python_worker_logs()", "SELECT from_protobuf(a, 'b', '/c') FROM transactions",
+    "SELECT * FROM `org.apache.spark.sql.execution.datasources.parquet.ParquetFileFormat`.`/x`",
+    "SELECT * FROM `org.apache.spark.sql.execution.datasources.v2.parquet.ParquetDataSourceV2`.`/x`", "SELECT * FROM a.b.c",
+    # the same from every place where a query holds another, or an expression
+    "SELECT 1 WHERE EXISTS (SELECT 1 FROM parquet.`/x`)", "SELECT (SELECT max(a) FROM orc.`/x`)", "SELECT 1 IN (SELECT a FROM text.`/x`)",
+    "WITH a AS (SELECT * FROM csv.`/x`) SELECT 1", "SELECT * FROM transactions JOIN LATERAL (SELECT * FROM json.`/x`)", "FROM transactions |> JOIN parquet.`/x`",
+    "SELECT sum(revenue) OVER w FROM transactions WINDOW w AS (ORDER BY java_method('a', 'b'))", "SELECT transform(array(1), x -> reflect('a', 'b'))",
+    "SELECT sum(revenue) FILTER (WHERE reflect('a', 'b') = '1') FROM transactions", "VALUES (reflect('a', 'b'))", "SELECT * FROM range(reflect('a', 'b'))",
+    "SELECT 1 LIMIT int(reflect('a', 'b'))", "SELECT * FROM transactions LATERAL VIEW reflect('a', 'b') x AS y", "SELECT try_reflect('a', 'b')", "SELECT system.builtin.reflect('a', 'b')",
 ])
-def test_commands_are_refused(spark, text):
+def test_commands_are_refused(spark, five, text):
+    five.createOrReplaceTempView("transactions")
+    with pytest.raises((PermissionError, ParseException) if not text else PermissionError):
+        sql.sql_query(spark, text)
+
+
+def test_quotes_that_hide_a_call_do_not_run_it(spark):
+    text = "SELECT 1 AS `'`, reflect('java.lang.System', 'setProperty', 'tallyloom.probe', 'b') AS `c'`"
     with pytest.raises(PermissionError):
         sql.sql_query(spark, text)
+    assert spark._jvm.java.lang.System.getProperty("tallyloom.probe") is None
 
 
 def test_queries_with_odd_literals_are_run(spark):
     assert sql.sql_query(spark, "(SELECT '-- set' AS a) UNION ALL VALUES ('/* x')").count() == 2
     assert sql.sql_query(spark, "-- a note\nWITH t AS (SELECT 'it\\'s' AS a) SELECT a FROM t;").head()[0] == "it's"
+    assert sql.sql_query(spark, "SELECT 'reflect(1), parquet.`/x` USING' AS `reflect('a')`").head()[0] == "reflect(1), parquet.`/x` USING"
+
+
+@pytest.mark.parametrize("text", [
+    "SELECT order_id, sum(revenue) OVER w FROM transactions WINDOW w AS (PARTITION BY order_id ORDER BY revenue ROWS 1 PRECEDING)",
+    "SELECT product_category, count(DISTINCT order_id) FILTER (WHERE revenue > 1) FROM transactions GROUP BY ROLLUP (product_category) HAVING count(*) > 0 ORDER BY 1 LIMIT 3 OFFSET 1",
+    "SELECT /*+ BROADCAST(b) */ * FROM transactions a LEFT ANTI JOIN transactions b USING (order_id)", "FROM transactions |> WHERE revenue > 1 |> SELECT order_id",
+    "SELECT * FROM transactions PIVOT (sum(revenue) FOR product_category IN ('Books', 'Clothing'))", "SELECT * FROM range(3), LATERAL (SELECT id + 1)",
+    "SELECT * FROM transactions LATERAL VIEW explode(array(1, 2)) t AS n", "SELECT * EXCEPT (revenue) FROM transactions TABLESAMPLE (50 PERCENT)",
+    "WITH RECURSIVE r(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM r WHERE n < 5) SELECT * FROM r", "SELECT transform(array(1), x -> x + 1), CAST('1' AS INT), extract(YEAR FROM DATE '2020-01-01')",
+    "SELECT * FROM (VALUES (1, 2)) AS t(a, b) UNPIVOT (v FOR n IN (a, b))", "TABLE transactions", "SELECT order_id FROM transactions EXCEPT (SELECT 'O1' INTERSECT SELECT 'O2')",
+])
+def test_queries_of_every_kind_are_run(spark, five, text):
+    five.createOrReplaceTempView("transactions")
+    sql.sql_query(spark, text).collect()
+
+
+def test_tables_of_the_catalog_by_their_whole_name(spark, five):
+    five.createOrReplaceGlobalTempView("shared_five")
+    assert sql.sql_query(spark, "SELECT * FROM global_temp.shared_five").count() == 5
 
 
 def test_dense_index(spark):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.types import StructType
 
 from ..functions.columns import col
+from ..functions.scratch import materialize
+from .records import Csv, JsonArray, whole_records
 
 # Texts of a CSV cell that stand for no value.
 MISSING = (
@@ -23,11 +25,22 @@ def read_csv(
 ) -> DataFrame:
     """A CSV with header and doubled quotes inside quoted cells; cells in ``missing`` are null.
 
-    ``multi_line`` lets quoted cells hold line feeds, at the price that a file is read by one task: many files
-    still spread. Pass False for large files without such cells. A value that does not fit its type in
-    ``schema`` is null; without a schema one aggregate over all columns finds the narrowest that fits all values.
+    ``multi_line`` lets quoted cells hold line feeds. Files are split over tasks all the same (see ``records``), which takes three scans of
+    the text; a cell that holds a quote must be quoted, as every writer does. Pass False to read lines in one scan. A value that does not fit its
+    type in ``schema`` is null; without a schema one aggregate over all columns finds the narrowest that fits all values.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=multi_line, nullValue="", emptyValue="")
+    options = {"quote": '"', "escape": '"', "nullValue": "", "emptyValue": ""}
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, **options)
+    if not raw.columns:  # an empty file
+        return raw if schema is None else spark.createDataFrame([], schema)
+    if multi_line:
+        # A line feed before the end of a record is part of a cell, a carriage return may belong to the line's end.
+        names = raw.columns
+        record = F.regexp_replace("record", "\r$", "")
+        lines = whole_records(spark, path, Csv, header=True).select(record.alias("record")).where("record <> ''")
+        cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+        parsed = lines.select(F.from_csv("record", cells.simpleString()[7:-1].replace(":", " "), options).alias("row")).select("row.*").toDF(*names)
+        raw = parsed if schema is not None else materialize(parsed)
     value = {c: F.when(~col(c).isin(*missing), col(c)) for c in raw.columns} if missing else {c: col(c) for c in raw.columns}
     if schema is not None:
         declared = schema if isinstance(schema, StructType) else T.StructType.fromDDL(schema)
@@ -45,8 +58,8 @@ def load_dataset(
     """Read a CSV (see ``read_csv``), JSON or Parquet file or folder.
 
     Pass ``schema`` for large text inputs: without it Spark reads them once more to infer
-    one. JSON is read as one record per line, which splits across tasks; a file holding a
-    single JSON array needs ``json_document=True`` and is read by one task.
+    one. JSON is read as one record per line; files that hold one array of objects each need ``json_document=True`` and are split over
+    tasks too (see ``records``).
     """
     extension = os.path.splitext(path.rstrip("/"))[1].lower()
     if extension not in (".csv", ".json", ".parquet"):
@@ -59,4 +72,22 @@ def load_dataset(
     reader = spark.read if schema is None else spark.read.schema(schema)
     if extension == ".parquet":
         return reader.parquet(path)
-    return reader.json(path, multiLine=json_document)
+    if json_document:
+        return read_json_arrays(spark, path, schema)
+    return reader.json(path)
+
+
+def read_json_arrays(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The objects of files that hold one JSON array each; what is no object is left out, a broken object is a row of nulls.
+
+    Pass ``schema`` for large files: without it the records are written and read once more to infer one.
+    """
+    inside = F.regexp_replace("record", r"^[^{]*", "")
+    records = whole_records(spark, path, JsonArray).select(inside.alias("record")).where("record <> ''")
+    records = records.select(F.concat("record", F.lit("}")).alias("record"))
+    if schema is not None:
+        declared = schema if isinstance(schema, StructType) else T.StructType.fromDDL(schema)
+        return records.select(F.from_json("record", declared).alias("row")).select("row.*")
+    stored = materialize(records)
+    texts = getattr(stored._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(spark._jsparkSession.read().json(texts), spark)

@@ -7,7 +7,7 @@ autoregressive forecast.
 from __future__ import annotations
 
 from ..sources.readers import MISSING
-from .queries import COEFFICIENTS, GIVEN, INTERCEPT, RISK_DAYS, SQL_TEXTS
+from .queries import COEFFICIENTS, GIVEN, INTERCEPT, PAUSE, RISK_DAYS, SQL_TEXTS
 from .tables import CLAIMS_SQL, COLUMNS, DIRTY_SQL, QUESTIONS_SQL, RUNS_SQL, TRANSACTIONS_SQL
 
 # Spark type and pandas-style kind of each transactions column, in order.
@@ -353,11 +353,21 @@ _ANOVA = """, g AS (SELECT product_category, avg(revenue) AS m, count(*) AS n FR
         SELECT round((b / (k - 1)) / (w / (n - k)), {digits}) AS f_statistic, k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within FROM b, s"""
 _MISSING = ", ".join("'" + m + "'" for m in MISSING)
 
+#: Runs as islands between gaps: a flag where a pause ends, summed up.
+_RUNS_BY_PAUSE = f"""flagged AS (SELECT user_id AS owner, ts, event_id AS step_id, event_type AS step, props,
+    coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= INTERVAL {PAUSE} MINUTE, true) AS fresh FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+  numbered AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY owner ORDER BY ts, step_id) AS run FROM flagged),
+  placed AS (SELECT *, min(ts) OVER (PARTITION BY owner, run) AS run_start, row_number() OVER (PARTITION BY owner, run ORDER BY ts, step_id) AS position,
+    CASE step WHEN 'purchase' THEN 'forecasting' WHEN 'signup' THEN 'predictive' ELSE 'descriptive' END AS task_type,
+    CASE WHEN step = 'error' THEN 'failed' WHEN lag(step) OVER (PARTITION BY owner, run ORDER BY ts, step_id) = 'error' THEN 'recovered' ELSE 'done' END AS outcome,
+    CASE WHEN step IN ('error', 'purchase') THEN props END AS note FROM numbered)"""
+
 ORACLE: dict[str, str] = {
     # sources, catalog, SQL
     "scan_transactions": _t("SELECT * FROM transactions"),
     "scan_csv": f"SELECT * REPLACE (CASE WHEN text NOT IN ({_MISSING}) THEN text END AS text) FROM documents",
     "scan_json": "SELECT * FROM customer",
+    "scan_json_array": "SELECT * FROM documents",
     "write_table_summary": _t(f"""SELECT 'stored_transactions' AS table_name, count(*) AS rows_loaded, 13 AS column_count,
         '{','.join(COLUMNS)}' AS columns, 'success' AS status FROM transactions"""),
     "table_catalog": _union([
@@ -560,14 +570,13 @@ ORACLE: dict[str, str] = {
         found AS (SELECT * FROM own UNION ALL SELECT a.task_type, seq, text FROM asked a, anyone WHERE a.task_type NOT IN (SELECT task_type FROM own))
         SELECT task_type, string_agg(CAST(seq AS VARCHAR), ',' ORDER BY seq) AS experiences,
           array_to_string(list_slice(string_split(string_agg(text, '; ' ORDER BY seq), '; '), 1, 5), '; ') AS heuristics FROM found GROUP BY task_type""",
-    "experiences": """WITH steps AS (SELECT user_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'forecasting' ELSE 'descriptive' END AS task_type, event_id, event_type, props FROM events),
-        marked AS (SELECT *, coalesce(lag(event_type = 'error') OVER (PARTITION BY seq, task_type ORDER BY event_id), false) AS after_ FROM steps)
-        SELECT seq, task_type, 'signature' AS dataset_signature, string_agg(event_type, ' > ' ORDER BY event_id) AS plan_summary,
-        coalesce(string_agg(event_type, '; ' ORDER BY event_id) FILTER (WHERE event_type <> 'error'), '') AS successful_steps,
-        coalesce(string_agg(props, '; ' ORDER BY event_id) FILTER (WHERE event_type = 'error'), '') AS failures,
-        coalesce(string_agg(event_type, '; ' ORDER BY event_id) FILTER (WHERE event_type <> 'error' AND after_), '') AS recovery_strategies,
-        coalesce(string_agg(props, '; ' ORDER BY event_id) FILTER (WHERE event_type = 'purchase'), '') AS insights
-        FROM marked GROUP BY seq, task_type""",
+    "experiences": f"""WITH {_RUNS_BY_PAUSE}
+        SELECT owner, run_start, max(ts) AS run_end, arg_min(task_type, position) AS task_type,
+        (SELECT substr(md5(string_agg(column_name, '_' ORDER BY column_name)), 1, 12) FROM information_schema.columns WHERE table_name = 'events') AS dataset_signature,
+        count(*) AS steps, count(*) FILTER (WHERE outcome = 'failed') AS failures, count(*) FILTER (WHERE outcome = 'recovered') AS recoveries,
+        count(*) FILTER (WHERE step = 'purchase') AS insights FROM placed GROUP BY owner, run_start""",
+    "experience_steps": f"""WITH {_RUNS_BY_PAUSE}
+        SELECT owner, run_start, position, step_id, ts AS at, step, outcome, note FROM placed""",
     # tests and regression
     "ttest": _t(""", m AS (SELECT avg(revenue) FILTER (WHERE region = 'ASIA') AS m1, avg(revenue) FILTER (WHERE region = 'EUROPE') AS m2,
         var_samp(revenue) FILTER (WHERE region = 'ASIA') / count(*) FILTER (WHERE region = 'ASIA') AS e1, count(*) FILTER (WHERE region = 'ASIA') AS n1,

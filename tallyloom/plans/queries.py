@@ -66,6 +66,15 @@ def scan_json(spark, d):
     return _round_trip(spark, read(spark, d, "customer"), "json")
 
 
+@query
+def scan_json_array(spark, d):
+    """Documents through files that hold one JSON array each."""
+    docs = read(spark, d, "documents")
+    path = f"{scratch_folder(spark)}.json"
+    docs.select(F.to_json(F.struct(*docs.columns)).alias("value")).mapInArrow(t.json_array_lines, "value string").write.text(path)
+    return readers.load_dataset(spark, path, schema=docs.schema, json_document=True)
+
+
 @query
 def write_table_summary(spark, d):
     return stored.save_table(transactions(spark, d), "stored_transactions", scratch_folder(spark))
@@ -737,16 +746,20 @@ def experience_topk(spark, d):
     return found.select("task_type", F.array_join(F.col("experiences").cast("array<string>"), ",").alias("experiences"), _text("heuristics"))
 
 
+#: Minutes without an event that end a run.
+PAUSE = 360
+
+
 @query
 def experiences(spark, d):
-    """One experience per user and kind of event, its events taken as steps."""
-    failed = F.col("event_type") == "error"
-    steps = read(spark, d, "events").select(
-        F.col("user_id").alias("seq"), F.when(F.col("event_id") % 2 == 0, "forecasting").otherwise("descriptive").alias("task_type"),
-        F.col("event_id").alias("step_id"), F.col("event_type").alias("step"), (~failed).alias("success"),
-        F.when(failed, F.col("props")).alias("message"), F.when(F.col("event_type") == "purchase", F.col("props")).alias("insight"))
-    made = experience.experiences(steps, "signature")
-    return made.withColumns({c: _text(c) for c in ("successful_steps", "failures", "recovery_strategies", "insights")})
+    """One experience per run of a user: events until a pause."""
+    events = read(spark, d, "events")
+    return experience.experiences(t.event_steps(spark, d), experience.dataset_signature(events), PAUSE)
+
+
+@query
+def experience_steps(spark, d):
+    return experience.experience_steps(t.event_steps(spark, d), PAUSE)
 
 
 # --- tests and regression -------------------------------------------------------------------------------

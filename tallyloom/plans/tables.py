@@ -8,6 +8,8 @@ under its threshold and sort-merges, with skew splitting, one that is not.
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.scratch import materialize
@@ -194,6 +196,28 @@ def experience_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the steps of their users: an error is a failed step, a purchase an insight."""
+    kind = F.col("event_type")
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("owner"), F.col("ts").alias("at"), F.col("event_id").alias("step_id"),
+        F.when(kind == "purchase", "forecasting").when(kind == "signup", "predictive").otherwise("descriptive").alias("task_type"),
+        kind.alias("step"), (kind != "error").alias("success"), F.when(kind == "error", F.col("props")).alias("message"),
+        F.when(kind == "purchase", F.col("props")).alias("insight"))
+
+
+def json_array_lines(batches):
+    """The lines of one JSON array: an opening bracket, the given objects, a closing one."""
+    opened = False
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1 << 10):
+            part = batch.column("value").slice(at, 1 << 10)
+            heads = pa.array(["[" if not opened and i == 0 else "," for i in range(len(part))])
+            opened = True
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(heads, part, "")], ["value"])
+    yield pa.RecordBatch.from_arrays([pa.array(["]" if opened else "[]"])], ["value"])
+
+
 # --- the same tables in SQL, for the checks ---------------------------------------------
 
 TRANSACTIONS_SQL = """transactions AS (

@@ -117,3 +117,49 @@ def test_experiences(spark):
     assert found["forecasting"] == ([1, 3], ["s1", "s2", "Caution: f1", "s4", "s5"])
     assert found["predictive"] == ([2], ["s3"])
     assert found["diagnostic"] == ([1, 2], ["s1", "s2", "Caution: f1", "s3"])
+
+
+def _brute_steps(rows, gap):
+    out = []
+    for owner in {r[0] for r in rows if r[0] is not None and r[1] is not None}:
+        last, start, place, failed = None, None, 0, False
+        for _, at, step_id, _, step, ok, message, insight in sorted((r for r in rows if r[0] == owner and r[1] is not None), key=lambda r: (r[1], r[2])):
+            if last is None or at - last >= gap:
+                start, place, failed = at, 0, False
+            place += 1
+            out.append((owner, start, place, step_id, step, "failed" if not ok else "recovered" if failed else "done", insight if ok else message))
+            last, failed = at, not ok
+    return sorted(out)
+
+
+def test_runs_end_at_pauses(spark):
+    from datetime import datetime, timedelta
+    import random
+
+    noise = random.Random(3)
+    first = datetime(2024, 2, 28, 12)
+    rows = [("busy", first + timedelta(minutes=29 * i), i, "forecasting", f"s{i}", i % 3 > 0, f"m{i}", f"i{i}") for i in range(300)]  # one run of six days
+    rows += [("even", first + timedelta(minutes=30 * i), i, "predictive", "s", i % 2 > 0, "m", None) for i in range(100)]  # every pause just long enough
+    rows += [("odd", first + timedelta(seconds=noise.randrange(9 * 86400)), i, "descriptive", "s", noise.random() < 0.6, "m", "i") for i in range(800)]
+    rows += [("odd", first, 900 + i, "descriptive", "same time", i % 2 > 0, "m", "i") for i in range(4)] + [(None, first, 1, "x", "s", True, None, None), ("none", None, 1, "x", "s", True, None, None)]
+    steps = spark.createDataFrame(rows, "owner string, at timestamp, step_id int, task_type string, step string, success boolean, message string, insight string").repartition(5)
+    found = experience.experience_steps(steps)
+    mine = sorted((r.owner, r.run_start, r.position, r.step_id, r.step, r.outcome, r.note) for r in found.collect())
+    expected = _brute_steps(rows, timedelta(minutes=30))
+    assert mine == expected
+    runs = {(r.owner, r.run_start): r for r in experience.experiences(steps, "abc").collect()}
+    assert len(runs) == len({(o, s) for o, s, *_ in expected}) and len([o for o, _ in runs if o == "busy"]) == 1 and len([o for o, _ in runs if o == "even"]) == 100
+    for key, run in runs.items():
+        own = [r for r in expected if r[:2] == key]
+        assert (run.steps, run.failures, run.recoveries) == (len(own), sum(r[5] == "failed" for r in own), sum(r[5] == "recovered" for r in own))
+        assert run.dataset_signature == "abc"
+    assert runs["busy", first].task_type == "forecasting" and runs["busy", first].insights == 300
+    with pytest.raises(ValueError):
+        experience.experiences(steps, "abc", 0)
+
+
+def test_a_signature_is_that_of_the_catalog(spark, five):
+    from tallyloom.sources import tables
+
+    five.createOrReplaceTempView("signed")
+    assert experience.dataset_signature(five) == tables.schema_fingerprint(spark, ["signed"]).head()["fingerprint"]

@@ -57,7 +57,8 @@ def _runs(parts: DataFrame, gap: int) -> DataFrame:
     near = (F.unix_micros("_part") - day < gap) | (next_day - F.unix_micros("_last") <= gap)
     found = parts.groupBy("owner", "_day", "_part").agg(*_sums()).withColumn("_near", near)
     found = materialize(found)
-    until = F.concat((length + gap).cast("string"), F.lit(" microseconds"))
+    # Windows that touch are merged too, so one microsecond less: a pause as long as the gap ends a run.
+    until = F.concat((length + gap - 1).cast("string"), F.lit(" microseconds"))
     merged = found.where("_near").groupBy("owner", F.session_window("_part", until)).agg(
         F.min("_part").alias("run_start"), F.collect_list(F.struct("_day", "_part")).alias("_all"))
     known = merged.select("owner", "run_start", F.inline("_all"))
@@ -69,9 +70,10 @@ def _runs(parts: DataFrame, gap: int) -> DataFrame:
 
 
 def _micros(gap_minutes: float) -> int:
-    if gap_minutes <= 0:
-        raise ValueError("the pause that ends a run must be longer than nothing")
-    return round(gap_minutes * 60_000_000)
+    gap = round(gap_minutes * 60_000_000)
+    if gap < 2:
+        raise ValueError("a pause that ends a run takes some microseconds at least")
+    return gap
 
 
 def experiences(steps: DataFrame, signature: str, gap_minutes: float = 30) -> DataFrame:

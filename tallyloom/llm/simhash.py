@@ -5,9 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.scratch import materialize
+from .blocks import beside, block_of, blocks, runs, store, tidy
 from .common import numbered, salted_join, stored, without
 from .components import components
 
@@ -16,7 +17,8 @@ BLOCK = 1 << 16
 BANDS, MINIMA = 32, 5
 _FACTORS, _ADDENDS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * MINIMA), np.uint64, endpoint=False) | np.uint64(1)
 _CHUNK = 1 << 10
-_TOGETHER = 256
+#: Sets of a family, and their shingles together, that one task compares; a larger family is dealt to several, each with its most central sets.
+FAMILY, FAMILY_SHINGLES, CENTERS = 2048, 1 << 22, 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -209,92 +211,146 @@ def _signatures(words: int, seed: int):
     def run(batches):
         for batch in batches:
             sets = (shingle_set(t, words, seed) for t in batch.column("text").to_pylist())
-            found = [(xxhash.xxh3_64_intdigest(x.tobytes()), bands(x)) for x in sets]
-            prints = pa.array(np.array([p for p, _ in found], np.uint64).view(np.int64))
+            found = [(xxhash.xxh3_64_intdigest(x.tobytes()), len(x), bands(x)) for x in sets]
+            prints = pa.array(np.array([p for p, _, _ in found], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("_id"), prints, pa.array([b for _, b in found], pa.list_(pa.int64()))],
-                ["_row", "_id", "_print", "_bands"])
+                [batch.column("_row"), batch.column("_id"), prints, pa.array([n for _, n, _ in found], pa.int64()),
+                 pa.array([b for _, _, b in found], pa.list_(pa.int64()))],
+                ["_row", "_id", "_print", "_size", "_bands"])
     return run
 
 
-def _sets(words: int, seed: int):
+def _shared(batches):
+    """Members of buckets with several: _print, _lead (the smallest member), _many (the other members).
+
+    Rows come sorted by bucket and member. Of a bucket its first row is all that is held.
+    """
+    key = lead = None
+    begun = False  # whether the bucket's first row has been given out
+    parts: list[tuple] = []
+    for batch in batches:
+        for bucket, print_ in zip(batch.column("_bucket").to_pylist(), batch.column("_print").to_pylist()):
+            if bucket != key:
+                key, lead, begun = bucket, print_, False
+                continue
+            if not begun:
+                parts.append((lead, lead))
+                begun = True
+            parts.append((print_, lead))
+        if parts:
+            table = np.array(parts, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], ["_print", "_lead"])
+            parts = []
+
+
+_WANTED = pa.schema([("at", pa.int64()), ("_print", pa.int64()), ("_family", pa.int64()), ("_parts", pa.list_(pa.int32())), ("_class", pa.int64())])
+_SETS = "_family long, _part int, _print long, _class long, _set array<long>"
+
+
+def _sets(folder: str, words: int, seed: int):
+    """The shingle sets of the rows asked for, once for every part that needs them."""
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                sets = [shingle_set(t, words, seed).view(np.int64) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("_print"), pa.array(sets, pa.list_(pa.int64()))], ["_print", "_set"])
+        load = beside(folder, _WANTED)
+        for block, part in runs(batches, 1 << 8):
+            wanted = load(block)
+            asked = dict(zip(wanted.column("at").to_pylist(), zip(*(wanted.column(n).to_pylist() for n in _WANTED.names[1:]))))
+            rows = [(asked[at], text) for at, text in zip(part.column("_at").to_pylist(), part.column("_text")) if at in asked]
+            out = []
+            for (print_, family, parts, class_), text in rows:
+                found = shingle_set(text.as_py(), words, seed).view(np.int64)
+                out += [(family, k, print_, class_, found) for k in parts]
+                if len(out) >= 1 << 6:
+                    yield _set_rows(out)
+                    out = []
+            if out:
+                yield _set_rows(out)
     return run
 
 
-def _whole_buckets(batches):
-    """(prints, roots or None) of every bucket with several members; rows come sorted by bucket."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
+def _set_rows(rows: list) -> pa.RecordBatch:
+    family, part, print_, class_, sets = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(family, pa.int64()), pa.array(part, pa.int32()), pa.array(print_, pa.int64()), pa.array(class_, pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+        ["_family", "_part", "_print", "_class", "_set"])
+
+
+def alike(sets: list[np.ndarray], classes: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Links (places of two sets) that join what pairs with a Jaccard similarity of ``least`` join, beyond the given classes, without a circle.
+
+    As in ``forest``, each set is compared with those of classes that no link has reached yet, by counting what it shares with all of them in
+    an index of their shingles, which is made anew when half of them are reached. So a family that links costs little more than its sets, and no pair is written.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owners = np.repeat(np.arange(len(sets)), sizes)
+    numbers = np.unique(np.concatenate(sets), return_inverse=True)[1] if sizes.sum() else np.empty(0, np.int64)
+    own = np.split(numbers, np.cumsum(sizes)[:-1])
+    members: dict[int, list[int]] = {}
+    for i, c in enumerate(classes.tolist()):
+        members.setdefault(c, []).append(i)
+    left = np.ones(len(sets), bool)
+    order = np.argsort(numbers, kind="stable")
+    index, starts = owners[order], np.searchsorted(numbers[order], np.arange(numbers.max(initial=-1) + 2))
+    held, links, wanted = len(sets), [], round(least * 1000)
+    for mine in members.values():
+        if not left[mine[0]]:
             continue
-        columns = [batch.column(n).to_numpy() for n in batch.schema.names]
-        held = columns if held is None else [np.concatenate(x) for x in zip(held, columns)]
-        keys = held[0]
-        if keys[0] == keys[-1]:
-            continue  # the bucket may go on in the next batch
-        cuts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            if b - a > 1:
-                yield [x[a:b] for x in held]
-        held = [x[cuts[-1]:] for x in held]
-    if held is not None and len(held[0]) > 1:
-        yield held
-
-
-def _flat(parts, names):
-    """Record batches of the columns in ``parts``, put together to some size."""
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part[0])
-        if size >= BLOCK:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
-            held, size = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
+        left[mine] = False
+        front = list(mine)
+        while front:
+            remaining = int(left.sum())
+            if not remaining:
+                return links
+            if 2 * remaining <= held:  # reached sets are compared no more
+                keep = left[index]
+                starts = np.concatenate(([0], np.cumsum(keep)))[starts]
+                index, held = index[keep], remaining
+            at = front.pop()
+            places = [index[starts[n]:starts[n + 1]] for n in own[at]]
+            both = np.bincount(np.concatenate(places), minlength=len(sets)) if places else np.zeros(len(sets), np.int64)
+            near = left & (both * 1000 >= (sizes + sizes[at] - both) * wanted) & (both > 0)
+            for hit in np.flatnonzero(near).tolist():
+                if left[hit]:
+                    links.append((at, hit))
+                    left[members[int(classes[hit])]] = False
+                    front.extend(members[int(classes[hit])])
+    return links
 
 
-def _shared(batches):
-    """Members of buckets with several: _bucket, _print, _lead (the smallest member)."""
-    return _flat(((k, p, np.full(len(p), p.min())) for k, p in _whole_buckets(batches)), ["_bucket", "_print", "_lead"])
-
-
-def _open_pairs(batches):
-    """Pairs of a bucket's members that are in different classes so far."""
-    def parts():
-        for _, prints, roots in _whole_buckets(batches):
-            order = np.argsort(roots, kind="stable")
-            prints, roots = prints[order], roots[order]
-            # Members of one root stand together: each meets those of the roots before its own.
-            for at, to in zip(range(len(prints)), np.searchsorted(roots, roots).tolist()):
-                if to:
-                    other = prints[:to]
-                    yield np.minimum(other, prints[at]), np.maximum(other, prints[at])
-    return _flat(parts(), ["a", "b"])
-
-
-def _with_set(pairs: DataFrame, sets: DataFrame, key: str, other: str, name: str) -> DataFrame:
-    """``pairs`` with the shingle set of ``key``; a set is repeated once for every ``_TOGETHER`` pairs that need it."""
-    shares = pairs.groupBy(key).agg(F.ceil(F.count("*") / _TOGETHER).alias("_shares"))
-    dealt = salted_join(pairs, shares, key, "inner", other).withColumn("_share", F.pmod(F.xxhash64(F.lit(11), other), F.col("_shares")))
-    copies = shares.join(sets.withColumnsRenamed({"_print": key, "_set": name}).hint("merge"), key)
-    copies = copies.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_shares") - 1))).drop("_shares")
-    return dealt.drop("_shares").join(copies.hint("merge"), [key, "_share"]).drop("_share")
-
-
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of ``least``, by counting them."""
-    left, right = _with_set(pairs, sets, "a", "b", "_left"), _with_set(pairs, sets, "b", "a", "_right")
-    both = left.join(right.hint("merge"), ["a", "b"])
-    common = F.size(F.array_intersect("_left", "_right"))
-    counted = both.select("a", "b", common.alias("_both"), (F.size("_left") + F.size("_right") - common).alias("_any"))
-    return counted.where(F.col("_both") * 1000 >= F.col("_any") * round(least * 1000)).select("a", "b")
+def _link_sets(least: float):
+    """Links within every part of a family; rows come sorted by family and part."""
+    def linked(prints, classes, sets):
+        links = [(prints[a], prints[b]) for a, b in alike(sets, np.array(classes, np.int64), least)] if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+    def run(batches):
+        key, prints, classes, sets = None, [], [], []
+        for batch in batches:
+            flat = batch.column("_set").flatten().to_numpy().view(np.uint64)
+            cuts = batch.column("_set").offsets.to_numpy()
+            cuts = cuts - cuts[:1]
+            names = zip(*(batch.column(n).to_pylist() for n in ("_family", "_part", "_print", "_class")))
+            for i, (family, part, print_, class_) in enumerate(names):
+                if (family, part) != key:
+                    if len(sets) > 1:
+                        yield linked(prints, classes, sets)
+                    key, prints, classes, sets = (family, part), [], [], []
+                prints.append(print_)
+                classes.append(class_)
+                sets.append(flat[cuts[i]:cuts[i + 1]].copy())
+        if len(sets) > 1:
+            yield linked(prints, classes, sets)
+        tidy()
+    return run
+
+
+def _compared(docs: DataFrame, text_col: str, wanted: DataFrame, words: int, seed: int, least: float) -> DataFrame:
+    """Links (a, b) among the ``wanted`` (_row, _print, _family, _parts, _class), each part of a family in one task."""
+    place = F.col("_row")
+    folder = store(wanted.select(
+        place["file"].alias("_file"), block_of(place), place["at"].alias("at"), "_print", "_family", F.col("_parts").cast("array<int>").alias("_parts"), "_class"))
+    sets = blocks(docs, {"_text": F.col(text_col).cast("string")}).mapInArrow(_sets(folder, words, seed), _SETS)
+    together = sets.repartition("_family", "_part").sortWithinPartitions("_family", "_part")
+    return materialize(together.mapInArrow(_link_sets(least), "a long, b long"))
 
 
 def similar(
@@ -303,29 +359,53 @@ def similar(
     """Every row's class of similar texts, with the columns of ``near_duplicates``; _print is a hash of the shingle set.
 
     Texts link when the Jaccard similarity of their shingle sets is ``least`` or more. Texts with equal sets are
-    one node. Nodes meet in the bands of a MinHash signature, and a link is one that the sets themselves bear
-    out. First every node of a bucket is compared with the smallest, then those pairs are that no link joins
-    so far; what is joined already needs no comparison, so a family of n copies costs about n.
+    one node. Nodes that meet in a band of a MinHash signature are of one family, and so is all that meetings connect. Every node's set goes to its family once, and
+    ``alike`` finds what it links to. Sets and numbers of a bucket are never multiplied: no pair is written but links, at most one for each node of a part.
+
+    A family of more than ``FAMILY`` sets is dealt to several tasks by hash, each of which also gets its ``CENTERS`` nodes with most meetings: the text that others
+    were copied from meets more of them than they meet one another. If that leaves the family in several classes, every two parts are compared in one task
+    each, classes found so far being one node; this alone moves a set more often, as often as its family has parts.
 
     A 64-bit SimHash gives no such candidates: prints of texts of similarity 0.8 differ by 9.7 bits on average, one
     pair in 37 by more than 15, and of any two texts one pair in 82,000 differs by 15 or less.
     """
-    rows = numbered(stored(docs)).select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
+    docs = stored(docs)
+    rows = numbered(docs).select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["_id"].dataType.simpleString()
     signed = materialize(rows.mapInArrow(
-        _signatures(words, seed), f"_row struct<file:long,at:long>, _id {kind}, _print long, _bands array<long>"))
-    nodes = materialize(signed.groupBy("_print").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min("_row").alias("_row")))
+        _signatures(words, seed), f"_row struct<file:long,at:long>, _id {kind}, _print long, _size long, _bands array<long>"))
+    nodes = materialize(signed.groupBy("_print").agg(
+        F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min("_row").alias("_row"), F.max("_size").alias("_size")))
     members = signed.join(nodes.select("_row"), "_row", "left_semi").select(F.explode("_bands").alias("_bucket"), "_print")
-    met = members.repartition("_bucket").sortWithinPartitions("_bucket")
-    met = materialize(met.mapInArrow(_shared, "_bucket long, _print long, _lead long"))
-    wanted = nodes.join(met.select("_print").distinct(), "_print", "left_semi").select("_row", "_print")
-    sets = materialize(rows.join(wanted, "_row").select("_print", "text").mapInArrow(_sets(words, seed), "_print long, _set array<long>"))
-    first = materialize(met.where("_lead <> _print").select(F.col("_lead").alias("a"), F.col("_print").alias("b")).distinct())
-    links = materialize(_alike(first, sets, least))
-    roots = components(links).withColumnRenamed("node", "_print")
-    known = salted_join(met.select("_bucket", "_print"), roots, "_print", "left", "_bucket")
-    known = known.select("_bucket", "_print", F.coalesce("root", "_print").alias("_root"))
-    left = known.repartition("_bucket").sortWithinPartitions("_bucket").mapInArrow(_open_pairs, "a long, b long").distinct()
-    links = links.union(_alike(materialize(left.join(first, ["a", "b"], "left_anti")), sets, least))
-    found = salted_join(signed.drop("_bands"), _class_ids(nodes, components(links)), "_print", "left")
+    met = members.repartition("_bucket").sortWithinPartitions("_bucket", "_print").mapInArrow(_shared, "_print long, _lead long")
+    met = materialize(met.groupBy("_print", "_lead").agg(F.count("*").alias("_meetings")))
+    families = components(met.where("_lead <> _print").select(F.col("_lead").alias("a"), F.col("_print").alias("b")))
+    degrees = met.groupBy("_print").agg(F.sum("_meetings").alias("_own")).join(
+        met.groupBy(F.col("_lead").alias("_print")).agg(F.sum("_meetings").alias("_led")), "_print", "left")
+    family = nodes.join(families.select(F.col("node").alias("_print"), F.col("root").alias("_family")), "_print").join(
+        degrees.select("_print", (F.col("_own") + F.coalesce("_led", F.lit(0))).alias("_degree")), "_print")
+    family = materialize(family.select("_print", "_row", "_size", "_family", "_degree"))
+    parts = F.ceil(F.greatest(F.count("*") / FAMILY, F.sum("_size") / FAMILY_SHINGLES)).cast("int")
+    sizes = materialize(family.groupBy("_family").agg(F.count("*").alias("_n"), parts.alias("_of")))
+    dealt = salted_join(family, sizes.select("_family", "_of"), "_family", "inner", "_print", sizes=sizes)
+    dealt = materialize(dealt.withColumn("_part", F.pmod(F.xxhash64(F.lit(5), "_print"), F.col("_of")).cast("int")))
+    large = dealt.where("_of > 1")
+    rank = F.row_number().over(Window.partitionBy("_family").orderBy(F.desc("_degree"), "_print"))
+    centers = large.withColumn("_rank", rank).where(F.col("_rank") <= CENTERS).select("_print", F.lit(True).alias("_center"))
+    own = F.array("_part")
+    wanted = dealt.where("_of = 1").withColumn("_parts", own).unionByName(large.join(centers, "_print", "left").withColumn(
+        "_parts", F.when(F.col("_center"), F.sequence(F.lit(0), F.col("_of") - 1)).otherwise(own)).drop("_center"))
+    links = _compared(docs, text_col, wanted.withColumn("_class", F.col("_print")), words, seed, least)
+    labels = components(links)
+    classed = large.join(labels.withColumnsRenamed({"node": "_print", "root": "_class"}), "_print", "left")
+    classed = materialize(classed.withColumn("_class", F.coalesce("_class", "_print")))
+    open_ = materialize(classed.groupBy("_family").agg(F.count("*").alias("_n"), F.min("_class").alias("a"), F.max("_class").alias("b")).where("a <> b"))
+    if open_.head(1):
+        # Two parts meet in the task numbered from both.
+        with_all = F.transform(F.filter(F.sequence(F.lit(0), F.col("_of") - 1), lambda k: k != F.col("_part")),
+                               lambda k: F.least(k, F.col("_part")) * F.col("_of") + F.greatest(k, F.col("_part")))
+        again = salted_join(classed, open_.select("_family"), "_family", "left_semi", "_print", sizes=open_).withColumn("_parts", with_all)
+        links = links.union(_compared(docs, text_col, again, words, seed, least))
+        labels = components(links)
+    found = salted_join(signed.drop("_bands", "_size"), _class_ids(nodes, labels), "_print", "left", sizes=nodes)
     return found.select("_row", F.col("_id").alias(id_col), "_print", F.coalesce("_class", "_id").alias("component_id"))

@@ -156,11 +156,61 @@ def test_the_near_stage_finds_what_is_similar(spark, planted):
     assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, "").collect()} == set(label)
 
 
-def test_pairs_that_no_link_joins_are_compared():
-    import pyarrow as pa
-
-    batches = [pa.RecordBatch.from_pydict({"_bucket": [1, 1], "_print": [5, -3], "_root": [5, -3]}), pa.RecordBatch.from_pydict({"_bucket": [1, 2, 2], "_print": [9, 7, 8], "_root": [5, 7, 7]})]
-    assert {(r["a"], r["b"]) for batch in simhash._open_pairs(iter(batches)) for r in batch.to_pylist()} == {(-3, 5), (-3, 9)}
+def brute_alike(sets, least):
+    label = list(range(len(sets)))
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] & sets[j] and len(sets[i] & sets[j]) * 1000 >= round(least * 1000) * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.8, 1.0])
+def test_alike_joins_what_all_pairs_join(least):
+    random.seed(2)
+    for _ in range(60):
+        base = [set(random.sample(range(60), random.randint(0, 25))) for _ in range(4)]
+        sets = [set(x for x in random.choice(base) if random.random() < 0.9) | set(random.sample(range(60), random.randint(0, 2))) for _ in range(random.randint(1, 40))]
+        arrays = [np.array(sorted(x), np.uint64) for x in sets]
+        links = simhash.alike(arrays, np.arange(len(sets)), least)
+        label = list(range(len(sets)))
+        for _ in sets:
+            for i, j in links:
+                label[i] = label[j] = min(label[i], label[j])
+        assert label == brute_alike(sets, least) and len(links) == len(sets) - len(set(label))
+
+
+def test_alike_goes_on_from_classes():
+    arrays = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [9], [1, 2, 3, 5], [9, 8], [1, 2, 3, 4, 6])]
+    assert simhash.alike(arrays, np.array([0, 0, 7, 7, 8]), 0.8) == [(0, 4)]
+    assert simhash.alike(arrays, np.array([0, 1, 0, 1, 0]), 0.5) == [] and len(simhash.alike(arrays, np.array([0, 1, 2, 1, 4]), 0.5)) == 2
+
+
+def family_of(size, seed, changes=4, words=200):
+    """A text and copies with some words changed; copies are less like one another than like the text."""
+    random.seed(seed)
+    base = [f"w{random.randrange(5000)}" for _ in range(words)]
+    texts = [" ".join(base)]
+    for _ in range(size):
+        copy = list(base)
+        for at in random.sample(range(words), changes):
+            copy[at] = f"x{random.randrange(10 ** 6)}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("kept", [True, False])
+def test_a_large_family(spark, tmp_path, monkeypatch, parts, kept):
+    """300 copies of one text, with the text or without it, in one task or in several."""
+    texts = family_of(300, 4)[0 if kept else 1:] + family_of(3, 5, 1)
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(path)
+    monkeypatch.setattr(simhash, "FAMILY", -(-len(texts) // parts))
+    monkeypatch.setattr(simhash, "CENTERS", 3)
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.read.parquet(path)).collect()}
+    assert found == dict(enumerate(brute_alike(sets, 0.8)))
 
 
 def test_similar_on_odd_texts(odd, empty):

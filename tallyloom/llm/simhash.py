@@ -210,13 +210,16 @@ def bands(shingles: np.ndarray) -> np.ndarray:
 def _signatures(words: int, seed: int):
     def run(batches):
         for batch in batches:
-            sets = (shingle_set(t, words, seed) for t in batch.column("text").to_pylist())
-            found = [(xxhash.xxh3_64_intdigest(x.tobytes()), len(x), bands(x)) for x in sets]
-            prints = pa.array(np.array([p for p, _, _ in found], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), batch.column("_id"), prints, pa.array([n for _, n, _ in found], pa.int64()),
-                 pa.array([b for _, _, b in found], pa.list_(pa.int64()))],
-                ["_row", "_id", "_print", "_size", "_bands"])
+            for at in range(0, batch.num_rows, 1 << 8):
+                part = batch.slice(at, 1 << 8)
+                sets = (shingle_set(t.as_py(), words, seed) for t in part.column("text"))
+                found = [(xxhash.xxh3_64_intdigest(x.tobytes()), len(x), bands(x)) for x in sets]
+                prints = pa.array(np.array([p for p, _, _ in found], np.uint64).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("_row"), part.column("_id"), prints, pa.array([n for _, n, _ in found], pa.int64()),
+                     pa.array([b for _, _, b in found], pa.list_(pa.int64()))],
+                    ["_row", "_id", "_print", "_size", "_bands"])
+        tidy()
     return run
 
 
@@ -241,6 +244,7 @@ def _shared(batches):
             table = np.array(parts, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, 0]), pa.array(table[:, 1])], ["_print", "_lead"])
             parts = []
+    tidy()
 
 
 _WANTED = pa.schema([("at", pa.int64()), ("_print", pa.int64()), ("_family", pa.int64()), ("_parts", pa.list_(pa.int32())), ("_class", pa.int64())])
@@ -250,10 +254,11 @@ _SETS = "_family long, _part int, _print long, _class long, _set array<long>"
 def _sets(folder: str, words: int, seed: int):
     """The shingle sets of the rows asked for, once for every part that needs them."""
     def run(batches):
-        load = beside(folder, _WANTED)
+        load, here, asked = beside(folder, _WANTED), None, {}
         for block, part in runs(batches, 1 << 8):
-            wanted = load(block)
-            asked = dict(zip(wanted.column("at").to_pylist(), zip(*(wanted.column(n).to_pylist() for n in _WANTED.names[1:]))))
+            if block != here:
+                wanted, here = load(block), block
+                asked = dict(zip(wanted.column("at").to_pylist(), zip(*(wanted.column(n).to_pylist() for n in _WANTED.names[1:]))))
             rows = [(asked[at], text) for at, text in zip(part.column("_at").to_pylist(), part.column("_text")) if at in asked]
             out = []
             for (print_, family, parts, class_), text in rows:

@@ -13,8 +13,8 @@ from .blocks import beside, blocks, runs, store
 from .common import stored
 
 #: Words that one step of a task hashes at once, and documents it takes for that.
-STEP_WORDS, STEP_ROWS = 1 << 18, 512
-VOCABULARY = 1 << 18
+STEP_WORDS, STEP_ROWS = 1 << 17, 256
+VOCABULARY = 1 << 17
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NO_ID = np.iinfo(np.int64).max
 
@@ -128,7 +128,7 @@ def _first_level(length: int, window: int):
         hashes, times = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
         return {"hash": hashes.view(np.int64), "many": times > 1}
 
-    return lambda batches: _by_block(batches, collect, merge, 1 << 20)
+    return lambda batches: _by_block(batches, collect, merge, 1 << 19)
 
 
 def _second_level(length: int, window: int, folder: str):
@@ -164,7 +164,7 @@ def _second_level(length: int, window: int, folder: str):
         return {"low": low[new].view(np.int64), "high": high[new].view(np.int64),
                 "least": np.minimum.reduceat(least, new), "most": np.maximum.reduceat(most, new)}
 
-    return lambda batches: _by_block(batches, collect, merge, 1 << 19)
+    return lambda batches: _by_block(batches, collect, merge, 1 << 18)
 
 
 _OWNERS = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("least", pa.int64())])

@@ -6,12 +6,11 @@ from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.columns import as_double, numeric_columns, settled, to_rows
+from ..functions.columns import as_double, numeric_columns, settled
 from ..functions.frequencies import column_facts, top_frequencies
+from ..functions.moments import pair_moments
 from ..functions.quantiles import exact_quantiles
 
-#: Pairs of columns that one generated row carries; more make Spark's generated code too large to compile well.
-_PAIRS = 15
 _QUARTILES = [0.25, 0.5, 0.75]
 _STATISTICS = (
     "column string, count bigint, mean double, std double, min double, q25 double, median double, "
@@ -49,39 +48,20 @@ def describe_table(df: DataFrame, columns: list[str] | None = None, digits: int
 def pair_correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(left_ordinal, right_ordinal, source, target, r) per unordered pair, diagonal included.
 
-    Pearson over the rows where both are present, null if either does not vary. Each row yields its
-    pairs of values, ``_PAIRS`` side by side, which fold map-side to one buffer per pair: one scan and a
-    plan of the same size however wide the table is, with few rows generated for each one read.
+    Pearson over the rows where both are present, null if either does not vary. One scan (see ``pair_moments``).
     """
     columns = columns or numeric_columns(df)
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    if not pairs:
-        return df.sparkSession.createDataFrame(
-            [], "left_ordinal int, right_ordinal int, source string, target string, r double"
-        )
-    values = df.select(*[as_double(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    none = F.lit(None).cast("double")
-    chunks = [pairs[n:n + _PAIRS] for n in range(0, len(pairs), _PAIRS)]
-    wide = values.select(to_rows([
-        F.struct(F.lit(n).alias("chunk"), *[
-            (F.col(f"v{chunk[k][side]}") if k < len(chunk) else none).alias(f"{name}{k}")
-            for k in range(min(_PAIRS, len(pairs))) for side, name in enumerate("xy")
-        ]) for n, chunk in enumerate(chunks)
-    ]))
-    width = range(min(_PAIRS, len(pairs)))
-
-    def correlation(k: int) -> Column:
-        x, y = F.col(f"x{k}"), F.col(f"y{k}")
-        spread = F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y))
-        return F.try_divide(F.covar_pop(x, y), F.nullif(spread, F.lit(0.0)))
-
-    each = wide.groupBy("chunk").agg(*[correlation(k).alias(f"r{k}") for k in width])
-    found = each.select(to_rows([F.struct((F.col("chunk") * _PAIRS + k).alias("pair"), F.col(f"r{k}").alias("r")) for k in width]))
     names = df.sparkSession.createDataFrame(
-        [(n, i, j, columns[i], columns[j]) for n, (i, j) in enumerate(pairs)],
-        "pair int, left_ordinal int, right_ordinal int, source string, target string",
+        [(i, j, columns[i], columns[j]) for i, j in combinations_with_replacement(range(len(columns)), 2)],
+        "left_ordinal int, right_ordinal int, source string, target string",
     )
-    return names.join(found, "pair", "left").drop("pair")
+    if not columns:
+        return names.withColumn("r", F.lit(None).cast("double"))
+    found = pair_moments(df, [as_double(df, c) for c in columns])
+    spread = F.sqrt("sxx") * F.sqrt("syy")
+    r = F.greatest(F.least(F.try_divide("sxy", F.nullif(spread, F.lit(0.0))), F.lit(1.0)), F.lit(-1.0))
+    kept = found.select(F.col("i").alias("left_ordinal"), F.col("j").alias("right_ordinal"), F.when((F.col("sxx") > 0) & (F.col("syy") > 0), r).alias("r"))
+    return names.join(kept, ["left_ordinal", "right_ordinal"], "left").select("left_ordinal", "right_ordinal", "source", "target", "r")
 
 
 def correlation_matrix(df: DataFrame, columns: list[str] | None = None, digits: int = 3) -> DataFrame:
@@ -101,7 +81,7 @@ def strong_correlations(df: DataFrame, columns: list[str], threshold: float = 0.
     pairs = pair_correlations(df, columns).where(F.col("left_ordinal") < F.col("right_ordinal"))
     return pairs.where(F.abs("r") >= threshold).select(
         F.lit("correlation").alias("type"), "source", "target", settled("r", 3).alias("strength"),
-        F.format_string("Strong correlation (%.2f) between %s and %s", "r", "source", "target").alias("description"),
+        F.format_string("%s and %s move together with r = %.2f", "source", "target", "r").alias("description"),
     )
 
 

@@ -347,10 +347,29 @@ _EVIDENCE = _summary("region") + f""", {_FEATURES}{_SCORES}{_LONG},
     UNION ALL SELECT region, step, 'The run returned ' || v || ' as ' || k || '.', k, NULL, v, NULL, NULL, NULL, 0.95::DOUBLE, NULL,
       CASE step WHEN 1 THEN 'revenue_by_category(df) show()' WHEN 2 THEN 'forecast_linear(daily)' ELSE 'score_customers(features)' END FROM scalars)"""
 
+
+
+def _tail(density: str, low: str, width: str, steps: int = 20000) -> str:
+    """A tail probability by Simpson's rule over the density in u; what lies beyond the width is far below the digits shown."""
+    return f"""(SELECT round(sum((CASE WHEN i IN (0, {steps}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * ({density})) * ({width}) / {steps * 3}, 6)
+        FROM (SELECT i, {low} + ({width}) * i / {steps} AS u FROM generate_series(0, {steps}) g(i)))"""
+
+
+def _t_tails(t: str, v: str) -> str:
+    density = f"2 * exp(lgamma(({v} + 1) / 2) - lgamma({v} / 2)) / sqrt({v} * pi()) * (1 + u * u / {v}) ** (-({v} + 1) / 2)"
+    return _tail(density, f"abs({t})", "40")
+
+
+_F_TAIL = _tail(
+    "exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2) + d1 / 2 * ln(d1 / d2) + (d1 / 2 - 1) * ln(u) - (d1 + d2) / 2 * ln(1 + d1 * u / d2))",
+    "f", "(60 + 12 * sqrt(d1)) / d1")
+_CHI_TAIL = _tail("exp((k / 2 - 1) * ln(u) - u / 2 - k / 2 * ln(2) - lgamma(k / 2))", "x", "60 + 12 * sqrt(k)")
+
 _ANOVA = """, g AS (SELECT product_category, avg(revenue) AS m, count(*) AS n FROM transactions GROUP BY 1),
         s AS (SELECT sum((t.revenue - g.m) * (t.revenue - g.m)) AS w FROM transactions t JOIN g USING (product_category)),
-        b AS (SELECT sum(n * (m - (SELECT avg(revenue) FROM transactions)) ** 2) AS b, count(*) AS k, sum(n) AS n FROM g)
-        SELECT round((b / (k - 1)) / (w / (n - k)), {digits}) AS f_statistic, k - 1 AS df_between, CAST(n - k AS BIGINT) AS df_within FROM b, s"""
+        b AS (SELECT sum(n * (m - (SELECT avg(revenue) FROM transactions)) ** 2) AS b, count(*) AS k, sum(n) AS n FROM g),
+        f AS (SELECT (b / (k - 1)) / (w / (n - k)) AS f, CAST(k - 1 AS DOUBLE) AS d1, CAST(n - k AS DOUBLE) AS d2 FROM b, s)
+        SELECT round(f, {digits}) AS f_statistic, CAST(d1 AS BIGINT) AS df_between, CAST(d2 AS BIGINT) AS df_within, {tail} AS p_value FROM f"""
 _MISSING = ", ".join("'" + m + "'" for m in MISSING)
 
 #: Runs as islands between gaps: a flag where a pause ends, summed up.
@@ -450,7 +469,7 @@ ORACLE: dict[str, str] = {
         round(coalesce(std, 0), 2) AS std, CAST(round(CAST(q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q25, CAST(round(CAST(q75 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS q75, CAST(round(CAST(q75 - q25 AS DECIMAL(30, 9)), 2) AS DOUBLE) AS iqr FROM stats""", _STAT_TABLE),
     "profile_top5": _dirty(f"SELECT * FROM {_SAMPLES}"),
     "strong_correlations": _dirty("""SELECT 'correlation' AS type, a AS source, b AS target, round(r, 3) AS strength,
-        'Strong correlation (' || printf('%.2f', r) || ') between ' || a || ' and ' || b AS description FROM (""" + _union([
+        a || ' and ' || b || ' move together with r = ' || printf('%.2f', r) AS description FROM (""" + _union([
         f"SELECT '{a}' AS a, '{b}' AS b, regr_sxy({b}, {a}) / nullif(sqrt(regr_sxx({b}, {a}) * regr_syy({b}, {a})), 0) AS r FROM dirty"
         for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1:]]) + ") WHERE abs(r) >= 0.4"),
     "date_ranges": _dirty("""SELECT 'order_date' AS "column", strftime(min(order_date), '%Y-%m-%d %H:%M:%S') AS min,
@@ -581,13 +600,29 @@ ORACLE: dict[str, str] = {
     "ttest": _t(""", m AS (SELECT avg(revenue) FILTER (WHERE region = 'ASIA') AS m1, avg(revenue) FILTER (WHERE region = 'EUROPE') AS m2,
         var_samp(revenue) FILTER (WHERE region = 'ASIA') / count(*) FILTER (WHERE region = 'ASIA') AS e1, count(*) FILTER (WHERE region = 'ASIA') AS n1,
         var_samp(revenue) FILTER (WHERE region = 'EUROPE') / count(*) FILTER (WHERE region = 'EUROPE') AS e2, count(*) FILTER (WHERE region = 'EUROPE') AS n2
-        FROM transactions) SELECT round(m1, 4) AS mean_first, round(m2, 4) AS mean_second, round((m1 - m2) / sqrt(e1 + e2), 4) AS t_statistic,
-        round((e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)), 2) AS degrees_of_freedom FROM m"""),
-    "anova": _t(_ANOVA.format(digits=4)),
-    "anova_offset": _t(_ANOVA.format(digits=3)),
+        FROM transactions), w AS (SELECT m1, m2, (m1 - m2) / sqrt(e1 + e2) AS t, (e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1)) AS v FROM m)
+        SELECT round(m1, 4) AS mean_first, round(m2, 4) AS mean_second, round(t, 4) AS t_statistic, round(v, 2) AS degrees_of_freedom, """ + _t_tails("t", "v") + " AS p_value FROM w"),
+    "anova": _t(_ANOVA.format(digits=4, tail=_F_TAIL)),
+    "anova_offset": _t(_ANOVA.format(digits=3, tail=_F_TAIL)),
     "chi_square": _t(""", o AS (SELECT product_category AS l, payment_method AS r, count(*) AS o FROM transactions GROUP BY ALL),
-        e AS (SELECT l, r, CAST(o AS DOUBLE) AS o, CAST(sum(o) OVER (PARTITION BY l) AS DOUBLE) * CAST(sum(o) OVER (PARTITION BY r) AS DOUBLE) / CAST(sum(o) OVER () AS DOUBLE) AS e FROM o)
-        SELECT round(sum((o - e) * (o - e) / e), 4) AS chi_square, (count(DISTINCT l) - 1) * (count(DISTINCT r) - 1) AS degrees_of_freedom FROM e"""),
+        e AS (SELECT l, r, CAST(o AS DOUBLE) AS o, CAST(sum(o) OVER (PARTITION BY l) AS DOUBLE) * CAST(sum(o) OVER (PARTITION BY r) AS DOUBLE) / CAST(sum(o) OVER () AS DOUBLE) AS e FROM o),
+        c AS (SELECT sum((o - e) * (o - e) / e) AS x, CAST((count(DISTINCT l) - 1) * (count(DISTINCT r) - 1) AS DOUBLE) AS k FROM e)
+        SELECT round(x, 4) AS chi_square, CAST(k AS BIGINT) AS degrees_of_freedom, """ + _CHI_TAIL + " AS p_value FROM c"),
+    "regression_multivariate": _t(""", d AS (SELECT revenue AS y, quantity AS x1, unit_price AS x2, discount AS x3 FROM transactions),
+        m AS (SELECT count(*) AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, regr_sxx(y, x1) AS s11, regr_sxx(y, x2) AS s22, regr_sxx(y, x3) AS s33,
+          regr_sxy(x1, x2) AS s12, regr_sxy(x1, x3) AS s13, regr_sxy(x2, x3) AS s23, regr_sxy(y, x1) AS s1y, regr_sxy(y, x2) AS s2y, regr_sxy(y, x3) AS s3y, regr_syy(y, x1) AS syy FROM d),
+        c AS (SELECT *, s22 * s33 - s23 * s23 AS c11, s13 * s23 - s12 * s33 AS c12, s12 * s23 - s13 * s22 AS c13, s11 * s33 - s13 * s13 AS c22, s12 * s13 - s11 * s23 AS c23,
+          s11 * s22 - s12 * s12 AS c33, s11 * (s22 * s33 - s23 * s23) - s12 * (s12 * s33 - s13 * s23) + s13 * (s12 * s23 - s13 * s22) AS det FROM m),
+        b AS (SELECT *, (c11 * s1y + c12 * s2y + c13 * s3y) / det AS b1, (c12 * s1y + c22 * s2y + c23 * s3y) / det AS b2, (c13 * s1y + c23 * s2y + c33 * s3y) / det AS b3,
+          (m1 * (c11 * m1 + c12 * m2 + c13 * m3) + m2 * (c12 * m1 + c22 * m2 + c23 * m3) + m3 * (c13 * m1 + c23 * m2 + c33 * m3)) / det AS lever FROM c),
+        e AS (SELECT *, syy - b1 * s1y - b2 * s2y - b3 * s3y AS rest, CAST(n - 4 AS DOUBLE) AS v FROM b),
+        r AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS ordinal FROM e),
+        q AS (SELECT ordinal, ['intercept', 'quantity', 'unit_price', 'discount', 'double_quantity'][ordinal + 1] AS term, n, rest, syy, v,
+          CASE ordinal WHEN 0 THEN my - b1 * m1 - b2 * m2 - b3 * m3 WHEN 1 THEN b1 WHEN 2 THEN b2 WHEN 3 THEN b3 END AS b,
+          CASE ordinal WHEN 0 THEN sqrt(rest / v * (1.0 / n + lever)) WHEN 1 THEN sqrt(rest / v * c11 / det) WHEN 2 THEN sqrt(rest / v * c22 / det) WHEN 3 THEN sqrt(rest / v * c33 / det) END AS se FROM r),
+        t AS (SELECT *, b / se AS t FROM q)
+        SELECT CAST(ordinal AS INTEGER) AS ordinal, term, round(b, 4) AS coefficient, round(se, 4) AS std_error, round(t, 3) AS t_statistic, CASE WHEN t IS NOT NULL THEN """ + _t_tails("t", "v") + """ END AS p_value,
+          n, 3::INTEGER AS rank, round(1 - rest / syy, 6) AS r_squared, round(sqrt(rest / n), 4) AS rmse FROM t"""),
     "regression_univariate": _t("""SELECT CAST(regr_count(cost, quantity) AS BIGINT) AS n, round(regr_slope(cost, quantity), 4) AS slope, round(regr_intercept(cost, quantity), 4) AS intercept,
         round(regr_r2(cost, quantity), 6) AS r_squared,
         round(sqrt(regr_syy(cost, quantity) * (1 - regr_r2(cost, quantity)) / regr_count(cost, quantity)), 4) AS rmse FROM transactions"""),

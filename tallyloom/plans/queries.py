@@ -789,3 +789,10 @@ def chi_square(spark, d):
 @query
 def regression_univariate(spark, d):
     return hypothesis.regression_univariate(transactions(spark, d, "quantity", "cost"), "quantity", "cost")
+
+
+@query
+def regression_multivariate(spark, d):
+    """Revenue on three columns and on one that repeats the first, which is reported to add nothing."""
+    rows = transactions(spark, d, "revenue", "quantity", "unit_price", "discount").withColumn("double_quantity", F.col("quantity") * 2)
+    return hypothesis.regression_multivariate(rows, ["quantity", "unit_price", "discount", "double_quantity"], "revenue")

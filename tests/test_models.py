@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.functions.distributions import chi_square_p_value, f_p_value, t_p_value
+from tallyloom.functions.moments import pair_moments
 from tallyloom.operators import attribution, churn, hypothesis, series
 
 COLUMNS = "customer_id int, order_id int, order_date date, revenue double, quantity double, discount double, product_category string"
@@ -161,3 +163,87 @@ def test_hypothesis(spark):
     expected = table.sum(1, keepdims=True) * table.sum(0, keepdims=True) / table.sum()
     chi = hypothesis.chi_square(cells, "l", "r").head()
     assert chi["chi_square"] == pytest.approx(((table - expected) ** 2 / expected).sum(), abs=1e-4) and chi["degrees_of_freedom"] == 1
+
+
+#: (statistic, degrees of freedom ..., probability) as printed in tables.
+TABLED = {
+    "t": [(2.228, 10, 0.05), (12.706, 1, 0.05), (2.7764, 4, 0.05), (1.9600, 10 ** 9, 0.05), (-3.169, 10, 0.01), (0.0, 7, 1.0), (1.984, 100, 0.05)],
+    "f": [(4.10, 2, 10, 0.05), (161.45, 1, 1, 0.05), (5.05, 5, 5, 0.05), (2.37, 4, 10 ** 8, 0.05), (3.02, 9, 9, 0.0575), (0.0, 3, 8, 1.0)],
+    "chi": [(3.841, 1, 0.05), (18.307, 10, 0.05), (124.342, 100, 0.05), (1074.68, 1000, 0.05), (23.209, 10, 0.01), (0.0, 3, 1.0), (0.0039, 1, 0.95)],
+}
+
+
+def test_p_values_against_tables(spark):
+    for name, rows in TABLED.items():
+        df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ["x", "a", "b", "p"] if name == "f" else ["x", "a", "p"])
+        p = {"t": lambda: t_p_value(F.col("x"), F.col("a")), "f": lambda: f_p_value(F.col("x"), F.col("a"), F.col("b")), "chi": lambda: chi_square_p_value(F.col("x"), F.col("a"))}[name]()
+        for r in df.withColumn("found", p).collect():
+            assert r["found"] == pytest.approx(r["p"], rel=0.004), r
+    odd = spark.createDataFrame([(None, 3.0), (1.0, 0.0), (1.0, None)], "x double, a double")
+    assert [r[0] for r in odd.select(t_p_value(F.col("x"), F.col("a"))).collect()] == [None] * 3
+    assert [r[0] for r in odd.select(chi_square_p_value(F.col("x"), F.col("a"))).collect()] == [None] * 3
+
+
+def test_p_values_agree_with_one_another(spark):
+    """F of one and n degrees is t squared, chi-squared is F without end, two tails of it are an exponential."""
+    df = spark.range(1, 60).select((F.col("id") / 7).alias("x"), (F.col("id") * 3.0).alias("a"))
+    rows = df.select(
+        "x", t_p_value(F.col("x"), F.col("a")).alias("t"), f_p_value(F.col("x") * F.col("x"), F.lit(1.0), F.col("a")).alias("f"),
+        chi_square_p_value(F.col("x"), F.lit(2.0)).alias("two"), chi_square_p_value(F.col("x") * 5, F.lit(5.0)).alias("c"), f_p_value(F.col("x"), F.lit(5.0), F.lit(1e12)).alias("e")).collect()
+    for r in rows:
+        assert r["t"] == pytest.approx(r["f"], rel=1e-9) and r["two"] == pytest.approx(math.exp(-r["x"] / 2), rel=1e-10) and r["c"] == pytest.approx(r["e"], abs=1e-10)
+
+
+def _frame(spark, columns, parts=3):
+    names = list(columns)
+    return spark.createDataFrame([tuple(None if x != x else float(x) for x in r) for r in zip(*columns.values())], ", ".join(f"{n} double" for n in names)).repartition(parts)
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e7])
+def test_regression_on_several_columns(spark, offset):
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=400) + offset, rng.normal(size=400) * 1000
+    y = 3 * (a - offset) - 0.02 * b + 5 + rng.normal(size=400)
+    y[:7], a[7:9], b[20] = np.nan, np.nan, np.nan
+    df = _frame(spark, {"a": a, "b": b, "sum": a + 2 * b, "flat": np.ones(400), "y": y})
+    rows = {r.term: r for r in hypothesis.regression_multivariate(df, ["a", "b", "sum", "flat"], "y").collect()}
+    there = ~np.isnan(a + b + y)
+    x = np.column_stack([np.ones(there.sum()), a[there] - offset, b[there]])
+    weights, rest, *_ = np.linalg.lstsq(x, y[there], rcond=None)
+    errors = np.sqrt(rest[0] / (len(x) - 3) * np.diag(np.linalg.inv(x.T @ x)))
+    assert [rows[t].coefficient for t in ("a", "b")] == pytest.approx(weights[1:], abs=2e-4)
+    assert [rows[t].std_error for t in ("a", "b")] == pytest.approx(errors[1:], abs=2e-4)
+    assert rows["sum"].coefficient is None and rows["flat"].coefficient is None and rows["sum"].p_value is None
+    assert rows["a"].n == there.sum() and rows["a"].rank == 2 and rows["a"].p_value == 0.0
+    if not offset:
+        assert rows["intercept"].coefficient == pytest.approx(weights[0], abs=2e-4) and rows["intercept"].std_error == pytest.approx(errors[0], abs=2e-4)
+
+
+def test_regression_on_too_few_rows(spark):
+    df = _frame(spark, {"a": np.array([1.0, 2.0]), "b": np.array([1.0, 4.0]), "y": np.array([3.0, 5.0])})
+    rows = {r.term: r for r in hypothesis.regression_multivariate(df, ["a", "b"], "y").collect()}
+    assert rows["a"].coefficient == 2.0 and rows["b"].coefficient is None and rows["a"].std_error is None and rows["intercept"].coefficient == 1.0
+    none = hypothesis.regression_multivariate(df.where("a > 9"), ["a"], "y").collect()
+    assert [(r.coefficient, r.n) for r in none] == [(None, 0)] * 2
+    for bad in ([], ["a", "a"], ["y"]):
+        with pytest.raises(ValueError):
+            hypothesis.regression_multivariate(df, bad, "y")
+
+
+def test_moments_of_pairs_with_gaps(spark):
+    rng = np.random.default_rng(3)
+    values = rng.normal(size=(300, 4)) + np.array([0, 1e9, -5, 0])
+    values[rng.random((300, 4)) < 0.3] = np.nan
+    values[:, 3] = np.where(np.isnan(values[:, 3]), np.nan, 0.1)
+    values[:, 2][rng.random(300) < 0.98] = np.nan
+    df = _frame(spark, {f"v{k}": values[:, k] for k in range(4)}, 20)
+    for r in pair_moments(df, [F.col(c) for c in df.columns]).collect():
+        x, y = values[:, r.i], values[:, r.j]
+        there = ~np.isnan(x + y)
+        x, y = x[there], y[there]
+        assert r.n == len(x) and r.mx == pytest.approx(x.mean()) and r.my == pytest.approx(y.mean())
+        for found, want in ((r.sxx, (x - x.mean()) @ (x - x.mean())), (r.syy, (y - y.mean()) @ (y - y.mean())), (r.sxy, (x - x.mean()) @ (y - y.mean()))):
+            assert found == pytest.approx(want, abs=1e-4)
+        if 3 in (r.i, r.j):
+            assert (r.sxx if r.i == 3 else r.syy) == 0.0 and r.sxy == 0.0
+    assert pair_moments(df.where("v0 > 99"), [F.col("v0")]).collect() == []

@@ -45,7 +45,11 @@ def test_the_order_changes_no_verdict_and_puts_cheap_rejections_first(spark, mon
     made = [rules.Rule("never", F.lit(False)), *rules.default_rules()]
     chosen = rules.ordered(df, made)
     assert chosen[-1][2] == 0.0 and {r.name for r, _, _ in chosen} == {r.name for r in made}
-    assert [x[2] / max(x[1], 1e-6) for x in chosen] == sorted((x[2] / max(x[1], 1e-6) for x in chosen), reverse=True)
+    worth = [x[2] / max(x[1], 1.0) for x in chosen]
+    assert worth == sorted(worth, reverse=True)
+    cost = {r.name: c for r, c, _ in chosen}
+    assert cost["symbols"] == 1.0 and cost["capitals"] == 2 * cost["letters"] > cost["symbols"]
+    assert all([r.name for r, _, _ in rules.ordered(df, made)] == [r.name for r, _, _ in chosen] for _ in range(3))
     verdicts = []
     for order in (made, made[::-1]):
         monkeypatch.setattr(rules, "ordered", lambda *a, order=order: [(r, 0.0, 0.0) for r in order])

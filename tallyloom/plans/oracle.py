@@ -381,6 +381,17 @@ _RUNS_BY_PAUSE = f"""flagged AS (SELECT user_id AS owner, ts, event_id AS step_i
     CASE WHEN step = 'error' THEN 'failed' WHEN lag(step) OVER (PARTITION BY owner, run ORDER BY ts, step_id) = 'error' THEN 'recovered' ELSE 'done' END AS outcome,
     CASE WHEN step IN ('error', 'purchase') THEN props END AS note FROM numbered)"""
 
+#: Orders 0 to 5 of the daily steps of a region, each from the one before.
+_LEVINSON = """steps AS (SELECT region, ds, value, value - lag(value) OVER (PARTITION BY region ORDER BY ds) AS d FROM filled),
+        centered AS (SELECT *, d - avg(d) OVER (PARTITION BY region) AS c FROM steps WHERE d IS NOT NULL),
+        lagged AS (SELECT *, """ + ", ".join(f"lag(c, {k}) OVER (PARTITION BY region ORDER BY ds) AS l{k}" for k in range(1, 6)) + """ FROM centered),
+        g AS (SELECT region, count(*) AS n, avg(d) AS mu, max(ds) AS last_day, arg_max(value, ds) AS level, arg_max([c, l1, l2, l3, l4], ds) AS recent,
+          [sum(c * c) / count(*), """ + ", ".join(f"sum(c * l{k}) / count(*)" for k in range(1, 6)) + """] AS g FROM lagged GROUP BY region),
+        lev AS (SELECT region, 0 AS m, CAST([] AS DOUBLE[]) AS a, g[1] AS e FROM g
+          UNION ALL SELECT region, m + 1, list_append(list_transform(a, lambda x, i: x - k * a[m + 1 - i]), k), e * (1 - k * k)
+          FROM (SELECT lev.*, (g.g[m + 2] - coalesce(list_sum(list_transform(a, lambda x, i: x * g.g[m + 2 - i])), 0)) / e AS k FROM lev JOIN g USING (region) WHERE m < 5)),
+        fits AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY aic, m) AS place FROM (SELECT lev.*, n * ln(e) + 2 * (m + 1) AS aic FROM lev JOIN g USING (region)))"""
+
 ORACLE: dict[str, str] = {
     # sources, catalog, SQL
     "scan_transactions": _t("SELECT * FROM transactions"),
@@ -555,6 +566,15 @@ ORACLE: dict[str, str] = {
         ahead AS (SELECT region, CAST(last_day + CAST(s AS INTEGER) AS DATE) AS ds, v + sum(move) OVER (PARTITION BY region ORDER BY s) AS p,
           1.96 * sd * sqrt(sum(effect * effect) OVER (PARTITION BY region ORDER BY s)) AS e FROM steps)
         SELECT region, ds, {_r("greatest(0, p)", 2)} AS value, {_r("greatest(0, p - e)", 2)} AS lower, {_r("greatest(0, p + e)", 2)} AS upper FROM ahead"""),
+    "ar_orders": _t(_series("region") + f"""{_LEVINSON} SELECT region, m AS "order", {_r("e", 2)} AS variance, {_r("aic", 4)} AS aic, place = 1 AS chosen FROM fits""").replace("WITH", "WITH RECURSIVE", 1),
+    "forecast_ar_aic": _t(_series("region") + f"""{_LEVINSON}, ahead AS (
+          SELECT region, 0 AS h, a, recent[1:len(a)] AS r, CAST(level AS DOUBLE) AS level, mu, CAST([] AS DOUBLE[]) AS shocks, 0.0::DOUBLE AS response, 0.0::DOUBLE AS square, m, sqrt(e) AS sd, last_day
+          FROM fits JOIN g USING (region) WHERE place = 1
+          UNION ALL SELECT region, h + 1, a, list_prepend(move, r)[1:len(a)], level + mu + move, mu, list_prepend(shock, shocks)[1:len(a)], response + shock, square + (response + shock) ** 2, m, sd, last_day
+          FROM (SELECT *, coalesce(list_sum(list_transform(a, lambda x, i: x * r[i])), 0) AS move,
+            CASE h WHEN 0 THEN 1.0::DOUBLE ELSE coalesce(list_sum(list_transform(a, lambda x, i: x * coalesce(shocks[i], 0))), 0) END AS shock FROM ahead WHERE h < 90))
+        SELECT region, CAST(last_day + CAST(h AS INTEGER) AS DATE) AS ds, m AS "order", {_r("greatest(0, level)", 2)} AS value, {_r("greatest(0, level - 1.96 * sd * sqrt(square))", 2)} AS lower,
+          {_r("greatest(0, level + 1.96 * sd * sqrt(square))", 2)} AS upper FROM ahead WHERE h > 0""").replace("WITH", "WITH RECURSIVE", 1),
     # questions, runs, evidence, experience
     "tag_questions": f"WITH {QUESTIONS_SQL}, {_TAGGED} SELECT * EXCLUDE (words), words = 0 OR (words < 2 AND task_type <> 'general_chat') AS is_ambiguous FROM tagged",
     "extract_customer_id": rf"WITH {QUESTIONS_SQL} SELECT question_id, nullif(upper(regexp_extract(question, '(?i)CUST_\d+', 0)), '') AS customer_id FROM question_log",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.columns import settle_format
 from ..functions.scratch import materialize, scratch_folder
 from ..operators import (
-    attribution, churn, cleaning, encoding, evidence, experience, hypothesis, inspection, metrics, privacy,
+    attribution, autoregression, churn, cleaning, encoding, evidence, experience, hypothesis, inspection, metrics, privacy,
     profile, questions, runs, series, statistics,
 )
 from ..sources import readers, sql, tables as stored
@@ -625,6 +625,16 @@ def forecast_ar_first_order(spark, d):
     return series.forecast_ar(_daily(spark, d, "region"), by=["region"], order=1)
 
 
+@query
+def ar_orders(spark, d):
+    return autoregression.ar_orders(_daily(spark, d, "region"), by=["region"])
+
+
+@query
+def forecast_ar_aic(spark, d):
+    return autoregression.forecast_ar_aic(_daily(spark, d, "region"), by=["region"])
+
+
 # --- questions, runs, evidence, experience -------------------------------------------------------------
 
 @query

@@ -143,6 +143,31 @@ def dataset_profile(df: DataFrame, name: str, mode: str = "STRICT") -> DataFrame
         F.lit(mode).alias("privacy_mode"), F.lit(NOTICES[known]).alias("privacy_notice"))
 
 
+def shared_profile(df: DataFrame, name: str, mode: str = "STRICT") -> DataFrame:
+    """All of a profile that may leave, in one table: section, item, facts (a map of texts), privacy_mode.
+
+    Sections are dataset, column, relationship and date_range; facts without a value are left out. ``sanitize_profile`` decides on columns, aggregates are in every mode.
+    """
+    whole = dataset_profile(df, name, mode).drop("privacy_mode")
+    columns = sanitize_profile(profile_table(df), mode).select("*", "stats.*").drop("stats", "privacy_mode", "ordinal")
+    parts = {
+        "dataset": (whole, F.col("dataset_name")), "column": (columns, F.col("column")),
+        "relationship": (relationships(df), F.concat_ws(" - ", "source", "target")), "date_range": (date_ranges(df), F.col("column")),
+    }
+
+    def told(section: str, rows: DataFrame, item: Column) -> DataFrame:
+        texts = [
+            F.struct(F.lit(f.name).alias("key"), (F.array_join(f.name, "; ") if isinstance(f.dataType, T.ArrayType) else F.col(f.name).cast("string")).alias("value"))
+            for f in rows.schema.fields]
+        kept = F.filter(F.array(*texts), lambda p: p["value"].isNotNull())
+        return rows.select(F.lit(section).alias("section"), item.alias("item"), F.map_from_entries(kept).alias("facts"), F.lit(mode).alias("privacy_mode"))
+
+    first, *others = [told(section, *part) for section, part in parts.items()]
+    for other in others:
+        first = first.unionByName(other)
+    return first
+
+
 def relationships(df: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Strong correlations among the columns of numeric semantic type."""
     return strong_correlations(df, columns_of_type(df, "numeric"), threshold)

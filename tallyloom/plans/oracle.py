@@ -7,7 +7,7 @@ autoregressive forecast.
 from __future__ import annotations
 
 from ..sources.readers import MISSING
-from .queries import COEFFICIENTS, GIVEN, INTERCEPT, PAUSE, RISK_DAYS, SQL_TEXTS
+from .queries import COEFFICIENTS, GIVEN, INTERCEPT, PAUSE, RISK_DAYS, SAMPLED, SQL_TEXTS
 from .tables import CLAIMS_SQL, COLUMNS, DIRTY_SQL, QUESTIONS_SQL, RUNS_SQL, TRANSACTIONS_SQL
 
 # Spark type and pandas-style kind of each transactions column, in order.
@@ -392,6 +392,20 @@ _LEVINSON = """steps AS (SELECT region, ds, value, value - lag(value) OVER (PART
           FROM (SELECT lev.*, (g.g[m + 2] - coalesce(list_sum(list_transform(a, lambda x, i: x * g.g[m + 2 - i])), 0)) / e AS k FROM lev JOIN g USING (region) WHERE m < 5)),
         fits AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY aic, m) AS place FROM (SELECT lev.*, n * ln(e) + 2 * (m + 1) AS aic FROM lev JOIN g USING (region)))"""
 
+
+def _catalog(columns, samples: str = "") -> str:
+    """Columns of tables as the catalog has them; with ``samples`` of {t} and {c} the columns are given by table."""
+    def one(t: str, where: str, more: str = "") -> str:
+        return f"""SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name AS "column",
+        CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
+          WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp_ntz' END AS type,
+        is_nullable = 'YES' AS nullable, (SELECT count(*) FROM {t}) AS row_count{more}
+        FROM information_schema.columns WHERE table_name = '{t}'{where}"""
+    if not samples:
+        return _union([one(t, "") for t in columns])
+    return _union([one(t, f" AND column_name = '{c}'", f", {samples.format(t=t, c=c)} AS samples") for t, names in columns.items() for c in names])
+
+
 ORACLE: dict[str, str] = {
     # sources, catalog, SQL
     "scan_transactions": _t("SELECT * FROM transactions"),
@@ -400,14 +414,9 @@ ORACLE: dict[str, str] = {
     "scan_json_array": "SELECT * FROM documents",
     "write_table_summary": _t(f"""SELECT 'stored_transactions' AS table_name, count(*) AS rows_loaded, 13 AS column_count,
         '{','.join(COLUMNS)}' AS columns, 'success' AS status FROM transactions"""),
-    "table_catalog": _union([
-        f"""SELECT table_name, CAST(ordinal_position - 1 AS INTEGER) AS ordinal, column_name AS "column",
-        CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double'
-          WHEN 'VARCHAR' THEN 'string' WHEN 'FLOAT[]' THEN 'array<float>' ELSE 'timestamp_ntz' END AS type,
-        is_nullable = 'YES' AS nullable, (SELECT count(*) FROM {t}) AS row_count
-        FROM information_schema.columns WHERE table_name = '{t}'"""
-        for t in GIVEN
-    ]),
+    "table_catalog": _catalog(GIVEN),
+    "schema_with_samples": _catalog(SAMPLED, """(SELECT string_agg(CAST(v AS VARCHAR), ' | ' ORDER BY v) FROM (SELECT DISTINCT "{c}" AS v FROM {t} WHERE "{c}" IS NOT NULL ORDER BY v LIMIT 3))"""),
+    "schema_without_samples": _catalog(SAMPLED, "CAST(NULL AS VARCHAR)"),
     "table_names": _union([f"SELECT DISTINCT table_name FROM information_schema.columns WHERE table_name = '{t}'" for t in GIVEN]),
     "detect_schema": _dirty(_each(COLUMNS, """SELECT {i} AS ordinal, '{c}' AS "column", '{t}' AS dtype, count({c}) AS non_null,
         count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS unique_count,
@@ -489,6 +498,11 @@ ORACLE: dict[str, str] = {
         '{"; ".join(_NUMERIC)}' AS numeric_columns, '{"; ".join(_ENCODED)}' AS categorical_columns, 'order_date' AS datetime_columns, '' AS id_columns,
         'transactions: ' || count(*) || ' rows of {len(COLUMNS)} columns; told apart by none; measured in {", ".join(_NUMERIC)}; grouped by {", ".join(_ENCODED)}.' AS description,
         'STRICT' AS privacy_mode, 'only schema and aggregates are shown; sample values are withheld' AS privacy_notice FROM dirty"""),
+    "shared_profile": _dirty("SELECT 'dataset' AS section, 'transactions' AS item, 'categorical_columns, column_count, dataset_name, datetime_columns, description, id_columns, numeric_columns, privacy_notice, row_count' AS facts, '-' AS samples, 'STRICT' AS privacy_mode UNION ALL "
+        + _union([f"""SELECT 'column', '{c}', 'column, dtype, """ + ("iqr, max, mean, median, min, " if c in _NUMERIC else "") + "null_count, null_percentage, " + ("q25, q75, " if c in _NUMERIC else "") + "sample_summary, semantic_type, " + ("std, " if c in _NUMERIC else "") + "unique_count', '[REDACTED_UNDER_STRICT_PRIVACY]', 'STRICT'" for c in COLUMNS])
+        + " UNION ALL SELECT 'relationship', a || ' - ' || b, 'description, source, strength, target, type', '-', 'STRICT' FROM (" + _union([
+            f"SELECT '{a}' AS a, '{b}' AS b, regr_sxy({b}, {a}) / nullif(sqrt(regr_sxx({b}, {a}) * regr_syy({b}, {a})), 0) AS r FROM dirty"
+            for i, a in enumerate(_NUMERIC) for b in _NUMERIC[i + 1:]]) + ") WHERE abs(r) >= 0.4 UNION ALL SELECT 'date_range', 'order_date', 'column, max, min, span_days', '-', 'STRICT'"),
     "profile_strict": _profile("STRICT", "'[REDACTED_UNDER_STRICT_PRIVACY]'"),
     "profile_standard": _profile("STANDARD", "coalesce(p.sample_summary, '')"),
     # privacy

@@ -103,6 +103,31 @@ def table_catalog(spark, d):
     return stored.table_catalog(spark, list(GIVEN))
 
 
+#: Tables whose values are written alike in Spark and in the SQL they are checked against.
+SAMPLED = {
+    "region": ("r_regionkey", "r_name"),
+    "nation": ("n_nationkey", "n_name", "n_regionkey"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "labels": ("doc_id", "quality", "toxic"),
+    "benchmark": ("item_id", "text"),
+    "conversations": ("conv_id", "turn", "role", "text"),
+}
+
+
+@query
+def schema_with_samples(spark, d):
+    _register_given(spark, d)
+    found = stored.schema_with_samples(spark, list(SAMPLED), allow_samples=profile.MODES["STANDARD"])
+    return found.withColumn("samples", F.array_join("samples", " | "))
+
+
+@query
+def schema_without_samples(spark, d):
+    _register_given(spark, d)
+    return stored.schema_with_samples(spark, list(SAMPLED), allow_samples=profile.MODES["STRICT"]).withColumn("samples", F.array_join("samples", " | "))
+
+
 @query
 def table_names(spark, d):
     _register_given(spark, d)
@@ -343,6 +368,15 @@ def dataset_profile(spark, d):
     return found.withColumns({c: _text(c) for c in ("numeric_columns", "categorical_columns", "datetime_columns", "id_columns")})
 
 
+@query
+def shared_profile(spark, d):
+    """What of the whole profile may leave under STRICT: how many items a section has and which facts are told of them."""
+    found = profile.shared_profile(stored_dirty(spark, d), "transactions")
+    facts = F.array_join(F.array_sort(F.map_keys("facts")), ", ")
+    samples = F.coalesce(F.col("facts")["sample_summary"], F.lit("-"))
+    return found.select("section", "item", facts.alias("facts"), samples.alias("samples"), "privacy_mode")
+
+
 # --- privacy ------------------------------------------------------------------------------------
 
 @query

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
-from ..functions.columns import to_rows
+from ..functions.columns import col, to_rows
 
 
 def save_table(df: DataFrame, name: str, path: str, mode: str = "overwrite") -> DataFrame:
@@ -56,6 +56,37 @@ def sample_rows(spark: SparkSession, name: str, allow_samples: bool = False, k:
     return spark.table(name).limit(k)
 
 
+def smallest_values(df: DataFrame, k: int = 3) -> dict[str, list[str]]:
+    """The ``k`` smallest distinct values of every column, as text; none of nested and binary columns.
+
+    Each scan takes the smallest value above the ones found so far, of all columns at once: no distinct values are shuffled.
+    """
+    plain = [f for f in df.schema.fields if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
+    found: dict[str, list[str]] = {f.name: [] for f in df.schema.fields}
+    left = list(plain)
+    for _ in range(k):
+        if not left:
+            break
+        above = [F.when(col(f.name) > F.lit(found[f.name][-1]).cast(f.dataType), col(f.name)) if found[f.name] else col(f.name) for f in left]
+        least = df.agg(*[F.min(c).cast("string").alias(f"c{i}") for i, c in enumerate(above)]).head()
+        for f, value in zip(left, least):
+            if value is not None:
+                found[f.name].append(value)
+        left = [f for f, value in zip(left, least) if value is not None]
+    return found
+
+
+def schema_with_samples(spark: SparkSession, names: list[str] | None = None, allow_samples: bool = False, k: int = 3) -> DataFrame:
+    """``table_catalog`` with ``samples``: the ``k`` smallest distinct values of a column where the privacy policy allows values to be shown, else null.
+
+    What may not be shown is not read either.
+    """
+    names = names or table_names(spark)
+    rows = [(n, c, v) for n in names for c, v in smallest_values(spark.table(n), k).items()] if allow_samples else []
+    samples = spark.createDataFrame(rows, "table_name string, column string, samples array<string>")
+    return table_catalog(spark, names).join(F.broadcast(samples), ["table_name", "column"], "left")
+
+
 def schema_fingerprint(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
     """Per registered table the first 12 hex digits of the md5 of its sorted column names joined by ``_``."""
     names = names or table_names(spark)

@@ -134,3 +134,15 @@ def test_dense_index(spark):
     df = spark.range(1000).repartition(7)
     rows = dense_index(df, [df["id"].desc()], "at").collect()
     assert all(r["id"] + r["at"] == 999 for r in rows) and len(rows) == 1000
+
+
+def test_samples_are_the_smallest_values_and_only_where_allowed(spark):
+    df = spark.createDataFrame(
+        [(1, "b", 0.5, None, [1]), (1, "b", 0.25, None, [2]), (2, None, 1e9, None, [3]), (3, "a'\\n|", 0.5, None, [4]), (4, "", -1.0, None, [5])],
+        "n int, s string, d double, none string, nested array<int>")
+    assert tables.smallest_values(df) == {"n": ["1", "2", "3"], "s": ["", "a'\n|", "b"], "d": ["-1.0", "0.25", "0.5"], "none": [], "nested": []}
+    assert tables.smallest_values(df.where("false"), 2)["n"] == []
+    df.createOrReplaceTempView("sampled")
+    shown = {r.column: r.samples for r in tables.schema_with_samples(spark, ["sampled"], allow_samples=True, k=2).collect()}
+    assert shown["n"] == ["1", "2"] and shown["nested"] == []
+    assert {r.samples for r in tables.schema_with_samples(spark, ["sampled"]).collect()} == {None}

@@ -138,7 +138,7 @@ def test_dense_index(spark):
 
 def test_samples_are_the_smallest_values_and_only_where_allowed(spark):
     df = spark.createDataFrame(
-        [(1, "b", 0.5, None, [1]), (1, "b", 0.25, None, [2]), (2, None, 1e9, None, [3]), (3, "a'\\n|", 0.5, None, [4]), (4, "", -1.0, None, [5])],
+        [(1, "b", 0.5, None, [1]), (1, "b", 0.25, None, [2]), (2, None, 1e9, None, [3]), (3, "a'\n|", 0.5, None, [4]), (4, "", -1.0, None, [5])],
         "n int, s string, d double, none string, nested array<int>")
     assert tables.smallest_values(df) == {"n": ["1", "2", "3"], "s": ["", "a'\n|", "b"], "d": ["-1.0", "0.25", "0.5"], "none": [], "nested": []}
     assert tables.smallest_values(df.where("false"), 2)["n"] == []

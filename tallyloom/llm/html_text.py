@@ -24,6 +24,8 @@ _HELD = 1 << 17
 # Elements by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noframes svg math object".split())
+#: Raw elements in which a slash closes an element as it opens.
+FOREIGN = frozenset(("svg", "math"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br img "
     "ruby rt rp".split())
@@ -102,10 +104,11 @@ def parse(html: str | None) -> Node:
             up = here
             while up is not None and not up.holds:
                 up.holds, up = True, up.parent
-        if tag in RAW:
+        closed = (found[3] or "").rstrip().endswith("/")
+        if tag in RAW and not (tag in FOREIGN and closed):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
             at = end.end() if end else size
-        elif tag not in VOID and not (found[3] or "").rstrip().endswith("/") or tag in CLOSES_P:
+        elif tag not in VOID and not closed or tag in CLOSES_P:
             here = node
     return root
 
@@ -144,9 +147,34 @@ def other(node: Node, inside: str) -> bool:
     return not named.isdisjoint(ALWAYS_OTHER) or bool(named) and not own
 
 
+def dominant(root: Node) -> set[int]:
+    """The forms and named branches, by ``id``, that hold more than half of the text of a page without article and main.
+
+    Such a branch is the page's own frame. What is never text, and names that always mean another part, end the way down to it.
+    """
+    found: set[int] = set()
+    if root.holds:
+        return found
+    order, sizes = [root], {}
+    for node in order:
+        order += [x for x in node.items if not isinstance(x, str) and x.tag not in RAW and (x.tag not in NEVER or x.tag == "form")]
+    for node in reversed(order):
+        sizes[id(node)] = sum(len(x.strip()) if isinstance(x, str) else sizes.get(id(x), 0) for x in node.items)
+    here, whole = root, sizes[id(root)]
+    while True:
+        here = next((x for x in here.items if not isinstance(x, str) and 2 * sizes.get(id(x), 0) > whole), None)
+        if here is None or any(not ALWAYS_OTHER.isdisjoint(_pieces(n)) for n in here.names + here.ids):
+            return found
+        found.add(id(here))
+
+
 def text_blocks(root: Node, removed=frozenset()) -> list[str]:
-    """Texts of the blocks in page order, without the branches that are other parts or in ``removed``."""
+    """Texts of the blocks in page order, without the branches that are other parts or in ``removed``.
+
+    On a page without article and main a form or named branch stays that holds most of its text (``dominant``).
+    """
     out: list[str] = []
+    frame = dominant(root)
     held: list[str] = []
     if removed:
         heights(root)
@@ -164,7 +192,7 @@ def text_blocks(root: Node, removed=frozenset()) -> list[str]:
                 held.append(item)
             elif item.tag == "br":
                 held.append(" ")
-            elif other(item, inside) or not inside and item.path in removed and not item.holds and item.height < DEEPEST:
+            elif other(item, inside) and id(item) not in frame or not inside and item.path in removed and not item.holds and item.height < DEEPEST:
                 if item.tag not in INLINE:
                     flush()
             else:

@@ -100,3 +100,16 @@ def test_small_flushes_give_the_same(site, monkeypatch):
 def test_empty(spark, site, tmp_path):
     site.where("false").coalesce(1).write.parquet(str(tmp_path / "none.parquet"))
     assert ht.main_texts(spark.read.schema(site.schema).parquet(str(tmp_path / "none.parquet"))).count() == 0
+
+
+@pytest.mark.parametrize("page, expected", [
+    ("<p>a<svg/>b</p><p>c</p>", "a\n\nb\n\nc"), ("<p>a<svg viewBox='0 0 1 1' />b</p><math/><p>c</p>", "a\n\nb\n\nc"), ("<p>a<svg><path d='x'/></svg>b</p>", "a\n\nb"),
+    ("<form action='/'><h1>Title</h1><p>All of the page stands in one form.</p><input></form>", "Title\n\nAll of the page stands in one form."),
+    ("<div class='widget'><p>A long enough text in a named frame.</p></div><nav>Home</nav>", "A long enough text in a named frame."),
+    ("<body><p>The text itself, long.</p><form>Search <input></form></body>", "The text itself, long."),
+    ("<body><p>Short.</p><div class='comments'>Readers wrote much more than the author did.</div></body>", "Short."),
+    ("<main><p>Short.</p></main><form>A form with more text than the article that it stands beside.</form>", "Short."),
+    ("<nav>Home and a great many other links that outweigh the text</nav><p>Short.</p>", "Short."),
+])
+def test_frames_and_foreign_elements(page, expected):
+    assert text(page) == expected

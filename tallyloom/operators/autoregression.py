@@ -64,14 +64,14 @@ def _chosen(fits: Column) -> Column:
 
 
 def ar_orders(daily: DataFrame, by: list[str] = (), most: int = 5, min_days: int = MIN_DAYS) -> DataFrame:
-    """(by..., order, variance, aic, chosen): what each order from 0 leaves unexplained of the daily steps, and which one the forecast takes.
+    """(by..., order, deviation, aic, chosen): what each order from 0 leaves unexplained of the daily steps, and which one the forecast takes.
 
     Orders are bounded by ``most`` and a quarter of the steps. aic is n ln(variance) + 2 (order + 1), null where nothing varies.
     """
     by = list(by)
     rows = _moments(daily, by, most, min_days).withColumn("_fits", _fits(most)).withColumn("_best", _chosen(F.col("_fits"))["order"])
     fits = rows.select(*by, "_best", F.inline("_fits"))
-    return fits.select(*by, "order", settled("variance", 2).alias("variance"), settled("aic", 4).alias("aic"), (F.col("order") == F.col("_best")).alias("chosen"))
+    return fits.select(*by, "order", settled(F.sqrt("variance"), 2).alias("deviation"), settled("aic", 4).alias("aic"), (F.col("order") == F.col("_best")).alias("chosen"))
 
 
 def forecast_ar_aic(daily: DataFrame, periods: int = HORIZON, by: list[str] = (), most: int = 5, min_days: int = MIN_DAYS) -> DataFrame:

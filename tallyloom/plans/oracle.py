@@ -580,7 +580,7 @@ ORACLE: dict[str, str] = {
         ahead AS (SELECT region, CAST(last_day + CAST(s AS INTEGER) AS DATE) AS ds, v + sum(move) OVER (PARTITION BY region ORDER BY s) AS p,
           1.96 * sd * sqrt(sum(effect * effect) OVER (PARTITION BY region ORDER BY s)) AS e FROM steps)
         SELECT region, ds, {_r("greatest(0, p)", 2)} AS value, {_r("greatest(0, p - e)", 2)} AS lower, {_r("greatest(0, p + e)", 2)} AS upper FROM ahead"""),
-    "ar_orders": _t(_series("region") + f"""{_LEVINSON} SELECT region, m AS "order", {_r("e", 2)} AS variance, {_r("aic", 4)} AS aic, place = 1 AS chosen FROM fits""").replace("WITH", "WITH RECURSIVE", 1),
+    "ar_orders": _t(_series("region") + f"""{_LEVINSON} SELECT region, m AS "order", {_r("sqrt(e)", 2)} AS deviation, {_r("aic", 4)} AS aic, place = 1 AS chosen FROM fits""").replace("WITH", "WITH RECURSIVE", 1),
     "forecast_ar_aic": _t(_series("region") + f"""{_LEVINSON}, ahead AS (
           SELECT region, 0 AS h, a, recent[1:len(a)] AS r, CAST(level AS DOUBLE) AS level, mu, CAST([] AS DOUBLE[]) AS shocks, 0.0::DOUBLE AS response, 0.0::DOUBLE AS square, m, sqrt(e) AS sd, last_day
           FROM fits JOIN g USING (region) WHERE place = 1

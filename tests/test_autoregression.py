@@ -57,7 +57,7 @@ def test_orders_solve_their_equations(many):
         fits, chosen, _ = brute(values, 5, 1)
         assert [r.order for r in own] == [f[0] for f in fits] and [r.order for r in own if r.chosen] == [chosen]
         for r, (_, variance, aic, _) in zip(own, fits):
-            assert r.variance == pytest.approx(variance, abs=0.006) and (r.aic is None if aic is None else r.aic == pytest.approx(aic, abs=1e-3))
+            assert r.deviation == pytest.approx(np.sqrt(variance), abs=0.006) and (r.aic is None if aic is None else r.aic == pytest.approx(aic, abs=1e-3))
     assert [r.order for r in rows if r.name == "second" and r.chosen][0] >= 2
     assert [r.aic for r in rows if r.name in ("flat", "line")] == [None] * 12
 

@@ -91,7 +91,7 @@ def test_run_is_registered():
     assert entry_file.queries()["pipeline"] is corpus_pipeline.run and "pipeline" not in entry_file.oracle_sql()
     assert {n for n in entry_file.queries() if n.startswith("op")} == {
         "op1_simhash_dedup", "op2_byte_bpe", "op3_suffix_dedup", "op4_packing", "op5_quality_rules", "op6_quality_classifier",
-        "op7_exact_dedup", "op8_warc", "op9_substring_dedup", "op10_html_text"}
+        "op7_exact_dedup", "op8_warc", "op9_substring_dedup", "op10_html_text", "op11_lexical_search", "op12_personal_data", "op13_fill_in_middle"}
 
 
 def test_the_rest_imports_without_the_subpackage(tmp_path):

@@ -25,6 +25,7 @@ TASK_RULES = [
      []),
 ]
 DEFAULT_TASK = ("descriptive", ["eda"])
+# The entities and metrics that questions may name.
 ENTITIES = ["customer", "order", "product", "region", "payment_method", "revenue", "category", "date"]
 METRICS = ["revenue", "sales", "churn", "count", "average_order_value", "quantity", "discount", "profit", "cost"]
 

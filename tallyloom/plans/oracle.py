@@ -1,7 +1,8 @@
 """The same results in SQL for DuckDB, name by name.
 
 Queries that SQL cannot express have no entry here: the fitted churn scores and the
-autoregressive forecast.
+least-squares autoregressive forecast. Word lists, thresholds and patterns below are fixed values: they repeat those
+marked so in the operators, which results must equal.
 """
 
 from __future__ import annotations
@@ -241,6 +242,7 @@ def _summary(*by: str) -> str:
 
 # --- text pieces ----------------------------------------------------------------------------------------
 
+# The personal-data patterns, as in functions/masking.py.
 _EMAIL = r"[a-zA-Z0-9_.+-]+@[a-zA-Z0-9-]+\.[a-zA-Z0-9-.]+"
 _PHONE = r"\b(?:\+?\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b"
 _CARD = r"\b(?:\d{4}[-\s]?){3}\d{4}\b"

@@ -191,7 +191,7 @@ def test_p_values_agree_with_one_another(spark):
         "x", t_p_value(F.col("x"), F.col("a")).alias("t"), f_p_value(F.col("x") * F.col("x"), F.lit(1.0), F.col("a")).alias("f"),
         chi_square_p_value(F.col("x"), F.lit(2.0)).alias("two"), chi_square_p_value(F.col("x") * 5, F.lit(5.0)).alias("c"), f_p_value(F.col("x"), F.lit(5.0), F.lit(1e12)).alias("e")).collect()
     for r in rows:
-        assert r["t"] == pytest.approx(r["f"], rel=1e-9) and r["two"] == pytest.approx(math.exp(-r["x"] / 2), rel=1e-10) and r["c"] == pytest.approx(r["e"], abs=1e-10)
+        assert r["t"] == pytest.approx(r["f"], rel=1e-9) and r["two"] == pytest.approx(math.exp(-r["x"] / 2), rel=1e-10) and r["c"] == pytest.approx(r["e"], abs=1e-9)
 
 
 def _frame(spark, columns, parts=3):

@@ -25,8 +25,11 @@ def exact(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, that with the smallest id stays."""
-    return simhash.drop_similar(docs, words=5, least=0.8)
+    """Of documents linked by a Jaccard similarity of 0.8 of their five-word shingles, that with the smallest id stays.
+
+    Prints four bits apart at most are candidates by SimHash, MinHash adds those whose prints lie further apart, and all are compared exactly.
+    """
+    return simhash.drop_similar(docs, words=5, least=0.8, bits=4)
 
 
 def substring(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

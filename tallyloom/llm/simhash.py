@@ -40,13 +40,19 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
     for at in range(0, count, BLOCK):
         to = min(count, at + BLOCK)
         spans = zip(starts[at:to].tolist(), ends[at + width - 1:to + width - 1].tolist())
-        hashes = np.array([digest(line[a:b], seed) for a, b in spans], np.uint64)
-        octets = hashes.view(np.uint8).reshape(-1, 8)
-        if len(octets) < 256:
-            ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        else:
-            for i in range(8):
-                ones[8 * i:8 * i + 8] += np.bincount(octets[:, i], minlength=256) @ _BITS
+        ones += _ones(np.array([digest(line[a:b], seed) for a, b in spans], np.uint64))
+    return _majority(ones, count)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """In how many of the hashes each bit is set."""
+    octets = hashes.view(np.uint8).reshape(-1, 8)
+    if len(octets) < 256:
+        return np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.concatenate([np.bincount(octets[:, i], minlength=256) @ _BITS for i in range(8)])
+
+
+def _majority(ones: np.ndarray, count: int) -> int:
     return int(np.packbits(2 * ones > count, bitorder="little").view(np.uint64)[0])
 
 
@@ -149,13 +155,17 @@ def near_duplicates(
         raise ValueError("the balls of radius 1 around halves find links of at most 5 bits")
     rows = materialize(fingerprints(docs, id_col, text_col, words, seed))
     nodes = materialize(rows.groupBy("_print").agg(F.min("_id").alias("_first"), F.count("*").alias("_n")))
-    buckets = nodes.select("_print", _balls(bits).alias("_bucket"))
-    met = buckets.repartition("_bucket").sortWithinPartitions("_bucket")
-    links = met.mapInArrow(_link(bits), "a long, b long").distinct()
-    found = salted_join(rows, _class_ids(nodes, components(links)), "_print", "left", sizes=nodes)
+    found = salted_join(rows, _class_ids(nodes, components(_near(nodes, bits))), "_print", "left", sizes=nodes)
     return found.select("_row", F.col("_id").alias(id_col), "_print", F.coalesce("_class", "_id").alias("component_id"))
 
 
+def _near(prints: DataFrame, bits: int) -> DataFrame:
+    """Links (a, b) that connect the distinct fingerprints ``_print`` as those of at most ``bits`` bits do."""
+    buckets = prints.select("_print", _balls(bits).alias("_bucket"))
+    met = buckets.repartition("_bucket").sortWithinPartitions("_bucket")
+    return met.mapInArrow(_link(bits), "a long, b long").distinct()
+
+
 def _class_ids(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """_print, _class of the fingerprints that stand for several rows."""
     known = nodes.join(roots.withColumnRenamed("node", "_print"), "_print", "left")
@@ -188,12 +198,23 @@ def _first_of_each(docs: DataFrame, classes: DataFrame, id_col: str) -> DataFram
 
 def shingle_set(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     """Sorted hashes of the distinct shingles of the whole text, which is read as ``fingerprint`` reads it."""
+    return np.unique(_shingles(text, words, seed))
+
+
+def _shingles(text: str | None, words: int, seed: int) -> np.ndarray:
+    """Hashes of all shingles of the whole text, repeats included."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
         return np.empty(0, np.uint64)
     width, digest = min(words, len(tokens)), xxhash.xxh64_intdigest
     shingles = (b" ".join(tokens[i:i + width]) for i in range(len(tokens) - width + 1))
-    return np.unique(np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(tokens) - width + 1))
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64, len(tokens) - width + 1)
+
+
+def _set_and_print(text: str | None, words: int, seed: int) -> tuple[np.ndarray, int]:
+    """``shingle_set`` and ``fingerprint`` of a text whose shingles are hashed once."""
+    hashes = _shingles(text, words, seed)
+    return np.unique(hashes), _majority(_ones(hashes), len(hashes))
 
 
 def bands(shingles: np.ndarray) -> np.ndarray:
@@ -212,13 +233,13 @@ def _signatures(words: int, seed: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 8):
                 part = batch.slice(at, 1 << 8)
-                sets = (shingle_set(t.as_py(), words, seed) for t in part.column("text"))
-                found = [(xxhash.xxh3_64_intdigest(x.tobytes()), len(x), bands(x)) for x in sets]
-                prints = pa.array(np.array([p for p, _, _ in found], np.uint64).view(np.int64))
+                sets = (_set_and_print(t.as_py(), words, seed) for t in part.column("text"))
+                found = [(xxhash.xxh3_64_intdigest(x.tobytes()), s, len(x), bands(x)) for x, s in sets]
+                prints, simhashes = (pa.array(np.array([x[i] for x in found], np.uint64).view(np.int64)) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), part.column("_id"), prints, pa.array([n for _, n, _ in found], pa.int64()),
-                     pa.array([b for _, _, b in found], pa.list_(pa.int64()))],
-                    ["_row", "_id", "_print", "_size", "_bands"])
+                    [part.column("_row"), part.column("_id"), prints, simhashes, pa.array([n for _, _, n, _ in found], pa.int64()),
+                     pa.array([b for *_, b in found], pa.list_(pa.int64()))],
+                    ["_row", "_id", "_print", "_simhash", "_size", "_bands"])
         tidy()
     return run
 
@@ -247,6 +268,19 @@ def _shared(batches):
     tidy()
 
 
+def _simhash_meetings(nodes: DataFrame, bits: int) -> DataFrame:
+    """``_shared``'s columns for nodes (_print, _simhash) whose SimHash prints are equal or link by at most ``bits`` bits.
+
+    Nodes of one print meet in the smallest of them, and prints that link meet in theirs.
+    """
+    prints = materialize(nodes.groupBy("_simhash").agg(F.min("_print").alias("_lead"), F.count("*").alias("_n")))
+    same = salted_join(nodes.select("_print", "_simhash"), prints.select("_simhash", "_lead"), "_simhash", "inner", "_print", sizes=prints)
+    ends = [prints.select(F.col("_simhash").alias(end), F.col("_lead").alias(lead)) for end, lead in (("a", "_lead"), ("b", "_print"))]
+    linked = _near(prints.select(F.col("_simhash").alias("_print")), bits).join(ends[0], "a").join(ends[1], "b")
+    found = same.where("_print <> _lead").select("_print", "_lead").unionByName(linked.select("_print", "_lead"))
+    return found.select(F.explode(F.array("_print", "_lead")).alias("_print"), "_lead")
+
+
 _WANTED = pa.schema([("at", pa.int64()), ("_print", pa.int64()), ("_family", pa.int64()), ("_parts", pa.list_(pa.int32())), ("_class", pa.int64())])
 _SETS = "_family long, _part int, _print long, _class long, _set array<long>"
 
@@ -359,30 +393,35 @@ def _compared(docs: DataFrame, text_col: str, wanted: DataFrame, words: int, see
 
 
 def similar(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, least: float = 0.8,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, seed: int = 42, least: float = 0.8, bits: int = 4,
 ) -> DataFrame:
     """Every row's class of similar texts, with the columns of ``near_duplicates``; _print is a hash of the shingle set.
 
     Texts link when the Jaccard similarity of their shingle sets is ``least`` or more. Texts with equal sets are
-    one node. Nodes that meet in a band of a MinHash signature are of one family, and so is all that meetings connect. Every node's set goes to its family once, and
+    one node. Nodes whose SimHash prints differ in at most ``bits`` bits (see ``near_duplicates``) or that meet in a band of a MinHash
+    signature are of one family, and so is all that meetings connect. Every node's set goes to its family once, and
     ``alike`` finds what it links to. Sets and numbers of a bucket are never multiplied: no pair is written but links, at most one for each node of a part.
 
     A family of more than ``FAMILY`` sets is dealt to several tasks by hash, each of which also gets its ``CENTERS`` nodes with most meetings: the text that others
     were copied from meets more of them than they meet one another. If that leaves the family in several classes, every two parts are compared in one task
     each, classes found so far being one node; this alone moves a set more often, as often as its family has parts.
 
-    A 64-bit SimHash gives no such candidates: prints of texts of similarity 0.8 differ by 9.7 bits on average, one
-    pair in 37 by more than 15, and of any two texts one pair in 82,000 differs by 15 or less.
+    The prints alone do not find all links: those of texts of similarity 0.8 differ by 9.7 bits on average, one
+    pair in 37 by more than 15, and of any two texts one pair in 82,000 differs by 15 or less. The bands find the rest.
     """
+    if not 0 <= bits <= 5:
+        raise ValueError("the balls of radius 1 around halves find links of at most 5 bits")
     docs = stored(docs)
     rows = numbered(docs).select("_row", F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["_id"].dataType.simpleString()
     signed = materialize(rows.mapInArrow(
-        _signatures(words, seed), f"_row struct<file:long,at:long>, _id {kind}, _print long, _size long, _bands array<long>"))
+        _signatures(words, seed), f"_row struct<file:long,at:long>, _id {kind}, _print long, _simhash long, _size long, _bands array<long>"))
     nodes = materialize(signed.groupBy("_print").agg(
-        F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min("_row").alias("_row"), F.max("_size").alias("_size")))
+        F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min("_row").alias("_row"),
+        F.min_by("_simhash", "_row").alias("_simhash"), F.max("_size").alias("_size")))
     members = signed.join(nodes.select("_row"), "_row", "left_semi").select(F.explode("_bands").alias("_bucket"), "_print")
     met = members.repartition("_bucket").sortWithinPartitions("_bucket", "_print").mapInArrow(_shared, "_print long, _lead long")
+    met = met.unionByName(_simhash_meetings(nodes.where("_size > 0"), bits))
     met = materialize(met.groupBy("_print", "_lead").agg(F.count("*").alias("_meetings")))
     families = components(met.where("_lead <> _print").select(F.col("_lead").alias("a"), F.col("_print").alias("b")))
     degrees = met.groupBy("_print").agg(F.sum("_meetings").alias("_own")).join(
@@ -412,5 +451,5 @@ def similar(
         again = salted_join(classed, open_.select("_family"), "_family", "left_semi", "_print", sizes=open_).withColumn("_parts", with_all)
         links = links.union(_compared(docs, text_col, again, words, seed, least))
         labels = components(links)
-    found = salted_join(signed.drop("_bands", "_size"), _class_ids(nodes, labels), "_print", "left", sizes=nodes)
+    found = salted_join(signed.drop("_bands", "_size", "_simhash"), _class_ids(nodes, labels), "_print", "left", sizes=nodes)
     return found.select("_row", F.col("_id").alias(id_col), "_print", F.coalesce("_class", "_id").alias("component_id"))

@@ -217,3 +217,34 @@ def test_similar_on_odd_texts(odd, empty):
     rows = simhash.similar(odd).collect()
     assert sorted((r["doc_id"] for r in rows), key=str) == sorted((i for i, _ in ODD), key=str)
     assert unchanged(simhash.drop_similar(odd), odd) and simhash.drop_similar(empty).count() == 0
+
+
+def test_one_hashing_gives_set_and_print():
+    for _, text in ODD:
+        if text is None or len(text) < 100_000 or " " not in text:
+            found, print_ = simhash._set_and_print(text, 4, 42)
+            assert print_ == plain(text) and np.array_equal(found, simhash.shingle_set(text, 4))
+
+
+def test_simhash_finds_candidates_that_share_no_band(spark, tmp_path):
+    """Two texts that repeat one phrase have near prints, whatever a few words at their ends; a third has no such print."""
+    for n in range(1000):
+        texts = [" ".join(["one two three four five six seven"] * 200 + [f"{end}{n}x{i}" for i in range(2)]) for end in "ab"]
+        sets = [simhash.shingle_set(t) for t in texts]
+        if not np.intersect1d(simhash.bands(sets[0]), simhash.bands(sets[1])).size:
+            break
+    assert 0.3 <= len(np.intersect1d(*sets)) / len(np.union1d(*sets)) and bin(simhash.fingerprint(texts[0], 5) ^ simhash.fingerprint(texts[1], 5)).count("1") <= 4
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(list(enumerate([*texts, "quite another text of some words", None])), "doc_id long, text string").write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar(docs, least=0.3).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    assert simhash.drop_similar(docs, least=0.8).count() == 4  # a near print alone does not remove a text
+
+
+def test_simhash_meetings(spark):
+    rows = [(9, 0b0), (4, 0b1111), (5, 0b1111), (7, 0b11111 << 40), (8, 0b1 << 40)]
+    met = simhash._simhash_meetings(spark.createDataFrame(rows, "_print long, _simhash long"), 4)
+    roots = {r["node"]: r["root"] for r in components(met.where("_print <> _lead").selectExpr("_lead as a", "_print as b")).collect()}
+    assert len({roots[x] for x, _ in rows}) == 1
+    met = simhash._simhash_meetings(spark.createDataFrame(rows[:4], "_print long, _simhash long"), 4)
+    assert {r["_print"] for r in met.collect()} == {9, 4, 5}

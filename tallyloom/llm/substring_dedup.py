@@ -14,31 +14,14 @@ from .common import stored
 
 #: Words that one step of a task hashes at once, and documents it takes for that.
 STEP_WORDS, STEP_ROWS = 1 << 17, 256
-VOCABULARY = 1 << 17
 _FACTORS = np.random.default_rng(20).integers(0, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NO_ID = np.iinfo(np.int64).max
 
 
-class _Words(dict):
-    """Word -> place of its two 64-bit hashes; forgets all when it is full."""
-
-    def __init__(self):
-        self.low, self.high = np.zeros(1 << 12, np.uint64), np.zeros(1 << 12, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        place = len(self)
-        if place == len(self.low):
-            self.low, self.high = np.resize(self.low, 2 * place), np.resize(self.high, 2 * place)
-        value = xxhash.xxh3_128_intdigest(word)
-        self.low[place], self.high[place] = value & 0xFFFFFFFFFFFFFFFF, value >> 64
-        self[word] = place
-        return place
-
-    def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self) > VOCABULARY:
-            self.clear()
-        places = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        return self.low[places], self.high[places]
+def _hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The low and the high 64 bits of every word's hash. Hashing a word costs less than finding it in a large dictionary."""
+    halves = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(np.uint64)
+    return np.ascontiguousarray(halves[:, 1]), np.ascontiguousarray(halves[:, 0])
 
 
 def _windows(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -111,18 +94,19 @@ def _by_block(batches, collect, merge, most):
 
 def _first_level(length: int, window: int):
     """Sampled short windows: one row per block and hash, and whether the block's documents repeat it."""
-    words = _Words()
-
     def collect(_, batch):
         for _first, tokens, ends in _texts(batch):
-            low, _high = words.hashes(tokens)
+            low, _high = _hashes(tokens)
             short = _windows(low, length)
             count = max(0, len(low) - window + 1)
             anchors = _anchors(short, count, window - length + 1)[_whole(ends, count, window)]
             anchors = np.unique(anchors)
             owner = np.searchsorted(ends, anchors, side="right")
-            pairs = np.unique(np.rec.fromarrays((short[anchors], owner)))
-            yield (pairs.f0,)
+            order = np.argsort(short[anchors], kind="stable")  # owners ascend already
+            hashes, owner = short[anchors][order], owner[order]
+            new = np.ones(len(hashes), bool)
+            new[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+            yield (hashes[new],)
 
     def merge(held):
         hashes, times = np.unique(np.concatenate([x[0] for x in held]), return_counts=True)
@@ -133,7 +117,7 @@ def _first_level(length: int, window: int):
 
 def _second_level(length: int, window: int, folder: str):
     """Whole windows whose anchor repeats: one row per block and hash, with the ids' range."""
-    words, load = _Words(), beside(folder, pa.schema([("hash", pa.int64())]))
+    load = beside(folder, pa.schema([("hash", pa.int64())]))
     last: list = [None, None]
 
     def collect(block, batch):
@@ -144,7 +128,7 @@ def _second_level(length: int, window: int, folder: str):
             return
         ids = _ids(batch)
         for first, tokens, ends in _texts(batch):
-            low, high = words.hashes(tokens)
+            low, high = _hashes(tokens)
             short = _windows(low, length)
             count = max(0, len(low) - window + 1)
             starts = np.flatnonzero(_whole(ends, count, window))
@@ -172,7 +156,7 @@ _OWNERS = pa.schema([("low", pa.int64()), ("high", pa.int64()), ("least", pa.int
 
 def _removed(window: int, folder: str, finish):
     """For every document which words go; ``finish`` makes the rows of a run of documents."""
-    words, load = _Words(), beside(folder, _OWNERS)
+    load = beside(folder, _OWNERS)
 
     def run(batches):
         seen, known = None, None
@@ -186,7 +170,7 @@ def _removed(window: int, folder: str, finish):
             for first, tokens, ends in _texts(batch):
                 gone = np.zeros(len(tokens) + 1, np.int64)
                 if len(known[0]) and len(tokens) >= window:
-                    low, high = (_windows(x, window) for x in words.hashes(tokens))
+                    low, high = (_windows(x, window) for x in _hashes(tokens))
                     starts = np.flatnonzero(_whole(ends, len(low), window))
                     low, high, owner = low[starts], high[starts], ids[first + np.searchsorted(ends, starts, side="right")]
                     at = np.searchsorted(known[0], low)

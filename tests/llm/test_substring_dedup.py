@@ -65,3 +65,11 @@ def test_empty(empty):
 def test_documents_are_not_shuffled(odd):
     plan = sd.repeated_words(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_words_are_hashed_without_a_table_of_them():
+    words = [b"a", b"b", "été".encode(), b"a", b"x" * 500]
+    whole = [sd.xxhash.xxh3_128_intdigest(w) for w in words]
+    low, high = sd._hashes(words)
+    assert low.tolist() == [x & (1 << 64) - 1 for x in whole] and high.tolist() == [x >> 64 for x in whole]
+    assert [len(x) for x in sd._hashes([])] == [0, 0] and not hasattr(sd, "_Words")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from bisect import bisect_left, bisect_right, insort
 from functools import lru_cache
 
@@ -58,7 +59,8 @@ class WordIds(dict):
         ids = self.parts.get(part)
         if ids is None:
             spelled = part if part.isascii() else "".join(map(_SPELLING.__getitem__, part.encode()))
-            ids = self.parts[part] = np.array([t.id for t in self.tokenizer.model.tokenize(spelled)], self.kind).tobytes()
+            found = [t.id for t in self.tokenizer.model.tokenize(spelled)]
+            ids = self.parts[part] = struct.pack(f"<{len(found)}{'H' if self.kind == '<u2' else 'I'}", *found)
         return ids
 
     def forget(self) -> None:
@@ -68,11 +70,14 @@ class WordIds(dict):
     def learn(self, words: set[bytes]) -> None:
         if len(self) > _VOCABULARY:
             self.forget()
-        odd = []
+        odd, plain, known = [], self.plain, self.parts.get
         for word in words.difference(self):
-            found = self.plain(word.decode()) if self.plain else None
+            found = plain(word.decode()) if plain else None
             if found:
-                self[word] = self._part(found[1].lower()) + (self._part(found[2]) if found[2] else b"")
+                letters, signs = found.groups()
+                letters = letters.lower()
+                ids = known(letters) or self._part(letters)
+                self[word] = ids + (known(signs) or self._part(signs)) if signs else ids
             else:
                 odd.append(word)
         plain = [w for w in odd if _MARK not in w]

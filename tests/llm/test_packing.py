@@ -96,3 +96,14 @@ def test_least_squares_is_solved():
 
 def test_empty(empty):
     assert packing.packed(empty, FILE).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["<u2", "<u4"])
+def test_ids_of_parts_have_the_kind_of_the_vocabulary(kind, monkeypatch):
+    known = packing.WordIds(FILE)
+    known.kind = kind
+    monkeypatch.setattr(packing.np, "array", None)  # a part's ids are put together without an array of their own
+    words = [b"Running,", b"running", b"\xc3\x89t\xc3\xa9s...", b"x\xc3\xa9"]
+    known.learn(set(words))
+    monkeypatch.undo()
+    assert [np.frombuffer(known[w], kind).tolist() for w in words] == [plain(w.decode())[:-1] for w in words]

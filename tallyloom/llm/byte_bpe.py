@@ -75,7 +75,7 @@ def fold(words: str, table: str, size: int) -> F.Column:
     """Merge every word of an array column, each an array of ids: the pair of the least rank first, the first of equals.
 
     A fold over the word's length: each step takes the ranks of all neighbours from the map and joins
-    the best pair, or leaves the word as it is once no pair has a rank.
+    the best pair. Once no pair has a rank, -1 behind the word tells the steps that follow to leave it as it is.
     """
     key = "(cast(a as bigint) * 65536 + b)"
     at = [f"get({table}, cast(xxhash64({key}) & {size - 1} as int))",
@@ -84,8 +84,10 @@ def fold(words: str, table: str, size: int) -> F.Column:
     ranks = f"zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> {rank})"
     joined = "concat(slice(w, 1, k - 1), array(p[k - 1]), slice(w, k + 2, size(w)))"
     best = "cast(array_position(p, array_min(p)) as int)"
-    step = (f"transform(array({ranks}), p -> if(coalesce(array_min(p), {NONE}) = {NONE}, w, transform(array({best}), k -> {joined})[0]))[0]")
-    return F.expr(f"transform({words}, v -> if(size(v) < 2, v, aggregate(sequence(2, size(v)), v, (w, i) -> {step})))")
+    step = (f"transform(array({ranks}), p -> if(coalesce(array_min(p), {NONE}) = {NONE}, concat(w, array(-1)), transform(array({best}), k -> {joined})[0]))[0]")
+    ended = "get(w, size(w) - 1) < 0"
+    return F.expr(f"transform({words}, v -> if(size(v) < 2, v, aggregate(sequence(2, size(v)), v, (w, i) -> if({ended}, w, {step}), "
+                  f"w -> if({ended}, slice(w, 1, size(w) - 1), w))))")
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:

@@ -78,3 +78,13 @@ def test_documents_are_not_shuffled_and_the_map_is_no_column_of_the_fold(odd, em
     found = bpe.encoded(odd, FILE, public_tokenizers.PATTERN)
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
     assert bpe.round_trip(empty, FILE, public_tokenizers.PATTERN).count() == 0
+
+
+def test_a_word_that_is_merged_takes_no_more_steps(spark):
+    """Ranks are looked up for the merges and once more, not for every byte of the word."""
+    steps = bpe.fold("w", "ranks", 16)._jc.toString()
+    assert "-1" in steps and "slice" in steps
+    df = spark.createDataFrame([([[5, 6, 7, 8], [9], [], [5, 5]],)], "w array<array<int>>")
+    literal = spark.createDataFrame([([int(x) for x in bpe.rank_map({5 << 16 | 6: 300, 300 << 16 | 7: 301})],)], "ranks array<long>")
+    size = len(bpe.rank_map({5 << 16 | 6: 300, 300 << 16 | 7: 301}))
+    assert df.withColumn("ranks", literal.scalar()).select(bpe.fold("w", "ranks", size).alias("f")).head()["f"] == [[301, 8], [9], [], [5, 5]]

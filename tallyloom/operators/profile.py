@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import as_timestamp, contains_any, is_temporal, numeric_columns, settle_formats, settled, to_rows
 from ..functions.frequencies import column_facts, top_frequencies
+from ..functions.scratch import materialize
 from .statistics import strong_correlations, summary_statistics
 
 # Name parts that decide a semantic type.
@@ -49,8 +50,8 @@ def semantic_types(df: DataFrame) -> DataFrame:
     return profile_columns(df).withColumn("semantic_type", _semantic_type(df))
 
 
-def columns_of_type(df: DataFrame, semantic_type: str) -> list[str]:
-    found = semantic_types(df).where(F.col("semantic_type") == semantic_type)
+def columns_of_type(df: DataFrame, semantic_type: str, facts: DataFrame | None = None) -> list[str]:
+    found = (semantic_types(df) if facts is None else facts).where(F.col("semantic_type") == semantic_type)
     return [r["column"] for r in found.orderBy("ordinal").collect()]
 
 
@@ -82,16 +83,17 @@ def profile_top(df: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def profile_table(df: DataFrame) -> DataFrame:
+def profile_table(df: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """The full profile, one row per column with a statistics struct and a sample array.
 
-    Identifier text columns carry no samples, as their values single out one row each.
+    Identifier text columns carry no samples, as their values single out one row each. ``facts`` are the
+    ``semantic_types`` where they are known.
     """
     names = ["min", "max", "mean", "median", "std", "q25", "q75", "iqr"]
     stats = profile_stats(df).select("column", F.struct(*names).alias("stats"))
     categorical = F.col("semantic_type") == "categorical"
     return (
-        semantic_types(df)
+        (semantic_types(df) if facts is None else facts)
         .join(stats, "column", "left")
         .join(profile_top(df), "column", "left")
         .withColumn(
@@ -121,13 +123,13 @@ NOTICES = {
 }
 
 
-def dataset_profile(df: DataFrame, name: str, mode: str = "STRICT") -> DataFrame:
+def dataset_profile(df: DataFrame, name: str, mode: str = "STRICT", facts: DataFrame | None = None) -> DataFrame:
     """One row on the whole table: counts, its columns by semantic type, a description, the privacy mode and its notice.
 
     Column facts, relationships and date ranges are tables of their own.
     """
     kinds = {"numeric": "numeric_columns", "categorical": "categorical_columns", "datetime": "datetime_columns", "identifier": "id_columns"}
-    facts = semantic_types(df)
+    facts = semantic_types(df) if facts is None else facts
     listed = [
         F.transform(F.array_sort(F.collect_list(F.when(F.col("semantic_type") == k, F.struct("ordinal", "column")))), lambda c: c["column"]).alias(n)
         for k, n in kinds.items()
@@ -147,12 +149,14 @@ def shared_profile(df: DataFrame, name: str, mode: str = "STRICT") -> DataFrame:
     """All of a profile that may leave, in one table: section, item, facts (a map of texts), privacy_mode.
 
     Sections are dataset, column, relationship and date_range; facts without a value are left out. ``sanitize_profile`` decides on columns, aggregates are in every mode.
+    The facts of the columns, which take all their distinct values, are found once and written for the three sections that need them.
     """
-    whole = dataset_profile(df, name, mode).drop("privacy_mode")
-    columns = sanitize_profile(profile_table(df), mode).select("*", "stats.*").drop("stats", "privacy_mode", "ordinal")
+    facts = materialize(semantic_types(df))
+    whole = dataset_profile(df, name, mode, facts).drop("privacy_mode")
+    columns = sanitize_profile(profile_table(df, facts), mode).select("*", "stats.*").drop("stats", "privacy_mode", "ordinal")
     parts = {
         "dataset": (whole, F.col("dataset_name")), "column": (columns, F.col("column")),
-        "relationship": (relationships(df), F.concat_ws(" - ", "source", "target")), "date_range": (date_ranges(df), F.col("column")),
+        "relationship": (relationships(df, facts=facts), F.concat_ws(" - ", "source", "target")), "date_range": (date_ranges(df), F.col("column")),
     }
 
     def told(section: str, rows: DataFrame, item: Column) -> DataFrame:
@@ -168,9 +172,9 @@ def shared_profile(df: DataFrame, name: str, mode: str = "STRICT") -> DataFrame:
     return first
 
 
-def relationships(df: DataFrame, threshold: float = 0.4) -> DataFrame:
+def relationships(df: DataFrame, threshold: float = 0.4, facts: DataFrame | None = None) -> DataFrame:
     """Strong correlations among the columns of numeric semantic type."""
-    return strong_correlations(df, columns_of_type(df, "numeric"), threshold)
+    return strong_correlations(df, columns_of_type(df, "numeric", facts), threshold)
 
 
 def date_ranges(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

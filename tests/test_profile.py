@@ -139,3 +139,12 @@ def test_rank_ties(spark):
 def test_filter_on_text_dates(five):
     kept = metrics.filter_rows(five, [F.col("revenue") > 120], "order_date", "2025-01-02", "2025-01-05")
     assert sorted(r["order_id"] for r in kept.collect()) == ["O2", "O3", "O4"]
+
+
+def test_facts_of_columns_are_found_once(five, monkeypatch):
+    calls, whole = [], profile.column_facts
+    monkeypatch.setattr(profile, "column_facts", lambda df: calls.append(df) or whole(df))
+    found = profile.shared_profile(five, "orders").collect()
+    assert len(calls) == 1 and {r["section"] for r in found} >= {"dataset", "column", "date_range"}
+    expected = {r["column"]: r["unique_count"] for r in profile.semantic_types(five).collect()}
+    assert {r["item"]: int(r["facts"]["unique_count"]) for r in found if r["section"] == "column"} == expected

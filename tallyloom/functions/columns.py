@@ -43,8 +43,18 @@ def as_double(df: DataFrame, name: str) -> Column:
 DATE_FORMATS = ("", "MM/dd/yyyy", "dd/MM/yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "dd-MM-yyyy", "yyyyMMdd", "MMM d, yyyy", "d MMM yyyy")
 
 
+#: What text must look like to be read by these formats. Whatever a format reads passes; the rest need not be parsed, which costs an exception a value.
+_YEAR, _MONTH, _DAY, _NAME = r"[+-]?[0-9]{4,}", r"(0[1-9]|1[0-2])", r"(0[1-9]|[12][0-9]|3[01])", r"\p{L}+\.?"
+_SHAPES = {
+    "MM/dd/yyyy": f"^{_MONTH}/{_DAY}/{_YEAR}$", "dd/MM/yyyy": f"^{_DAY}/{_MONTH}/{_YEAR}$", "yyyy/MM/dd": f"^{_YEAR}/{_MONTH}/{_DAY}$",
+    "dd.MM.yyyy": rf"^{_DAY}\.{_MONTH}\.{_YEAR}$", "dd-MM-yyyy": f"^{_DAY}-{_MONTH}-{_YEAR}$", "yyyyMMdd": r"^[+-]?[0-9]{8,}$",
+    "MMM d, yyyy": f"^{_NAME} [0-9]+, {_YEAR}$", "d MMM yyyy": f"^[0-9]+ {_NAME} {_YEAR}$",
+}
+
+
 def parsed_date(text: Column, date_format: str = "") -> Column:
-    return F.try_to_timestamp(text, F.lit(date_format)) if date_format else F.try_to_timestamp(text)
+    shaped = F.when(text.rlike(_SHAPES[date_format]), text) if date_format in _SHAPES else text
+    return F.try_to_timestamp(shaped, F.lit(date_format)) if date_format else F.try_to_timestamp(text)
 
 
 def settle_formats(df: DataFrame, names: list[str], formats: tuple[str, ...] = DATE_FORMATS) -> dict[str, tuple[str, int]]:

@@ -148,3 +148,15 @@ def test_facts_of_columns_are_found_once(five, monkeypatch):
     assert len(calls) == 1 and {r["section"] for r in found} >= {"dataset", "column", "date_range"}
     expected = {r["column"]: r["unique_count"] for r in profile.semantic_types(five).collect()}
     assert {r["item"]: int(r["facts"]["unique_count"]) for r in found if r["section"] == "column"} == expected
+
+
+def test_dates_are_parsed_only_where_their_shape_fits(spark):
+    from tallyloom.functions.columns import DATE_FORMATS, parsed_date
+
+    texts = ["01/31/2024", "31/01/2024", "02/30/2024", "2024/01/31", "31.01.2024", "31-01-2024", "20240131", "Jan 3, 2024", "13 Feb 2024", "feb 03, 2024",
+             "01/31/+12024", "1/3/2024", "01/31/24", "01/31/2024 ", "STANDARD BRASS", "", None, "Sept 3, 2024", "3 May -2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for f in DATE_FORMATS[1:]:
+        assert "RLIKE" in parsed_date(F.col("t"), f)._jc.toString().upper()
+        rows = df.select(parsed_date(F.col("t"), f).alias("a"), F.try_to_timestamp("t", F.lit(f)).alias("b")).select(F.col("a").eqNullSafe(F.col("b")).alias("same"), F.col("b").isNotNull().alias("read")).collect()
+        assert all(r["same"] for r in rows) and any(r["read"] for r in rows)

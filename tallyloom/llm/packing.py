@@ -20,6 +20,8 @@ from .blocks import beside, store, tidy
 GRID, SWEEPS = 64, 20
 #: Words that a task encodes at once and remembers; a mark that stands between them.
 _BATCH, _VOCABULARY, _MARK = 1 << 7, 1 << 19, b"\x01"
+#: Parts of words that it remembers.
+_PARTS = 1 << 17
 _STEP = 256
 # The steps before the merges under which plain words may go straight to them.
 _NORMALISER = {"type": "Sequence", "normalizers": [
@@ -70,6 +72,8 @@ class WordIds(dict):
     def learn(self, words: set[bytes]) -> None:
         if len(self) > _VOCABULARY:
             self.forget()
+        if len(self.parts) > _PARTS:  # most stand in no other word
+            self.parts.clear()
         odd, plain, known = [], self.plain, self.parts.get
         for word in words.difference(self):
             found = plain(word.decode()) if plain else None

@@ -74,20 +74,28 @@ def _places(key: int, size: int) -> tuple[int, int]:
 def fold(words: str, table: str, size: int) -> F.Column:
     """Merge every word of an array column, each an array of ids: the pair of the least rank first, the first of equals.
 
-    A fold over the word's length: each step takes the ranks of all neighbours from the map and joins
-    the best pair. Once no pair has a rank, -1 behind the word tells the steps that follow to leave it as it is.
+    A fold over the word's length. Each id is held as rank << 32 | place << 16 | id, with the rank of it and its
+    successor, so the least number is the pair to join next and tells where it stands, and only the two ranks beside a
+    joined pair are looked up again. Once no pair has a rank, -1 behind the word tells the steps that follow to leave it as
+    it is. ``aggregate`` over one value gives it a name: an item of an array would have its type found again at every step.
     """
-    key = "(cast(a as bigint) * 65536 + b)"
-    at = [f"get({table}, cast(xxhash64({key}) & {size - 1} as int))",
-          f"get({table}, cast(shiftrightunsigned(xxhash64({key}), 32) & {size - 1} as int))"]
-    rank = "case " + " ".join(f"when shiftright({x}, 16) = {key} then cast({x} & 65535 as int)" for x in at) + f" else {NONE} end"
-    ranks = f"zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w) - 1), (a, b) -> {rank})"
-    joined = "concat(slice(w, 1, k - 1), array(p[k - 1]), slice(w, k + 2, size(w)))"
-    best = "cast(array_position(p, array_min(p)) as int)"
-    step = (f"transform(array({ranks}), p -> if(coalesce(array_min(p), {NONE}) = {NONE}, concat(w, array(-1)), transform(array({best}), k -> {joined})[0]))[0]")
+    at = [f"get({table}, cast(xxhash64(key) & {size - 1} as int))", f"get({table}, cast(shiftrightunsigned(xxhash64(key), 32) & {size - 1} as int))"]
+    rank = "case " + " ".join(f"when shiftright({x}, 16) = key then {x} & 65535" for x in at) + " else r end"
+
+    def ranked(left: str, right: str, behind: str) -> str:
+        return f"shiftleft(aggregate(array(shiftleft({left}, 16) | {right}), {NONE}L, (r, key) -> {rank}), 32) | {behind}"
+
+    start = ranked("cast(a as bigint)", "get(v, i + 1)", "(cast(i as bigint) * 65536 + a)")
+    joined = ranked("shiftright(m, 32)", "(get(w, k + 2) & 65535)", "(m & 4294901760) | shiftright(m, 32)")
+    before = ranked("(x & 65535)", "shiftright(m, 32)", "(x & 4294967295)")
+    merged = ("transform(filter(w, (x, i) -> i != k + 1), (x, i) -> "
+              f"case when i > k then x - 65536 when i < k - 1 then x when i = k then {joined} else {before} end)")
+    step = (f"aggregate(array(array_min(w)), w, (u, m) -> if(m >= {NONE << 32}, concat(w, array(-1L)), "
+            f"aggregate(array(cast(shiftright(m, 16) & 65535 as int)), w, (u, k) -> {merged})))")
     ended = "get(w, size(w) - 1) < 0"
-    return F.expr(f"transform({words}, v -> if(size(v) < 2, v, aggregate(sequence(2, size(v)), v, (w, i) -> if({ended}, w, {step}), "
-                  f"w -> if({ended}, slice(w, 1, size(w) - 1), w))))")
+    ids = f"transform(if({ended}, slice(w, 1, size(w) - 1), w), x -> cast(x & 65535 as int))"
+    return F.expr(f"transform({words}, v -> if(size(v) < 2, v, aggregate(sequence(2, size(v)), transform(v, (a, i) -> {start}), "
+                  f"(w, i) -> if({ended}, w, {step}), w -> {ids})))")
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -144,10 +152,57 @@ def ascii_form(pattern: str) -> re.Pattern | None:
         return None
 
 
+@lru_cache(maxsize=4)
+def wide_form(pattern: str) -> re.Pattern | None:
+    """The pattern for texts without characters above U+FFFF, with its classes written out as ``regex`` has them; None if it has others."""
+    if re.search(r"\(\?[a-zA-Z]", pattern):  # flags
+        return None
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        kind = pattern[at:at + 5] if pattern[at:at + 5] in (r"\p{L}", r"\p{N}") else pattern[at:at + 2] if pattern[at:at + 2] in (r"\s", r"\S") else ""
+        if kind:
+            if inside and kind == r"\S":
+                return None
+            chars = _ranges(kind.lower() if kind == r"\S" else kind)
+            out.append(chars if inside else f"[^{chars}]" if kind == r"\S" else f"[{chars}]")
+            at += len(kind)
+        elif pattern[at] == "\\":
+            if pattern[at + 1:at + 2].isalnum() and pattern[at + 1] not in "nrtfv":
+                return None
+            out.append(pattern[at:at + 2])
+            at += 2
+        else:
+            inside = pattern[at] == "[" or inside and pattern[at] != "]"
+            out.append(pattern[at])
+            at += 1
+    try:
+        return re.compile("".join(out))
+    except re.error:
+        return None
+
+
+def _ranges(kind: str) -> str:
+    """The characters up to U+FFFF of a class, as the inside of a bracket."""
+    found: list[list[int]] = []
+    for c in map(ord, regex.findall(kind, "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)])))):
+        if found and found[-1][1] == c - 1:
+            found[-1][1] = c
+        else:
+            found.append([c, c])
+    return "".join(f"\\u{a:04x}-\\u{z:04x}" for a, z in found)
+
+
 def splitter(pattern: str):
     """Text -> its words. The standard library is quicker than ``regex`` where it can stand in for it."""
-    full, plain = regex.compile(pattern).findall, ascii_form(pattern)
-    return (lambda text: plain.findall(text) if text.isascii() else full(text)) if plain else full
+    full, plain, wide = regex.compile(pattern).findall, ascii_form(pattern), wide_form(pattern)
+
+    def find(text: str) -> list[str]:
+        if plain and text.isascii():
+            return plain.findall(text)
+        if wide and len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text):
+            return wide.findall(text)
+        return full(text)
+    return find
 
 
 def _distinct(pattern: str):

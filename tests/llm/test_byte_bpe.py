@@ -88,3 +88,36 @@ def test_a_word_that_is_merged_takes_no_more_steps(spark):
     literal = spark.createDataFrame([([int(x) for x in bpe.rank_map({5 << 16 | 6: 300, 300 << 16 | 7: 301})],)], "ranks array<long>")
     size = len(bpe.rank_map({5 << 16 | 6: 300, 300 << 16 | 7: 301}))
     assert df.withColumn("ranks", literal.scalar()).select(bpe.fold("w", "ranks", size).alias("f")).head()["f"] == [[301, 8], [9], [], [5, 5]]
+
+
+def test_a_merge_looks_up_the_ranks_beside_it_alone(spark):
+    """Ranks of all neighbours are found once, then two a merge; the place of a pair is not searched."""
+    pairs = {5 << 16 | 6: 300, 7 << 16 | 8: 300, 300 << 16 | 300: 400, 8 << 16 | 300: 250, 9 << 16 | 9: 500, 500 << 16 | 500: 200, 500 << 16 | 9: 100}
+    words = [[7, 8, 5, 6], [5, 6, 7, 8], [7, 7, 8, 5, 6, 9], [9] * 7, [9] * 256, [5, 6] * 40, [1, 2], [8, 5, 6], [1, 5, 6], [65535, 9, 9]]
+
+    def merged(word):
+        word = list(word)
+        while found := [(r, i) for i, p in enumerate(zip(word, word[1:])) if (r := pairs.get(p[0] << 16 | p[1])) is not None]:
+            rank, i = min(found)
+            word[i:i + 2] = [rank]
+        return word
+
+    table = bpe.rank_map(pairs)
+    folded = bpe.fold("w", "ranks", len(table))
+    assert "array_position" not in folded._jc.toString() and "zip_with" not in folded._jc.toString()
+    literal = spark.createDataFrame([([int(x) for x in table],)], "ranks array<long>")
+    df = spark.createDataFrame([(words,)], "w array<array<int>>").withColumn("ranks", literal.scalar())
+    assert df.select(folded.alias("f")).head()["f"] == [merged(w) for w in words]
+
+
+def test_the_wide_form_splits_alike(monkeypatch):
+    import regex
+
+    full = regex.compile(public_tokenizers.PATTERN)
+    random.seed(8)
+    some = " \t\n\r\x0b\x0c\x1c\x1f\x00\x85\xa0\u2003\u2028\u3000aZ09'st_-.llé ñßµªº²½Ⅷ٣一日語Σİ\u0301\u200d\ufeffʰ‘—…\uffff"
+    texts = ["".join(random.choice(some) for _ in range(random.randint(0, 25))) for _ in range(3000)]
+    texts += ["".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000), "🙂 𝒳𝟙 𐐀 a" + some]
+    assert [bpe.wide_form(public_tokenizers.PATTERN).findall(t) for t in texts[:-1]] == [full.findall(t) for t in texts[:-1]]
+    assert [bpe.splitter(public_tokenizers.PATTERN)(t) for t in texts] == [full.findall(t) for t in texts]
+    assert all(bpe.wide_form(p) is None for p in (r"\p{Lu}+", r"(?i:'s)|\p{L}+", r"\w+", r"[\S]+"))

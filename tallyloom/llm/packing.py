@@ -23,6 +23,8 @@ _BATCH, _VOCABULARY, _MARK = 1 << 7, 1 << 19, b"\x01"
 #: Parts of words that it remembers.
 _PARTS = 1 << 17
 _STEP = 256
+#: Signs that may stand behind the letters of a plain word.
+_SIGNS = bytes(b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'")
 # The steps before the merges under which plain words may go straight to them.
 _NORMALISER = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -36,7 +38,8 @@ class WordIds(dict):
 
     For vocabularies that drop white space, so that the ids of a text are those of its words put
     together. Plain words, which are letters with punctuation behind, go straight to the vocabulary's merges if its
-    normaliser and splitter are the known ones; all others are encoded many at once with a mark between them.
+    normaliser and splitter are the known ones; all others are encoded many at once with a mark between them. A plain word is
+    learned when it is first looked up, any other is put aside for ``learn``.
     """
 
     def __init__(self, file: str):
@@ -52,6 +55,8 @@ class WordIds(dict):
         known = (steps.get("normalizer"), (steps.get("pre_tokenizer") or {}).get("pretokenizers")) == (_NORMALISER, _SPLITTER)
         self.plain = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([^A-Za-z0-9'\x00-\x20\x7f-\U0010ffff]*)").fullmatch if known else None
         self.parts: dict[str, bytes] = {}
+        self.odd: set[bytes] = set()
+        self.unread = False
 
     def _encoded(self, text: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, self.kind)
@@ -65,25 +70,62 @@ class WordIds(dict):
             ids = self.parts[part] = struct.pack(f"<{len(found)}{'H' if self.kind == '<u2' else 'I'}", *found)
         return ids
 
+    def __missing__(self, word: bytes) -> bytes:
+        """Ids of a plain word; none for an odd one, which is put aside."""
+        if self.plain:
+            stem, signs = word.rstrip(_SIGNS), ""
+            if stem.isalpha():  # A-Z and a-z alone
+                letters = stem.lower().decode()
+                if len(stem) < len(word):
+                    signs = word[len(stem):].decode()
+            elif found := self.plain(word.decode()):
+                letters, signs = found.groups()
+                letters = letters.lower()
+            else:
+                letters = ""
+            if letters:
+                ids = self.parts.get(letters) or self._part(letters)
+                if signs:
+                    ids += self.parts.get(signs) or self._part(signs)
+                self[word] = ids
+                return ids
+        self.odd.add(word)
+        self.unread = True
+        return b""
+
     def forget(self) -> None:
         self.clear()
         self.parts.clear()
 
+    def joined(self, texts: list[list[bytes]]) -> list[bytes]:
+        """The ids of every text, given as its words."""
+        self._make_room()
+        find, ids, again = self.__getitem__, [], []
+        for i, words in enumerate(texts):
+            self.unread = False
+            ids.append(b"".join(map(find, words)))
+            if self.unread:
+                again.append(i)
+        self._learn_odd()
+        for i in again:
+            ids[i] = b"".join(map(find, texts[i]))
+        return ids
+
     def learn(self, words: set[bytes]) -> None:
+        self._make_room()
+        for word in words:
+            self[word]  # noqa: B018
+        self._learn_odd()
+
+    def _make_room(self) -> None:
         if len(self) > _VOCABULARY:
             self.forget()
         if len(self.parts) > _PARTS:  # most stand in no other word
             self.parts.clear()
-        odd, plain, known = [], self.plain, self.parts.get
-        for word in words.difference(self):
-            found = plain(word.decode()) if plain else None
-            if found:
-                letters, signs = found.groups()
-                letters = letters.lower()
-                ids = known(letters) or self._part(letters)
-                self[word] = ids + (known(signs) or self._part(signs)) if signs else ids
-            else:
-                odd.append(word)
+
+    def _learn_odd(self) -> None:
+        odd = [*self.odd]
+        self.odd.clear()
         plain = [w for w in odd if _MARK not in w]
         for at in range(0, len(plain), _BATCH):
             part = plain[at:at + _BATCH]
@@ -124,8 +166,7 @@ def _encode(file: str, end_id: int, window: int):
             for at in range(0, batch.num_rows, _STEP):
                 rows = batch.slice(at, _STEP)
                 texts = [(t or "").encode().split() for t in rows.column("_text").to_pylist()]
-                known.learn(set().union(*texts))
-                ids = [b"".join(map(known.__getitem__, words)) + end for words in texts]
+                ids = [x + end for x in known.joined(texts)]
                 tokens = [len(x) // width for x in ids]
                 local, first = [], []
                 for n in tokens:

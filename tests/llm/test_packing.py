@@ -107,3 +107,25 @@ def test_ids_of_parts_have_the_kind_of_the_vocabulary(kind, monkeypatch):
     known.learn(set(words))
     monkeypatch.undo()
     assert [np.frombuffer(known[w], kind).tolist() for w in words] == [plain(w.decode())[:-1] for w in words]
+
+
+def test_texts_are_joined_without_a_pass_to_find_their_words():
+    """Plain words are learned at their first look-up; texts with other words are read again once these are known."""
+    known = packing.WordIds(FILE)
+    plain_pattern, asked = known.plain, []
+    known.plain = lambda word: asked.append(word) or plain_pattern(word)
+    texts = ["Hello, World! hello (again) <tag>", "don't 12ab don't Élan!? naïve,", "", "It's a\x01b \x01 A.B c...d .,! x--- X- 日本語テキスト", "don't World!", "<|endoftext|> É́ a‘ ÀÉÎ—"]
+    texts += [text.lower() for text in texts]
+    words = [text.encode().split() for text in texts]
+    want = [np.array(plain(text)[:-1], known.kind).tobytes() for text in texts]
+    assert known.joined(words) == want and known.joined(words[::-1]) == want[::-1]
+    assert not known.odd and not {"Hello,", "World!", "hello", "x---", "X-", "a"} & {*asked}
+
+
+def test_the_vocabulary_is_forgotten_between_steps(monkeypatch):
+    monkeypatch.setattr(packing, "_VOCABULARY", 3)
+    monkeypatch.setattr(packing, "_PARTS", 2)
+    known = packing.WordIds(FILE)
+    for text in ["one two three four 5 6a", "one two 5 seven's", "eight", "one 6a"]:
+        assert known.joined([text.encode().split()]) == [np.array(plain(text)[:-1], known.kind).tobytes()]
+    assert len(known) <= 5 and len(known.parts) <= 4
